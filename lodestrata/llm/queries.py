@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("token_counts", "packing")
+MODULES = ("token_counts", "decontamination", "packing", "quality")
 
 
 def queries() -> dict:

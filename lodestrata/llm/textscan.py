@@ -93,6 +93,19 @@ def piece_hash(s: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     return mix((s[ends] - s[starts]) * powers(0, len(s))[1][starts] + (ends - starts).astype(U))
 
 
+def hash_pieces(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:
+    """Hashes of ordered pieces of buf; the running sums of a very long text are made a part at a time."""
+    if len(buf) <= 8 * GROUP_BYTES:
+        return piece_hash(sums(buf, fold), starts, ends)
+    hashes, lo = np.empty(len(starts), U), 0
+    while lo < len(starts):
+        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + 4 * GROUP_BYTES, "right")))
+        a, b = int(starts[lo]), int(ends[hi - 1])
+        hashes[lo:hi] = piece_hash(sums(buf[a:b], fold), starts[lo:hi] - a, ends[lo:hi] - a)
+        lo = hi
+    return hashes
+
+
 class Words:
     """starts, ends: byte places in buf; hash: of each word; first: the first word of each document, then the number of words."""
 
@@ -123,18 +136,7 @@ def words(buf: np.ndarray, off: np.ndarray, table: np.ndarray = SPACED, fold: bo
     ends = np.flatnonzero(e) + 1
     first = np.searchsorted(starts, off)
     first[-1] = len(starts)
-    hashes = None
-    if hashed:
-        if len(buf) <= 8 * GROUP_BYTES:
-            hashes = piece_hash(sums(buf, fold), starts, ends)
-        else:  # one very long document: the running sums are made a part at a time
-            hashes = np.empty(len(starts), U)
-            lo = 0
-            while lo < len(starts):
-                hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + 4 * GROUP_BYTES, "right")))
-                a, b = starts[lo], ends[hi - 1]
-                hashes[lo:hi] = piece_hash(sums(buf[a:b], fold), starts[lo:hi] - a, ends[lo:hi] - a)
-                lo = hi
+    hashes = hash_pieces(buf, starts, ends, fold) if hashed else None
     return Words(starts, ends, hashes, first)
 
 
@@ -162,11 +164,28 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def covered(at: np.ndarray, k: int, n: int) -> np.ndarray:
     """Which of n words lie in a window of k words that starts at one of the places."""
-    d = np.zeros(n + 1, np.int64)
-    np.add.at(d, at, 1)
-    np.add.at(d, np.minimum(at + k, n), -1)
-    return np.cumsum(d[:-1]) > 0
+    d = np.bincount(at, minlength=n + 1) - np.bincount(np.minimum(at + k, n), minlength=n + 1)
+    return np.cumsum(d[:n]) > 0
+
+
+def per_document(mask: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """How many of each document's words are marked."""
+    total = np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])
+    return total[first[1:]] - total[first[:-1]]
+
+
+def twice(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which keys occur twice or more, which of those come after an equal one)."""
+    order = np.argsort(key, kind="stable")
+    k = key[order]
+    same = np.zeros(len(k) + 1, bool)
+    same[1:-1] = k[1:] == k[:-1]
+    any_, later = np.zeros(len(k), bool), np.zeros(len(k), bool)
+    any_[order] = same[:-1] | same[1:]
+    later[order] = same[:-1]
+    return any_, later
 
 
-def strings(values: list[bytes]) -> pa.Array:
-    return pa.array([v.decode() for v in values], pa.string())
+def in_document(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Hashes that are equal only for equal hashes of the same document."""
+    return mix(h + (doc.astype(U) + U(1)) * _BASES[2])
