@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("warc", "token_counts", "decontamination", "packing", "quality")
+MODULES = ("warc", "token_counts", "substring_dedup", "decontamination", "packing", "quality")
 
 
 def queries() -> dict:
