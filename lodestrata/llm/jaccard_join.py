@@ -34,6 +34,8 @@ BUCKET_HASHES = 1_000_000
 TILE = 1000
 #: Columns in one of so many documents go last. That is at most so many times the mean size of a set: a bounded broadcast.
 COMMON = 1000
+#: Step 3 takes classes that share this part of their prefix columns at least; step 4 takes all.
+LIKELY = 0.4
 #: Documents of a group that must have a column for it to be counted.
 COMMON_HERE = 3
 
@@ -206,6 +208,8 @@ class Join:
                     grp = side[0]["grp"]
                     for doc, h, _, count in prefixes(left, shared.value, rows, *how):
                         ok = member(h, live)
+                        if not ok.any():
+                            continue
                         doc, h, count = doc[ok], h[ok], count[ok]
                         new = np.flatnonzero(np.diff(doc, prepend=-1))
                         for a, b in zip(new.tolist(), [*new[1:].tolist(), len(doc)], strict=True):
@@ -265,13 +269,14 @@ class Join:
     def left_over(self, found: DataFrame, roots: DataFrame) -> DataFrame:
         """u, v: pairs that share prefix columns, aren't connected yet, and may reach the overlap their sizes need."""
         num, den = self.num, self.den
-        entries = found.join(roots.withColumnRenamed("node", "rid"), "rid", "left").select("rid", "n", F.coalesce("root", "rid").alias("root"), F.explode("columns").alias("column"))
+        entries = found.join(roots.withColumnRenamed("node", "rid"), "rid", "left").select("rid", "n", F.size("columns").cast("long").alias("shared"), F.coalesce("root", "rid").alias("root"), F.explode("columns").alias("column"))
         open_ = entries.groupBy("column").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("column")
         entries = entries.join(open_, "column").withColumn("bucket", F.shiftrightunsigned("column", 64 - 12))
 
         def count(table: pa.Table) -> pa.Table:
             table = table.sort_by([("column", "ascending"), ("n", "ascending"), ("rid", "ascending")])
-            rid, n, root, column = (table.column(c).to_numpy() for c in ("rid", "n", "root", "column"))
+            rid, n, shared, root, column = (table.column(c).to_numpy() for c in ("rid", "n", "shared", "root", "column"))
+            beyond = n - prefix_length(n, num, den)
             starts = np.flatnonzero(np.diff(column, prepend=column[0] - 1))
             a_parts, b_parts = [], []
             for x, y in zip(starts.tolist(), [*starts[1:].tolist(), len(column)], strict=True):
@@ -280,9 +285,11 @@ class Join:
                 here = np.arange(x, y)
                 i = np.repeat(here, reach - here - 1)
                 j = ts.spread(here + 1, reach - here - 1)
-                apart = root[i] != root[j]
-                a_parts.append(i[apart])
-                b_parts.append(j[apart])
+                # columns that another class shares bound the count from above
+                may = np.minimum(shared[i], shared[j]) + np.maximum(beyond[i], beyond[j]) >= overlap_needed(n[i] + n[j], num, den)
+                may &= root[i] != root[j]
+                a_parts.append(i[may])
+                b_parts.append(j[may])
             i, j = np.concatenate(a_parts), np.concatenate(b_parts)
             a, b = np.minimum(rid[i], rid[j]), np.maximum(rid[i], rid[j])
             na, nb = np.where(rid[i] < rid[j], n[i], n[j]), np.where(rid[i] < rid[j], n[j], n[i])
@@ -302,7 +309,8 @@ class Join:
         documents = info.count()
         common = columns.groupBy("column").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= max(COMMON_HERE, documents / COMMON)).select("column")
         found = self.candidates(classes, common)
-        links = self.links(found.select(F.array_min(F.transform("columns", lambda c: F.xxhash64(c))).alias("block"), "rid"))
+        likely = found.where(F.size("columns") >= F.expr(f"{LIKELY} * (n - (n * {self.num} + {self.den - 1}) div {self.den} + 1)"))
+        links = self.links(likely.select(F.array_min(F.transform("columns", lambda c: F.xxhash64(c))).alias("block"), "rid"))
         roots = components.components(links)
         pairs = scratch.keep(self.left_over(found, roots), "jaccard-pairs")
         # each pair is a tile of its own kind: a block of its smaller row's partners
