@@ -45,26 +45,38 @@ def bucket_bounds(sorted_hashes: np.ndarray, buckets: int) -> np.ndarray:
     return np.append(np.searchsorted(sorted_hashes, np.arange(buckets, dtype=np.uint64) << shift), len(sorted_hashes))
 
 
+def in_order(table: pa.Table) -> pa.Table:
+    """A group's rows by number; a shuffle or sort may have moved them."""
+    row = table.column("row").to_numpy()
+    return table if (row == np.arange(len(row))).all() else table.sort_by("row")
+
+
 def grouped_table(docs: DataFrame, name: str, group_bytes: int, text_col: str = "text", total: int = 0) -> DataFrame:
-    """docs written once with a column `grp`, bucketed by it: a group is some rows of one task with about group_bytes of text, under 2**20 of them.
+    """docs written once with columns `grp` and `row`, bucketed by grp: a group is some rows of one task with about group_bytes of text, under 2**20 of them, which `row` numbers.
 
     Grouping or cogrouping it by `grp` later reads each group where it lies, without another shuffle of the texts.
     """
     spark = docs.sparkSession
-    schema = docs.withColumn("grp", F.lit(0).cast("long")).schema
+    schema = docs.withColumns({"grp": F.lit(0).cast("long"), "row": F.lit(0)}).schema
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        base, seq, filled = TaskContext.get().partitionId() << 20, 0, 0
+        base, seq, filled, rows = TaskContext.get().partitionId() << 20, 0, 0, 0
         for batch in batches:
             _, off = ts.raw(batch.column(text_col))
             off = off + 16 * np.arange(len(off))  # rows without text fill a group too
             number = seq + (filled + off[:-1]) // group_bytes
+            new = np.flatnonzero(np.diff(number, prepend=seq))  # rows that begin a group
+            begins = np.zeros(len(number), np.int64)
+            begins[new] = new
+            begins = np.maximum.accumulate(begins) if len(number) else begins
+            row = np.arange(len(number)) - begins + np.where(number == seq, rows, 0)
             if len(number):
+                rows = int(row[-1]) + 1
                 filled += int(off[-1]) - (int(number[-1]) - seq) * group_bytes
                 seq = int(number[-1])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(base + number, pa.int64())], [*batch.schema.names, "grp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(base + number, pa.int64()), pa.array(row, pa.int32())], [*batch.schema.names, "grp", "row"])
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(parts, scratch.parts_for(total, 2 * group_bytes))

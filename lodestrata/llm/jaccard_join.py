@@ -110,6 +110,7 @@ def product(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
 
 def prefixes(table: pa.Table, common: np.ndarray, rows: np.ndarray, n: int, num: int, den: int):
     """(row, column hash, place in the order, size of the set) of the prefixes of some rows of a group."""
+    table = hr.in_order(table)
     buf, off = ts.raw(table.column("text"))
     wanted = np.zeros(table.num_rows, bool)
     wanted[rows] = True
@@ -128,12 +129,15 @@ def prefixes(table: pa.Table, common: np.ndarray, rows: np.ndarray, n: int, num:
 class Join:
     """One join of `docs`; its steps share the grouped store of texts."""
 
-    def __init__(self, docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str, group_bytes: int, tile: int, bucket_hashes: int):
+    def __init__(self, docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str, group_bytes: int, tile: int, bucket_hashes: int, carry: bool = False):
         self.n, self.num, self.den, self.tile = n, num, den, tile
-        texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+        self.names = (id_col, text_col)
+        others = [F.col(f"`{c}`") for c in docs.columns if c not in self.names]
+        texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *([F.struct(*others).alias("others")] if carry and others else []))
         self.total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         self.buckets = hr.buckets_for(self.total // 40 + 1, bucket_hashes)
-        self.store = hr.grouped_table(texts, "jaccard_texts", group_bytes, total=self.total)
+        self.stored = hr.grouped_table(texts, "jaccard_texts", group_bytes, total=self.total)
+        self.store = self.stored.select("doc_id", "text", "grp", "row")
         self.id_type = texts.schema["doc_id"].dataType.simpleString()
 
     def describe(self) -> tuple[DataFrame, DataFrame]:
@@ -141,6 +145,7 @@ class Join:
         n, id_type = self.n, self.id_type
 
         def run(table: pa.Table) -> pa.Table:
+            table = hr.in_order(table)
             buf, off = ts.raw(table.column("text"))
             grp = table.column("grp")[0].as_py()
             size, sig, seen = [], [], []
@@ -238,7 +243,7 @@ class Join:
             if left.num_rows and right.num_rows:
                 side = right.to_pylist()
                 rows = np.unique(np.array([r["rid"] & 0xFFFFF for r in side], np.int64))
-                texts = left.column("text").take(pa.array(rows))
+                texts = hr.in_order(left).column("text").take(pa.array(rows))
                 buf, off = ts.raw(texts)
                 sets = {}
                 for lo, hi in ts.groups(off):
@@ -318,14 +323,43 @@ class Join:
         roots = components.components(links.unionByName(more))
         linked = classes.join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
         names = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-        by_class = linked.join(names, "root").select("sig", F.col("n").alias("class_n"), "component_id")
+        by_class = linked.join(names, "root").select("sig", F.col("n").alias("class_n"), "component_id", "root")
         out = info.join(by_class, (info["sig"] == by_class["sig"]) & (info["n"] == F.col("class_n")), "left")
-        return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), info["rid"].alias("rid"))
+        return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), info["rid"].alias("rid"), "root")
+
+    def rows(self, kept: DataFrame, columns: list[str]) -> DataFrame:
+        """The stored rows whose rid is in kept, as they came."""
+        names = [c for c in self.stored.columns if c not in ("grp", "row")]
+
+        def pick(left: pa.Table, right: pa.Table) -> pa.Table:
+            if not left.num_rows or not right.num_rows:
+                return left.select(names).slice(0, 0)
+            return hr.in_order(left).select(names).take(pa.array(np.sort(np.asarray(right.column("rid")) & 0xFFFFF)))
+
+        wanted = kept.select(F.shiftright("rid", 20).alias("grp"), "rid")
+        schema = self.stored.select(*names).schema
+        out = self.stored.groupBy("grp").cogroup(wanted.groupBy("grp")).applyInArrow(pick, schema)
+        own = dict(zip(self.names, ("doc_id", "text"), strict=True))
+        return out.select(*[F.col(own[c]).alias(c) if c in own else F.col(f"others.`{c}`").alias(c) for c in columns])
 
 
 def link(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = GROUP_BYTES, tile: int = TILE, bucket_hashes: int = BUCKET_HASHES) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; two rows link when den * |intersection| >= num * |union| of their n-gram sets."""
-    return Join(docs, n, num, den, id_col, text_col, group_bytes, tile, bucket_hashes).run().drop("rid")
+    return Join(docs, n, num, den, id_col, text_col, group_bytes, tile, bucket_hashes).run().drop("rid", "root")
+
+
+def keep_first(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs that are their component's first: the least id, and of rows that share it the first stored. Rows with an empty set all stay.
+
+    The join's store carries all columns, and kept rows are picked from it where they lie.
+    """
+    settings = {"group_bytes": GROUP_BYTES, "tile": TILE, "bucket_hashes": BUCKET_HASHES} | options
+    join = Join(docs, n, num, den, id_col, text_col, **settings, carry=True)
+    found = scratch.keep(join.run(), "jaccard-components")
+    # a component is named by its root row: ids may be null or repeated
+    first = found.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("first")).select(F.col("first.rid").alias("rid"))
+    kept = first.unionByName(found.where("n_shingles = 0").select("rid"))
+    return join.rows(kept, docs.columns)
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
