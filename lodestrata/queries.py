@@ -1,6 +1,619 @@
-"""Registered queries of the table operators and the SQL they are checked against."""
+"""Registered queries of the table operators and the SQL they are checked against.
+
+Test tables have no nulls and no dirty text, so some queries make them from clean columns by the same expression as their SQL.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestrata.functions import scalars as S
+from lodestrata.functions import types
+from lodestrata.operators import compare, duplicates, filters, group, histogram, model, paging, shape, validate
+from lodestrata.plans import autoclean, chain, profile
+from lodestrata.plans import stats as st
+from lodestrata.plans.chain import Op
+from lodestrata.sources import tables
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def wrap(fn):
+        QUERIES[name or fn.__name__] = fn
+        if sql:
+            ORACLE_SQL[name or fn.__name__] = sql
+        return fn
+
+    return wrap
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return tables.read_table(spark, f"{sf_dir}/{table}.parquet")
+
+
+NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def _union(parts: list[str]) -> str:
+    return " UNION ALL ".join(parts)
+
+
+# profiles
+
+def _long_sql(table: str, columns: list[str], stats: dict[str, str]) -> str:
+    return _union([f"SELECT '{c}' AS \"column\", '{s}' AS stat, CAST({e.format(c=c)} AS DOUBLE) AS number FROM {table}" for c in columns for s, e in stats.items()])
+
+
+BASIC = {"length": "count(*)", "null_count": "count(*) - count({c})", "non_null_count": "count({c})", "nan_per": "(count(*) - count({c})) / count(*)", "min": "min({c})", "max": "max({c})", "mean": "avg({c})", "std": "stddev_samp({c})", "median": "median({c})", "q1": "quantile_cont({c}, 0.25)", "q3": "quantile_cont({c}, 0.75)", "iqr": "quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)"}
+#: Places to which sums and means of doubles are rounded where two engines add them in different orders.
+ROUNDED = {k: (f"round({v}, 4)" if k in ("mean", "std", "q1", "q3", "iqr", "median") else v) for k, v in BASIC.items()}
+
+
+def _rounded(long: DataFrame) -> DataFrame:
+    loose = F.col("stat").isin("mean", "std", "q1", "q3", "iqr", "median", "variance", "cv", "quin99", "sum")
+    return long.select("column", "stat", F.when(loose, F.round("number", 4)).otherwise(F.col("number")).alias("number"))
+
+
+@query(_long_sql("lineitem", NUMBERS, ROUNDED))
+def profile_lineitem(spark, d):
+    """Aggregates of every numeric column in one job."""
+    wide, _ = profile.profile_wide(read(spark, d, "lineitem").select(*NUMBERS))
+    return _rounded(profile.to_long(wide, [*BASIC]))
+
+
+@query(_long_sql("orders", ["o_totalprice"], {"sum": "round(sum({c}), 2)", "variance": "round(var_samp({c}), 2)", "value_range": "max({c}) - min({c})", "cv": "round(stddev_samp({c}) / avg({c}), 4)", "quin99": "round(quantile_cont({c}, 0.99), 4)"}))
+def profile_extra(spark, d):
+    wide, _ = profile.profile_wide(read(spark, d, "orders").select("o_totalprice"), st.BASE + st.QUANTILES + st.EXTRA)
+    long = profile.to_long(wide, ["sum", "variance", "value_range", "cv", "quin99"])
+    return long.select("column", "stat", F.when(F.col("stat").isin("sum", "variance"), F.round("number", 2)).when(F.col("stat").isin("cv", "quin99"), F.round("number", 4)).otherwise(F.col("number")).alias("number"))
+
+
+@query(_union([f"SELECT '{c}' AS \"column\", count(*) FILTER (WHERE TRUE) AS \"length\", median({c})::DOUBLE AS \"median\" FROM lineitem" for c in ("l_linenumber", "l_quantity")]))
+def profile_stat_rows(spark, d):
+    """A long profile pivoted to a row a statistic and back."""
+    wide, _ = profile.profile_wide(read(spark, d, "lineitem").select("l_linenumber", "l_quantity"))
+    rows = profile.stat_rows(profile.to_long(wide, ["length", "median"]), ["l_linenumber", "l_quantity"])
+    return rows.unpivot("stat", ["l_linenumber", "l_quantity"], "column", "v").groupBy("column").pivot("stat", ["length", "median"]).agg(F.first("v")).select("column", F.col("length").cast("long").alias("length"), "median")
+
+
+def _value_sql(table: str, columns: list[str], cast: str = "VARCHAR") -> str:
+    return _union([f"SELECT '{c}' AS \"column\", CAST({c} AS {cast}) AS value, count(*) AS n FROM {table} WHERE {c} IS NOT NULL GROUP BY {c}" for c in columns])
+
+
+TEXTS = ["o_orderstatus", "o_orderpriority"]
+
+
+@query(f"SELECT \"column\", value, n, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY \"column\" ORDER BY n DESC, value) AS place FROM ({_value_sql('orders', ['o_custkey', 'o_totalprice'], 'DOUBLE')})) WHERE place <= 10")
+def value_counts_top(spark, d):
+    return profile.top_values(profile.value_counts(read(spark, d, "orders"), ["o_custkey", "o_totalprice"], numeric=True), 10).select("column", "value", "n", "place")
+
+
+@query(_value_sql("events", ["event_type"]) + " UNION ALL " + _value_sql("orders", TEXTS))
+def value_counts_text(spark, d):
+    return profile.value_counts(read(spark, d, "events"), ["event_type"]).unionByName(profile.value_counts(read(spark, d, "orders"), TEXTS))
+
+
+def _strings_sql(table: str, columns: list[str]) -> str:
+    one = "SELECT '{c}' AS \"column\", count(*) AS distinct_count, count(*) FILTER (WHERE n = 1) AS unique_count, (SELECT v FROM (SELECT {c} AS v, count(*) AS n FROM {t} GROUP BY {c}) ORDER BY n DESC, v LIMIT 1) AS mode FROM (SELECT count(*) AS n FROM {t} GROUP BY {c})"
+    return _union([one.format(c=c, t=table) for c in columns])
+
+
+@query(_strings_sql("part", ["p_name", "p_brand", "p_type"]))
+def profile_strings(spark, d):
+    df = read(spark, d, "part")
+    return profile.value_stats(profile.value_counts(df, ["p_name", "p_brand", "p_type"]))
+
+
+@query("SELECT 'p_size' AS \"column\", CAST(p_size AS DOUBLE) AS number FROM part GROUP BY p_size ORDER BY count(*) DESC, p_size LIMIT 1")
+def mode_stat(spark, d):
+    return profile.profile_values(read(spark, d, "part"), ["p_size"]).where("stat = 'mode'").select("column", "number")
+
+
+@query("WITH v AS (SELECT p_brand AS b, count(*) AS n FROM part GROUP BY 1), r AS (SELECT b, row_number() OVER (ORDER BY n DESC, b) AS k FROM v) SELECT 'p_brand' AS \"column\", CASE k WHEN 1 THEN 'most_freq' WHEN 2 THEN '2nd_freq' WHEN 3 THEN '3rd_freq' WHEN 4 THEN '4th_freq' ELSE '5th_freq' END AS stat, b AS text FROM r WHERE k <= 5")
+def most_frequent(spark, d):
+    return profile.profile_values(read(spark, d, "part"), ["p_brand"]).where("stat like '%_freq'").select("column", "stat", "text")
+
+
+@query("SELECT scope, \"column\", stat, number FROM (SELECT 'raw' AS scope, 'o_totalprice' AS \"column\", 'length' AS stat, CAST(count(*) AS DOUBLE) AS number FROM orders UNION ALL SELECT 'filtered', 'o_totalprice', 'length', count(*) FROM orders WHERE contains(o_orderpriority, 'URGENT') OR contains(o_orderstatus, 'URGENT') UNION ALL SELECT 'raw', 'o_totalprice', 'max', max(o_totalprice) FROM orders UNION ALL SELECT 'filtered', 'o_totalprice', 'max', max(o_totalprice) FROM orders WHERE contains(o_orderpriority, 'URGENT') OR contains(o_orderstatus, 'URGENT'))")
+def profile_scopes(spark, d):
+    df = read(spark, d, "orders")
+    found = profile.profile_scopes(df, filtered=filters.search(df, "URGENT"), values=False)
+    return found.where("`column` = 'o_totalprice' and stat in ('length', 'max')").select("scope", "column", "stat", "number")
+
+
+@query("SELECT 'o_orderdate' AS \"column\", 'timestamp' AS dtype, 'datetime' AS type, count(*) AS rows FROM orders UNION ALL SELECT 'o_orderkey', 'bigint', 'integer', count(*) FROM orders UNION ALL SELECT 'o_custkey', 'bigint', 'integer', count(*) FROM orders UNION ALL SELECT 'o_orderstatus', 'string', 'string', count(*) FROM orders UNION ALL SELECT 'o_totalprice', 'double', 'float', count(*) FROM orders UNION ALL SELECT 'o_orderpriority', 'string', 'string', count(*) FROM orders")
+def table_metadata(spark, d):
+    return tables.metadata(read(spark, d, "orders"), "orders").select("column", F.regexp_replace("dtype", "timestamp_ntz", "timestamp").alias("dtype"), "type", "rows")
+
+
+@query("SELECT CAST(count(DISTINCT user_id) AS DOUBLE) * 0 + 1 AS close FROM events")
+def approximate_distinct(spark, d):
+    """Whether the approximate distinct count lies within 5 % of the exact one."""
+    df = read(spark, d, "events").select("user_id")
+    wide, _ = profile.profile_wide(df, st.BASE + st.APPROXIMATE)
+    exact = profile.value_stats(profile.value_counts(df, numeric=True))
+    return wide.crossJoin(F.broadcast(exact)).select((F.abs(F.col("user_id__distinct_count") - F.col("distinct_count")) <= 0.05 * F.col("distinct_count")).cast("double").alias("close"))
+
+
+# histograms
+
+_TRIMMED = """
+WITH t AS (SELECT quantile_cont({c}, 0.01) AS lt, quantile_cont({c}, 0.99) AS ht FROM {t}),
+m AS (SELECT CAST({c} AS DOUBLE) AS v, lt, ht FROM {t}, t WHERE {c} > lt AND {c} < ht),
+r AS (SELECT min(v) AS lo, max(v) AS hi, count(*) AS n FROM m),
+b AS (SELECT least(9, greatest(0, CAST(floor((v - lo) / ((hi - lo) / 10)) AS INTEGER))) AS bin, count(*) AS k FROM m, r GROUP BY 1)
+SELECT '{c}' AS "column", lt AS low_tail, ht AS high_tail, CAST(i AS INTEGER) AS bin, round(coalesce(k, 0) / n, 9) AS population FROM r, t, range(10) AS g(i) LEFT JOIN b ON b.bin = i
+"""
+
+
+@query(_TRIMMED.format(c="l_extendedprice", t="lineitem") + " UNION ALL " + f"SELECT * FROM ({_TRIMMED.format(c='l_quantity', t='lineitem')})")
+def histogram_trimmed(spark, d):
+    bins = histogram.trimmed(read(spark, d, "lineitem"), ["l_extendedprice", "l_quantity"])
+    return bins.select("column", "low_tail", "high_tail", "bin", F.round("population", 9).alias("population"))
+
+
+@query("WITH r AS (SELECT min(value) AS lo, max(value) AS hi, count(*) AS n FROM events), b AS (SELECT least(9, CAST(floor((value - lo) / ((hi - lo) / 10)) AS INTEGER)) AS bin, count(*) AS k FROM events, r GROUP BY 1) SELECT 'value' AS \"column\", CAST(i AS INTEGER) AS bin, coalesce(k, 0) AS n, round(100 * coalesce(k, 0) / n, 1) AS percent FROM r, range(10) AS g(i) LEFT JOIN b ON b.bin = i")
+def histogram_full(spark, d):
+    return histogram.full_range(read(spark, d, "events"), ["value"]).select("column", "bin", "n", "percent")
+
+
+@query("WITH v AS (SELECT p_type AS value, count(*) AS n FROM part GROUP BY 1), k AS (SELECT value, n, row_number() OVER (ORDER BY n DESC, value) AS place FROM v), t AS (SELECT * FROM k WHERE place <= 10) SELECT 'p_type' AS \"column\", CAST(place AS INTEGER) AS place, value, round(100 * n / (SELECT sum(n) FROM t), 1) AS percent FROM t")
+def histogram_top_ten(spark, d):
+    return histogram.top_ten(read(spark, d, "part"), ["p_type"])
+
+
+_CATEGORICAL = """
+WITH d AS (SELECT {e} AS x FROM {t}), v AS (SELECT x AS name, count(*) AS n FROM d WHERE x IS NOT NULL GROUP BY 1), k AS (SELECT name, n, row_number() OVER (ORDER BY n DESC, name) AS place FROM v), l AS (SELECT count(*) AS len, count(x) AS filled FROM d),
+s AS (SELECT coalesce(sum(n), 0) AS top_sum, count(*) FILTER (WHERE n = 1) AS top_unique FROM k WHERE place <= 7 AND n >= {share} * (SELECT len FROM l)), u AS (SELECT count(*) FILTER (WHERE n = 1) AS uniq FROM v),
+a AS (SELECT place, name, 100.0 * n / len AS p FROM k, l WHERE place <= 7 AND n >= {share} * len UNION ALL SELECT 100, 'longtail', 100.0 * (filled - top_sum - (uniq - top_unique)) / len FROM l, s, u UNION ALL SELECT 101, 'unique', 100.0 * (uniq - top_unique) / len FROM s, u, l UNION ALL SELECT 102, 'NA', 100.0 * (len - filled) / len FROM l)
+SELECT name, CAST(place AS INTEGER) AS place, round_even(p, 0) AS percent FROM a WHERE round_even(p, 0) > 0.3
+"""
+
+
+@query(_CATEGORICAL.format(e="nullif(o_orderpriority, '5-LOW')", t="orders", share=0))
+def histogram_categorical(spark, d):
+    df = read(spark, d, "orders").select(F.nullif(F.col("o_orderpriority"), F.lit("5-LOW")).alias("x"))
+    return histogram.categorical(df).select("name", "place", "percent")
+
+
+@query(_CATEGORICAL.format(e="CASE WHEN c_custkey % 3 = 0 THEN c_name WHEN c_custkey % 3 = 1 THEN c_mktsegment ELSE CAST(c_nationkey AS VARCHAR) END", t="customer", share=0.05))
+def histogram_frequent_only(spark, d):
+    x = F.when(F.col("c_custkey") % 3 == 0, F.col("c_name")).when(F.col("c_custkey") % 3 == 1, F.col("c_mktsegment")).otherwise(F.col("c_nationkey").cast("string"))
+    return histogram.categorical(read(spark, d, "customer").select(x.alias("x")), least_share=0.05).select("name", "place", "percent")
+
+
+@query()
+def histogram_bars(spark, d):
+    """Labelled bars of every column: numeric bins with tails, or categories."""
+    return histogram.bars(read(spark, d, "orders"))
+
+
+# grouping
+
+PLAIN = {"mean": "round(avg({c}), 6)", "median": "median({c})", "min": "min({c})", "max": "max({c})", "sum": "round(sum({c}), 2)", "count": "count({c})", "count_null": "count(*) - count({c})", "std": "round(stddev_samp({c}), 6)", "nunique": "count(DISTINCT {c})", "hasnans": "count(*) > count({c})", "empty": "count(*) = 0", "all": "bool_and({c} <> 0)", "any": "bool_or({c} <> 0)", "kurt": "round(kurtosis({c}), 6)", "skew": "round(skewness({c}), 6)", "sem": "round(stddev_samp({c}) / sqrt(count({c})), 6)", "size": "count(*)", "nbytes": "8 * count({c})", "ndim": "1", "dtype": "'double'"}
+_ROUND = {"mean": 6, "sum": 2, "std": 6, "kurt": 6, "skew": 6, "sem": 6}
+
+
+def _group_sql(names: list[str], table: str, key: str, c: str) -> str:
+    return f"SELECT {key}, " + ", ".join(f"{PLAIN[n].format(c=c)} AS {c}_{n}" for n in names) + f" FROM {table} GROUP BY {key}"
+
+
+@query(_group_sql([*PLAIN], "lineitem", "l_returnflag", "l_quantity"))
+def groupby_aggs(spark, d):
+    out = group.group_by(read(spark, d, "lineitem"), "l_returnflag", {"l_quantity": [*PLAIN]})
+    return out.select("l_returnflag", *[(F.round(f"l_quantity_{n}", _ROUND[n]) if n in _ROUND else F.col(f"l_quantity_{n}")).alias(f"l_quantity_{n}") for n in PLAIN])
+
+
+@query("WITH w AS (SELECT event_type, event_id, value, lag(value) OVER (PARTITION BY event_type ORDER BY event_id) AS b, avg(value) OVER (PARTITION BY event_type) AS m FROM events) SELECT event_type, coalesce(bool_and(value >= b), TRUE) AS value_is_monotonic_increasing, coalesce(bool_and(value <= b), TRUE) AS value_is_monotonic_decreasing, round(corr(value, b), 6) AS value_autocorr, round(avg(abs(value - m)), 6) AS value_mad, arg_min(event_id, (-value, event_id)) AS value_idxmax, arg_min(event_id, (value, event_id)) AS value_idxmin FROM w GROUP BY event_type")
+def groupby_ordered_aggs(spark, d):
+    names = ["is_monotonic_increasing", "is_monotonic_decreasing", "autocorr", "mad", "idxmax", "idxmin"]
+    out = group.group_by(read(spark, d, "events"), "event_type", {"value": names}, order_by=["event_id"])
+    return out.select("event_type", *[(F.round(f"value_{n}", 6) if n in ("autocorr", "mad") else F.col(f"value_{n}")).alias(f"value_{n}") for n in names])
+
+
+@query("SELECT c_mktsegment, round(sum(c_acctbal), 2) AS \"c_acctbal(sum)\", count(c_acctbal) AS \"c_acctbal(count)\", median(c_acctbal) AS \"c_acctbal(median)\" FROM customer GROUP BY 1")
+def groupby_sorted(spark, d):
+    out = group.group_by_sorted(read(spark, d, "customer"), "c_mktsegment", {"c_acctbal": ["sum", "count", "median"], "c_name": "null"})
+    return out.withColumn("c_acctbal(sum)", F.round("c_acctbal(sum)", 2))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_suppkey, max(l_quantity) OVER (PARTITION BY l_suppkey) AS l_quantity_max, count(l_quantity) OVER (PARTITION BY l_suppkey) AS l_quantity_count FROM lineitem")
+def groupby_transform(spark, d):
+    df = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity")
+    return group.group_by_transform(df, "l_suppkey", {"l_quantity": ["max", "count"]}).drop("l_quantity")
+
+
+@query("SELECT max(n) AS max_group FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber)")
+def max_group(spark, d):
+    return group.largest_group(read(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+# filters
+
+@query("SELECT doc_id FROM documents WHERE contains(text, 'License') OR contains(lang, 'License') OR contains(source, 'License')")
+def search_literal(spark, d):
+    return filters.search(read(spark, d, "documents"), "License").select("doc_id")
+
+
+@query(r"SELECT doc_id FROM documents WHERE regexp_matches(text, '[0-9]{4}-[0-9]{2}') OR regexp_matches(lang, '[0-9]{4}-[0-9]{2}') OR regexp_matches(source, '[0-9]{4}-[0-9]{2}')")
+def search_regex(spark, d):
+    return filters.search(read(spark, d, "documents"), "[0-9]{4}-[0-9]{2}", regex=True).select("doc_id")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE contains(p_name, '1')")
+def search_column(spark, d):
+    return filters.search_column(read(spark, d, "part"), "p_name", "1").select("p_partkey", "p_name")
+
+
+@query("SELECT o_orderkey, concat_ws(',', CASE WHEN contains(o_orderstatus, 'F') THEN 'o_orderstatus' END, CASE WHEN contains(o_orderpriority, 'F') THEN 'o_orderpriority' END) AS matched FROM orders")
+def search_highlight(spark, d):
+    return filters.mark_matches(read(spark, d, "orders"), "F").select("o_orderkey", F.array_join("matched_columns", ",").alias("matched"))
+
+
+@query("SELECT event_id, value FROM events WHERE value > 10 AND value < 60")
+def range_filter(spark, d):
+    return filters.range_filter(read(spark, d, "events"), "value", 10, 60).select("event_id", "value")
+
+
+@query("WITH q AS (SELECT quantile_cont(o_totalprice, 0.05) AS a, quantile_cont(o_totalprice, 0.95) AS b FROM orders) SELECT o_orderkey FROM orders, q WHERE o_totalprice > a AND o_totalprice < b")
+def remove_outliers(spark, d):
+    return filters.remove_outliers(read(spark, d, "orders"), "o_totalprice", 5).select("o_orderkey")
+
+
+@query("WITH f AS (SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END, (SELECT avg(CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END) FROM orders)) AS p FROM orders), q AS (SELECT quantile_cont(p, 0.02) AS a, quantile_cont(p, 0.98) AS b FROM f) SELECT o_orderkey FROM f, q WHERE p < a OR p > b")
+def only_outliers(spark, d):
+    df = read(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice")).alias("p"))
+    return filters.only_outliers(df, "p", 0.02).select("o_orderkey")
+
+
+@query("WITH q AS (SELECT quantile_cont(user_id, 0.01) AS a, quantile_cont(user_id, 0.99) AS b, quantile_cont(value, 0.01) AS c, quantile_cont(value, 0.99) AS e FROM events) SELECT event_id FROM events, q WHERE user_id <= a OR user_id >= b OR value <= c OR value >= e")
+def any_outliers(spark, d):
+    return filters.any_outliers(read(spark, d, "events"), columns=["user_id", "value"]).select("event_id")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 211 = 0")
+def rare_rows(spark, d):
+    df = read(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 211 == 0, F.col("o_orderstatus")).alias("rare"))
+    return filters.rare_rows(df).select("o_orderkey")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_quantity < 25 THEN l_quantity END AS q FROM lineitem")
+def nullify_nonfinite(spark, d):
+    df = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.when(F.col("l_quantity") < 25, F.col("l_quantity")).when(F.col("l_quantity") < 40, F.lit(float("nan"))).otherwise(F.lit(float("inf"))).alias("q"))
+    return filters.nullify_nonfinite(df)
+
+
+# shape and values
+
+@query("SELECT o_orderkey AS \"index\", o_custkey, o_totalprice FROM orders")
+def reindex(spark, d):
+    df = read(spark, d, "orders").withColumn("nothing", F.lit(None).cast("string"))
+    chosen = shape.drop_null_columns(shape.drop_column(df, "o_orderdate")).select("o_custkey", "o_orderkey", "o_totalprice")
+    return shape.promote_to_index(shape.first_columns(chosen, 3), "o_orderkey")
+
+
+@query("SELECT r_regionkey AS v, r_name FROM region ORDER BY 1")
+def transpose_twice(spark, d):
+    """Turned over and back, a small table is itself."""
+    df = read(spark, d, "region").select(F.col("r_regionkey").cast("string").alias("k"), "r_name")
+    back = shape.transpose(shape.transpose(df, "k"), "key")
+    return back.select(F.col("key").cast("int").alias("v"), "r_name")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_totalprice < 1000 THEN 'low' END AS error FROM orders")
+def error_flag(spark, d):
+    return shape.flag(read(spark, d, "orders"), "o_totalprice", 1000, "low").select("o_orderkey", "error")
+
+
+@query("SELECT o_orderkey, coalesce(nullif(o_orderpriority, '4-NOT SPECIFIED'), 'none') AS p FROM orders")
+def fill_null(spark, d):
+    df = read(spark, d, "orders").select("o_orderkey", F.nullif(F.col("o_orderpriority"), F.lit("4-NOT SPECIFIED")).alias("p"))
+    return shape.fill_null(df, "p", "none")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'done' ELSE o_orderstatus END AS o_orderstatus FROM orders")
+def replace_value(spark, d):
+    return shape.replace_value(read(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus", "F", "done")
+
+
+@query("SELECT o_orderkey, o_orderstatus = 'F' AS \"F\", o_orderstatus = 'O' AS \"O\", o_orderstatus = 'P' AS \"P\" FROM orders")
+def one_hot(spark, d):
+    return shape.one_hot(read(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus")
+
+
+@query("SELECT p_partkey, CAST(p_size AS SMALLINT) AS p_size FROM part")
+def narrow_int(spark, d):
+    return shape.narrow_int(read(spark, d, "part").select("p_partkey", "p_size"), "p_size")
+
+
+@query("SELECT p_partkey, p_brand, dense_rank() OVER (ORDER BY p_brand) - 1 AS p_brand_code FROM part")
+def make_category(spark, d):
+    return shape.make_category(read(spark, d, "part").select("p_partkey", "p_brand"), "p_brand")
+
+
+def dirty(spark: SparkSession, d: str) -> DataFrame:
+    """Events with a number, a truth value and a date as dirty text."""
+    k = F.col("event_id")
+    case = lambda *pairs: _case(k, pairs)
+    number = case((0, F.concat(F.lit("$"), k.cast("string"))), (1, k.cast("string")), (2, F.lit("none")), (3, F.concat(k.cast("string"), F.lit(" items"))), (4, F.concat(F.lit("-"), k.cast("string"))))
+    truth = case((0, F.lit("Yes")), (1, F.lit(" no ")), (2, F.lit("TRUE")), (3, F.lit("0")), (4, F.lit("perhaps")))
+    date = case((0, F.lit("7/4/1776")), (1, F.lit("12/31/2020")), (2, F.lit("17/10/1982")), (3, F.lit("")), (4, F.lit("1/2/2003")))
+    return read(spark, d, "events").select("event_id", number.alias("n"), truth.alias("t"), date.alias("s"))
+
+
+def _case(k, pairs):
+    out = None
+    for i, v in pairs:
+        out = F.when(k % 5 == i, v) if out is None else out.when(k % 5 == i, v)
+    return out
+
+
+DIRTY = "d AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN '$' || event_id WHEN 1 THEN CAST(event_id AS VARCHAR) WHEN 2 THEN 'none' WHEN 3 THEN event_id || ' items' ELSE '-' || event_id END AS n, CASE event_id % 5 WHEN 0 THEN 'Yes' WHEN 1 THEN ' no ' WHEN 2 THEN 'TRUE' WHEN 3 THEN '0' ELSE 'perhaps' END AS t, CASE event_id % 5 WHEN 0 THEN '7/4/1776' WHEN 1 THEN '12/31/2020' WHEN 2 THEN '17/10/1982' WHEN 3 THEN '' ELSE '1/2/2003' END AS s FROM events)"
+STRIPPED = "CAST(coalesce(try_cast(n AS DOUBLE), try_cast(regexp_replace(n, '[^0-9.]', '', 'g') AS DOUBLE)) AS BIGINT)"
+TRUTH = "CASE WHEN lower(trim(t)) IN ('true', 'yes', 'on', '1') THEN TRUE WHEN lower(trim(t)) IN ('false', 'no', 'off', '0') THEN FALSE END"
+
+
+@query(f"WITH {DIRTY} SELECT event_id, {STRIPPED} AS n, {TRUTH} AS t, strftime(try_strptime(s, '%m/%d/%Y'), '%Y-%m-%d') AS s FROM d")
+def clean_values(spark, d):
+    df = chain.run(dirty(spark, d), [Op("strip_int_parse", ("n",)), Op("str_bool", ("t",)), Op("us_date", ("s",))])[0]
+    return df.withColumn("s", F.date_format("s", "yyyy-MM-dd"))
+
+
+@query(f"WITH {DIRTY} SELECT 'n' AS \"column\", count(try_cast(n AS DOUBLE)) / count(*) AS regular_int_parse, count(*) FILTER (WHERE regexp_replace(n, '[^0-9.]', '', 'g') <> '') / count(*) AS strip_int_parse, 0.0::DOUBLE AS us_dates FROM d UNION ALL SELECT 's', 0, count(*) FILTER (WHERE regexp_replace(s, '[^0-9.]', '', 'g') <> '') / count(*), count(try_strptime(s, '%m/%d/%Y')) / count(*) FROM d")
+def parse_fractions(spark, d):
+    return autoclean.parse_fractions(dirty(spark, d).select("n", "s")).select("column", "regular_int_parse", "strip_int_parse", "us_dates")
+
+
+@query(f"WITH {DIRTY} SELECT event_id, {STRIPPED} AS n, n AS n_orig, {TRUTH} AS t, t AS t_orig, {STRIPPED.replace("n,", "s,").replace("(n ", "(s ")} AS s, s AS s_orig FROM d")
+def auto_clean(spark, d):
+    return autoclean.auto_clean(dirty(spark, d), "aggressive")
+
+
+@query(f"WITH {DIRTY} SELECT event_id, {TRUTH} AS t, s FROM d")
+def auto_type(spark, d):
+    return autoclean.auto_type(dirty(spark, d).select("event_id", "t", F.concat(F.lit("x"), "s").alias("s"))).withColumn("s", F.substring("s", 2, 20))
+
+
+@query("SELECT o_orderkey, CAST(o_orderkey AS DOUBLE) AS f, o_orderkey <> 0 AS b, CAST(o_orderkey AS BIGINT) AS i FROM orders")
+def coerce_types(spark, d):
+    k = F.col("o_orderkey").cast("string")
+    df = read(spark, d, "orders").select("o_orderkey", k.alias("f"), k.alias("b"), k.alias("i"))
+    return chain.run(df, [Op("coerce", ("f", "float")), Op("coerce", ("b", "bool")), Op("coerce", ("i", "int"))])[0]
+
+
+@query("SELECT o_orderkey, CASE WHEN o_totalprice >= 1000 THEN CAST(length(CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR)) AS INTEGER) ELSE CAST(length(CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR)) AS INTEGER) END AS digits, round_even(o_totalprice, 0) AS even FROM orders")
+def number_text(spark, d):
+    df = read(spark, d, "orders")
+    return df.select("o_orderkey", S.int_digits(F.col("o_totalprice")).alias("digits"), S.round_half_even(F.col("o_totalprice")).alias("even"))
+
+
+@query("SELECT event_id, props FROM events")
+def nested_text(spark, d):
+    df = read(spark, d, "events").select("event_id", F.from_json("props", "map<string,string>").alias("m"), "props")
+    return shape.nested_to_text(df).select("event_id", "props")
+
+
+# ranks, pages, duplicates
+
+@query("SELECT p_partkey, CAST(rank() OVER (ORDER BY p_size) AS DOUBLE) AS least, CAST(dense_rank() OVER (ORDER BY p_size) AS DOUBLE) AS dense, rank() OVER (ORDER BY p_size) + (count(*) OVER (PARTITION BY p_size) - 1) / 2.0 AS mean FROM part")
+def ranks(spark, d):
+    df = read(spark, d, "part").select("p_partkey", "p_size")
+    for method, name in (("min", "least"), ("dense", "dense"), ("average", "mean")):
+        df = paging.rank(df, "p_size", method, name)
+    return df.drop("p_size")
+
+
+@query("SELECT row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS rowid, o_orderkey FROM orders")
+def row_ids(spark, d):
+    df = read(spark, d, "orders").select("o_orderkey", (-F.col("o_totalprice")).alias("less"))
+    return paging.tag_rows(df, ["less", "o_orderkey"]).select("rowid", "o_orderkey")
+
+
+@query("SELECT 100 + row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS \"index\", o_orderkey, o_totalprice FROM (SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 100)")
+def page_sorted(spark, d):
+    return paging.page(read(spark, d, "orders").select("o_orderkey", "o_totalprice"), 100, 150, "o_totalprice", ascending=False, order_by=["o_orderkey"])
+
+
+@query("SELECT row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1 AS \"index\", o_orderkey FROM (SELECT * FROM orders WHERE contains(o_orderpriority, 'HIGH') ORDER BY o_custkey, o_orderkey LIMIT 20)")
+def page_filtered(spark, d):
+    df = read(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    return paging.page_searched(df, "HIGH", 0, 20, "o_custkey", order_by=["o_orderkey"])[0].select("index", "o_orderkey")
+
+
+@query("SELECT o_orderkey - 1 AS first_id, o_orderkey FROM orders WHERE contains(o_orderpriority, 'URGENT')")
+def filter_ids(spark, d):
+    tagged = paging.tag_rows(read(spark, d, "orders").select("o_orderkey", "o_orderpriority"), ["o_orderkey"])
+    ids = paging.matching_rows(tagged, F.contains("o_orderpriority", F.lit("URGENT")))
+    return tagged.join(ids, "rowid").select((F.col("o_orderkey") - 1).alias("first_id"), "o_orderkey")
+
+
+@query("SELECT rowid FROM (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS rowid FROM orders) WHERE rowid >= 40 AND rowid < 70")
+def rows_by_id(spark, d):
+    tagged = paging.tag_rows(read(spark, d, "orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"])
+    return paging.sort_permutation(paging.rows_between(tagged, 40, 70), "o_totalprice", False)
+
+
+def _kept(order: str) -> str:
+    return f"SELECT o_orderkey, o_custkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey {order}) AS k FROM orders) WHERE k = 1"
+
+
+@query(_kept("ASC"))
+def distinct_rows_first(spark, d):
+    return duplicates.distinct_on(read(spark, d, "orders"), "o_custkey", ["o_orderkey"], "first").select("o_orderkey", "o_custkey")
+
+
+@query(_kept("DESC"))
+def distinct_rows_last(spark, d):
+    return duplicates.distinct_on(read(spark, d, "orders"), "o_custkey", ["o_orderkey"], "last").select("o_orderkey", "o_custkey")
+
+
+@query("SELECT text FROM documents GROUP BY text HAVING count(*) = 1")
+def drop_duplicates_none(spark, d):
+    return duplicates.drop_duplicates(read(spark, d, "documents"), "text", "none")
+
+
+@query("SELECT DISTINCT text FROM documents")
+def drop_duplicates_first(spark, d):
+    return duplicates.drop_duplicates(read(spark, d, "documents"), "text")
+
+
+@query("SELECT doc_id, count(*) OVER (PARTITION BY text) > 1 AS is_duplicated FROM documents")
+def mark_duplicates(spark, d):
+    return duplicates.mark_duplicates(read(spark, d, "documents"), "text").select("doc_id", "is_duplicated")
+
+
+# comparison
+
+def versions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Orders, and a version without some rows, with other prices, statuses that became null, and new rows."""
+    a = read(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    k = F.col("o_orderkey")
+    changed = a.where(k % 97 != 0).select("o_orderkey", "o_custkey", F.when(k % 31 != 0, F.col("o_orderstatus")).alias("o_orderstatus"), F.when(k % 53 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")).alias("o_totalprice"), F.lit("x").alias("extra"))
+    added = a.where(k % 89 == 0).select((-k).alias("o_orderkey"), "o_custkey", "o_orderstatus", "o_totalprice", F.lit("x").alias("extra"))
+    return a, changed.unionByName(added)
+
+
+VERSIONS = "a AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders), b AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 31 <> 0 THEN o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 53 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice, 'x' AS extra FROM orders WHERE o_orderkey % 97 <> 0 UNION ALL SELECT -o_orderkey, o_custkey, o_orderstatus, o_totalprice, 'x' FROM orders WHERE o_orderkey % 89 = 0)"
+BOTH = f"{VERSIONS}, j AS (SELECT a.o_orderkey AS ak, b.o_orderkey AS bk, a.o_custkey AS ac, b.o_custkey AS bc, a.o_orderstatus AS a_s, b.o_orderstatus AS bs, a.o_totalprice AS ap, b.o_totalprice AS bp, extra FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey)"
+KEYS = ["o_orderkey"]
+
+
+@query(f"WITH {BOTH} SELECT count(*) FILTER (WHERE bk IS NULL) AS only_before, count(*) FILTER (WHERE ak IS NULL) AS only_after, count(*) FILTER (WHERE ak = bk) AS matched FROM j")
+def key_diff(spark, d):
+    return compare.key_diff(*versions(spark, d), keys=KEYS)["totals"]
+
+
+@query(f"WITH {BOTH}, m AS (SELECT *, CASE WHEN bk IS NULL THEN 1 WHEN ak IS NULL THEN 2 ELSE 3 END AS membership FROM j) SELECT coalesce(ak, bk) AS o_orderkey, membership, ac AS o_custkey, bc AS \"o_custkey|df2\", membership + CASE WHEN ac = bc THEN 4 ELSE 0 END AS \"o_custkey|eq\", a_s AS o_orderstatus, bs AS \"o_orderstatus|df2\", membership + CASE WHEN a_s = bs THEN 4 ELSE 0 END AS \"o_orderstatus|eq\", ap AS o_totalprice, bp AS \"o_totalprice|df2\", membership + CASE WHEN ap = bp THEN 4 ELSE 0 END AS \"o_totalprice|eq\", extra AS \"extra|df2\" FROM m")
+def compare_join(spark, d):
+    return compare.join_versions(*versions(spark, d), KEYS)
+
+
+@query(f"WITH {BOTH} SELECT 'o_orderkey' AS \"column\", 'join_key' AS kind, CAST(NULL AS BIGINT) AS differences UNION ALL SELECT 'o_custkey', 'both', count(*) FILTER (WHERE ak = bk AND NOT coalesce(ac = bc, FALSE)) FROM j UNION ALL SELECT 'o_orderstatus', 'both', count(*) FILTER (WHERE ak = bk AND NOT coalesce(a_s = bs, FALSE)) FROM j UNION ALL SELECT 'o_totalprice', 'both', count(*) FILTER (WHERE ak = bk AND NOT coalesce(ap = bp, FALSE)) FROM j UNION ALL SELECT 'extra', 'df_2', NULL")
+def diff_counts(spark, d):
+    return compare.difference_counts(*versions(spark, d), KEYS)
+
+
+@query(f"WITH {BOTH}, e AS (SELECT *, ac IS NOT DISTINCT FROM bc AND a_s IS NOT DISTINCT FROM bs AND ap IS NOT DISTINCT FROM bp AS eq FROM j) SELECT FALSE AS any_duplicates, count(*) FILTER (WHERE ak = bk) AS in_common, count(*) FILTER (WHERE bk IS NULL) AS only_df_1, count(*) FILTER (WHERE ak IS NULL) AS only_df_2, count(*) FILTER (WHERE ak = bk AND eq) AS all_equal, count(*) FILTER (WHERE ak = bk AND NOT eq) AS some_unequal FROM e")
+def row_summary(spark, d):
+    return compare.row_summary(*versions(spark, d), KEYS)
+
+
+def _match(c: str, x: str, y: str, kind: str, apart: str) -> str:
+    return f"SELECT '{c}' AS \"column\", '{kind}' AS dtype_1, '{kind}' AS dtype_2, count(*) FILTER (WHERE {x} IS DISTINCT FROM {y}) AS unequal, {apart} AS max_difference, count(*) FILTER (WHERE ({x} IS NULL) <> ({y} IS NULL)) AS null_differences FROM j WHERE ak = bk"
+
+
+@query(f"WITH {BOTH} " + _union([_match("o_custkey", "ac", "bc", "bigint", "CAST(max(abs(ac - bc)) AS DOUBLE)"), _match("o_orderstatus", "a_s", "bs", "string", "CAST(NULL AS DOUBLE)"), _match("o_totalprice", "ap", "bp", "double", "round(max(abs(ap - bp)), 6)")]))
+def match_stats(spark, d):
+    return compare.match_stats(*versions(spark, d), KEYS).withColumn("max_difference", F.round("max_difference", 6))
+
+
+@query(f"WITH {BOTH} SELECT CAST((max(CASE WHEN ac IS DISTINCT FROM bc THEN 1 ELSE 0 END) + max(CASE WHEN a_s IS DISTINCT FROM bs THEN 1 ELSE 0 END) + max(CASE WHEN ap IS DISTINCT FROM bp THEN 1 ELSE 0 END)) AS BIGINT) AS some_unequal, CAST(3 - (max(CASE WHEN ac IS DISTINCT FROM bc THEN 1 ELSE 0 END) + max(CASE WHEN a_s IS DISTINCT FROM bs THEN 1 ELSE 0 END) + max(CASE WHEN ap IS DISTINCT FROM bp THEN 1 ELSE 0 END)) AS BIGINT) AS all_equal, count(*) FILTER (WHERE ac IS DISTINCT FROM bc) + count(*) FILTER (WHERE a_s IS DISTINCT FROM bs) + count(*) FILTER (WHERE ap IS DISTINCT FROM bp) AS total_unequal FROM j WHERE ak = bk")
+def column_matching(spark, d):
+    return compare.column_matching(*versions(spark, d), KEYS)
+
+
+@query(f"WITH {BOTH} SELECT ak AS o_orderkey, a_s AS o_orderstatus_df_1, bs AS o_orderstatus_df_2 FROM j WHERE ak = bk AND a_s IS DISTINCT FROM bs ORDER BY ak LIMIT 10")
+def mismatch_sample(spark, d):
+    return compare.mismatches(*versions(spark, d), KEYS, "o_orderstatus")
+
+
+def _summary(side: str, table: str, c: str, number: bool) -> str:
+    stats = ", ".join(f"round(CAST({g}({c}) AS DOUBLE), 4)" if number else "CAST(NULL AS DOUBLE)" for g in ("avg", "min", "max", "sum"))
+    return f"SELECT '{side}' AS side, '{c}' AS \"column\", count(*) AS r, count(*) - count({c}) AS nu, count(DISTINCT {c}) AS di, {stats.replace('), round', ') , round')} FROM {table}"
+
+
+_SIDES = _union([_summary(s, t, c, c != "o_orderstatus" and c != "extra") for s, t, cs in (("x", "a", ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"]), ("y", "b", ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "extra"])) for c in cs])
+
+
+@query(f"WITH {VERSIONS}, s(side, c, r, nu, di, me, mi, ma, su) AS ({_SIDES}), x AS (SELECT * FROM s WHERE side = 'x'), y AS (SELECT * FROM s WHERE side = 'y') SELECT coalesce(x.c, y.c) AS \"column\", x.r AS rows_before, y.r AS rows_after, x.nu AS nulls_before, y.nu AS nulls_after, x.di AS distinct_before, y.di AS distinct_after, x.me AS mean_before, y.me AS mean_after, x.mi AS min_before, y.mi AS min_after, x.ma AS max_before, y.ma AS max_after FROM x FULL JOIN y ON x.c = y.c")
+def stats_diff(spark, d):
+    out = compare.stats_diff(*versions(spark, d)).drop("sum_before", "sum_after")
+    return out.select(*[F.round(c, 4).alias(c) if c.split("_")[0] in ("mean", "min", "max") else F.col(c) for c in out.columns])
+
+
+@query(f"WITH {VERSIONS} SELECT 'before' AS side, (SELECT count(*) FROM a) AS total, o_orderkey FROM (SELECT o_orderkey FROM a ORDER BY 1 LIMIT 10) UNION ALL SELECT 'after', (SELECT count(*) FROM b), o_orderkey FROM (SELECT o_orderkey FROM b ORDER BY 1 LIMIT 10)")
+def head_diff(spark, d):
+    return compare.head_diff(*versions(spark, d), KEYS).select("side", "total", "o_orderkey")
+
+
+@query(f"WITH {VERSIONS} SELECT 'df_1' AS side, 4 AS \"columns\", count(*) AS \"rows\" FROM a UNION ALL SELECT 'df_2', 5, count(*) FROM b")
+def table_header(spark, d):
+    return compare.header(*versions(spark, d))
+
+
+@query(f"WITH {BOTH} SELECT coalesce(ak, bk) AS o_orderkey, ap AS o_totalprice_before, bp AS o_totalprice_after FROM j ORDER BY 1 LIMIT 50")
+def diff_preview(spark, d):
+    return compare.key_preview(*versions(spark, d), KEYS).select("o_orderkey", "o_totalprice_before", "o_totalprice_after")
+
+
+@query("SELECT 'orders' AS t, 'o_orderkey' AS keys, count(*) AS n FROM orders UNION ALL SELECT 'conversations', 'conv_id,turn', count(*) FROM conversations")
+def primary_keys(spark, d):
+    rows = []
+    for t in ("orders", "conversations"):
+        found = compare.rank_keys(read(spark, d, t).drop("text"), max_width=2)
+        rows.append((t, ",".join(found["keys"]) if found else None, found["n"] if found else None))
+    return spark.createDataFrame(rows, "t string, keys string, n long")
+
+
+# validation, models, user statistics
+
+CHECKS = [validate.isin("o_orderstatus", ["F", "O"]), validate.greater_than("o_totalprice", 1000), validate.at_most("o_totalprice", 400000), validate.str_matches("o_orderpriority", "[1-3]-"), validate.str_length("o_orderpriority", 5, 10)]
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus NOT IN ('F', 'O') THEN 1 ELSE 0 END AS o_orderstatus_error, CASE WHEN NOT o_totalprice > 1000 THEN 1 ELSE 0 END + CASE WHEN NOT o_totalprice <= 400000 THEN 2 ELSE 0 END AS o_totalprice_error, concat_ws('|', CASE WHEN NOT regexp_matches(o_orderpriority, '^[1-3]-') THEN 'str_matches([1-3]-)' END, CASE WHEN NOT (length(o_orderpriority) BETWEEN 5 AND 10) THEN 'str_length(5, 10)' END) AS o_orderpriority_reason FROM orders")
+def validate_rows(spark, d):
+    return validate.with_errors(read(spark, d, "orders"), CHECKS).select("o_orderkey", "o_orderstatus_error", "o_totalprice_error", "o_orderpriority_reason")
+
+
+@query("SELECT o_orderkey, 'o_orderstatus' AS \"column\", 'isin([''F'', ''O''])' AS \"check\", o_orderstatus AS value FROM orders WHERE o_orderstatus NOT IN ('F', 'O') UNION ALL SELECT o_orderkey, 'o_orderpriority', 'str_matches([1-3]-)', o_orderpriority FROM orders WHERE NOT regexp_matches(o_orderpriority, '^[1-3]-') UNION ALL SELECT o_orderkey, 'o_orderpriority', 'str_length(5, 10)', o_orderpriority FROM orders WHERE NOT (length(o_orderpriority) BETWEEN 5 AND 10)")
+def failure_cases(spark, d):
+    return validate.failure_cases(read(spark, d, "orders"), [c for c in CHECKS if c.column != "o_totalprice"], ["o_orderkey"])
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus NOT IN ('F', 'O') THEN 1 ELSE 0 END AS status_fails FROM orders WHERE o_orderstatus NOT IN ('F', 'O')")
+def failure_matrix(spark, d):
+    return validate.failure_matrix(read(spark, d, "orders"), CHECKS[:1], ["o_orderkey"]).toDF("o_orderkey", "status_fails")
+
+
+@query("WITH f AS (SELECT regr_slope(l_extendedprice, l_quantity) AS s, regr_intercept(l_extendedprice, l_quantity) AS i FROM lineitem) SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(i + s * l_quantity, 3) AS predicted FROM lineitem, f")
+def regression_one_x(spark, d):
+    out = model.linear_regression(read(spark, d, "lineitem"), "l_extendedprice", ["l_quantity"])
+    return out.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.round("l_extendedprice_predicted", 3).alias("predicted"))
+
+
+@query("WITH c AS (SELECT dense_rank() OVER (ORDER BY n_regionkey) AS a, dense_rank() OVER (ORDER BY n_regionkey * 2) AS b FROM nation) SELECT 'n_regionkey' AS \"left\", 'twice' AS \"right\", round(corr(a, b), 6) AS correlation FROM c")
+def correlated_columns(spark, d):
+    df = read(spark, d, "nation").select("n_regionkey", (F.col("n_regionkey") * 2).alias("twice"))
+    return model.correlated_columns(df).withColumn("correlation", F.round("correlation", 6))
+
+
+@query("SELECT c_mktsegment, c_acctbal, c_custkey FROM customer")
+def columns_by_use(spark, d):
+    return model.order_columns(read(spark, d, "customer").select("c_custkey", "c_acctbal", "c_mktsegment"))
+
+
+@query("SELECT round(max(o_totalprice) / min(o_totalprice), 4) AS spread, count(*) AS n FROM orders")
+def user_stats(spark, d):
+    """A user's statistic and one that depends on it, in the same aggregate; a broken one is an error row and stops nothing."""
+    spread = st.stat("spread", types.is_numeric_not_bool)(lambda max, min: F.try_divide(max, min))  # noqa: A006
+    broken = st.stat("broken")(lambda column: F.sum(F.col("no_such_column")))
+    wide, errors = profile.profile_wide(read(spark, d, "orders").select("o_totalprice"), [*st.BASE, spread, broken])
+    assert [e[1] for e in errors] == ["broken"]
+    return wide.select(F.round("o_totalprice__spread", 4).alias("spread"), F.col("o_totalprice__length").alias("n"))
+
+
+@query("SELECT c_mktsegment, count(*) AS n FROM customer WHERE contains(c_name, '1') OR contains(c_mktsegment, '1') GROUP BY 1")
+def op_chain(spark, d):
+    """A chain of operations is one lazy plan."""
+    ops = [Op("drop_column", ("c_acctbal",)), *chain.quick_ops({"search": ["1"]}), Op("group_by", ("c_mktsegment", {"c_custkey": "count"}))]
+    return chain.run(read(spark, d, "customer"), ops)[0].select("c_mktsegment", F.col("c_custkey_count").alias("n"))
+
+
+@query()
+def column_fingerprints(spark, d):
+    from lodestrata.plans.store import fingerprints
+
+    return fingerprints(read(spark, d, "lineitem"))
