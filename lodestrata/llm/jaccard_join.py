@@ -8,8 +8,9 @@ its transpose. The product is made in blocks that can hold linked pairs only, an
    of each (their prefixes). Prefix columns that one class only has are dropped.
 3. Blocks of classes that agree in the least hash of their prefix columns, in tiles that share a leading document,
    are multiplied whole, and a spanning forest of the links found is kept. No pairs of a block leave its task.
-4. What is left are pairs that share a prefix column and aren't connected yet. Their overlap counts in the prefixes are
-   accumulated over all columns; a pair stays if that count with all that may follow reaches the overlap its sizes need. Those left are multiplied as in 3.
+4. What is left are pairs that share a prefix column and aren't connected yet. Classes that crowd on a column make clusters, which are multiplied whole, in pairs of
+   tiles. Other pairs' overlap counts in the prefixes are accumulated over all columns; a pair stays if that count with all that may follow reaches the
+   overlap its sizes need. Those left are multiplied as in 3.
 
 So every linked pair has been multiplied, or was connected by links already.
 
@@ -36,6 +37,8 @@ TILE = 1000
 COMMON = 1000
 #: Step 3 takes classes that share this part of their prefix columns at least; step 4 takes all.
 LIKELY = 0.4
+#: A column that more likely classes share makes a cluster of them.
+CROWD = 64
 #: Documents of a group that must have a column for it to be counted.
 COMMON_HERE = 3
 
@@ -229,14 +232,23 @@ class Join:
         side = live.unionByName(mine, allowMissingColumns=True)
         return scratch.keep(self.store.groupBy("grp").cogroup(side.groupBy("grp")).applyInArrow(take, "rid long, n long, columns array<long>"), "jaccard-candidates")
 
-    def links(self, members: DataFrame) -> DataFrame:
-        """u, v: a spanning forest of the links within each block of members(block, rid), multiplied in tiles that share the block's least rid."""
+    def links(self, members: DataFrame, whole: bool = False) -> DataFrame:
+        """u, v: a spanning forest of the links within each block of members(block, rid).
+
+        Blocks are multiplied in tiles that share the block's least rid, or (whole) in pairs of tiles, so that every pair of rows meets.
+        """
         n, num, den, tile = self.n, self.num, self.den, self.tile
         sizes = members.groupBy("block").agg(F.count(F.lit(1)).alias("count"), F.min("rid").alias("lead")).where("count > 1")
-        sizes = sizes.withColumn("tiles", F.ceil((F.col("count") - 1) / tile).cast("int"))
-        rest = members.join(sizes, "block").where("rid <> lead").select("block", F.pmod(F.xxhash64("rid"), F.col("tiles")).cast("int").alias("tile"), "rid")
-        leads = sizes.select("block", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.col("lead").alias("rid"))
-        wanted = rest.unionByName(leads).select(F.shiftright("rid", 20).alias("grp"), "block", "tile", "rid")
+        sizes = sizes.withColumn("tiles", F.ceil((F.col("count") - F.lit(0 if whole else 1)) / tile).cast("int"))
+        placed = members.join(sizes, "block").withColumn("own", F.pmod(F.xxhash64("rid"), F.col("tiles")).cast("int"))
+        if whole:
+            # tile i meets tile j in block part (i, j); one tile meets itself
+            other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
+            wanted = placed.select("block", "rid", "own", "tiles", other).select("block", (F.least("own", "other") * F.col("tiles") + F.greatest("own", "other")).alias("tile"), "rid")
+        else:
+            leads = sizes.select("block", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.col("lead").alias("rid"))
+            wanted = placed.where("rid <> lead").select("block", F.col("own").alias("tile"), "rid").unionByName(leads)
+        wanted = wanted.select(F.shiftright("rid", 20).alias("grp"), "block", "tile", "rid")
 
         def fetch(left: pa.Table, right: pa.Table) -> pa.Table:
             out = {"block": [], "tile": [], "rid": [], "columns": []}
@@ -271,30 +283,45 @@ class Join:
         fetched = self.store.groupBy("grp").cogroup(wanted.groupBy("grp")).applyInArrow(fetch, "block long, tile int, rid long, columns binary")
         return scratch.keep(fetched.groupBy("block", "tile").applyInArrow(multiply, "u long, v long"), "jaccard-links")
 
-    def left_over(self, found: DataFrame, roots: DataFrame) -> DataFrame:
-        """u, v: pairs that share prefix columns, aren't connected yet, and may reach the overlap their sizes need."""
+    def likely(self):
+        """Whether a class shares so much of its prefix that most of its links are with others that do."""
+        return F.size("columns") >= F.expr(f"{LIKELY} * (n - (n * {self.num} + {self.den - 1}) div {self.den} + 1)")
+
+    def left_over(self, found: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """What may still link: (block, rid of clusters, u and v of pairs).
+
+        Columns that many likely classes share connect these to clusters, whose rows must all meet. Other pairs that share a column and aren't connected are pairs
+        if the columns that they share and those beyond their prefixes may reach the overlap that their sizes need.
+        """
         num, den = self.num, self.den
-        entries = found.join(roots.withColumnRenamed("node", "rid"), "rid", "left").select("rid", "n", F.size("columns").cast("long").alias("shared"), F.coalesce("root", "rid").alias("root"), F.explode("columns").alias("column"))
-        open_ = entries.groupBy("column").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("column")
-        entries = entries.join(open_, "column").withColumn("bucket", F.shiftrightunsigned("column", 64 - 12))
+        entries = found.join(roots.withColumnRenamed("node", "rid"), "rid", "left").select("rid", "n", F.size("columns").cast("long").alias("shared"), self.likely().alias("likely"), F.coalesce("root", "rid").alias("root"), F.explode("columns").alias("column"))
+        least = F.min(F.when(F.col("likely"), F.col("rid"))).alias("lead")
+        open_ = entries.groupBy("column").agg(F.min("root").alias("a"), F.max("root").alias("b"), (F.count_if(F.col("likely")) > CROWD).alias("crowd"), least).where("a <> b").select("column", "crowd", "lead")
+        entries = scratch.keep(entries.join(open_, "column"), "jaccard-entries")
+        crowds = entries.where("crowd and likely")
+        clusters = components.components(crowds.where("rid <> lead").select(F.col("rid").alias("u"), F.col("lead").alias("v")))
+        members = crowds.select("rid").distinct().join(clusters.withColumnRenamed("node", "rid"), "rid", "left").select(F.coalesce("root", "rid").alias("block"), "rid")
+        entries = entries.withColumn("bucket", F.shiftrightunsigned("column", 64 - 12))
 
         def count(table: pa.Table) -> pa.Table:
             table = table.sort_by([("column", "ascending"), ("n", "ascending"), ("rid", "ascending")])
             rid, n, shared, root, column = (table.column(c).to_numpy() for c in ("rid", "n", "shared", "root", "column"))
+            likely, crowd = (np.asarray(table.column(c)) for c in ("likely", "crowd"))
             beyond = n - prefix_length(n, num, den)
             starts = np.flatnonzero(np.diff(column, prepend=column[0] - 1))
-            a_parts, b_parts = [], []
+            a_parts, b_parts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for x, y in zip(starts.tolist(), [*starts[1:].tolist(), len(column)], strict=True):
                 # partners come later in a block and are at most 1/t times as large
                 reach = np.searchsorted(n[x:y], n[x:y] * den // num, "right") + x
-                here = np.arange(x, y)
-                i = np.repeat(here, reach - here - 1)
-                j = ts.spread(here + 1, reach - here - 1)
-                # columns that another class shares bound the count from above
-                may = np.minimum(shared[i], shared[j]) + np.maximum(beyond[i], beyond[j]) >= overlap_needed(n[i] + n[j], num, den)
-                may &= root[i] != root[j]
-                a_parts.append(i[may])
-                b_parts.append(j[may])
+                step = max(1, 1_000_000 // (y - x))
+                for lo in range(x, y, step):
+                    here = np.arange(lo, min(lo + step, y))
+                    many = reach[here - x] - here - 1
+                    i, j = np.repeat(here, many), ts.spread(here + 1, many)
+                    may = np.minimum(shared[i], shared[j]) + np.maximum(beyond[i], beyond[j]) >= overlap_needed(n[i] + n[j], num, den)
+                    may &= (root[i] != root[j]) & ~(crowd[i] & likely[i] & likely[j])
+                    a_parts.append(i[may])
+                    b_parts.append(j[may])
             i, j = np.concatenate(a_parts), np.concatenate(b_parts)
             a, b = np.minimum(rid[i], rid[j]), np.maximum(rid[i], rid[j])
             na, nb = np.where(rid[i] < rid[j], n[i], n[j]), np.where(rid[i] < rid[j], n[j], n[i])
@@ -303,10 +330,11 @@ class Join:
             new = np.flatnonzero((np.diff(a, prepend=-1) != 0) | (np.diff(b, prepend=-1) != 0))
             return pa.table({"u": a[new], "v": b[new], "nu": na[new], "nv": nb[new], "c": np.diff(np.append(new, len(a)))})
 
+        # a pair that shares a crowd's column has met in the cluster: counts of the others are whole
         pairs = entries.groupBy("bucket").applyInArrow(count, "u long, v long, nu long, nv long, c long").groupBy("u", "v", "nu", "nv").agg(F.sum("c").alias("c"))
         after = F.expr(f"greatest((nu * {num} + {den - 1}) div {den}, (nv * {num} + {den - 1}) div {den}) - 1")
         need = F.expr(f"((nu + nv) * {num} + {num + den - 1}) div {num + den}")
-        return pairs.where(F.col("c") + after >= need).select("u", "v")
+        return members, pairs.where(F.col("c") + after >= need).select("u", "v")
 
     def run(self) -> DataFrame:
         info, columns = self.describe()
@@ -314,13 +342,13 @@ class Join:
         documents = info.count()
         common = columns.groupBy("column").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= max(COMMON_HERE, documents / COMMON)).select("column")
         found = self.candidates(classes, common)
-        likely = found.where(F.size("columns") >= F.expr(f"{LIKELY} * (n - (n * {self.num} + {self.den - 1}) div {self.den} + 1)"))
-        links = self.links(likely.select(F.array_min(F.transform("columns", lambda c: F.xxhash64(c))).alias("block"), "rid"))
+        links = self.links(found.where(self.likely()).select(F.array_min(F.transform("columns", lambda c: F.xxhash64(c))).alias("block"), "rid"))
+        members, pairs = self.left_over(found, components.components(links))
+        links = links.unionByName(self.links(members, whole=True))
+        # a block of each smaller row's partners
+        pairs = scratch.keep(pairs, "jaccard-pairs")
+        links = links.unionByName(self.links(pairs.select(F.col("u").alias("block"), F.col("v").alias("rid")).unionByName(pairs.select(F.col("u").alias("block"), F.col("u").alias("rid")).distinct())))
         roots = components.components(links)
-        pairs = scratch.keep(self.left_over(found, roots), "jaccard-pairs")
-        # each pair is a tile of its own kind: a block of its smaller row's partners
-        more = self.links(pairs.select(F.col("u").alias("block"), F.col("v").alias("rid")).unionByName(pairs.select(F.col("u").alias("block"), F.col("u").alias("rid")).distinct()))
-        roots = components.components(links.unionByName(more))
         linked = classes.join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
         names = linked.groupBy("root").agg(F.min("least").alias("component_id"))
         by_class = linked.join(names, "root").select("sig", F.col("n").alias("class_n"), "component_id", "root")
