@@ -4,7 +4,7 @@ Two generative models over hashed word n-grams, one of target texts (labelled 1)
 document a log importance weight: the sum over its n-grams of the log ratio of their probabilities. Adding independent Gumbel noise and taking the k
 largest samples k documents without replacement in proportion to their weights.
 
-Counts come from all documents and all labelled rows; they are two vectors of `buckets` numbers, summed in tasks before they are shuffled,
+Counts of raw texts come from all documents, those of target texts from a bounded number of labelled rows; they are two vectors of `buckets` numbers, summed in tasks before they are shuffled,
 and that size bounds what the driver gathers and broadcasts. The k-th largest key is found digit by digit, so no task sorts all keys.
 
 Null text has no n-grams and weight 0. Null ids draw their noise from the text alone. Repeated rows draw equal noise; of rows that tie at
@@ -51,10 +51,11 @@ def bucket_counts(texts: DataFrame, orders: tuple[int, ...], buckets: int) -> np
     return out
 
 
-def weigh(docs: DataFrame, labels: DataFrame, orders: tuple[int, ...] = (1, 2), buckets: int = 10_000, smoothing: float = 1.0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """doc_id, n_grams, log_weight of every row."""
+def weigh(docs: DataFrame, labels: DataFrame, orders: tuple[int, ...] = (1, 2), buckets: int = 10_000, smoothing: float = 1.0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_target: int = 50_000) -> DataFrame:
+    """doc_id, n_grams, log_weight of every row. The target model is fitted on at most max_target labelled texts, those with the least hashes of their ids: a bound on what is broadcast."""
     texts = arrowmap.id_and_text(docs, id_col, text_col)
-    target_ids = labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("doc_id"))
+    target_ids = labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("doc_id")).distinct()
+    target_ids = F.broadcast(target_ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_target))
     target = bucket_counts(texts.join(target_ids, "doc_id", "left_semi"), orders, buckets)
     raw = bucket_counts(texts, orders, buckets)
     p, q = ((c + smoothing) / (c.sum() + smoothing * buckets) for c in (target, raw))
