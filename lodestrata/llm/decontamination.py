@@ -164,7 +164,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", k: i
     """docs without contaminated documents, or (remove="spans") without the text from the first to the last word of each run of hit words."""
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove is documents or spans, not {remove}")
-    marked = mark(docs, benchmark, k, text_col, **options)
+    marked, columns = mark(docs, benchmark, k, text_col, **options), docs.columns
     if remove == "documents":
         return marked.where("_decon_hit = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
 
@@ -187,7 +187,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", k: i
                     out.append(data[at : int(w.starts[x])])
                     at = int(w.ends[y - 1])
                 texts.append(b"".join([*out, data[at:]]).decode())
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text_col else batch.column(c) for c in docs.columns], docs.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text_col else batch.column(c) for c in columns], columns)
 
     return marked.mapInArrow(cut, docs.schema)
 

@@ -227,6 +227,8 @@ def fit_label_model(votes: DataFrame, rounds: int = 6) -> LabelModel:
 def fit_linear(doc: np.ndarray, entry: np.ndarray, value: np.ndarray, extra: np.ndarray, target: np.ndarray, size: int, ridge: float = 2.0, steps: int = 300) -> np.ndarray:
     """Weights of a logistic regression (entries, extra columns, bias) on soft labels, by accelerated gradient steps."""
     n = len(target)
+    if not n:
+        return np.zeros(size + extra.shape[1] + 1)
 
     def scores(w):
         return np.bincount(doc, w[entry] * value, minlength=n) + extra @ w[size:-1] + w[-1]
