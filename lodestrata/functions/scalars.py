@@ -107,7 +107,7 @@ def number_label(value: Column, step: Column | float, ref: Column | float | None
     scale = reduce(lambda a, b: a.when(size >= b, F.lit(float(b))), (1e9, 1e6, 1e3), F.when(size >= 1e12, F.lit(1e12))).otherwise(F.lit(1.0))
     suffix = F.when(scale == 1e12, "T").when(scale == 1e9, "B").when(scale == 1e6, "M").when(scale == 1e3, "K").otherwise("")
     fine = F.abs(step) / scale
-    places = F.when(fine <= 0, 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(6), F.ceil(-F.log10(fine)).cast("int"))))
+    places = F.when(fine <= 0, 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(6), (1 - F.floor(F.log10(fine))).cast("int"))))
     shown = reduce(lambda a, n: a.when(places == n, F.format_string(f"%.{n}f", value / scale)), range(1, 7), F.when(places == 0, F.format_string("%.0f", value / scale)))
     trimmed = F.when(shown.contains("."), F.regexp_replace(F.regexp_replace(shown, "0+$", ""), r"\.$", "")).otherwise(shown)
     return F.concat(F.when(trimmed == "-0", "0").otherwise(trimmed), suffix)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +38,7 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
             if kind is None and (not df.columns or (k == "ndjson" and df.columns == ["_corrupt_record"])):
                 raise ValueError(f"no columns as {k}")
             return check_columns(df)
-        except (PySparkException, ValueError) as e:
+        except (PySparkException, Py4JJavaError, ValueError) as e:
             if isinstance(e, AnalysisException) and e.getCondition() == "PATH_NOT_FOUND":
                 raise FileNotFoundError(path) from e
             if k == "avro" and "avro" in str(e).lower():
