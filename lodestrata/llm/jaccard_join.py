@@ -300,13 +300,15 @@ class Join:
         entries = scratch.keep(entries.join(open_, "column"), "jaccard-entries")
         crowds = entries.where("crowd and likely")
         clusters = components.components(crowds.where("rid <> lead").select(F.col("rid").alias("u"), F.col("lead").alias("v")))
-        members = crowds.select("rid").distinct().join(clusters.withColumnRenamed("node", "rid"), "rid", "left").select(F.coalesce("root", "rid").alias("block"), "rid")
+        members = scratch.keep(crowds.select("rid").distinct().join(clusters.withColumnRenamed("node", "rid"), "rid", "left").select(F.coalesce("root", "rid").alias("block"), "rid"), "jaccard-clusters")
+        # rows of one cluster meet there; -1: in no cluster
+        entries = entries.drop("likely", "crowd", "lead").join(members.withColumnRenamed("block", "cluster"), "rid", "left").fillna(-1, ["cluster"])
         entries = entries.withColumn("bucket", F.shiftrightunsigned("column", 64 - 12))
 
         def count(table: pa.Table) -> pa.Table:
             table = table.sort_by([("column", "ascending"), ("n", "ascending"), ("rid", "ascending")])
             rid, n, shared, root, column = (table.column(c).to_numpy() for c in ("rid", "n", "shared", "root", "column"))
-            likely, crowd = (np.asarray(table.column(c)) for c in ("likely", "crowd"))
+            cluster = table.column("cluster").to_numpy()
             beyond = n - prefix_length(n, num, den)
             starts = np.flatnonzero(np.diff(column, prepend=column[0] - 1))
             a_parts, b_parts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -319,7 +321,7 @@ class Join:
                     many = reach[here - x] - here - 1
                     i, j = np.repeat(here, many), ts.spread(here + 1, many)
                     may = np.minimum(shared[i], shared[j]) + np.maximum(beyond[i], beyond[j]) >= overlap_needed(n[i] + n[j], num, den)
-                    may &= (root[i] != root[j]) & ~(crowd[i] & likely[i] & likely[j])
+                    may &= (root[i] != root[j]) & ((cluster[i] != cluster[j]) | (cluster[i] < 0))
                     a_parts.append(i[may])
                     b_parts.append(j[may])
             i, j = np.concatenate(a_parts), np.concatenate(b_parts)
@@ -330,7 +332,6 @@ class Join:
             new = np.flatnonzero((np.diff(a, prepend=-1) != 0) | (np.diff(b, prepend=-1) != 0))
             return pa.table({"u": a[new], "v": b[new], "nu": na[new], "nv": nb[new], "c": np.diff(np.append(new, len(a)))})
 
-        # a pair that shares a crowd's column has met in the cluster: counts of the others are whole
         pairs = entries.groupBy("bucket").applyInArrow(count, "u long, v long, nu long, nv long, c long").groupBy("u", "v", "nu", "nv").agg(F.sum("c").alias("c"))
         after = F.expr(f"greatest((nu * {num} + {den - 1}) div {den}, (nv * {num} + {den - 1}) div {den}) - 1")
         need = F.expr(f"((nu + nv) * {num} + {num + den - 1}) div {num + den}")
