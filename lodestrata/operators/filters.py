@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import types
 from lodestrata.functions.scalars import col, finite
+from lodestrata.operators import quantiles
 
 
 def _any(tests: list[Column]) -> Column:
@@ -46,8 +47,7 @@ def range_filter(df: DataFrame, column: str, lower=None, upper=None) -> DataFram
 
 def _with_bounds(df: DataFrame, columns: list[Column], low: float, high: float) -> DataFrame:
     """df beside one row of quantiles: q0, q1, ... are arrays of two."""
-    bounds = df.agg(*[F.percentile(c, F.array(F.lit(low), F.lit(high))).alias(f"__q{i}") for i, c in enumerate(columns)])
-    return df.crossJoin(F.broadcast(bounds))  # one row, whatever the size of df
+    return df.crossJoin(F.broadcast(quantiles.bounds(df, columns, low, high)))  # one row, whatever the size of df
 
 
 def _own(out: DataFrame, df: DataFrame) -> DataFrame:

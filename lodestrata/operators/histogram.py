@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions import scalars as S
 from lodestrata.functions import types
 from lodestrata.functions.scalars import col
+from lodestrata.operators import quantiles
 from lodestrata.operators.filters import nullify_nonfinite
 from lodestrata.plans import profile
 
@@ -35,8 +36,8 @@ def trimmed(df: DataFrame, columns: list[str] | None = None, low: float = 0.01,
     """column, low_tail, high_tail, bin, bin_lo, bin_hi, population: equal bins over the values strictly between two quantiles."""
     names = columns or types.columns_of(df, types.is_numeric_not_bool)
     tall = _tall(df, names)
-    tails = tall.groupBy("column").agg(F.percentile("v", F.array(F.lit(low), F.lit(high))).alias("q"))
-    tails = tails.select(F.col("column").alias("of"), F.col("q")[0].alias("low_tail"), F.col("q")[1].alias("high_tail"))
+    both = quantiles.quantiles(tall, [low, high])
+    tails = both.groupBy(F.col("column").alias("of")).agg(F.min("q").alias("low_tail"), F.max("q").alias("high_tail"))
     meat = tall.join(F.broadcast(tails), F.col("column") == F.col("of")).where("v > low_tail and v < high_tail").drop("of")  # one row a column
     range_ = meat.groupBy("column").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).withColumnRenamed("column", "of")
     binned = _bins(meat.join(F.broadcast(range_), F.col("column") == F.col("of")).drop("of"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import types
 from lodestrata.functions.scalars import col
-from lodestrata.operators.paging import running_sum
+from lodestrata.operators.running import running_sum
 
 
 def linear_regression(df: DataFrame, target: str, inputs: list[str]) -> DataFrame:

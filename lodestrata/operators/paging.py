@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions.scalars import col
 from lodestrata.operators.filters import search
+from lodestrata.operators.running import running_sum
 
 MOST_PAGE_ROWS = 10_000
 
@@ -31,21 +32,6 @@ def rank(df: DataFrame, column: str, method: str = "min", new_name: str | None =
     return out.select(*[F.col("__rank").alias(c) if c == column else col(c) for c in df.columns])
 
 
-def running_sum(df: DataFrame, order: str | list, sums: dict) -> DataFrame:
-    """df with running sums in an order, without gathering all rows in one task: sums within ranges of the order, then over the ranges' totals."""
-    keys = [order] if isinstance(order, str) else list(order)
-    ranged = df.repartitionByRange(*[F.col(k) if isinstance(k, str) else k for k in keys])
-    # the range a row fell into, kept with it: later steps must not ask again
-    parted = ranged.withColumns({"__part": F.spark_partition_id(), **{f"__add_{k}": v.cast("long") for k, v in sums.items()}})
-    by_part = parted.groupBy("__part").agg(*[F.sum(f"__add_{k}").alias(f"__sum_{k}") for k in sums])
-    ahead = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = by_part.select(F.col("__part").alias("__of"), *[F.coalesce(F.sum(f"__sum_{k}").over(ahead), F.lit(0)).alias(f"__base_{k}") for k in sums])
-    inside = Window.partitionBy("__part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
-    out = parted.withColumns({k: F.sum(f"__add_{k}").over(inside) for k in sums})
-    out = out.join(F.broadcast(offsets), F.col("__part") == F.col("__of"))  # one row a partition
-    return out.select(*[col(c) for c in df.columns], *[(F.col(k) + F.col(f"__base_{k}")).alias(k) for k in sums])
-
-
 def tag_rows(df: DataFrame, order_by: list[str], name: str = "rowid") -> DataFrame:
     """df with dense row numbers from 0 in the order, which must be total. Fails if the column is there already."""
     if name in df.columns:

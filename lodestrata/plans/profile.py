@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from lodestrata.functions import types
 from lodestrata.functions.scalars import col
+from lodestrata.operators import quantiles
 from lodestrata.operators.filters import nullify_nonfinite
 from lodestrata.plans import stats as S
 
@@ -47,7 +48,7 @@ def _aggregates(df: DataFrame, ordered: list[S.Stat], columns: list[str]) -> tup
 
 def profile_wide(df: DataFrame, stats: list[S.Stat] | None = None, skip: tuple[str, ...] = ()) -> tuple[DataFrame, list[tuple[str, str, str]]]:
     """(one row of {column}__{stat}, errors as (column, stat, message)). Skipped columns keep their length only; what depends on a failed statistic is null."""
-    ordered = S.in_order(stats if stats is not None else S.BASE + S.QUANTILES)
+    ordered = S.in_order(stats if stats is not None else S.BASE)
     clean = nullify_nonfinite(df)
     columns = [c for c in df.columns if c not in skip]
     made, later, errors = _aggregates(clean, ordered, columns)
@@ -144,6 +145,19 @@ def profile_values(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     return out
 
 
+def profile_quantiles(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """column, stat, number, text: q1, median, q3 and iqr of every numeric column, exact, from ranks of counted values."""
+    names = [c for c in (columns or df.columns) if types.is_numeric_not_bool(df.schema[c].dataType)]
+    schema = "column string, stat string, number double, text string"
+    if not names:
+        return df.sparkSession.createDataFrame([], schema)
+    clean = nullify_nonfinite(df)
+    tall = clean.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), col(c).cast("double").alias("v")) for c in names])).alias("c")).select("c.*")
+    found = quantiles.quantiles(tall, [0.25, 0.5, 0.75]).groupBy("column").agg(*[F.max(F.when(F.col("p") == p, F.col("q"))).alias(n) for n, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))])
+    cells = F.array(*[F.struct(F.lit(n).alias("stat"), e.alias("number")) for n, e in (("q1", F.col("q1")), ("median", F.col("median")), ("q3", F.col("q3")), ("iqr", F.col("q3") - F.col("q1")))])
+    return found.select("column", F.explode(cells).alias("c")).select("column", "c.stat", "c.number", F.lit(None).cast("string").alias("text"))
+
+
 def profile(df: DataFrame, stats: list[S.Stat] | None = None, skip: tuple[str, ...] = (), values: bool = True, sample_rows: int | None = None) -> DataFrame:
     """The long profile of a table: column, stat, number, text. All rows are read unless sample_rows is given."""
     if sample_rows is not None:
@@ -153,6 +167,8 @@ def profile(df: DataFrame, stats: list[S.Stat] | None = None, skip: tuple[str, .
     wide, errors = profile_wide(df, stats, skip)
     schema = T.StructType.fromDDL("column string, stat string, number double, text string")
     out = to_long(wide).where("stat <> 'quartiles'")
+    if stats is None:
+        out = out.unionByName(profile_quantiles(df, [c for c in df.columns if c not in skip]))
     rows = [(f.name, "_type", None, types.semantic_type(f)) for f in df.schema] + [(f.name, "dtype", None, f.dataType.simpleString()) for f in df.schema] + [(f.name, "orig_col_name", None, f.name) for f in df.schema]
     rows += [(c, s, None, f"error: {m}") for c, s, m in errors]
     out = out.unionByName(df.sparkSession.createDataFrame(rows, schema))

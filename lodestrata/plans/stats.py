@@ -86,6 +86,7 @@ BASE: list[Stat] = [
     stat("empty_per", types.is_string)(lambda length, empty_count: F.coalesce(F.try_divide(empty_count, length), F.lit(0.0))),
     stat("memory_usage")(lambda column, kind: aggregates.byte_size(column, kind)),
 ]
+#: Quantiles as aggregates: they keep a column's distinct values in one task, so they are for small tables and groups; profile() takes ranks of counted values.
 QUANTILES: list[Stat] = [
     stat("quartiles", numbers)(lambda column: F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))),
     stat("median", numbers)(lambda quartiles: quartiles[1]),

@@ -65,7 +65,7 @@ class ProfileStore:
 
     def profile(self, df: DataFrame, stats: list | None = None) -> DataFrame:
         """The long profile of df, computing only columns that lack a statistic in the store."""
-        wanted = profile.S.in_order(stats if stats is not None else profile.S.BASE + profile.S.QUANTILES)
+        wanted = profile.S.in_order(stats if stats is not None else profile.S.BASE)
         names = {f.name: {s.name for s in profile.S.for_column(wanted, f.dataType)} - {"quartiles"} for f in df.schema}
         marks = {r["column"]: r["fingerprint"] for r in fingerprints(df).collect()}  # a row a column
         stored = self.latest().where(F.col("fingerprint").isin(list(marks.values())))

@@ -59,9 +59,9 @@ def _rounded(long: DataFrame) -> DataFrame:
 
 @query(_long_sql("lineitem", NUMBERS, ROUNDED))
 def profile_lineitem(spark, d):
-    """Aggregates of every numeric column in one job."""
-    wide, _ = profile.profile_wide(read(spark, d, "lineitem").select(*NUMBERS))
-    return _rounded(profile.to_long(wide, [*BASIC]))
+    """The profile of every numeric column: one aggregate, and quantiles by ranks."""
+    found = profile.profile(read(spark, d, "lineitem").select(*NUMBERS), values=False)
+    return _rounded(found.where(F.col("stat").isin([*BASIC])))
 
 
 @query(_long_sql("orders", ["o_totalprice"], {"sum": "round(sum({c}), 2)", "variance": "round(var_samp({c}), 2)", "value_range": "max({c}) - min({c})", "cv": "round(stddev_samp({c}) / avg({c}), 4)", "quin99": "round(quantile_cont({c}, 0.99), 4)"}))
@@ -74,7 +74,7 @@ def profile_extra(spark, d):
 @query(_union([f"SELECT '{c}' AS \"column\", count(*) FILTER (WHERE TRUE) AS \"length\", median({c})::DOUBLE AS \"median\" FROM lineitem" for c in ("l_linenumber", "l_quantity")]))
 def profile_stat_rows(spark, d):
     """A long profile pivoted to a row a statistic and back."""
-    wide, _ = profile.profile_wide(read(spark, d, "lineitem").select("l_linenumber", "l_quantity"))
+    wide, _ = profile.profile_wide(read(spark, d, "lineitem").select("l_linenumber", "l_quantity"), st.BASE + st.QUANTILES)
     rows = profile.stat_rows(profile.to_long(wide, ["length", "median"]), ["l_linenumber", "l_quantity"])
     return rows.unpivot("stat", ["l_linenumber", "l_quantity"], "column", "v").groupBy("column").pivot("stat", ["length", "median"]).agg(F.first("v")).select("column", F.col("length").cast("long").alias("length"), "median")
 
