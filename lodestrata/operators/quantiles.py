@@ -26,7 +26,7 @@ def quantiles(tall: DataFrame, probabilities: list[float]) -> DataFrame:
 
 def bounds(df: DataFrame, columns: list[Column], low: float, high: float) -> DataFrame:
     """One row: q0, q1, ... are arrays of both quantiles of each column (null for a column without values)."""
-    cells = F.array(*[F.struct(F.lit(str(i)).alias("column"), c.cast("double").alias("v")) for i, c in enumerate(columns)])
+    cells = F.array(*[F.struct(F.lit(i).alias("column"), c.cast("double").alias("v")) for i, c in enumerate(columns)])
     found = quantiles(df.select(F.explode(cells).alias("c")).select("c.*"), [low, high])
-    pick = lambda i, p: F.max(F.when((F.col("column") == str(i)) & (F.col("p") == p), F.col("q")))
+    pick = lambda i, p: F.max(F.when((F.col("column") == i) & (F.col("p") == p), F.col("q")))
     return found.agg(*[F.array(pick(i, low), pick(i, high)).alias(f"__q{i}") for i in range(len(columns))])

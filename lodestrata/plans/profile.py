@@ -152,10 +152,11 @@ def profile_quantiles(df: DataFrame, columns: list[str] | None = None) -> DataFr
     if not names:
         return df.sparkSession.createDataFrame([], schema)
     clean = nullify_nonfinite(df)
-    tall = clean.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), col(c).cast("double").alias("v")) for c in names])).alias("c")).select("c.*")
+    # places instead of names: shorter keys to hash and sort
+    tall = clean.select(F.explode(F.array(*[F.struct(F.lit(i).alias("column"), col(c).cast("double").alias("v")) for i, c in enumerate(names)])).alias("c")).select("c.*")
     found = quantiles.quantiles(tall, [0.25, 0.5, 0.75]).groupBy("column").agg(*[F.max(F.when(F.col("p") == p, F.col("q"))).alias(n) for n, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))])
     cells = F.array(*[F.struct(F.lit(n).alias("stat"), e.alias("number")) for n, e in (("q1", F.col("q1")), ("median", F.col("median")), ("q3", F.col("q3")), ("iqr", F.col("q3") - F.col("q1")))])
-    return found.select("column", F.explode(cells).alias("c")).select("column", "c.stat", "c.number", F.lit(None).cast("string").alias("text"))
+    return found.select(F.get(F.array(*[F.lit(c) for c in names]), F.col("column")).alias("column"), F.explode(cells).alias("c")).select("column", "c.stat", "c.number", F.lit(None).cast("string").alias("text"))
 
 
 def profile(df: DataFrame, stats: list[S.Stat] | None = None, skip: tuple[str, ...] = (), values: bool = True, sample_rows: int | None = None) -> DataFrame:
