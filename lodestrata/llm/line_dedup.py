@@ -1,8 +1,10 @@
 """Line dedup by winnowing over line hashes, in DataFrame functions only.
 
-Lines are parts of a text between line feeds; lines without a word are kept and don't count. Of every window of
-`run` consecutive lines the least line hash (the rightmost of equal ones) is selected: equal windows select the same place,
-so any repeated run of that many lines has a fingerprint that repeats. Fingerprints at one position only are dropped. The others are
+Lines are parts of a text between line feeds; lines without a word are kept and don't count. Windows are `run` consecutive
+lines, and fewer lines (one at least) that hold `words` words or more together, so that a long passage is found in
+however few lines it stands; words=None leaves the shorter windows out. Of every window
+the least line hash (the rightmost of equal ones) is selected: equal windows select the same place,
+so any repeated window has a fingerprint that repeats. Fingerprints at one position only are dropped. The others are
 joined with their positions and extended both ways to the windows that selected them; a window that occurs earlier, in order
 of (id, line), marks its lines, and adjoining windows make up a repeated run. Marked lines are deleted.
 
@@ -23,21 +25,29 @@ from lodestrata.llm import scratch
 _WORD = r"[^\x20\x09-\x0D]"
 
 
-def windows(rows: DataFrame, run: int) -> DataFrame:
-    """A row for each window: id, row_key, first line, n_lines, its lines, its fingerprint's hash and position, its own hash."""
-    content = "filter(transform(lines, (x, i) -> named_struct('line', i, 'h', if(x rlike r'[^\\x20\\x09-\\x0D]', xxhash64(x), null))), x -> x.h is not null)"
+def windows(rows: DataFrame, run: int, words: int | None) -> DataFrame:
+    """A row for each window: id, row_key, n_lines, its lines, its fingerprint's hash and position, its own hash."""
+    sizes = range(1 if words else run, run + 1)
+    counted = "regexp_count(x, r'[^\\x20\\x09-\\x0D]+')" if words else "0"
+    content = f"filter(transform(lines, (x, i) -> named_struct('line', i, 'n', {counted}, 'h', if(x rlike r'[^\\x20\\x09-\\x0D]', xxhash64(x), null))), x -> x.h is not null)"
     own = rows.select("id", "row_key", F.size("lines").alias("n_lines"), F.expr(content).alias("c"))
-    shifted = own.where(F.size("c") >= run).select("id", "row_key", "n_lines", F.explode(F.arrays_zip(*[F.slice("c", j + 1, F.size("c")).alias(f"w{j}") for j in range(run)])).alias("w"))
-    flat = shifted.select("id", "row_key", "n_lines", *[F.col(f"w.w{j}.line").alias(f"l{j}") for j in range(run)], *[F.col(f"w.w{j}.h").alias(f"h{j}") for j in range(run)]).where(f"h{run - 1} is not null")
-    least = F.least(*[F.col(f"h{j}") for j in range(run)]) if run > 1 else F.col("h0")
-    flat = flat.withColumn("mark", least)
-    place = reduce(lambda later, j: later.when(F.col(f"h{j}") == F.col("mark"), F.col(f"l{j}")), range(run - 2, -1, -1), F.when(F.col(f"h{run - 1}") == F.col("mark"), F.col(f"l{run - 1}")))
-    return flat.select("id", "row_key", "n_lines", F.array(*[F.col(f"l{j}") for j in range(run)]).alias("its_lines"), "mark", place.alias("mark_line"), F.xxhash64(*[F.col(f"h{j}") for j in range(run)]).alias("window"))
+    shifted = own.where(F.size("c") >= sizes[0]).select("id", "row_key", "n_lines", F.explode(F.arrays_zip(*[F.slice("c", j + 1, F.size("c")).alias(f"w{j}") for j in range(run)])).alias("w"))
+    flat = shifted.select("id", "row_key", "n_lines", *[F.col(f"w.w{j}.{of}").alias(f"{to}{j}") for j in range(run) for of, to in (("line", "l"), ("h", "h"), ("n", "n"))])
 
+    def window(k: int):
+        least = F.least(*[F.col(f"h{j}") for j in range(k)]) if k > 1 else F.col("h0")
+        place = reduce(lambda later, j: later.when(F.col(f"h{j}") == least, F.col(f"l{j}")), range(k - 2, -1, -1), F.when(F.col(f"h{k - 1}") == least, F.col(f"l{k - 1}")))
+        made = F.struct(F.array(*[F.col(f"l{j}") for j in range(k)]).alias("its_lines"), least.alias("mark"), place.alias("mark_line"), F.xxhash64(*[F.col(f"h{j}") for j in range(k)]).alias("window"))
+        enough = F.col(f"h{k - 1}").isNotNull() if k == run else F.col(f"h{k - 1}").isNotNull() & (sum(F.col(f"n{j}") for j in range(k)) >= words)
+        return F.when(enough, made)
 
-def repeated_lines(rows: DataFrame, run: int) -> DataFrame:
+    made = F.explode(F.array(*[window(k) for k in sizes])) if words else window(run)
+    return flat.select("id", "row_key", "n_lines", made.alias("w")).where("w is not null").select("id", "row_key", "n_lines", "w.*")
+
+
+def repeated_lines(rows: DataFrame, run: int, words: int | None) -> DataFrame:
     """id, row_key, gone (numbers of lines to delete, ascending), kept (numbers of the others) of rows that lose lines."""
-    every = scratch.keep(windows(rows, run), "line-windows")
+    every = scratch.keep(windows(rows, run, words), "line-windows")
     order = lambda line: F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), line.alias("line"))
     again = every.groupBy("mark").agg(F.min(order(F.col("mark_line"))).alias("a"), F.max(order(F.col("mark_line"))).alias("b")).where("a < b").select("mark")
     near = scratch.keep(every.join(again, "mark"), "line-matches")
@@ -49,10 +59,10 @@ def repeated_lines(rows: DataFrame, run: int) -> DataFrame:
     return gone.withColumn("kept", F.array_except(F.sequence(F.lit(0), F.col("n_lines") - 1), F.col("gone")))
 
 
-def dedup(docs: DataFrame, run: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with _line_kept_text, _line_lines (number of lines) and _line_removed."""
+def dedup(docs: DataFrame, run: int = 3, id_col: str = "doc_id", text_col: str = "text", words: int | None = 50) -> DataFrame:
+    """docs with _line_kept_text, _line_lines (number of lines) and _line_removed; words=None: runs of `run` lines only."""
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row_key"), F.split(text_col, "\n", -1).alias("lines")).where("lines is not null")
-    found = repeated_lines(rows, run).select(F.col("id").alias("_line_id"), F.col("row_key").alias("_line_key"), "gone", F.col("kept").alias("_line_kept"))
+    found = repeated_lines(rows, run, words).select(F.col("id").alias("_line_id"), F.col("row_key").alias("_line_key"), "gone", F.col("kept").alias("_line_kept"))
     found = found.select("_line_id", "_line_key", "_line_kept", F.size("gone").cast("long").alias("_line_gone"))
     # the lines are made below the join, so that each is looked up in an array that exists
     own = docs.withColumns({"_line_parts": F.split(text_col, "\n", -1), "_line_hash": F.xxhash64(text_col)})
@@ -62,9 +72,20 @@ def dedup(docs: DataFrame, run: int = 3, id_col: str = "doc_id", text_col: str =
     return out.withColumns(columns).select(*[F.col(f"`{c}`") for c in docs.columns], *columns)
 
 
+def _counts(found: DataFrame) -> DataFrame:
+    return found.select("doc_id", F.col("_line_lines").alias("n_lines"), F.col("_line_removed").alias("n_removed"), F.sha2(F.coalesce("_line_kept_text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of three lines only, as SQL defines them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return dedup(docs, run=3).select("doc_id", F.col("_line_lines").alias("n_lines"), F.col("_line_removed").alias("n_removed"), F.sha2(F.coalesce("_line_kept_text", F.lit("")), 256).alias("kept_sha256"))
+    return _counts(dedup(docs, run=3, words=None))
+
+
+def op9_line_dedup_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of three lines, and one or two lines of 50 words or more."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return _counts(dedup(docs, run=3, words=50))
 
 
 SQL = r"""
@@ -80,5 +101,21 @@ SELECT doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(n_
 FROM d LEFT JOIN k USING (r) LEFT JOIN e USING (r)
 """
 
-QUERIES = {"op9_line_dedup": op9_line_dedup}
-ORACLE_SQL = {"op9_line_dedup": SQL}
+SQL_WORDS = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT r, doc_id, unnest(ls) AS x, unnest(range(1, len(ls) + 1)) AS n FROM d),
+v AS (SELECT *, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS k FROM l WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
+c AS (SELECT r, doc_id, n, x, k, lead(n, 1) OVER o AS n1, lead(n, 2) OVER o AS n2, lead(x, 1) OVER o AS x1, lead(x, 2) OVER o AS x2, lead(k, 1) OVER o AS k1 FROM v WINDOW o AS (PARTITION BY r ORDER BY n)),
+w AS (SELECT r, doc_id, n, [n, n1, n2] AS ns, x || chr(10) || x1 || chr(10) || x2 AS t FROM c WHERE n2 IS NOT NULL
+  UNION ALL SELECT r, doc_id, n, [n, n1], x || chr(10) || x1 FROM c WHERE n1 IS NOT NULL AND k + k1 >= 50
+  UNION ALL SELECT r, doc_id, n, [n], x FROM c WHERE k >= 50),
+m AS (SELECT t, min((doc_id, n)) AS first FROM w GROUP BY t),
+g AS (SELECT DISTINCT r, unnest(ns) AS n FROM w JOIN m USING (t) WHERE (doc_id, n) > first),
+k AS (SELECT l.r, string_agg(x, chr(10) ORDER BY l.n) AS kept FROM l ANTI JOIN g ON l.r = g.r AND l.n = g.n GROUP BY l.r),
+e AS (SELECT r, count(*) AS n_removed FROM g GROUP BY r)
+SELECT doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (r) LEFT JOIN e USING (r)
+"""
+
+QUERIES = {"op9_line_dedup": op9_line_dedup, "op9_line_dedup_words": op9_line_dedup_words}
+ORACLE_SQL = {"op9_line_dedup": SQL, "op9_line_dedup_words": SQL_WORDS}

@@ -261,6 +261,22 @@ def test_line_dedup(spark, empty, run):
     assert rows(line_dedup.dedup(empty)) == []
 
 
+def test_line_dedup_of_long_passages_in_few_lines(spark):
+    said = lambda tag, n: " ".join(f"{tag}{k}" for k in range(n))
+    table = [
+        (1, said("a", 60)), (2, said("a", 60)),  # a copied document of one line
+        (3, said("b", 25) + "\n\n" + said("c", 25)), (4, "own\n" + said("b", 25) + "\n" + said("c", 25) + "\nend"),  # two lines of 50 words
+        (5, said("d", 25) + "\n" + said("e", 24)), (6, said("d", 25) + "\n" + said("e", 24)),  # 49: too few
+        (7, said("f", 49)), (8, said("f", 49)), (9, said("g", 50) + "\n" + said("g", 50)),
+        (10, "x\ny\nz"), (11, "x\ny\nz"),
+    ]
+    df = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r._line_kept_text, r._line_removed) for r in line_dedup.dedup(df).collect()}
+    changed = {2: ("", 1), 4: ("own\nend", 2), 9: (said("g", 50), 1), 11: ("", 3)}
+    assert got == {i: changed.get(i, (t, 0)) for i, t in table}
+    assert rows(line_dedup.dedup(df, words=None).select("doc_id", "text", "_line_kept_text", "_line_lines", "_line_removed").drop("text")) == plain_lines(table, 3)
+
+
 def test_line_dedup_is_native(docs):
     plan = line_dedup.dedup(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
