@@ -28,16 +28,21 @@ _WHOLE = np.uint64(0x9D39247E33776D41)
 LEXICON_VOTERS = 40
 
 
-def entries(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, hash) of each word and each of its beginnings; words of each document; a table of its characters' kinds."""
+def entries(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, hash, next shorter beginning's hash or 0) of each word and each of its beginnings; words of each document; a table of its characters' kinds."""
     w = ts.words(buf, off, ts.ALNUM, hashed=False)
     doc = w.doc()
-    docs, hashes = [doc], [ts.hash_pieces(buf, w.starts, w.ends, fold=True) ^ _WHOLE]
+    docs, hashes, shorter, last = [], [], [], np.zeros(len(doc), np.uint64)
     for n in BEGINNINGS:
         ok = w.ends - w.starts >= n
         docs.append(doc[ok])
         hashes.append(ts.hash_pieces(buf, w.starts[ok], w.starts[ok] + n, fold=True))
-    return np.concatenate(docs), np.concatenate(hashes), w.counts(), _kinds(buf, off)
+        shorter.append(last[ok])
+        last[ok] = hashes[-1]
+    docs.append(doc)
+    hashes.append(ts.hash_pieces(buf, w.starts, w.ends, fold=True) ^ _WHOLE)
+    shorter.append(last)
+    return np.concatenate(docs), np.concatenate(hashes), np.concatenate(shorter), w.counts(), _kinds(buf, off)
 
 
 def _kinds(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -69,7 +74,7 @@ class Lexicon:
 
     def read(self, buf: np.ndarray, off: np.ndarray):
         """(votes, document, entry, count): votes is a bit mask of each document, the others its entries."""
-        doc, h, words, kinds = entries(buf, off)
+        doc, h, _, words, kinds = entries(buf, off)
         n = len(off) - 1
         d, e = self.hits(doc, h)
         key, count = np.unique(d * max(len(self.hashes), 1) + e, return_counts=True)
@@ -104,39 +109,38 @@ def mine(docs: DataFrame, labels: DataFrame, max_labelled: int, max_entries: int
 
     def count(known):
         def run(batches):
-            have: dict[str, list] = {"h": [], "n": []}
-            docs_ = 0
+            have: dict[str, list] = {"h": [], "p": [], "n": []}
             for batch in batches:
                 buf, off = ts.raw(batch.column("text"))
-                docs_ += batch.num_rows
                 for lo, hi in ts.groups(off):
-                    doc, h, _, _ = entries(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+                    doc, h, p, _, _ = entries(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                     if known is not None:
                         k = np.minimum(np.searchsorted(known.value, h), len(known.value) - 1)
                         ok = known.value[k] == h
-                        doc, h = doc[ok], h[ok]
+                        doc, h, p = doc[ok], h[ok], p[ok]
                     order = np.lexsort((h, doc))
-                    doc, h = doc[order], h[order]
-                    h = h[np.flatnonzero((np.diff(h, prepend=~h[:1]) != 0) | (np.diff(doc, prepend=-1) != 0))]
-                    u, n = np.unique(h, return_counts=True)
+                    doc, h, p = doc[order], h[order], p[order]
+                    once = np.flatnonzero((np.diff(h, prepend=~h[:1]) != 0) | (np.diff(doc, prepend=-1) != 0))
+                    u, at, n = np.unique(h[once], return_index=True, return_counts=True)
                     have["h"].append(u)
+                    have["p"].append(p[once][at])
                     have["n"].append(n)
             if have["h"]:
-                u, back = np.unique(np.concatenate(have["h"]), return_inverse=True)
+                u, at, back = np.unique(np.concatenate(have["h"]), return_index=True, return_inverse=True)
                 n = np.bincount(back, np.concatenate(have["n"])).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n)], ["h", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(np.concatenate(have["p"])[at].view(np.int64)), pa.array(n)], ["h", "p", "n"])
 
         return run
 
-    toxic = texts.where("y = 1").select("text").mapInArrow(count(None), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n >= 3")
-    rows = toxic.orderBy(F.desc("n"), "h").limit(16 * max_entries).toPandas()
-    h, pos = rows["h"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(float)
+    counted = lambda y, known: texts.where(F.col("y") == y).select("text").mapInArrow(count(known), "h long, p long, n long").groupBy("h").agg(F.sum("n").alias("n"), F.min("p").alias("p"))
+    rows = counted(1, None).where("n >= 3").orderBy(F.desc("n"), "h").limit(16 * max_entries).toPandas()
+    h, pos, shorter = rows["h"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(float), rows["p"].to_numpy(np.int64).view(np.uint64)
     if not len(h):
         return Lexicon(np.zeros(0, np.uint64), np.zeros(0))
     order = np.argsort(h)
-    h, pos = h[order], pos[order]
+    h, pos, shorter = h[order], pos[order], shorter[order]
     known = docs.sparkSession.sparkContext.broadcast(h)
-    others = texts.where("y = 0").select("text").mapInArrow(count(known), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).toPandas()
+    others = counted(0, known).toPandas()
     neg = np.zeros(len(h))
     neg[np.searchsorted(h, others["h"].to_numpy(np.int64).view(np.uint64))] = others["n"].to_numpy(float)
     sizes = {r["y"]: r["n"] for r in texts.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -144,9 +148,11 @@ def mine(docs: DataFrame, labels: DataFrame, max_labelled: int, max_entries: int
     # log odds in units of their error: frequent and precise entries first
     z = np.log(p / q) / np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
     good = np.flatnonzero((z > 2.5) & (p > 3 * q))
-    # entries that the same numbers of texts have are one word and its beginnings: the first is enough
-    _, one = np.unique(np.stack([pos[good], neg[good]]), axis=1, return_index=True) if len(good) > 4 * LEXICON_VOTERS else (None, np.arange(len(good)))
-    good = good[np.sort(one)] if len(one) >= LEXICON_VOTERS else good
+    # texts with an entry also have its beginnings: where one of these has the same numbers of texts, they are the same texts, and it is enough
+    at = np.minimum(np.searchsorted(h, shorter), len(h) - 1)
+    same = (h[at] == shorter) & (pos[at] == pos) & (neg[at] == neg)
+    one = good[~same[good]]
+    good = one if len(one) >= LEXICON_VOTERS else good
     good = good[np.argsort(-z[good], kind="stable")][:max_entries]
     return Lexicon(h[good], z[good])
 

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -367,6 +368,19 @@ def test_toxicity_learns_and_holds_out(spark, empty):
     assert rows(toxicity.score(empty, y)) == [] and toxicity.score(docs, y.limit(0)).where("score <> 0").isEmpty()
 
 
+def test_toxicity_keeps_unrelated_words_that_tie(spark):
+    # the k-th of 60 words marks its own texts only: numbers of texts are different but for the last six, of which each has 20
+    r = random.Random(11)
+    word = lambda k: chr(97 + k // 10) + chr(97 + k % 10) + "zzqzzq"
+    marks = [k for k in range(60) for _ in range(20 if k >= 54 else 21 + k)]
+    texts = [(i, " ".join([r.choice(VOCABULARY), word(k), r.choice(VOCABULARY)])) for i, k in enumerate(marks)]
+    docs = spark.createDataFrame(texts + [(len(texts) + i, " ".join(r.choice(VOCABULARY) for _ in range(5))) for i in range(4000)], "doc_id long, text string")
+    lexicon = toxicity.mine(docs, docs.select("doc_id", (F.col("doc_id") < len(texts)).cast("int").alias("y")), 20_000, 4_000)
+    buf, off = ts.raw(pa.array([word(k) for k in range(60)]))
+    doc, entry = lexicon.hits(*toxicity.entries(buf, off)[:2])
+    assert sorted(doc) == list(range(60)) and len(set(entry)) == 60  # one entry each: its beginning of four
+
+
 def test_warc_round_trip(spark):
     table = [(1, "u", "a"), (2, "v", "a"), (3, None, None), (4, "w", ""), (None, "x", "b"), (5, "y\r\nWARC-Type: request", "c"), (5, "y", "c"), (None, None, "a"), (9, "z", "é" * 100_000)]
     pages = spark.createDataFrame(table, "page_id long, url string, html string")
