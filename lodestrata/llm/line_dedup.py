@@ -1,12 +1,12 @@
-"""Line dedup by winnowing over line hashes, in DataFrame functions only.
+"""Line dedup by hashes of windows of lines, thinned by winnowing fingerprints, in DataFrame functions only.
 
 Lines are parts of a text between line feeds; lines without a word are kept and don't count. Windows are `run` consecutive
 lines, and fewer lines (one at least) that hold `words` words or more together, so that a long passage is found in
 however few lines it stands; words=None leaves the shorter windows out. Of every window
 the least line hash (the rightmost of equal ones) is selected: equal windows select the same place,
-so any repeated window has a fingerprint that repeats. Fingerprints at one position only are dropped. The others are
-joined with their positions and extended both ways to the windows that selected them; a window that occurs earlier, in order
-of (id, line), marks its lines, and adjoining windows make up a repeated run. Marked lines are deleted.
+so any repeated window has a fingerprint that repeats. Every window is stored; those whose fingerprint stands at one
+position only are dropped, and the others are grouped by their own hash: nothing is extended from a fingerprint. A window
+that occurs earlier, in order of (id, line), marks its lines, and adjoining windows make up a repeated run. Marked lines are deleted.
 
 What is joined is one row a distinct fingerprint or window, never pairs of positions, so a line that a third of all documents
 share is one row there. Null text stays null and counts no lines. A null id comes after all others. Rows that share an id and
