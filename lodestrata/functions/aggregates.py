@@ -62,18 +62,42 @@ def helper(column: str, what: str) -> str:
     return f"__{what}_{column}"
 
 
+def _with_before(df: DataFrame, columns: list[str], keys: list[str], order_by: list[str]) -> DataFrame:
+    """df with each column's value in the row before, within the keys: found within ranges of (keys, order), whose last rows are carried to the next range."""
+    ranged = df.repartitionByRange(*[col(k) for k in [*keys, *order_by]]).withColumn("__part", F.spark_partition_id())
+    # both uses below must see the same ranges
+    ranged = ranged.persist()
+    own, order = [col(k) for k in keys], [col(o) for o in order_by]
+    inside = Window.partitionBy("__part", *own).orderBy(*order)
+    lasts = ranged.withColumn("__next", F.lead(F.lit(1)).over(inside)).where("__next is null")  # a row a range and key
+    over = Window.partitionBy(*own).orderBy("__part")
+    carried = lasts.select(F.col("__part").alias("__at"), *[c.alias(f"__key{i}") for i, c in enumerate(own)], *[F.lag(col(c)).over(over).alias(f"__carry{i}") for i, c in enumerate(columns)])
+    found = ranged.withColumns({"__first": F.lag(F.lit(1)).over(inside).isNull(), **{helper(c, "before"): F.lag(col(c)).over(inside) for c in columns}})
+    met = F.col("__part") == F.col("__at")
+    for i, c in enumerate(own):
+        met = met & c.eqNullSafe(F.col(f"__key{i}"))
+    out = found.join(carried, met, "left")
+    return out.select(*[col(c) for c in df.columns], *[F.when(F.col("__first"), F.col(f"__carry{i}")).otherwise(col(helper(c, "before"))).alias(helper(c, "before")) for i, c in enumerate(columns)])
+
+
+def _with_apart(df: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
+    """df with each column's distance from its group's mean; groups are aggregated first and joined to the rows."""
+    means = df.groupBy(*[col(k).alias(f"__key{i}") for i, k in enumerate(keys)]).agg(*[F.avg(col(c)).alias(f"__mean{i}") for i, c in enumerate(columns)])
+    met = F.lit(True)
+    for i, k in enumerate(keys):
+        met = met & col(k).eqNullSafe(F.col(f"__key{i}"))
+    out = df.join(means, met, "left") if keys else df.crossJoin(means)
+    return out.select(*[col(c) for c in df.columns], *[F.abs(col(c) - F.col(f"__mean{i}")).alias(helper(c, "apart")) for i, c in enumerate(columns)])
+
+
 def prepare(df: DataFrame, wanted: list[tuple[str, str]], keys: list[str], order_by: list[str] | None) -> DataFrame:
     """df with the columns that the wanted (column, name) aggregates are made of."""
-    added = {}
-    part = [col(k) for k in keys]
-    for c, name in wanted:
-        if name in ORDERED:
-            if not order_by:
-                raise ValueError(f"{name} needs order_by")
-            added[helper(c, "before")] = F.lag(col(c)).over(Window.partitionBy(*part).orderBy(*[col(o) for o in order_by]))
-        if name in CENTRED:
-            added[helper(c, "apart")] = F.abs(col(c) - F.avg(col(c)).over(Window.partitionBy(*part)))
-    return df.withColumns(added) if added else df
+    ordered = list(dict.fromkeys(c for c, name in wanted if name in ORDERED))
+    centred = list(dict.fromkeys(c for c, name in wanted if name in CENTRED))
+    if ordered and not order_by:
+        raise ValueError(f"{next(name for _, name in wanted if name in ORDERED)} needs order_by")
+    df = _with_before(df, ordered, keys, order_by) if ordered else df
+    return _with_apart(df, centred, keys) if centred else df
 
 
 def expression(df: DataFrame, column: str, name: str, order_by: list[str] | None = None) -> Column:

@@ -1,6 +1,9 @@
 """Table operators on small literal tables."""
 
 import math
+import random
+import re
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -327,3 +330,24 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_ordered_aggregates_of_a_hot_group_are_not_one_task(spark):
+    r = random.Random(5)
+    table = [("hot" if r.random() < 0.9 else None if r.random() < 0.1 else "cold", at, None if r.random() < 0.05 else float(at if at < 900 else r.randint(0, 900))) for at in range(1000)] + [("rising", at, float(at)) for at in range(300)]
+    df = spark.createDataFrame(table, "k string, at long, v double").repartition(5)
+    names = ["autocorr", "is_monotonic_increasing", "mad"]
+    for key in ("k", None):
+        out = group.group_by(df, "k", {"v": names}, order_by=["at"]) if key else group.whole_table(df.where("k = 'hot'"), {"v": names}, order_by=["at"])
+        got = {(g["k"] if key else "hot"): g for g in out.collect()}
+        assert set(got) == ({"hot", "cold", "rising"} if key else {"hot"})
+        for k, g in got.items():
+            v = [x for kk, _, x in sorted((t for t in table if t[0] == k), key=lambda t: t[1])]
+            both = [(a, b) for a, b in zip(v, v[1:]) if a is not None and b is not None]
+            there = [x for x in v if x is not None]
+            mean = sum(there) / len(there)
+            assert math.isclose(g["v_autocorr"], statistics.correlation([a for a, _ in both], [b for _, b in both]), abs_tol=1e-9)
+            assert math.isclose(g["v_mad"], sum(abs(x - mean) for x in there) / len(there), rel_tol=1e-9)
+            assert g["v_is_monotonic_increasing"] == (len(there) == len(v) and all(a <= b for a, b in both))
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert not re.search(r"windowspecdefinition\((k#\d+, )?(at#|specified)", plan)  # no window over all rows of a key, or of the table
