@@ -4,13 +4,16 @@ Documents are rows and distinct word n-grams columns of an incidence matrix; ove
 its transpose. The product is made in blocks that can hold linked pairs only, and pairs below the bounds that their sizes imply are discarded:
 
 1. Documents with equal sets form a class; only one of each goes on.
-2. Columns are put in one global order: by hash, with those in a thousandth of all documents or more last. Two linked sets share a column among the first n - ceil(t n) + 1
+2. Columns are put in one global order: by hash, with the most frequent ones last, in the order of how often documents have them. Two linked sets share a column among the first n - ceil(t n) + 1
    of each (their prefixes). Prefix columns that one class only has are dropped.
 3. Blocks of classes that agree in the least hash of their prefix columns, in tiles that share a leading document,
    are multiplied whole, and a spanning forest of the links found is kept. No pairs of a block leave its task.
 4. What is left are pairs that share a prefix column and aren't connected yet. Classes that crowd on a column make clusters, which are multiplied whole, in pairs of
-   tiles. Other pairs' overlap counts in the prefixes are accumulated over all columns; a pair stays if that count with all that may follow reaches the
-   overlap its sizes need. Those left are multiplied as in 3.
+   tiles. Other pairs' overlap counts in the prefixes are accumulated over all columns, only across classes that aren't connected; a column of many classes is dealt over
+   tasks in pairs of bounded parts. A pair stays if its count with all that may follow reaches the overlap its sizes need. Those left are multiplied as in 3.
+
+Columns are hashes of n-grams of one family, and are used to find pairs; the overlaps of pairs that are multiplied count hashes of another family, which
+shares nothing with the first but the text. Tiles are bounded by rows and by the sizes of their sets.
 
 So every linked pair has been multiplied, or was connected by links already.
 
@@ -21,6 +24,8 @@ empty table gives an empty result. Extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,27 +36,32 @@ from lodestrata.llm import hashruns as hr
 from lodestrata.llm import textscan as ts
 
 GROUP_BYTES = 12 << 20
-BUCKET_HASHES = 1_000_000
+RANGE_HASHES = 1_000_000
 TILE = 1000
-#: Columns in one of so many documents go last. That is at most so many times the mean size of a set: a bounded broadcast.
-COMMON = 1000
+#: N-grams of all sets of a tile.
+TILE_HASHES = 2_000_000
+#: So many columns at most, the most frequent, are broadcast with their frequencies to go last: it bounds the broadcast, not what is compared.
+MOST_COMMON = 1 << 20
 #: Step 3 takes classes that share this part of their prefix columns at least; step 4 takes all.
 LIKELY = 0.4
 #: A column that more likely classes share makes a cluster of them.
 CROWD = 64
+#: Classes of a column that one task pairs; a column of more is dealt in parts.
+COLUMN_PART = 2048
 #: Documents of a group that must have a column for it to be counted.
 COMMON_HERE = 3
 
 
-def shingles(buf: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+def shingles(buf: np.ndarray, off: np.ndarray, n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(document, hash) of each document's distinct n-grams, ordered by both."""
-    w = ts.words(buf, off, ts.SPACED, fold=True)
-    at, h = ts.windows(w.hash, w.first, n)
+    w = ts.words(buf, off, ts.SPACED, fold=True, hashed=not which)
+    hashes = w.second() if which else w.hash
+    at, h = ts.windows(hashes, w.first, n, which)
     doc = np.searchsorted(w.first, at, "right") - 1
     counts = w.counts()
     for k in range(1, n):
         if (few := np.flatnonzero(counts == k)).size:
-            a, x = ts.windows(w.hash, w.first, k)
+            a, x = ts.windows(hashes, w.first, k, which)
             d = np.searchsorted(w.first, a, "right") - 1
             ok = np.isin(d, few)
             doc, h = np.concatenate([doc, d[ok]]), np.concatenate([h, x[ok]])
@@ -62,10 +72,23 @@ def shingles(buf: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     return doc[new], h[new]
 
 
-def member(h: np.ndarray, sorted_values: np.ndarray) -> np.ndarray:
-    if not len(sorted_values):
-        return np.zeros(len(h), bool)
-    return sorted_values[np.minimum(np.searchsorted(sorted_values, h), len(sorted_values) - 1)] == h
+class Common:
+    """The most frequent columns, sorted, and the place of each one's frequency among powers of two."""
+
+    def __init__(self, hashes: np.ndarray, docs: np.ndarray):
+        order = np.argsort(hashes)
+        self.hashes, self.tier = hashes[order], np.log2(np.maximum(docs[order], 1)).astype(np.uint8) + np.uint8(1)
+        self.bits = np.zeros(1 << 24, bool)
+        self.bits[(self.hashes >> ts.U(40)).astype(np.int64)] = True
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        """0 for a column that isn't common."""
+        tier = np.zeros(len(h), np.uint8)
+        may = np.flatnonzero(self.bits[(h >> ts.U(40)).astype(np.int64)])
+        if len(may) and len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, h[may]), len(self.hashes) - 1)
+            tier[may] = np.where(self.hashes[at] == h[may], self.tier[at], 0)
+        return tier
 
 
 def overlap_needed(total, num: int, den: int):
@@ -111,8 +134,8 @@ def product(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
         label = new
 
 
-def prefixes(table: pa.Table, common: np.ndarray, rows: np.ndarray, n: int, num: int, den: int):
-    """(row, column hash, place in the order, size of the set) of the prefixes of some rows of a group."""
+def prefixes(table: pa.Table, common: Common, rows: np.ndarray, n: int, num: int, den: int):
+    """(row, column hash, size of the set) of the prefixes of some rows of a group."""
     table = hr.in_order(table)
     buf, off = ts.raw(table.column("text"))
     wanted = np.zeros(table.num_rows, bool)
@@ -121,24 +144,43 @@ def prefixes(table: pa.Table, common: np.ndarray, rows: np.ndarray, n: int, num:
         if not wanted[lo:hi].any():
             continue
         doc, h = shingles(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], n)
-        order = np.lexsort((h, member(h, common), doc))
+        ok = wanted[lo + doc]
+        doc, h = doc[ok], h[ok]
+        order = np.argsort((doc << 8) | common.of(h), kind="stable")  # hashes ascend within a document and tier
         doc, h = doc[order], h[order]
         count = np.bincount(doc, minlength=hi - lo)
         place = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-        ok = (place < prefix_length(count[doc], num, den)) & wanted[lo + doc]
-        yield doc[ok] + lo, h[ok], place[ok], count[doc[ok]]
+        ok = place < prefix_length(count[doc], num, den)
+        yield doc[ok] + lo, h[ok], count[doc[ok]]
+
+
+def across(unit: np.ndarray, n: np.ndarray, num: int, den: int, most: int = 1_000_000):
+    """Pairs (i, j) of one column's entries of different units whose sizes may link, in parts of about `most` pairs."""
+    order = np.argsort(unit, kind="stable")
+    r = unit[order]
+    after = np.searchsorted(r, r, "right")  # where the next unit begins
+    many = len(r) - after
+    bounds = np.searchsorted(np.cumsum(many), np.arange(most, int(many.sum()) + most, most), "left") + 1 if len(r) else np.zeros(0, np.int64)
+    lo = 0
+    for hi in np.unique(np.minimum(bounds, len(r))).tolist():
+        i = np.repeat(np.arange(lo, hi), many[lo:hi])
+        j = ts.spread(after[lo:hi], many[lo:hi])
+        i, j = order[i], order[j]
+        ok = np.minimum(n[i], n[j]) * den >= np.maximum(n[i], n[j]) * num
+        yield i[ok], j[ok]
+        lo = hi
 
 
 class Join:
     """One join of `docs`; its steps share the grouped store of texts."""
 
-    def __init__(self, docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str, group_bytes: int, tile: int, bucket_hashes: int, carry: bool = False):
+    def __init__(self, docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str, group_bytes: int, tile: int, range_hashes: int, step_bits: int | None = None, carry: bool = False):
         self.n, self.num, self.den, self.tile = n, num, den, tile
         self.names = (id_col, text_col)
         others = [F.col(f"`{c}`") for c in docs.columns if c not in self.names]
         texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *([F.struct(*others).alias("others")] if carry and others else []))
-        self.total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        self.buckets = hr.buckets_for(self.total // 40 + 1, bucket_hashes)
+        self.total, count = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
+        self.meeting = hr.Meeting(self.total // 40, (self.total + 16 * count) // group_bytes + 1, range_hashes, {"several": "u1"}, step_bits=step_bits)
         self.stored = hr.grouped_table(texts, "jaccard_texts", group_bytes, total=self.total)
         self.store = self.stored.select("doc_id", "text", "grp", "row")
         self.id_type = texts.schema["doc_id"].dataType.simpleString()
@@ -156,9 +198,10 @@ class Join:
                 doc, h = shingles(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], n)
                 count = np.bincount(doc, minlength=hi - lo)
                 sums = []
-                for salt in (ts.U(0), ts.U(0x5851F42D4C957F2D)):
-                    total = np.concatenate([np.zeros(1, ts.U), np.cumsum(ts.mix(h ^ salt), dtype=ts.U)])
-                    at = np.concatenate([[0], np.cumsum(count)])
+                # a set is known by the sums of both families' hashes
+                for d, x in ((doc, h), shingles(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], n, which=1)):
+                    total = np.concatenate([np.zeros(1, ts.U), np.cumsum(ts.mix(x), dtype=ts.U)])
+                    at = np.searchsorted(d, np.arange(hi - lo + 1))
                     sums.append(total[at[1:]] - total[at[:-1]])
                 size.append(count)
                 sig += [bytes(x) for x in np.stack(sums, axis=1)]
@@ -177,45 +220,47 @@ class Join:
         both = scratch.keep(self.store.groupBy("grp").applyInArrow(run, f"doc_id {id_type}, rid long, n long, sig binary, column long, docs long"), "jaccard-info")
         return both.where("rid is not null").select("doc_id", "rid", "n", "sig"), both.where("rid is null").select("column", "docs")
 
-    def candidates(self, reps: DataFrame, common: DataFrame) -> DataFrame:
+    def common(self, columns: DataFrame) -> Common:
+        """Columns that go last: those from a power of two of documents on, the least that at most MOST_COMMON columns reach."""
+        columns = scratch.keep(columns.groupBy("column").agg(F.sum("docs").alias("docs")), "jaccard-columns")
+        tiers = {r["tier"]: r["n"] for r in columns.groupBy(F.floor(F.log2("docs")).alias("tier")).agg(F.count(F.lit(1)).alias("n")).collect()}  # 64 rows at most
+        left, least = MOST_COMMON, 63
+        while least > 1 and left >= tiers.get(least - 1, 0):
+            least -= 1
+            left -= tiers.get(least, 0)
+        got = columns.where(F.col("docs") >= 1 << least).toArrow()
+        return Common(got.column("column").to_numpy().view(ts.U), got.column("docs").to_numpy())
+
+    def candidates(self, reps: DataFrame, common: Common) -> DataFrame:
         """rid, n, columns (those of the prefix that another class has in its own) of each class's row with any."""
-        shared = self.store.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in common.collect()], np.int64).view(ts.U)))
-        buckets, how = self.buckets, (self.n, self.num, self.den)
+        shared = self.store.sparkSession.sparkContext.broadcast(common)
+        meeting, how = self.meeting, (self.n, self.num, self.den)
 
         def probe(left: pa.Table, right: pa.Table) -> pa.Table:
-            out = []
-            if left.num_rows and right.num_rows:
-                rows = np.asarray(right.column("rid")) & 0xFFFFF
-                hashes = [h for _, h, _, _ in prefixes(left, shared.value, rows, *how)]
-                u, times = np.unique(np.concatenate(hashes), return_counts=True)
-                bounds = hr.bucket_bounds(u, buckets).tolist()
-                out = [(b, right.column("grp")[0].as_py(), y - x, hr.dump(u[x:y]), hr.dump_bits(times[x:y] > 1)) for b, (x, y) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if y > x]
-            return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 5, (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["bucket", "grp", "m", "hashes", "several"])
-
-        def meet(table: pa.Table) -> pa.Table:
-            rows = table.to_pylist()
-            part = [hr.load(r["hashes"], r["m"]) for r in rows]
-            h, several = np.concatenate(part), np.concatenate([hr.load_bits(r["several"], r["m"]) for r in rows])
-            again, _ = ts.twice(h)
-            mask, at, out = again | several, 0, []
-            for r, values in zip(rows, part, strict=True):
-                mine = values[mask[at : at + len(values)]]
-                at += len(values)
-                if len(mine):
-                    out.append((r["grp"], None, len(mine), hr.dump(mine)))
-            return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["grp", "rid", "m", "hashes"])
+            if not left.num_rows or not right.num_rows:
+                return meeting.none()
+            rows = np.asarray(right.column("rid")) & 0xFFFFF
+            hashes = [h for _, h, _ in prefixes(left, shared.value, rows, *how)]
+            u, times = np.unique(np.concatenate(hashes), return_counts=True)
+            return meeting.send(right.column("grp")[0].as_py(), u, several=times > 1)
+
+        def repeated(h: np.ndarray, others: dict) -> tuple[np.ndarray, dict]:
+            order = np.argsort(h, kind="stable")
+            same = np.concatenate([[False], h[order][1:] == h[order][:-1], [False]])
+            mask = np.zeros(len(h), bool)
+            mask[order] = same[:-1] | same[1:]
+            return mask | (others["several"] > 0), {}
 
         def take(left: pa.Table, right: pa.Table) -> pa.Table:
             rid, size, columns = [], [], []
             if left.num_rows and right.num_rows:
-                side = right.to_pylist()
-                parts = [hr.load(r["hashes"], r["m"]) for r in side if r["rid"] is None]
-                if parts:
-                    live = np.sort(np.concatenate(parts))
-                    rows = np.array([r["rid"] & 0xFFFFF for r in side if r["rid"] is not None], np.int64)
-                    grp = side[0]["grp"]
-                    for doc, h, _, count in prefixes(left, shared.value, rows, *how):
-                        ok = member(h, live)
+                rids = right.column("rid").drop_null()
+                live, _ = meeting.answers(right.filter(right.column("rid").is_null()))
+                if len(live) and len(rids):
+                    rows = rids.to_numpy() & 0xFFFFF
+                    grp = right.column("grp")[0].as_py()
+                    for doc, h, count in prefixes(left, shared.value, rows, *how):
+                        ok = hr.member(h, live)
                         if not ok.any():
                             continue
                         doc, h, count = doc[ok], h[ok], count[ok]
@@ -227,27 +272,28 @@ class Join:
             return pa.table({"rid": pa.array(rid, pa.int64()), "n": pa.array(size, pa.int64()), "columns": pa.array(columns, pa.list_(pa.int64()))})
 
         mine = reps.select(F.shiftright("rid", 20).alias("grp"), "rid")
-        blobs = self.store.groupBy("grp").cogroup(mine.groupBy("grp")).applyInArrow(probe, "bucket int, grp long, m long, hashes binary, several binary")
-        live = blobs.groupBy("bucket").applyInArrow(meet, "grp long, rid long, m long, hashes binary")
-        side = live.unionByName(mine, allowMissingColumns=True)
+        packets = self.store.groupBy("grp").cogroup(mine.groupBy("grp")).applyInArrow(probe, meeting.SCHEMA)
+        side = meeting.met(packets, repeated).unionByName(mine, allowMissingColumns=True)
         return scratch.keep(self.store.groupBy("grp").cogroup(side.groupBy("grp")).applyInArrow(take, "rid long, n long, columns array<long>"), "jaccard-candidates")
 
     def links(self, members: DataFrame, whole: bool = False) -> DataFrame:
-        """u, v: a spanning forest of the links within each block of members(block, rid).
+        """u, v: a spanning forest of the links within each block of members(block, rid, n).
 
-        Blocks are multiplied in tiles that share the block's least rid, or (whole) in pairs of tiles, so that every pair of rows meets.
+        Blocks are multiplied in tiles that share the block's least rid, or (whole) in pairs of tiles, so that every pair of rows meets. A tile is bounded by
+        rows and by n-grams.
         """
         n, num, den, tile = self.n, self.num, self.den, self.tile
-        sizes = members.groupBy("block").agg(F.count(F.lit(1)).alias("count"), F.min("rid").alias("lead")).where("count > 1")
-        sizes = sizes.withColumn("tiles", F.ceil((F.col("count") - F.lit(0 if whole else 1)) / tile).cast("int"))
+        sizes = members.groupBy("block").agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("total"), F.min("rid").alias("lead")).where("count > 1")
+        sizes = sizes.withColumn("tiles", F.greatest(F.ceil((F.col("count") - F.lit(0 if whole else 1)) / tile), F.ceil(F.col("total") / TILE_HASHES)).cast("int"))
         placed = members.join(sizes, "block").withColumn("own", F.pmod(F.xxhash64("rid"), F.col("tiles")).cast("int"))
         if whole:
             # tile i meets tile j in block part (i, j); one tile meets itself
             other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
-            wanted = placed.select("block", "rid", "own", "tiles", other).select("block", (F.least("own", "other") * F.col("tiles") + F.greatest("own", "other")).alias("tile"), "rid")
+            pair = F.least("own", "other").cast("long") * F.col("tiles") + F.greatest("own", "other")
+            wanted = placed.select("block", "rid", "own", "tiles", other).select("block", pair.alias("tile"), "rid")
         else:
-            leads = sizes.select("block", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.col("lead").alias("rid"))
-            wanted = placed.where("rid <> lead").select("block", F.col("own").alias("tile"), "rid").unionByName(leads)
+            leads = sizes.select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles").cast("long") - 1)).alias("tile"), F.col("lead").alias("rid"))
+            wanted = placed.where("rid <> lead").select("block", F.col("own").cast("long").alias("tile"), "rid").unionByName(leads)
         wanted = wanted.select(F.shiftright("rid", 20).alias("grp"), "block", "tile", "rid")
 
         def fetch(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -259,7 +305,7 @@ class Join:
                 buf, off = ts.raw(texts)
                 sets = {}
                 for lo, hi in ts.groups(off):
-                    doc, h = shingles(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], n)
+                    doc, h = shingles(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], n, which=1)
                     at = np.searchsorted(doc, np.arange(hi - lo + 1))
                     for i in range(lo, hi):
                         sets[int(rows[i])] = h[at[i - lo] : at[i - lo + 1]]
@@ -270,7 +316,7 @@ class Join:
                     out["tile"].append(r["tile"])
                     out["rid"].append(r["rid"])
                     out["columns"].append(np.int64(len(sets[k])).tobytes() + blob[k])
-            return pa.table({"block": pa.array(out["block"], pa.int64()), "tile": pa.array(out["tile"], pa.int32()), "rid": pa.array(out["rid"], pa.int64()), "columns": pa.array(out["columns"], pa.binary())})
+            return pa.table({"block": pa.array(out["block"], pa.int64()), "tile": pa.array(out["tile"], pa.int64()), "rid": pa.array(out["rid"], pa.int64()), "columns": pa.array(out["columns"], pa.binary())})
 
         def multiply(table: pa.Table) -> pa.Table:
             table = table.sort_by("rid")
@@ -280,7 +326,7 @@ class Join:
             ok = label != np.arange(len(label))
             return pa.table({"u": pa.array(rid[ok]), "v": pa.array(rid[label[ok]])})
 
-        fetched = self.store.groupBy("grp").cogroup(wanted.groupBy("grp")).applyInArrow(fetch, "block long, tile int, rid long, columns binary")
+        fetched = self.store.groupBy("grp").cogroup(wanted.groupBy("grp")).applyInArrow(fetch, "block long, tile long, rid long, columns binary")
         return scratch.keep(fetched.groupBy("block", "tile").applyInArrow(multiply, "u long, v long"), "jaccard-links")
 
     def likely(self):
@@ -295,60 +341,78 @@ class Join:
         """
         num, den = self.num, self.den
         entries = found.join(roots.withColumnRenamed("node", "rid"), "rid", "left").select("rid", "n", F.size("columns").cast("long").alias("shared"), self.likely().alias("likely"), F.coalesce("root", "rid").alias("root"), F.explode("columns").alias("column"))
-        least = F.min(F.when(F.col("likely"), F.col("rid"))).alias("lead")
-        open_ = entries.groupBy("column").agg(F.min("root").alias("a"), F.max("root").alias("b"), (F.count_if(F.col("likely")) > CROWD).alias("crowd"), least).where("a <> b").select("column", "crowd", "lead")
-        entries = scratch.keep(entries.join(open_, "column"), "jaccard-entries")
+        entries = scratch.keep(entries, "jaccard-entries")
+        likely = F.col("likely")
+        # counted by column and root first: a column that many share is combined before it meets
+        by_root = entries.groupBy("column", "root").agg(F.count(F.lit(1)).alias("rows"), F.count_if("likely").alias("crowded"), F.min(F.when(F.col("likely"), F.col("rid"))).alias("lead"))
+        open_ = by_root.groupBy("column").agg(F.min("root").alias("a"), F.max("root").alias("b"), (F.sum("crowded") > CROWD).alias("crowd"), F.min("lead").alias("lead"), F.sum("rows").alias("rows")).where("a <> b")
+        entries = scratch.keep(entries.join(open_.drop("a", "b"), "column"), "jaccard-open-entries")
         crowds = entries.where("crowd and likely")
         clusters = components.components(crowds.where("rid <> lead").select(F.col("rid").alias("u"), F.col("lead").alias("v")))
-        members = scratch.keep(crowds.select("rid").distinct().join(clusters.withColumnRenamed("node", "rid"), "rid", "left").select(F.coalesce("root", "rid").alias("block"), "rid"), "jaccard-clusters")
-        # rows of one cluster meet there; -1: in no cluster
-        entries = entries.drop("likely", "crowd", "lead").join(members.withColumnRenamed("block", "cluster"), "rid", "left").fillna(-1, ["cluster"])
-        entries = entries.withColumn("bucket", F.shiftrightunsigned("column", 64 - 12))
-
-        def count(table: pa.Table) -> pa.Table:
-            table = table.sort_by([("column", "ascending"), ("n", "ascending"), ("rid", "ascending")])
-            rid, n, shared, root, column = (table.column(c).to_numpy() for c in ("rid", "n", "shared", "root", "column"))
-            cluster = table.column("cluster").to_numpy()
+        members = crowds.groupBy("rid").agg(F.first("n").alias("n")).join(clusters.withColumnRenamed("node", "rid"), "rid", "left")
+        members = scratch.keep(members.select(F.coalesce("root", "rid").alias("block"), "rid", "n"), "jaccard-clusters")
+        # rows of one cluster meet there, those of one root are connected: rows of one unit needn't meet
+        unit = F.coalesce(2 * F.col("cluster") + 1, 2 * F.col("root"))
+        tasks = scratch.parts_for(entries.count(), 100_000, 8)
+        entries = entries.join(members.select("rid", F.col("block").alias("cluster")), "rid", "left").select("rid", "n", "shared", "root", "column", unit.alias("unit"), "rows")
+        none = F.lit(0)
+        light = entries.where(F.col("rows") <= COLUMN_PART).drop("rows").select("*", none.alias("own"), none.alias("p"), none.alias("q"), F.pmod(F.xxhash64("column"), F.lit(tasks)).alias("task"))
+        # a column of many: the unit that most have is one side, which doesn't meet itself, and is dealt in parts as others are; each pair of parts is a task's
+        heavy = entries.where(F.col("rows") > COLUMN_PART)
+        by_unit = heavy.groupBy("column", "unit").agg(F.count(F.lit(1)).alias("of_unit")).groupBy("column").agg(F.sum("of_unit").alias("all"), F.max(F.struct("of_unit", "unit")).alias("main"))
+        part = lambda rows: F.ceil(rows / COLUMN_PART).cast("int")
+        sides = by_unit.where(F.col("all") > F.col("main.of_unit")).select("column", F.col("main.unit").alias("main"), part(F.col("main.of_unit")).alias("main_parts"), part(F.col("all") - F.col("main.of_unit")).alias("other_parts"))
+        others = F.col("other_parts")
+        own = F.when(F.col("unit") == F.col("main"), others + F.pmod(F.xxhash64("rid"), F.col("main_parts"))).otherwise(F.pmod(F.xxhash64("rid"), others)).cast("int")
+        placed = heavy.join(sides, "column").withColumn("own", own)
+        meets = F.when(F.col("own") >= others, F.sequence(none, others - 1)).otherwise(F.sequence(none, others + F.col("main_parts") - 1))
+        placed = placed.withColumn("with", F.explode(meets)).select("rid", "n", "shared", "root", "column", "unit", "own", F.least("own", "with").alias("p"), F.greatest("own", "with").alias("q"))
+        entries = light.unionByName(placed.withColumn("task", F.xxhash64("column", "p", "q")))
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(list(batches)).sort_by([(c, "ascending") for c in ("column", "p", "q", "rid")])
+            rid, n, shared, root, unit, column, own, p, q = (table.column(c).to_numpy() for c in ("rid", "n", "shared", "root", "unit", "column", "own", "p", "q"))
             beyond = n - prefix_length(n, num, den)
-            starts = np.flatnonzero(np.diff(column, prepend=column[0] - 1))
-            a_parts, b_parts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            starts = np.flatnonzero((np.diff(column, prepend=column[:1] - 1) != 0) | (np.diff(p, prepend=-1) != 0) | (np.diff(q, prepend=-1) != 0))
+            ids, first, row = np.unique(rid, return_index=True, return_inverse=True)
+            size = n[first]
+
+            def combined(parts: list[np.ndarray]) -> pa.RecordBatch:
+                a, b = np.concatenate(parts, axis=1) if parts else np.zeros((2, 0), np.int64)
+                pair, c = np.unique(np.minimum(a, b) * len(ids) + np.maximum(a, b), return_counts=True)
+                a, b = pair // max(len(ids), 1), pair % max(len(ids), 1)
+                return pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[a], ids[b], size[a], size[b], c)], ["u", "v", "nu", "nv", "c"])
+
+            parts, pending = [], 0
             for x, y in zip(starts.tolist(), [*starts[1:].tolist(), len(column)], strict=True):
-                # partners come later in a block and are at most 1/t times as large
-                reach = np.searchsorted(n[x:y], n[x:y] * den // num, "right") + x
-                step = max(1, 1_000_000 // (y - x))
-                for lo in range(x, y, step):
-                    here = np.arange(lo, min(lo + step, y))
-                    many = reach[here - x] - here - 1
-                    i, j = np.repeat(here, many), ts.spread(here + 1, many)
+                for i, j in across(unit[x:y], n[x:y], num, den):
+                    i, j = i + x, j + x
                     may = np.minimum(shared[i], shared[j]) + np.maximum(beyond[i], beyond[j]) >= overlap_needed(n[i] + n[j], num, den)
-                    may &= (root[i] != root[j]) & ((cluster[i] != cluster[j]) | (cluster[i] < 0))
-                    a_parts.append(i[may])
-                    b_parts.append(j[may])
-            i, j = np.concatenate(a_parts), np.concatenate(b_parts)
-            a, b = np.minimum(rid[i], rid[j]), np.maximum(rid[i], rid[j])
-            na, nb = np.where(rid[i] < rid[j], n[i], n[j]), np.where(rid[i] < rid[j], n[j], n[i])
-            order = np.lexsort((b, a))
-            a, b, na, nb = a[order], b[order], na[order], nb[order]
-            new = np.flatnonzero((np.diff(a, prepend=-1) != 0) | (np.diff(b, prepend=-1) != 0))
-            return pa.table({"u": a[new], "v": b[new], "nu": na[new], "nv": nb[new], "c": np.diff(np.append(new, len(a)))})
-
-        pairs = entries.groupBy("bucket").applyInArrow(count, "u long, v long, nu long, nv long, c long").groupBy("u", "v", "nu", "nv").agg(F.sum("c").alias("c"))
+                    may &= root[i] != root[j]
+                    may &= (own[i] != own[j]) | (p[i] == q[i])  # two of one part meet in its part with itself
+                    parts.append(np.stack([row[i[may]], row[j[may]]]))
+                    pending += parts[-1].shape[1]
+                    if pending > 4_000_000:
+                        yield combined(parts)
+                        parts, pending = [], 0
+            yield combined(parts)
+
+        pairs = entries.groupBy("task").applyInArrow(count, "u long, v long, nu long, nv long, c long").groupBy("u", "v", "nu", "nv").agg(F.sum("c").alias("c"))
         after = F.expr(f"greatest((nu * {num} + {den - 1}) div {den}, (nv * {num} + {den - 1}) div {den}) - 1")
         need = F.expr(f"((nu + nv) * {num} + {num + den - 1}) div {num + den}")
-        return members, pairs.where(F.col("c") + after >= need).select("u", "v")
+        return members, pairs.where(F.col("c") + after >= need)
 
     def run(self) -> DataFrame:
         info, columns = self.describe()
         classes = scratch.keep(info.where("n > 0").groupBy("sig", "n").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("least")), "jaccard-classes")
-        documents = info.count()
-        common = columns.groupBy("column").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= max(COMMON_HERE, documents / COMMON)).select("column")
-        found = self.candidates(classes, common)
-        links = self.links(found.where(self.likely()).select(F.array_min(F.transform("columns", lambda c: F.xxhash64(c))).alias("block"), "rid"))
+        found = self.candidates(classes, self.common(columns))
+        links = self.links(found.where(self.likely()).select(F.array_min(F.transform("columns", lambda c: F.xxhash64(c))).alias("block"), "rid", "n"))
         members, pairs = self.left_over(found, components.components(links))
         links = links.unionByName(self.links(members, whole=True))
         # a block of each smaller row's partners
         pairs = scratch.keep(pairs, "jaccard-pairs")
-        links = links.unionByName(self.links(pairs.select(F.col("u").alias("block"), F.col("v").alias("rid")).unionByName(pairs.select(F.col("u").alias("block"), F.col("u").alias("rid")).distinct())))
+        partners = pairs.select(F.col("u").alias("block"), F.col("v").alias("rid"), F.col("nv").alias("n"))
+        links = links.unionByName(self.links(partners.unionByName(pairs.select(F.col("u").alias("block"), F.col("u").alias("rid"), F.col("nu").alias("n")).distinct())))
         roots = components.components(links)
         linked = classes.join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
         names = linked.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -372,9 +436,9 @@ class Join:
         return out.select(*[F.col(own[c]).alias(c) if c in own else F.col(f"others.`{c}`").alias(c) for c in columns])
 
 
-def link(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = GROUP_BYTES, tile: int = TILE, bucket_hashes: int = BUCKET_HASHES) -> DataFrame:
+def link(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = GROUP_BYTES, tile: int = TILE, range_hashes: int = RANGE_HASHES, step_bits: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; two rows link when den * |intersection| >= num * |union| of their n-gram sets."""
-    return Join(docs, n, num, den, id_col, text_col, group_bytes, tile, bucket_hashes).run().drop("rid", "root")
+    return Join(docs, n, num, den, id_col, text_col, group_bytes, tile, range_hashes, step_bits).run().drop("rid", "root")
 
 
 def keep_first(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -382,7 +446,7 @@ def keep_first(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
 
     The join's store carries all columns, and kept rows are picked from it where they lie.
     """
-    settings = {"group_bytes": GROUP_BYTES, "tile": TILE, "bucket_hashes": BUCKET_HASHES} | options
+    settings = {"group_bytes": GROUP_BYTES, "tile": TILE, "range_hashes": RANGE_HASHES} | options
     join = Join(docs, n, num, den, id_col, text_col, **settings, carry=True)
     found = scratch.keep(join.run(), "jaccard-components")
     # a component is named by its root row: ids may be null or repeated

@@ -62,13 +62,13 @@ def statistics(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     has = np.searchsorted(w.starts, ends) > np.searchsorted(w.starts, starts)
     starts, ends = starts[has], ends[has]
     line_doc = np.searchsorted(off, starts, "right") - 1
-    _, later = ts.twice(ts.in_document(ts.hash_pieces(buf, starts, ends), line_doc))
+    _, later = ts.twice(*(ts.in_document(ts.hash_pieces(buf, starts, ends, which), line_doc) for which in (0, 1)))
     lines = np.bincount(line_doc, minlength=docs)
     dup = np.bincount(line_doc[later], minlength=docs)
 
     at, h = ts.windows(w.hash, w.first, 3)
     at_doc = np.searchsorted(w.first, at, "right") - 1
-    again, repeated = ts.twice(ts.in_document(h, at_doc))
+    again, repeated = ts.twice(*(ts.in_document(x, at_doc) for x in (h, ts.windows(w.second(), w.first, 3, which=1)[1])))
     repeat = ts.per_document(ts.covered(at[again], 3, len(w.hash)), w.first)
     windows = np.bincount(at_doc, minlength=docs)
     distinct = windows - np.bincount(at_doc[repeated], minlength=docs)

@@ -34,6 +34,6 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def parts_for(df_bytes: int, each: int, least: int = 1, most: int = 50_000) -> int:
+def parts_for(df_bytes: int, each: int, least: int = 1) -> int:
     """How many groups of about `each` bytes hold df_bytes."""
-    return max(least, min(most, -(-int(df_bytes) // each)))
+    return max(least, -(-int(df_bytes) // each))

@@ -5,12 +5,12 @@ half window of every text probes that index. Hits, which other documents share,
 that holds one is compared with equal windows elsewhere, and adjoining windows that start in an earlier document
 make up a maximal repeat, whose words are removed.
 
-Both comparisons are merges of sorted hashes: a group of documents sends each of its distinct hashes once, as compressed
-blobs dealt by the hashes' top bits, and gets back those that matter to it. A passage in a third of all documents is thus one
-hash of each group, and no pairs are made. Texts are written once in groups and never shuffled. A window is compared by 64
-bits of one hash and the bucket's bits of another.
+Both comparisons are meetings of sorted hashes: a group of documents sends each of its distinct hashes once, in compressed packets
+dealt by the hashes' top bits, and gets back those that matter to it. A passage in a third of all documents is thus one
+hash of each group, and no pairs are made. Texts are written once in groups and never shuffled. Half windows meet by 64 bits, which only
+choose candidates; full windows are compared by two hashes that share nothing but the text, 128 bits.
 
-Words are runs of characters other than ASCII white space. Null text has no words. Ids are integers; a row with a null id neither
+Words are runs of characters other than ASCII white space. Null text has no words. Ids are of any type that has an order; a row with a null id neither
 loses words nor makes others lose them; rows that share an id don't make each other lose words. Texts shorter than a window stay
 whole. An empty table gives an empty result. Extra columns are ignored.
 """
@@ -23,46 +23,56 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestrata.llm import hashruns as hr
+from lodestrata.llm import scratch
 from lodestrata.llm import textscan as ts
 
 GROUP_BYTES = 12 << 20
-BUCKET_HASHES = 1_500_000
+RANGE_HASHES = 1_500_000
 
 
 def _subgroups(table: pa.Table):
-    """(first row, ids, null ids, bytes, offsets) of each megabyte of a group."""
+    """(first row, ranks of ids, null ids, bytes, offsets) of each megabyte of a group."""
     buf, off = ts.raw(table.column("text"))
-    ids = table.column("doc_id").combine_chunks()
+    ids = table.column("rank").combine_chunks()
     null = np.asarray(ids.is_null())
     value = ids.fill_null(0).to_numpy(zero_copy_only=False)
     for lo, hi in ts.groups(off):
         yield lo, value[lo:hi], null[lo:hi], buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
 
 
-def _blobs(sorted_hashes: np.ndarray, buckets: int, *more) -> list[tuple]:
-    """(bucket, number of hashes, blob, ...): more are functions of the bucket's slice."""
-    bounds = hr.bucket_bounds(sorted_hashes, buckets).tolist()
-    return [(b, y - x, hr.dump(sorted_hashes[x:y]), *(f(x, y) for f in more)) for b, (x, y) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if y > x]
+def _firsts(h: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(an order in which equal windows adjoin, where each new one begins in it)."""
+    order, again = ts.order_of(h, h2)
+    return order, np.flatnonzero(np.concatenate([[True], ~again])) if len(h) else np.zeros(0, np.int64)
 
 
-def _table(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.Table:
-    return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[] for _ in names], kinds, strict=True)], names)
+def with_ranks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text, rank: a long in the order of the ids. Ids of other types than whole numbers are numbered: distinct ids are sorted in ranges, not the texts."""
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    if isinstance(texts.schema["doc_id"].dataType, T.IntegralType):
+        return texts.withColumn("rank", F.col("doc_id").cast("long"))
+    ids = texts.select(F.col("doc_id").alias("of")).where("of is not null").distinct().repartitionByRange("of").sortWithinPartitions("of")
+    return texts.join(scratch.keep(ids.withColumn("rank", F.monotonically_increasing_id()), "id-ranks"), F.col("of") == F.col("doc_id"), "left").drop("of")
 
 
-def removed_and_kept(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", keep: str = "sha", group_bytes: int = GROUP_BYTES, bucket_hashes: int = BUCKET_HASHES) -> DataFrame:
+def removed_and_kept(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", keep: str = "sha", group_bytes: int = GROUP_BYTES, range_hashes: int = RANGE_HASHES, step_bits: int | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, and kept_sha256 of the kept words (keep="sha") or kept_text, the kept words joined by a space."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    texts = with_ranks(docs, id_col, text_col)
+    id_type = texts.schema["doc_id"].dataType.simpleString()
+    total, count = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
     half = window // 2
-    buckets = hr.buckets_for(total // 6, bucket_hashes)
     store = hr.grouped_table(texts, "substring_texts", group_bytes, total=total)
+    groups = (total + 16 * count) // group_bytes + 1
+    halves = hr.Meeting(total // 6, groups, range_hashes, {"block": "u1", "several": "u1"}, step_bits=step_bits)
+    fulls = hr.Meeting(total // 6, groups, range_hashes, {"second": "<u8", "rank": "<i8"}, {"second": "<u8"}, step_bits=step_bits)
 
     def probe(table: pa.Table) -> pa.Table:
         """Each distinct hash of a group's rolling half windows; whether it is a block's, and whether two documents here have it."""
         hashes, blocks, owner = [], [], []
-        for lo, ids, null, buf, off in _subgroups(table):
+        for lo, _, null, buf, off in _subgroups(table):
             w = ts.words(buf, off)
             at, h = ts.windows(w.hash, w.first, half)
             doc = np.searchsorted(w.first, at, "right") - 1
@@ -74,132 +84,101 @@ def removed_and_kept(docs: DataFrame, window: int = 50, id_col: str = "doc_id",
         order = np.argsort(h, kind="stable")
         h, block, doc = h[order], block[order], doc[order]
         new = np.flatnonzero(np.diff(h, prepend=~h[:1]) != 0)
-        u = h[new]
-        any_block = np.logical_or.reduceat(block, new) if len(new) else block
-        several = np.maximum.reduceat(doc, new) != np.minimum.reduceat(doc, new) if len(new) else block
-        rows = _blobs(u, buckets, lambda x, y: hr.dump_bits(any_block[x:y]), lambda x, y: hr.dump_bits(several[x:y]))
-        grp = table.column("grp")[0].as_py()
-        return _table([(b, grp, *r) for b, *r in rows], ["bucket", "grp", "n", "hashes", "blocks", "several"], [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()])
-
-    def meet(table: pa.Table) -> pa.Table:
-        """The hashes, for each group, that are a block's somewhere and that two documents have."""
-        rows = table.to_pylist()
-        part = [hr.load(r["hashes"], r["n"]) for r in rows]
-        h = np.concatenate(part)
-        block = np.concatenate([hr.load_bits(r["blocks"], r["n"]) for r in rows])
-        several = np.concatenate([hr.load_bits(r["several"], r["n"]) for r in rows])
+        if not len(new):
+            return halves.none()
+        any_block = np.logical_or.reduceat(block, new)
+        several = np.maximum.reduceat(doc, new) != np.minimum.reduceat(doc, new)
+        return halves.send(table.column("grp")[0].as_py(), h[new], block=any_block, several=several)
+
+    def live(h: np.ndarray, others: dict) -> tuple[np.ndarray, dict]:
+        """Which hashes are a block's somewhere and in two documents."""
         order = np.argsort(h, kind="stable")
         new = np.flatnonzero(np.diff(h[order], prepend=~h[order[:1]]) != 0)
         size = np.diff(np.append(new, len(h)))
-        live = np.logical_or.reduceat(block[order], new) & ((size > 1) | np.logical_or.reduceat(several[order], new))
+        found = np.logical_or.reduceat(others["block"][order], new) & ((size > 1) | np.logical_or.reduceat(others["several"][order], new))
         mask = np.zeros(len(h), bool)
-        mask[order] = np.repeat(live, size)
-        at, out = 0, []
-        for r, values in zip(rows, part, strict=True):
-            mine = values[mask[at : at + len(values)]]
-            at += len(values)
-            if len(mine):
-                out.append((r["grp"], len(mine), hr.dump(mine)))
-        return _table(out, ["grp", "n", "hashes"], [pa.int64(), pa.int64(), pa.binary()])
-
-    def known(table: pa.Table) -> np.ndarray:
-        parts = [hr.load(r["hashes"], r["n"]) for r in table.to_pylist()]
-        return np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
-
-    def member(h: np.ndarray, sorted_values: np.ndarray) -> np.ndarray:
-        if not len(sorted_values):
-            return np.zeros(len(h), bool)
-        return sorted_values[np.minimum(np.searchsorted(sorted_values, h), len(sorted_values) - 1)] == h
+        mask[order] = np.repeat(found, size)
+        return mask, {}
 
     def candidates(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Each distinct full window of a group that holds a hit, with its smallest id here."""
+        """Each distinct full window of a group that holds a hit, with its smallest rank here."""
         if not left.num_rows or not right.num_rows:
-            return _table([], ["bucket", "grp", "n", "hashes", "ids"], [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()])
-        live, hashes, owner, where = known(right), [], [], []
+            return fulls.none()
+        known, _ = halves.answers(right)
+        hashes, seconds, owner = [], [], []
         for _, ids, null, buf, off in _subgroups(left):
             w = ts.words(buf, off)
             at, h = ts.windows(w.hash, w.first, half)
-            hit = at[member(h, live)]
+            hit = at[hr.member(h, known)]
+            if not len(hit):
+                continue
             n = len(w.hash)
             # starts from half a window before a hit to the hit itself
             d = np.bincount(np.maximum(hit - (window - half), 0), minlength=n + 1) - np.bincount(hit + 1, minlength=n + 2)[: n + 1]
             near = np.cumsum(d[:n]) > 0
-            at, h = ts.windows(w.hash, w.first, window, which=1)
-            _, h2 = ts.windows(w.hash, w.first, window, which=2)
+            at, h = ts.windows(w.hash, w.first, window)
             doc = np.searchsorted(w.first, at, "right") - 1
             ok = near[at] & ~null[doc]
             hashes.append(h[ok])
-            where.append(h2[ok])
+            seconds.append(ts.windows(w.second(), w.first, window, which=1)[1][ok])
             owner.append(ids[doc[ok]])
-        h, h2, d = np.concatenate(hashes), np.concatenate(where), np.concatenate(owner)
-        rows = []
-        grp = left.column("grp")[0].as_py()
-        bucket = (h2 >> np.uint64(64 - (buckets.bit_length() - 1))).astype(np.int64)
-        order = np.lexsort((d, h, bucket))
-        h, d, bucket = h[order], d[order], bucket[order]
-        new = np.flatnonzero((np.diff(h, prepend=~h[:1]) != 0) | (np.diff(bucket, prepend=-1) != 0))
-        h, d, bucket = h[new], d[new], bucket[new]  # ids ascend within a hash: the first is the smallest
-        bounds = np.searchsorted(bucket, np.arange(buckets + 1)).tolist()
-        for b, (x, y) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-            if y > x:
-                rows.append((b, grp, y - x, hr.dump(h[x:y]), d[x:y].astype("<i8").tobytes()))
-        return _table(rows, ["bucket", "grp", "n", "hashes", "ids"], [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()])
-
-    def earlier(table: pa.Table) -> pa.Table:
+        if not sum(map(len, hashes)):
+            return fulls.none()
+        h, h2, rank = np.concatenate(hashes), np.concatenate(seconds), np.concatenate(owner)
+        order, new = _firsts(h, h2)
+        return fulls.send(left.column("grp")[0].as_py(), h[order][new], second=h2[order][new], rank=np.minimum.reduceat(rank[order], new))
+
+    def earlier(h: np.ndarray, others: dict) -> tuple[np.ndarray, dict]:
         """The windows, for each group, that start in a document with a smaller id than any of that group's."""
-        rows = table.to_pylist()
-        part = [hr.load(r["hashes"], r["n"]) for r in rows]
-        h, ids = np.concatenate(part), np.concatenate([np.frombuffer(r["ids"], "<i8") for r in rows])
-        order = np.argsort(h, kind="stable")
-        new = np.flatnonzero(np.diff(h[order], prepend=~h[order[:1]]) != 0)
-        least = np.repeat(np.minimum.reduceat(ids[order], new), np.diff(np.append(new, len(h))))
+        rank = others["rank"]
+        order, new = _firsts(h, others["second"])
+        least = np.repeat(np.minimum.reduceat(rank[order], new), np.diff(np.append(new, len(h))))
         mask = np.zeros(len(h), bool)
-        mask[order] = least < ids[order]
-        at, out = 0, []
-        for r, values in zip(rows, part, strict=True):
-            mine = values[mask[at : at + len(values)]]
-            at += len(values)
-            if len(mine):
-                out.append((r["grp"], r["bucket"], len(mine), hr.dump(mine)))
-        return _table(out, ["grp", "bucket", "n", "hashes"], [pa.int64(), pa.int32(), pa.int64(), pa.binary()])
+        mask[order] = least < rank[order]
+        return mask, {"second": others["second"][mask]}
 
     result = "kept_sha256" if keep == "sha" else "kept_text"
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
-        seen = known(right)
-        parts, hashes, owner, where = [], [], [], []
-        for lo, ids, null, buf, off in _subgroups(left) if left.num_rows else ():
+        seen, seen2 = fulls.answers(right)
+        parts, hashes, seconds, owner = [], [], [], []
+        for _, ids, null, buf, off in _subgroups(left) if left.num_rows else ():
             w = ts.words(buf, off)
             at, h = ts.windows(w.hash, w.first, window)
+            h2 = ts.windows(w.second(), w.first, window, which=1)[1]
             doc = np.searchsorted(w.first, at, "right") - 1
             ok = ~null[doc]
-            parts.append((lo, buf, off, w.starts, w.ends, w.first, at[ok], len(h[ok])))
+            parts.append((buf, w.starts, w.ends, w.first, at[ok]))
             hashes.append(h[ok])
+            seconds.append(h2[ok])
             owner.append(ids[doc[ok]])
         flagged = np.zeros(sum(map(len, hashes)), bool)
         if len(flagged):
-            h, d = np.concatenate(hashes), np.concatenate(owner)
-            order = np.argsort(h, kind="stable")
-            new = np.flatnonzero(np.diff(h[order], prepend=~h[order[:1]]) != 0)
-            size = np.diff(np.append(new, len(h)))
-            flagged[order] = np.repeat(member(h[order][new], seen), size) | (d[order] > np.repeat(np.minimum.reduceat(d[order], new), size))
+            # known repeats go first: what equals one is a repeat too
+            h, h2 = np.concatenate([seen, *hashes]), np.concatenate([seen2["second"], *seconds])
+            d = np.concatenate([np.full(len(seen), np.iinfo(np.int64).min), *owner])
+            order, new = _firsts(h, h2)
+            d = d[order]
+            least = np.repeat(np.minimum.reduceat(d, new), np.diff(np.append(new, len(h))))
+            again = np.zeros(len(h), bool)
+            again[order] = d > least
+            flagged = again[len(seen) :]
         n_words, n_removed, kept, place = [], [], [], 0
-        for _, buf, off, starts, ends, first, at, m in parts:
-            gone = ts.covered(at[flagged[place : place + m]], window, len(starts))
-            place += m
+        for buf, starts, ends, first, at in parts:
+            gone = ts.covered(at[flagged[place : place + len(at)]], window, len(starts))
+            place += len(at)
             n_words.append(np.diff(first))
             n_removed.append(ts.per_document(gone, first))
             kept += kept_words(buf, starts, ends, first, gone)
         made = [hashlib.sha256(x).hexdigest() for x in kept] if keep == "sha" else [x.decode() for x in kept]
-        ids = left.column("doc_id").combine_chunks() if left.num_rows else pa.array([], pa.int64())
+        ids = left.column("doc_id").combine_chunks() if left.num_rows else left.schema.empty_table().column("doc_id").combine_chunks()
         join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
         return pa.table({"doc_id": ids, "n_words": pa.array(join(n_words), pa.int64()), "n_removed": pa.array(join(n_removed), pa.int64()), result: pa.array(made, pa.string())})
 
-    blobs = store.groupBy("grp").applyInArrow(probe, "bucket int, grp long, n long, hashes binary, blocks binary, several binary")
-    live = blobs.groupBy("bucket").applyInArrow(meet, "grp long, n long, hashes binary")
-    full = store.groupBy("grp").cogroup(live.groupBy("grp")).applyInArrow(candidates, "bucket int, grp long, n long, hashes binary, ids binary")
-    repeats = full.groupBy("bucket").applyInArrow(earlier, "grp long, bucket int, n long, hashes binary")
-    return store.groupBy("grp").cogroup(repeats.groupBy("grp")).applyInArrow(remove, f"doc_id long, n_words long, n_removed long, {result} string")
+    hits = halves.met(store.groupBy("grp").applyInArrow(probe, halves.SCHEMA), live)
+    full = store.groupBy("grp").cogroup(hits.groupBy("grp")).applyInArrow(candidates, fulls.SCHEMA)
+    repeats = fulls.met(full, earlier)
+    return store.groupBy("grp").cogroup(repeats.groupBy("grp")).applyInArrow(remove, f"doc_id {id_type}, n_words long, n_removed long, {result} string")
 
 
 def kept_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, gone: np.ndarray) -> list[bytes]:

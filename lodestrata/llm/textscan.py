@@ -1,13 +1,14 @@
 """Words and window hashes of whole Arrow text columns, as numpy arrays.
 
 A task hands over one Arrow batch; the functions here work on its UTF-8 bytes directly, in groups
-of whole documents of about a megabyte, so that temporaries stay small. A hash is a polynomial over
-the bytes of a word modulo 2**64 (taken from one running sum, so it costs a few nanoseconds a
-byte), then mixed; a window's hash is a polynomial over its words' hashes.
+of whole documents of about a megabyte, so that temporaries stay small. A word is hashed eight bytes
+at a time, each step a multiplication and a shift, and a long one by BLAKE2; a window's hash joins those of its halves in the
+same way. `which` chooses one of two families of hashes that share nothing but the bytes, so equal pairs of hashes are 128 bits.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,26 +16,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-_BASES = (U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F))
+#: (multiplier of the length, of a step, of a window's first half, of a window) of each family.
+_FAMILIES = ((U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x9FB21C651E98DF25), U(0xD6E8FEB86659FD93)), (U(0xA0761D6478BD642F), U(0x94D049BB133111EB), U(0xC2B2AE3D27D4EB4F), U(0xE7037ED1A0B428DB)))
+_DOCUMENT = U(0x8EBC6AF09C88C6E3)
+#: The first 0..8 bytes of a little-endian word.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=U)
+#: Pieces of more bytes than this are hashed one by one.
+LONG_PIECE = 512
 GROUP_BYTES = 1 << 20
-_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n-1 of a base and of its inverse modulo 2**64; kept for the worker's next batch."""
-    have = _tables.get(which)
-    if have is None or len(have[0]) < n:
-        size = 1 << max(n, 1024).bit_length()
-        base = int(_BASES[which])
-        both = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(size, U(b), U)
-            p[0] = U(1)
-            both.append(np.cumprod(p, dtype=U))
-        have = tuple(both)
-        if size <= 1 << 22:
-            _tables[which] = have
-    return have
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -51,8 +40,7 @@ def byte_table(is_word) -> np.ndarray:
 #: Bytes of words split at ASCII white space, and of words of ASCII digits, letters and all else outside ASCII.
 SPACED = byte_table(lambda b: not (b == 32 or 9 <= b <= 13))
 ALNUM = byte_table(lambda b: 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128)
-_PLAIN = np.arange(1, 257, dtype=U)
-_FOLDED = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=U) + U(1)
+_FOLDED = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
 
 
 def raw(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,38 +69,65 @@ def groups(off: np.ndarray, limit: int = GROUP_BYTES) -> Iterator[tuple[int, int
         lo = min(hi, n)
 
 
-def sums(buf: np.ndarray, fold: bool = False) -> np.ndarray:
-    """Running polynomial sums; piece_hash() takes any piece's hash from them."""
-    s = np.empty(len(buf) + 1, U)
-    s[0] = 0
-    np.cumsum((_FOLDED if fold else _PLAIN)[buf] * powers(0, len(buf))[0][: len(buf)], out=s[1:])
-    return s
-
-
-def piece_hash(s: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return mix((s[ends] - s[starts]) * powers(0, len(s))[1][starts] + (ends - starts).astype(U))
-
-
-def hash_pieces(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:
-    """Hashes of ordered pieces of buf; the running sums of a very long text are made a part at a time."""
-    if len(buf) <= 8 * GROUP_BYTES:
-        return piece_hash(sums(buf, fold), starts, ends)
-    hashes, lo = np.empty(len(starts), U), 0
-    while lo < len(starts):
-        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + 4 * GROUP_BYTES, "right")))
-        a, b = int(starts[lo]), int(ends[hi - 1])
-        hashes[lo:hi] = piece_hash(sums(buf[a:b], fold), starts[lo:hi] - a, ends[lo:hi] - a)
-        lo = hi
-    return hashes
+def lanes(buf: np.ndarray, spare: bool = False) -> np.ndarray:
+    """The eight bytes from each place in buf on as a number; zeros follow the end. spare: the last eight bytes of buf are unused, and it needn't be copied."""
+    padded = buf if spare else np.concatenate([buf, np.zeros(8, np.uint8)])
+    return np.ndarray((len(padded) - 7,), "<u8", padded, 0, (1,))
+
+
+def folded(buf: np.ndarray) -> np.ndarray:
+    return _FOLDED[buf]
+
+
+def hash_pieces(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """Hashes of pieces of buf."""
+    by_length, step, _, _ = _FAMILIES[which]
+    lane, n = lanes(buf), ends - starts
+    h = n.astype(U) * by_length
+    h ^= lane[starts] & _FIRST[np.minimum(n, 8)]
+    h *= step
+    h ^= h >> U(29)
+    at, more = 8, np.flatnonzero((n > 8) & (n <= LONG_PIECE))
+    while len(more):
+        left = n[more] - at
+        x = h[more]
+        x ^= lane[starts[more] + at] & _FIRST[np.minimum(left, 8)]
+        x *= step
+        x ^= x >> U(29)
+        h[more] = x
+        more, at = more[left > 8], at + 8
+    for i in np.flatnonzero(n > LONG_PIECE).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(buf[starts[i] : ends[i]], digest_size=8, person=bytes([which])).digest(), "little")
+    return mix(h)
+
+
+def same_pieces(a: np.ndarray, a_starts: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_starts: np.ndarray, b_ends: np.ndarray, spare: bool = False) -> np.ndarray:
+    """Whether each piece of a has the bytes of that of b; spare: as in lanes, for b."""
+    n = a_ends - a_starts
+    same = n == b_ends - b_starts
+    x, y, at, more = lanes(a), lanes(b, spare), 0, np.flatnonzero(same & (n > 0) & (n <= LONG_PIECE))
+    while len(more):
+        left = n[more] - at
+        mask = _FIRST[np.minimum(left, 8)]
+        ok = (x[a_starts[more] + at] & mask) == (y[b_starts[more] + at] & mask)
+        same[more[~ok]] = False
+        more, at = more[ok & (left > 8)], at + 8
+    for i in np.flatnonzero(same & (n > LONG_PIECE)).tolist():
+        same[i] = np.array_equal(a[a_starts[i] : a_ends[i]], b[b_starts[i] : b_ends[i]])
+    return same
 
 
 class Words:
     """starts, ends: byte places in buf; hash: of each word; first: the first word of each document, then the number of words."""
 
-    __slots__ = ("ends", "first", "hash", "starts")
+    __slots__ = ("buf", "ends", "first", "hash", "starts")
+
+    def __init__(self, buf, starts, ends, hash_, first):
+        self.buf, self.starts, self.ends, self.hash, self.first = buf, starts, ends, hash_, first
 
-    def __init__(self, starts, ends, hash_, first):
-        self.starts, self.ends, self.hash, self.first = starts, ends, hash_, first
+    def second(self) -> np.ndarray:
+        """Each word's hash of the other family."""
+        return hash_pieces(self.buf, self.starts, self.ends, which=1)
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
@@ -136,21 +151,34 @@ def words(buf: np.ndarray, off: np.ndarray, table: np.ndarray = SPACED, fold: bo
     ends = np.flatnonzero(e) + 1
     first = np.searchsorted(starts, off)
     first[-1] = len(starts)
-    hashes = hash_pieces(buf, starts, ends, fold) if hashed else None
-    return Words(starts, ends, hashes, first)
+    said = folded(buf) if fold else buf
+    return Words(said, starts, ends, hash_pieces(said, starts, ends) if hashed else None, first)
 
 
-def windows(h: np.ndarray, first: np.ndarray, k: int, which: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, hash) of every window of k consecutive words that lies in one document."""
-    per = np.maximum(np.diff(first) - k + 1, 0)
-    at = spread(first[:-1], per)
+def windows(h: np.ndarray, first: np.ndarray, k: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, hash) of every window of k consecutive words that lies in one document; h: the words' hashes of family `which`."""
+    at = spread(first[:-1], np.maximum(np.diff(first) - k + 1, 0))
     if not len(at):
         return at, np.zeros(0, U)
-    p, inv = powers(which, len(h) + 1)
-    s = np.empty(len(h) + 1, U)
-    s[0] = 0
-    np.cumsum(h * p[: len(h)], out=s[1:])
-    return at, mix((s[at + k] - s[at]) * inv[at])
+    _, _, half, whole = _FAMILIES[which]
+
+    def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        x = a[: len(b)] * half
+        x += b
+        x ^= x >> U(31)
+        x *= whole
+        x ^= x >> U(29)
+        return x
+
+    # windows of 1, 2, 4, ... words; those that make up k are put one after another
+    part, size, out, done = h, 1, None, 0
+    while True:
+        if k & size:
+            out = part if out is None else joined(out, part[done:])
+            done += size
+        if done == k:
+            return at, mix(out[at])
+        part, size = joined(part, part[size:]), 2 * size
 
 
 def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -174,13 +202,22 @@ def per_document(mask: np.ndarray, first: np.ndarray) -> np.ndarray:
     return total[first[1:]] - total[first[:-1]]
 
 
-def twice(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(which keys occur twice or more, which of those come after an equal one)."""
+def order_of(key: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(an order in which equal pairs of hashes adjoin, whether each in it but the first equals the one before); sorted by key, equal pairs in their own order."""
     order = np.argsort(key, kind="stable")
-    k = key[order]
-    same = np.zeros(len(k) + 1, bool)
-    same[1:-1] = k[1:] == k[:-1]
-    any_, later = np.zeros(len(k), bool), np.zeros(len(k), bool)
+    k, s = key[order], second[order]
+    same, other = k[1:] == k[:-1], s[1:] != s[:-1]
+    if (same & other).any():  # one hash says the same of different things
+        order = np.lexsort((second, key))
+        same, other = key[order[1:]] == key[order[:-1]], second[order[1:]] != second[order[:-1]]
+    return order, same & ~other
+
+
+def twice(key: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which pairs of hashes occur twice or more, which of those come after an equal one)."""
+    order, again = order_of(key, second)
+    same = np.concatenate([[False], again, [False]]) if len(key) else np.zeros(1, bool)
+    any_, later = np.zeros(len(key), bool), np.zeros(len(key), bool)
     any_[order] = same[:-1] | same[1:]
     later[order] = same[:-1]
     return any_, later
@@ -188,4 +225,4 @@ def twice(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def in_document(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Hashes that are equal only for equal hashes of the same document."""
-    return mix(h + (doc.astype(U) + U(1)) * _BASES[2])
+    return mix(h + (doc.astype(U) + U(1)) * _DOCUMENT)

@@ -30,17 +30,17 @@ LEXICON_VOTERS = 40
 
 def entries(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(document, hash, next shorter beginning's hash or 0) of each word and each of its beginnings; words of each document; a table of its characters' kinds."""
-    w = ts.words(buf, off, ts.ALNUM, hashed=False)
+    w = ts.words(buf, off, ts.ALNUM, fold=True, hashed=False)
     doc = w.doc()
     docs, hashes, shorter, last = [], [], [], np.zeros(len(doc), np.uint64)
     for n in BEGINNINGS:
         ok = w.ends - w.starts >= n
         docs.append(doc[ok])
-        hashes.append(ts.hash_pieces(buf, w.starts[ok], w.starts[ok] + n, fold=True))
+        hashes.append(ts.hash_pieces(w.buf, w.starts[ok], w.starts[ok] + n))
         shorter.append(last[ok])
         last[ok] = hashes[-1]
     docs.append(doc)
-    hashes.append(ts.hash_pieces(buf, w.starts, w.ends, fold=True) ^ _WHOLE)
+    hashes.append(ts.hash_pieces(w.buf, w.starts, w.ends) ^ _WHOLE)
     shorter.append(last)
     return np.concatenate(docs), np.concatenate(hashes), np.concatenate(shorter), w.counts(), _kinds(buf, off)
 

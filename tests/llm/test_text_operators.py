@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrata.llm import arrowmap, components, decontamination, jaccard_join, line_dedup, packing, quality, radix, resampling, scratch, substring_dedup, token_counts, tokens, toxicity, warc
+from lodestrata.llm import arrowmap, components, decontamination, hashruns, jaccard_join, line_dedup, packing, quality, radix, resampling, scratch, substring_dedup, token_counts, tokens, toxicity, warc
 from lodestrata.llm import textscan as ts
 
 SPACED = re.compile("[^\x20\x09-\x0d]+")
@@ -45,6 +45,23 @@ def empty(spark):
     return spark.createDataFrame([], "doc_id long, text string")
 
 
+def swapped(k):
+    """Two texts of 2**k bytes that any polynomial hash modulo 2**64 takes for one: abba baab ... and its complement."""
+    a, b = "a", "b"
+    for _ in range(k):
+        a, b = a + b, b + a
+    return a, b
+
+
+#: As words, lines and whole documents, of the length at which hashing goes another way and below.
+CRAFTED = [w for k in (5, 8, 9, 10, 12, 17) for w in swapped(k)]
+
+
+def crafted(say=VOCABULARY):
+    texts = [x for w in CRAFTED for x in (w, f"{w} {w}\nx y\n{w}", " ".join(say + [w] + say + say))]
+    return [(2000 + i, t) for i, t in enumerate(texts)]
+
+
 def rows(df):
     return sorted((tuple(r) for r in df.collect()), key=repr)
 
@@ -61,14 +78,22 @@ def test_words_and_windows():
         at, h = ts.windows(w.hash, w.first, 3)
         plain = [tuple(words_of(t)[i : i + 3]) for t in texts[lo:hi] for i in range(len(words_of(t)) - 2)]
         assert len(set(zip(plain, h.tolist(), strict=True))) == len(set(plain)) == len(set(h.tolist()))
-    one = np.frombuffer(("ab cd " * 2_000_000).encode(), np.uint8)  # hashed a part at a time
+    for which in (0, 1):
+        w = ts.words(*ts.raw(pa.array([" ".join(CRAFTED)])))
+        assert len(set(ts.hash_pieces(w.buf, w.starts, w.ends, which).tolist())) == len(CRAFTED)
+        # windows of two words in the same patterns: each is another
+        h = w.second() if which else w.hash
+        for k in (5, 10):
+            at, x = ts.windows(np.concatenate([h[[0 if c == "a" else 1 for c in t]] for t in swapped(k)]), np.array([0, 1 << k, 2 << k]), 1 << k, which)
+            assert len(at) == 2 == len(set(x.tolist()))
+    one = np.frombuffer(("ab cd " * 2_000_000).encode(), np.uint8)
     assert len(set(ts.words(one, np.array([0, len(one)])).hash.tolist())) == 2
 
 
 def test_token_counts(spark, docs, empty):
     t = tokens.tokenizer(tokens.default_path())
     odd = [(900, "a<|endoftext|>b  <|endoftext|>\n"), (901, "x  　 y  \n z"), (902, "tabs\t\tand  spaces   \n\n end "), (903, "日本語 テキスト 😀 👍🏽 "), (904, " " * 3000 + "x"), (905, "it's we'll 12345 ½ ٣٤")]
-    table = docs.select("doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
+    table = docs.select("doc_id", "text").unionByName(spark.createDataFrame(odd + crafted(), "doc_id long, text string"))
     want = sorted(((i, len((x or "").encode()), n := len(t.encode(x or "", add_special_tokens=False).ids), n > 100) for i, x in table.collect()), key=repr)
     assert rows(token_counts.count_tokens(table, tokens.default_path(), limit=100)) == want
     # many chunks, and overlaps that hold no boundary at first
@@ -94,9 +119,19 @@ def test_best_fit_decreasing():
             assert all(a + n == b for (a, n), (b, _) in zip(at, at[1:], strict=False)) and at[0][0] == 0 and sum(at[-1]) <= size
 
 
-def test_packing(docs, empty):
+def test_pieces_of_one_hash(monkeypatch):
+    # whatever the hash says, pieces are compared
+    monkeypatch.setattr(ts, "hash_pieces", lambda buf, starts, ends, which=0: (ends - starts).astype(np.uint64) % np.uint64(3))
+    t, cache = tokens.tokenizer(tokens.default_path()), tokens.PieceCache(tokens.default_path(), slots=4, pool=2000)
+    for seed in range(3):
+        texts = [x or "" for _, x in corpus(seed)] + [w for w in CRAFTED if len(w) < 5000]
+        ids, at = cache.encode(*ts.raw(pa.array(texts)))
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_packing(spark, docs, empty):
     t = tokens.tokenizer(tokens.default_path())
-    table = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    table = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", "text").unionByName(spark.createDataFrame(crafted(), "doc_id long, text string"))
     got = packing.pack(table, tokens.default_path(), size=64, group_pieces=40).toPandas()
     for i, text in table.select("doc_id", "text").collect():
         ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
@@ -125,13 +160,34 @@ def plain_substring(table, k):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("window", [10, 50])
-def test_substring_dedup(docs, empty, window):
-    table = [tuple(r) for r in docs.select("doc_id", "text").collect()]
-    assert rows(substring_dedup.removed_and_kept(docs, window=window, group_bytes=3000, bucket_hashes=500)) == plain_substring(table, window)
+@pytest.mark.parametrize(("window", "step_bits"), [(10, None), (50, None), (10, 2), (20, 1)])
+def test_substring_dedup(spark, docs, empty, window, step_bits):
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(crafted(), "doc_id long, text string"))
+    got = substring_dedup.removed_and_kept(df, window=window, group_bytes=9000, range_hashes=500, step_bits=step_bits)
+    assert rows(got) == plain_substring([tuple(r) for r in df.collect()], window)
     assert rows(substring_dedup.removed_and_kept(empty)) == []
 
 
+def test_substring_dedup_of_text_ids(spark):
+    table = [(f"id{i}" if i is not None else None, t) for i, t in [*corpus(), (5, corpus()[3][1]), (None, corpus()[3][1])]]
+    got = substring_dedup.removed_and_kept(spark.createDataFrame(table, "doc_id string, text string").repartition(3), window=10)
+    assert rows(got) == plain_substring(table, 10)
+
+
+def test_packets_follow_the_bytes():
+    """A group of documents sends about as many packets whatever the number of groups, and packets stay large."""
+    r = np.random.default_rng(1)
+    h = np.sort(r.integers(0, 1 << 63, 100_000).astype(np.uint64) * np.uint64(2))
+    for groups in (8, 1_000, 1_000_000, 1_000_000_000):
+        meeting = hashruns.Meeting(groups * len(h), groups, 100_000, {"x": "u1"}, step_bits=6)
+        packets = meeting.send(3, h, x=np.ones(len(h)))
+        assert packets.num_rows <= 1 << max(6, -(-meeting.bits // 2)) and 1 << meeting.bits >= groups
+        if meeting.coarse < meeting.bits:
+            # a task that deals further: so many groups, each with its share of a range
+            block, share = groups / meeting.blocks, len(h) / (1 << meeting.coarse)
+            assert block * share <= 2.1 * 100_000 and block * share / (1 << meeting.bits - meeting.coarse) >= share / 2
+
+
 def plain_components(table, n, num, den):
     sets = []
     for _, t in table:
@@ -171,13 +227,38 @@ def edited(seed, groups=6, copies=40, words=60):
     return list(enumerate(out))
 
 
-@pytest.mark.parametrize(("crowd", "likely", "tile"), [(64, 0.4, 1000), (5, 0.4, 7), (1000, 2.0, 5), (3, 0.9, 3)])
-def test_jaccard_join(spark, docs, monkeypatch, crowd, likely, tile):
+@pytest.mark.parametrize(("crowd", "likely", "tile", "part", "step_bits"), [(64, 0.4, 1000, 2048, None), (5, 0.4, 7, 4, 1), (1000, 2.0, 5, 9, None), (3, 0.9, 3, 1, None)])
+def test_jaccard_join(spark, docs, monkeypatch, crowd, likely, tile, part, step_bits):
     monkeypatch.setattr(jaccard_join, "CROWD", crowd)
     monkeypatch.setattr(jaccard_join, "LIKELY", likely)
-    table = [tuple(r) for r in docs.select("doc_id", "text").collect()] + [(1000 + i, t) for i, t in edited(4)]
+    monkeypatch.setattr(jaccard_join, "COLUMN_PART", part)
+    monkeypatch.setattr(jaccard_join, "TILE_HASHES", 20 * tile)
+    table = [tuple(r) for r in docs.select("doc_id", "text").collect()] + [(1000 + i, t) for i, t in edited(4)] + crafted()
+    df = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
+    assert rows(jaccard_join.link(df, n=4, num=85, den=100, group_bytes=8000, tile=tile, range_hashes=300, step_bits=step_bits)) == plain_components(table, 4, 85, 100)
+
+
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_jaccard_join_of_a_column_of_many(spark, monkeypatch, most):
+    """One n-gram in texts that are otherwise unlike each other, and a few near copies among them, some of one group: dealt in parts."""
+    monkeypatch.setattr(jaccard_join, "COLUMN_PART", 10)
+    monkeypatch.setattr(jaccard_join, "MOST_COMMON", most)
+    r = random.Random(12)
+    texts = [" ".join(["all", "of", "them", "say"] + [f"{i}{chr(97 + k)}" for k in range(r.choice([3, 8]))]) for i in range(150)]
+    texts += [texts[0] + " " + " ".join(f"z{k}" for k in range(20))] * 3 + [f"all of them say {'so ' * 3}{' '.join(f'w{k}' for k in range(40))} {i}" for i in range(60)]
+    r.shuffle(texts)
+    table = list(enumerate(texts))
     df = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
-    assert rows(jaccard_join.link(df, n=4, num=85, den=100, group_bytes=8000, tile=tile, bucket_hashes=300)) == plain_components(table, 4, 85, 100)
+    for num, den in ((85, 100), (10, 100)):
+        assert rows(jaccard_join.link(df, n=4, num=num, den=den)) == plain_components(table, 4, num, den)
+
+
+def test_pairs_across_units():
+    r = np.random.default_rng(2)
+    for _ in range(30):
+        unit, n = r.integers(0, 5, m := int(r.integers(0, 40))), r.integers(1, 30, m)
+        got = [(min(i, j), max(i, j)) for a, b in jaccard_join.across(unit, n, 80, 100, most=7) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+        assert sorted(got) == [(i, j) for i in range(m) for j in range(i + 1, m) if unit[i] != unit[j] and 100 * min(n[i], n[j]) >= 80 * max(n[i], n[j])]
 
 
 def test_jaccard_keep_first(spark, docs, empty):
@@ -283,8 +364,9 @@ def test_line_dedup_is_native(docs):
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
-def test_quality_statistics(docs):
-    got = arrowmap.with_text_columns(docs, "text", lambda b, o: tuple(quality.statistics(b, o)[0].T.copy()), {f"_{c}": "long" for c in quality.BASE})
+def test_quality_statistics(spark, docs):
+    table = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(i, "\n".join([*CRAFTED, t, " ".join(CRAFTED[4:8] * 2)])) for i, t in crafted()[:6]], "doc_id long, text string"))
+    got = arrowmap.with_text_columns(table, "text", lambda b, o: tuple(quality.statistics(b, o)[0].T.copy()), {f"_{c}": "long" for c in quality.BASE})
     for r in got.collect():
         t = r.text or ""
         w = words_of(t)
