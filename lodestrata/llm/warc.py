@@ -27,10 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, IsNotNull, IsNull, StringContains, StringEndsWith, StringStartsWith, WriterCommitMessage
 
-from lodestrata.llm import scratch
+from lodestrata.llm import scratch, skew
 
 #: Columns and the headers of the WARC format that they hold.
 HEADERS = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "target_uri": "WARC-Target-URI", "date": "WARC-Date", "content_type": "Content-Type", "payload_digest": "WARC-Payload-Digest", "refers_to": "WARC-Refers-To"}
+#: Names of headers have no case: those that are known get the format's own.
+_SPELLED = {h.lower(): h for h in (*HEADERS.values(), "Content-Length", "WARC-Profile", "X-Payload-Length")}
 SCHEMA = ", ".join(f"{c} string" for c in HEADERS) + ", headers map<string,string>, payload binary"
 _ARROW = pa.schema([*((c, pa.string()) for c in HEADERS), ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary())])
 _BATCH_BYTES = 8 << 20
@@ -56,18 +58,26 @@ def member(data: bytes, level: int) -> bytes:
 
 
 def parse(head: bytes) -> dict[str, str]:
-    """Headers of a block; folded lines are joined. The first line is the version."""
+    """Headers of a block, whose names have no case; folded lines are joined. The first line is the version."""
     out: dict[str, str] = {}
     last = None
     for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
         if line[:1] in (" ", "\t") and last:
             out[last] += " " + line.strip()
         elif ":" in line:
-            last, v = line.split(":", 1)
+            name, v = line.split(":", 1)
+            last = _SPELLED.get(name.strip().lower(), name.strip())
             out[last] = v.strip()
     return out
 
 
+def length_of(headers: dict[str, str], at: int) -> int:
+    said = headers.get("Content-Length", "")
+    if not said.isascii() or not said.isdigit():
+        raise ValueError(f"record at {at} has no length")
+    return int(said)
+
+
 class Files:
     """Records of one file: headers first, then payload on demand."""
 
@@ -98,15 +108,15 @@ class Files:
         if not data.startswith(b"WARC/"):
             raise ValueError(f"no WARC record at {at}")
         headers = parse(data[:end])
-        n = int(headers["Content-Length"])
+        n = length_of(headers, at)
+        if at + end + 4 + n > self.size:
+            raise ValueError(f"record at {at} is cut off")
         take, decode = wanted(headers)
         if take:
             payload = None
             if decode:
                 payload = data[end + 4 : end + 4 + n]
                 payload += self.source.read(n - len(payload)) if len(payload) < n else b""
-                if len(payload) != n:
-                    raise ValueError(f"record at {at} is cut off")
             yield headers, payload
         return at + end + 4 + n + 4
 
@@ -147,9 +157,9 @@ class Files:
         if end < 0 or not data.startswith(b"WARC/"):
             raise ValueError(f"no WARC record at {at}")
         headers = parse(data[:end])
+        n = length_of(headers, at)
         take, decode = wanted(headers)
         if take and decode:
-            n = int(headers["Content-Length"])
             parts, have = [data[end + 4 :]], len(data) - end - 4
             while have < n and not z.eof:
                 parts.append(inflate(1 << 20))
@@ -161,9 +171,17 @@ class Files:
         elif take:
             yield headers, None
         if length is not None:
+            if at + length > self.size:
+                raise ValueError(f"gzip member at {at} is cut off")
             return at + length
+        seen = len(data) if not (take and decode) else None
         while not z.eof:
-            inflate(1 << 20)
+            more = len(inflate(1 << 20))
+            seen = None if seen is None else seen + more
+        if seen is not None and seen < end + 4 + n:
+            raise ValueError(f"record at {at} is cut off")
+        if used - len(z.unused_data) + 8 > self.size:
+            raise ValueError(f"gzip member at {at} is cut off")
         return used - len(z.unused_data) + 8
 
 
@@ -356,9 +374,15 @@ def archive(pages: DataFrame, path: str, id_col: str = "page_id", uri_col: str =
     register(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("string").alias("id"), F.col(id_col).alias("n"), (F.col(uri_col) if uri_col in pages.columns else F.lit(None)).cast("string").alias("uri"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("sha", F.sha1("payload")).withColumn("size", F.octet_length("payload").cast("long"))
-    # only digests of several records go into the join; a hot digest is one row there
-    shared = rows.where(F.col("size") >= revisit_bytes).groupBy("sha").agg(F.max("n").alias("keeper"), F.count(F.lit(1)).alias("copies")).where("copies > 1 and keeper is not null").drop("copies")
-    rows = rows.join(shared, "sha", "left")
+    # which record each (id, digest) of several refers to is found without payloads; payloads meet it by both, so that those of a hot digest are spread
+    marks = scratch.keep(rows.where(F.col("size") >= revisit_bytes).select("n", "sha"), "warc-digests")
+    shared = marks.groupBy("sha").agg(F.max("n").alias("keeper"), F.count(F.lit(1)).alias("copies")).where("copies > 1 and keeper is not null")
+    shared = scratch.keep(shared, "warc-keepers")
+    keepers = skew.look_up(marks.where("n is not null"), shared, ["sha"], "copies", "inner").distinct()
+    named = rows.where("n is not null").join(keepers, ["n", "sha"], "left")
+    # records without an id are looked up by digest alone
+    nameless = skew.look_up(rows.where("n is null"), shared, ["sha"], "copies") if not marks.where("n is null").isEmpty() else None
+    rows = named if nameless is None else named.unionByName(nameless)
     revisit = F.col("keeper").isNotNull() & ~F.col("n").eqNullSafe(F.col("keeper")) & (F.col("size") >= revisit_bytes)
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     records = rows.select(
