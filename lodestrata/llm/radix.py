@@ -6,9 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def ordered_long(value: Column) -> Column:
-    """A double as a long of the same order (NaN excluded), through its scaled value: 2**-40 is the resolution, and differences beyond it are ties."""
-    return F.least(F.greatest(F.round(value * F.lit(float(1 << 20))), F.lit(-9.0e18)), F.lit(9.0e18)).cast("long")
+def ordered_longs(value: Column) -> tuple[Column, Column]:
+    """A double under 2**33 in size (NaN excluded) as two longs of exactly its order: whole units of 2**-30, and what is left of it in units of 2**-90.
+
+    Both steps only move the exponent and take off what is whole, so nothing is rounded above 2**-90.
+    """
+    scaled = F.least(F.greatest(value, F.lit(-float(1 << 33))), F.lit(float(1 << 33))) * F.lit(float(1 << 30))
+    whole = F.floor(scaled)
+    return whole, ((scaled - whole) * F.lit(float(1 << 60))).cast("long")
 
 
 def kth_largest(df: DataFrame, key: str, k: int, bits: int = 16) -> tuple[int, int]:

@@ -5,7 +5,7 @@ document a log importance weight: the sum over its n-grams of the log ratio of t
 largest samples k documents without replacement in proportion to their weights.
 
 Counts of raw texts come from all documents, those of target texts from a bounded number of labelled rows; they are two vectors of `buckets` numbers, summed in tasks before they are shuffled,
-and that size bounds what the driver gathers and broadcasts. The k-th largest key is found digit by digit, so no task sorts all keys.
+and that size bounds what the driver gathers and broadcasts. The k-th largest key is found digit by digit, exactly, so no task sorts all keys.
 
 Null text has no n-grams and weight 0. Null ids draw their noise from the text alone. Repeated rows draw equal noise; of rows that tie at
 the threshold those with smaller ids' hashes are taken. Without labels nothing is the target: all weights are 0. An empty table gives an empty result. Extra columns are ignored.
@@ -76,16 +76,23 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int
     # 52 bits of a hash, never 0 or 1: the noise of a row is the same in every run and task
     draw = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.when(F.col("doc_id").isNull(), F.col("_text_hash"))), 12).cast("double") + 0.5) / float(1 << 52)
     keyed = weighed.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(draw)))
-    keyed = scratch.keep(keyed.withColumn("_key", radix.ordered_long(F.col("gumbel_key"))).withColumn("_tie", F.xxhash64("doc_id", "_text_hash")), "importance")
+    whole, rest = radix.ordered_longs(F.col("gumbel_key"))
+    keyed = scratch.keep(keyed.withColumns({"_whole": whole, "_rest": rest, "_tie": F.xxhash64("doc_id", "_text_hash")}), "importance")
     n = keyed.count()
     if k is None:
         label = options.get("label_col", "quality")
         share = labels.where(F.col(label).isNotNull()).agg(F.avg((F.col(label) == 1).cast("double"))).first()[0]
         k = round(n * (share if share is not None else 1.0))
-    threshold, ties = radix.kth_largest(keyed, "_key", k)
-    tie, last = radix.kth_largest(keyed.where(F.col("_key") == threshold), "_tie", ties)
+    # the k-th key by its whole part, then by what is left of it, then by the tie's hash: each digit is one job of at most 2**16 rows
+    names, rows, left, kept = ("_whole", "_rest", "_tie"), keyed, k, F.lit(False)
+    equal = F.lit(True)
+    for name in names:
+        at, left = radix.kth_largest(rows, name, left)
+        kept = kept | (equal & (F.col(name) > at))
+        equal = equal & (F.col(name) == at)
+        rows = rows.where(F.col(name) == at)
     # rows that are equal in key and tie are kept together
-    kept = (F.col("_key") > threshold) | ((F.col("_key") == threshold) & ((F.col("_tie") >= tie) if last else F.lit(ties == 0 and k > 0)))
+    kept = kept | (equal & F.lit(left > 0))
     return keyed.select("doc_id", "n_grams", "log_weight", "gumbel_key", kept.alias("kept"))
 
 
