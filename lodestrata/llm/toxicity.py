@@ -1,13 +1,14 @@
 """Toxicity by weak supervision.
 
 Voters are lexicon entries (whole words, and beginnings of words, that labelled toxic texts have far more often than others), counts and densities
-of such entries, and patterns of case and punctuation. A generative label model of a document's unknown class says how often each voter, and the label where there is one,
-fires for either class (its accuracies), fitted by expectation maximisation over the votes of all documents that may be learnt from; the
-voters' correlations within the classes then discount votes that repeat each other. A logistic regression over entry counts is
-trained on the model's posterior labels, and scores every document.
+of the strongest entries and of all, and patterns of case and punctuation. A generative label model of a document's unknown class says how often each voter, and the label where there is one,
+fires for either class (its accuracies), and how voters go together within a class: each voter's chance depends on one other voter, along the tree of
+the strongest dependences in that class. Accuracies, trees and their pair chances are all fitted anew in each round of expectation maximisation over the votes of all documents that may be
+learnt from. A logistic regression over entry counts is trained on the model's posterior labels, and scores every document.
 
 Learnt from: `max_labelled` labelled rows (those with the least hashes) for the lexicon, votes of all rows not held out, and `max_train` of these rows' posteriors for the
-regression. All that the driver holds is bounded by those numbers and `max_entries`. Held-out rows aren't learnt from in any way.
+regression. The lexicon has `max_entries` entries at most, the most telling ones; these numbers bound all that the driver holds. The LEXICON_VOTERS best entries vote each for itself, the
+others through the counts of all. Held-out rows aren't learnt from in any way.
 
 Null and empty texts have no entries and get a score like others. A null id is not held out and has no label. Repeated rows
 are scored each for itself. Without labels of both kinds every score is the share of toxic labels (0 without any). Extra columns are ignored.
@@ -26,6 +27,9 @@ from lodestrata.llm import textscan as ts
 BEGINNINGS = (4, 5, 6, 7, 8)
 _WHOLE = np.uint64(0x9D39247E33776D41)
 LEXICON_VOTERS = 40
+#: Voters on whole documents, after those.
+DOCUMENT_VOTERS = 18
+VOTERS = LEXICON_VOTERS + DOCUMENT_VOTERS
 
 
 def entries(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -81,8 +85,10 @@ class Lexicon:
         d, e = key // max(len(self.hashes), 1), key % max(len(self.hashes), 1)
         strong = np.bincount(d, (self.voter[e] >= 0) * count, minlength=n) if len(e) else np.zeros(n)
         different = np.bincount(d, self.voter[e] >= 0, minlength=n) if len(e) else np.zeros(n)
+        any_, kinds_of = (np.bincount(d, count, minlength=n), np.bincount(d, minlength=n)) if len(e) else (np.zeros(n), np.zeros(n))
         m, size = np.maximum(words, 1), np.maximum(kinds[:, 3], 1)
         fires = [different >= 1, different >= 2, different >= 4, different >= 8, strong / m >= 0.002, strong / m >= 0.01, strong / m >= 0.03, strong / m >= 0.08, kinds[:, 0] / size > 0.3, kinds[:, 1] / size > 0.03, kinds[:, 2] / size > 0.03, words < 30]
+        fires += [kinds_of >= 3, kinds_of >= 6, kinds_of >= 12, any_ / m >= 0.02, any_ / m >= 0.05, any_ / m >= 0.12]
         mask = np.zeros(n, np.int64)
         for j, f in enumerate(fires):
             mask |= f.astype(np.int64) << (LEXICON_VOTERS + j)
@@ -91,9 +97,6 @@ class Lexicon:
         return mask, d, e, count
 
 
-VOTERS = LEXICON_VOTERS + 12
-
-
 def spread_bits(mask: np.ndarray) -> np.ndarray:
     return ((mask[:, None] >> np.arange(VOTERS)) & 1).astype(float)
 
@@ -107,81 +110,127 @@ def mine(docs: DataFrame, labels: DataFrame, max_labelled: int, max_entries: int
     sample = labels.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_labelled)
     texts = docs.join(F.broadcast(sample), "doc_id").select("text", "y")
 
-    def count(known):
-        def run(batches):
-            have: dict[str, list] = {"h": [], "p": [], "n": []}
-            for batch in batches:
-                buf, off = ts.raw(batch.column("text"))
-                for lo, hi in ts.groups(off):
-                    doc, h, p, _, _ = entries(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-                    if known is not None:
-                        k = np.minimum(np.searchsorted(known.value, h), len(known.value) - 1)
-                        ok = known.value[k] == h
-                        doc, h, p = doc[ok], h[ok], p[ok]
-                    order = np.lexsort((h, doc))
-                    doc, h, p = doc[order], h[order], p[order]
-                    once = np.flatnonzero((np.diff(h, prepend=~h[:1]) != 0) | (np.diff(doc, prepend=-1) != 0))
-                    u, at, n = np.unique(h[once], return_index=True, return_counts=True)
-                    have["h"].append(u)
-                    have["p"].append(p[once][at])
-                    have["n"].append(n)
-            if have["h"]:
-                u, at, back = np.unique(np.concatenate(have["h"]), return_index=True, return_inverse=True)
-                n = np.bincount(back, np.concatenate(have["n"])).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(np.concatenate(have["p"])[at].view(np.int64)), pa.array(n)], ["h", "p", "n"])
-
-        return run
-
-    counted = lambda y, known: texts.where(F.col("y") == y).select("text").mapInArrow(count(known), "h long, p long, n long").groupBy("h").agg(F.sum("n").alias("n"), F.min("p").alias("p"))
-    rows = counted(1, None).where("n >= 3").orderBy(F.desc("n"), "h").limit(16 * max_entries).toPandas()
-    h, pos, shorter = rows["h"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(float), rows["p"].to_numpy(np.int64).view(np.uint64)
+    def count(batches):
+        have: dict[str, list] = {"h": [], "p": [], "pos": [], "neg": []}
+        for batch in batches:
+            buf, off = ts.raw(batch.column("text"))
+            toxic = batch.column("y").to_numpy(zero_copy_only=False) > 0
+            for lo, hi in ts.groups(off):
+                doc, h, p, _, _ = entries(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+                order = np.lexsort((doc, h))
+                doc, h, p = doc[order], h[order], p[order]
+                once = np.flatnonzero((np.diff(h, prepend=~h[:1]) != 0) | (np.diff(doc, prepend=-1) != 0))
+                doc, h, p = doc[once], h[once], p[once]
+                new = np.flatnonzero(np.diff(h, prepend=~h[:1]) != 0)
+                if len(new):
+                    of = toxic[lo + doc].astype(np.int64)
+                    for k, v in (("h", h[new]), ("p", p[new]), ("pos", np.add.reduceat(of, new)), ("neg", np.add.reduceat(1 - of, new))):
+                        have[k].append(v)
+        if have["h"]:
+            u, at, back = np.unique(np.concatenate(have["h"]), return_index=True, return_inverse=True)
+            pos, neg = (np.bincount(back, np.concatenate(have[k])).astype(np.int64) for k in ("pos", "neg"))
+            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(np.concatenate(have["p"])[at].view(np.int64)), pa.array(pos), pa.array(neg)], ["h", "p", "pos", "neg"])
+
+    sizes = {r["y"]: r["n"] for r in texts.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
+    counted = texts.mapInArrow(count, "h long, p long, pos long, neg long").groupBy("h").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.min("p").alias("p")).where("pos >= 3")
+    share = lambda c, y: (F.col(c) + 0.5) / F.lit(sizes.get(y, 0) + 1.0)
+    p, q = share("pos", 1), share("neg", 0)
+    # log odds in units of their error: frequent and precise entries first
+    z = F.log(p / q) / F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
+    telling = counted.withColumn("z", z).where((F.col("z") > 2.5) & (p > 3 * q))
+    # a word and its beginnings are up to six entries: the bound is kept after these are merged
+    rows = telling.orderBy(F.desc("z"), "h").limit(8 * max_entries).toPandas()
+    h, shorter = rows["h"].to_numpy(np.int64).view(np.uint64), rows["p"].to_numpy(np.int64).view(np.uint64)
+    pos, neg, z = (rows[c].to_numpy(float) for c in ("pos", "neg", "z"))
     if not len(h):
         return Lexicon(np.zeros(0, np.uint64), np.zeros(0))
     order = np.argsort(h)
-    h, pos, shorter = h[order], pos[order], shorter[order]
-    known = docs.sparkSession.sparkContext.broadcast(h)
-    others = counted(0, known).toPandas()
-    neg = np.zeros(len(h))
-    neg[np.searchsorted(h, others["h"].to_numpy(np.int64).view(np.uint64))] = others["n"].to_numpy(float)
-    sizes = {r["y"]: r["n"] for r in texts.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    p, q = (pos + 0.5) / (sizes.get(1, 0) + 1), (neg + 0.5) / (sizes.get(0, 0) + 1)
-    # log odds in units of their error: frequent and precise entries first
-    z = np.log(p / q) / np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
-    good = np.flatnonzero((z > 2.5) & (p > 3 * q))
+    h, pos, neg, z, shorter = h[order], pos[order], neg[order], z[order], shorter[order]
     # texts with an entry also have its beginnings: where one of these has the same numbers of texts, they are the same texts, and it is enough
     at = np.minimum(np.searchsorted(h, shorter), len(h) - 1)
     same = (h[at] == shorter) & (pos[at] == pos) & (neg[at] == neg)
-    one = good[~same[good]]
-    good = one if len(one) >= LEXICON_VOTERS else good
+    one = np.flatnonzero(~same)
+    good = one if len(one) >= LEXICON_VOTERS else np.arange(len(h))
     good = good[np.argsort(-z[good], kind="stable")][:max_entries]
     return Lexicon(h[good], z[good])
 
 
 class LabelModel:
-    """Chances that each voter fires for class 0 and 1, the share of class 1, and each vote's discount."""
+    """For either class, each voter's parent in the tree (itself: none) and its chance to fire where that one doesn't and does; the share of class 1; how often labels are 1 in each class."""
+
+    def __init__(self, parent: np.ndarray, fires: np.ndarray, share: float, label: np.ndarray):
+        self.parent, self.fires, self.share, self.label = parent, fires, share, label
 
-    def __init__(self, fires: np.ndarray, share: float, label: np.ndarray):
-        self.fires, self.share, self.label, self.discount = fires, share, label, np.ones(VOTERS)
+    def likelihood(self, x: np.ndarray, c: int) -> np.ndarray:
+        """Log chance of each row of votes in class c."""
+        p = np.where(x[:, self.parent[c]] > 0, self.fires[c, :, 1], self.fires[c, :, 0])
+        return np.log(np.where(x > 0, p, 1 - p)).sum(axis=1)
 
     def posterior(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """y: the label, NaN where there is none."""
-        t = self.fires
-        odds = np.log(self.share / (1 - self.share)) + x @ (self.discount * np.log(t[1] / t[0])) + (1 - x) @ (self.discount * np.log((1 - t[1]) / (1 - t[0])))
+        odds = np.log(self.share / (1 - self.share)) + self.likelihood(x, 1) - self.likelihood(x, 0)
         say = np.where(np.isnan(y), 0.0, np.where(y > 0.5, np.log(self.label[1] / self.label[0]), np.log((1 - self.label[1]) / (1 - self.label[0]))))
         return 1 / (1 + np.exp(-np.clip(odds + say, -30, 30)))
 
 
+def strongest_tree(both: np.ndarray, total: float) -> np.ndarray:
+    """Parents in the tree of the largest mutual information between voters, from counts of voters that fire together; a root is its own parent."""
+    n = len(both)
+    one = np.diag(both)
+    cells = np.stack([both, one[:, None] - both, one[None, :] - both, total - one[:, None] - one[None, :] + both])
+    p = np.maximum(cells / max(total, 1e-9), 1e-12)
+    share = np.clip(one / max(total, 1e-9), 1e-6, 1 - 1e-6)
+    a, b = share[:, None], share[None, :]
+    shared = (p * np.log(p / np.stack([a * b, a * (1 - b), (1 - a) * b, (1 - a) * (1 - b)]))).sum(axis=0)
+    parent = np.arange(n)
+    inside = np.zeros(n, bool)
+    inside[0] = True
+    best, of = shared[0].copy(), np.zeros(n, np.int64)
+    for _ in range(n - 1):
+        k = int(np.argmax(np.where(inside, -np.inf, best)))
+        parent[k], inside[k] = of[k], True
+        closer = shared[k] > best
+        best[closer], of[closer] = shared[k][closer], k
+    return parent
+
+
+def fitted(moments: np.ndarray, label: np.ndarray | None = None) -> LabelModel:
+    """The model that fits weighted counts best: for either class, rows, rows with a label, labels that are 1, and pairs of voters that fire together."""
+    s = moments.reshape(2, 3 + VOTERS * VOTERS)
+    parents, fires = [], []
+    for total, pairs in zip(s[:, 0], s[:, 3:].reshape(2, VOTERS, VOTERS), strict=True):
+        parent, one, own = strongest_tree(pairs, total), np.diag(pairs), np.arange(VOTERS)
+        alone = (one + 0.5) / (total + 1)
+        with_ = (pairs[own, parent] + 2 * alone) / (one[parent] + 2)
+        without = (one - pairs[own, parent] + 2 * alone) / (total - one[parent] + 2)
+        root = parent == own
+        parents.append(parent)
+        fires.append(np.stack([np.where(root, alone, without), np.where(root, alone, with_)], axis=1))
+    said = np.clip((s[:, 2] + 0.5) / (s[:, 1] + 1), 0.02, 0.98) if label is None else label
+    return LabelModel(np.stack(parents), np.clip(np.stack(fires), 1e-4, 1 - 1e-4), float(np.clip(s[1, 0] / max(s[:, 0].sum(), 1), 1e-3, 1 - 1e-3)), said)
+
+
+def counts_by_class(r: np.ndarray, x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """What fitted() takes, of rows that are of class 1 with chance r."""
+    known, said = ~np.isnan(y), np.nan_to_num(y)
+    return np.concatenate([np.concatenate([[w.sum(), w[known].sum(), (w * said)[known].sum()], ((x * w[:, None]).T @ x).ravel()]) for w in ((1 - r) * n, r * n)])
+
+
 def fit_label_model(votes: DataFrame, rounds: int = 6) -> LabelModel:
-    """votes: mask, y (null: no label), n. Each round is one job that returns sums of fixed size."""
+    """votes: mask, y (null: no label), n. Each round is one job that returns sums of fixed size, from which accuracies and correlations are fitted together."""
+
+    def sums(chance) -> np.ndarray:
+        width = 2 * (3 + VOTERS * VOTERS)
 
-    def sums(make, width: int) -> np.ndarray:
         def run(batches):
             total = np.zeros(width)
             for batch in batches:
                 mask, n = batch.column("mask").to_numpy(zero_copy_only=False), batch.column("n").to_numpy(zero_copy_only=False).astype(float)
                 y = np.array([np.nan if v is None else float(v) for v in batch.column("y").to_pylist()])
                 for a in range(0, len(mask), 20_000):
-                    total += make(spread_bits(mask[a : a + 20_000]), y[a : a + 20_000], n[a : a + 20_000])
+                    x, label = spread_bits(mask[a : a + 20_000]), y[a : a + 20_000]
+                    r, weight = chance(x, label)
+                    total += counts_by_class(r, x, label, weight * n[a : a + 20_000])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(width), pa.int32()), pa.array(total)], ["i", "v"])
 
         out = np.zeros(width)
@@ -189,44 +238,10 @@ def fit_label_model(votes: DataFrame, rounds: int = 6) -> LabelModel:
             out[r["i"]] = r["v"]
         return out
 
-    def moments(r, x, y, n):
-        known = ~np.isnan(y)
-        parts = [np.concatenate([[(c * n).sum()], (c * n) @ x, [(c * n)[known].sum(), (c * n * np.where(known, y, 0))[known].sum()]]) for c in (1 - r, r)]
-        return np.concatenate(parts)
-
-    def update(model, s):
-        s = s.reshape(2, VOTERS + 3)
-        fires = np.clip((s[:, 1 : VOTERS + 1] + 0.5) / (s[:, :1] + 1), 1e-4, 1 - 1e-4)
-        label = np.clip((s[:, VOTERS + 2] + 0.5) / (s[:, VOTERS + 1] + 1), 0.02, 0.98)
-        new = LabelModel(fires, float(np.clip(s[1, 0] / max(s[:, 0].sum(), 1), 1e-3, 1 - 1e-3)), label)
-        new.discount = model.discount if model else new.discount
-        return new
-
     # begin with the labelled rows as they are labelled
-    def labelled(x, y, n):
-        known = ~np.isnan(y)
-        return moments(np.where(known, y, 0)[known], x[known], y[known], n[known])
-
-    model = update(None, sums(labelled, 2 * (VOTERS + 3)))
-    model.label = np.array([0.05, 0.9])
-    model.discount = np.full(VOTERS, 0.3)
-    for k in range(rounds):
-        if k == 1:
-            # correlations within the classes: a vote counts less the more others say the same
-            def second(x, y, n, model=model):
-                r = model.posterior(x, y)
-                return np.concatenate([((x * (c * n)[:, None]).T @ x).ravel() for c in (1 - r, r)])
-
-            both = sums(second, 2 * VOTERS * VOTERS).reshape(2, VOTERS, VOTERS)
-            weight = sums(lambda x, y, n, model=model: np.array([((1 - (r := model.posterior(x, y))) * n).sum(), (r * n).sum()]), 2)
-            agree = np.zeros((VOTERS, VOTERS))
-            for c in (0, 1):
-                mean = np.diag(both[c]) / max(weight[c], 1)
-                spread = np.sqrt(np.maximum(mean * (1 - mean), 1e-9))
-                agree = np.maximum(agree, np.clip((both[c] / max(weight[c], 1) - np.outer(mean, mean)) / np.outer(spread, spread), 0, 1))
-            np.fill_diagonal(agree, 0)
-            model.discount = 1 / (1 + agree.sum(axis=1))
-        model = update(model, sums(lambda x, y, n, model=model: moments(model.posterior(x, y), x, y, n), 2 * (VOTERS + 3)))
+    model = fitted(sums(lambda x, y: (np.nan_to_num(y), (~np.isnan(y)).astype(float))), np.array([0.05, 0.9]))
+    for _ in range(rounds):
+        model = fitted(sums(lambda x, y, model=model: (model.posterior(x, y), np.ones(len(y)))))
     return model
 
 
@@ -290,7 +305,8 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 at = np.searchsorted(d, np.arange(hi - lo + 1))
                 yield pa.RecordBatch.from_arrays([batch.column("at").slice(lo, hi - lo), batch.column("y").slice(lo, hi - lo), pa.array(mask), pa.array([e[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], pa.list_(pa.int64())), pa.array([v[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], pa.list_(pa.float64()))], ["at", "y", "mask", "e", "v"])
 
-    rows = few.mapInArrow(collect, "at long, y int, mask long, e array<long>, v array<double>").orderBy("at").toPandas()
+    # rows that repeat share a hash: the bound holds for rows
+    rows = few.mapInArrow(collect, "at long, y int, mask long, e array<long>, v array<double>").orderBy("at", "y", "mask").limit(max_train).toPandas()
     mask = rows["mask"].to_numpy(np.int64)
     target = model.posterior(spread_bits(mask), rows["y"].to_numpy(float))
     doc = np.repeat(np.arange(len(rows)), [len(x) for x in rows["e"]])
