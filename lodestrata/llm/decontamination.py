@@ -5,7 +5,8 @@ consecutive words of a test item; an item with fewer words is one window. Every
 is looked up by hash, hits are verified word by word, and hit words, or whole documents, can be removed.
 
 The set is broadcast only up to `max_item_bytes` of test text; a larger test collection is dealt into
-slices below that bound, and each slice is one more map over the same rows, without a shuffle.
+slices below that bound. Each slice then is a pass of its own over the documents, which are written once with row numbers, and only rows that are hit come out of it; a
+slice is given up before the next is made. What the passes found is put together by row number.
 
 Null text, or one without words: nothing is hit. An item without words has no window; one with a null id marks words
 but is not named. Repeated rows are scanned each for itself; an id that several items share counts once. With no
@@ -14,14 +15,18 @@ items, no document is contaminated. Extra columns stay, whatever their names.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import arrowmap
+from lodestrata.llm import arrowmap, scratch
 from lodestrata.llm import textscan as ts
 
 ADDED = {"_decon_words": "long", "_decon_hit": "long", "_decon_bits": "binary", "_decon_items": "array<string>"}
+_ROW = "_decon_row"
 
 
 class TestWindows:
@@ -97,67 +102,53 @@ def scan(buf: np.ndarray, off: np.ndarray, tests: TestSet) -> tuple[np.ndarray,
     return w, mask, found
 
 
-def slices(benchmark: DataFrame, k: int, max_item_bytes: int, id_col: str, text_col: str):
-    """Broadcast sets of test windows, each of at most about max_item_bytes of text."""
-    items = benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text") + 32)).first()[0] or 0
-    n = -(-total // max_item_bytes)
-    part = F.pmod(F.xxhash64("id", "text"), F.lit(max(n, 1)))
-    for i in range(n):
-        rows = [(r.id, r.text) for r in items.where(part == i).collect()]
-        yield benchmark.sparkSession.sparkContext.broadcast(TestSet(rows, k))
-
-
-def mark(docs: DataFrame, benchmark: DataFrame, k: int = 10, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", max_item_bytes: int = 16 << 20, keep_text: bool = True) -> DataFrame:
-    """docs with the columns of ADDED: words, hit words, a bit for each word (null: none hit), ids of the items found."""
-    sets = list(slices(benchmark, k, max_item_bytes, item_id, item_text))
-
-    def blank(buf, off):
-        n = ts.words(buf, off, ts.ALNUM, hashed=False).counts()
-        return n, np.zeros(len(n), np.int64), [None] * len(n), [[]] * len(n)
-
-    def first(tests):
-        def make(buf, off):
-            w, mask, found = scan(buf, off, tests.value)
-            hit = ts.per_document(mask, w.first)
-            bits = [np.packbits(mask[a:b]).tobytes() if h else None for a, b, h in zip(w.first[:-1].tolist(), w.first[1:].tolist(), hit.tolist(), strict=True)]
-            ids = tests.value.ids
-            return w.counts(), hit, bits, [sorted({ids[i] for i in f if ids[i] is not None}) if f else [] for f in found]
-
-        return make
+def _blank(buf, off):
+    n = ts.words(buf, off, ts.ALNUM, hashed=False).counts()
+    return n, np.zeros(len(n), np.int64), [None] * len(n), [[]] * len(n)
 
-    out = arrowmap.with_text_columns(docs, text_col, first(sets[0]) if sets else blank, ADDED, keep_text or len(sets) > 1)
-    for tests in sets[1:]:
-        later = {f"{c}_more": t for c, t in ADDED.items()}
-        out = arrowmap.with_text_columns(out, text_col, first(tests), later)
-        out = _merged(out, docs.columns)
-    return out if keep_text or len(sets) < 2 else out.drop(text_col)
 
+def _found(tests):
+    def make(buf, off):
+        w, mask, found = scan(buf, off, tests.value)
+        hit = ts.per_document(mask, w.first)
+        bits = [np.packbits(mask[a:b]).tobytes() if h else None for a, b, h in zip(w.first[:-1].tolist(), w.first[1:].tolist(), hit.tolist(), strict=True)]
+        ids = tests.value.ids
+        return w.counts(), hit, bits, [sorted({ids[i] for i in f if ids[i] is not None}) if f else [] for f in found]
 
-def _merged(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Bits of two slices or-ed; the words that are hit counted again."""
-    a, b = "_decon_bits", "_decon_bits_more"
-    kept = [f for f in df.schema if not f.name.endswith("_more")]
+    return make
 
-    def run(batches):
-        import pyarrow as pa
 
-        for batch in batches:
-            bits, hit = [], []
-            for x, y, n in zip(batch.column(a).to_pylist(), batch.column(b).to_pylist(), batch.column("_decon_hit").to_pylist(), strict=True):
-                if x is None or y is None:
-                    both = x if y is None else y
-                else:
-                    both = (np.frombuffer(x, np.uint8) | np.frombuffer(y, np.uint8)).tobytes()
-                bits.append(both)
-                hit.append(int(np.bitwise_count(np.frombuffer(both, np.uint8)).sum()) if both is not None else n)
-            items = [sorted({*x, *y}) for x, y in zip(batch.column("_decon_items").to_pylist(), batch.column("_decon_items_more").to_pylist(), strict=True)]
-            new = {a: pa.array(bits, pa.binary()), "_decon_hit": pa.array(hit, pa.int64()), "_decon_items": pa.array(items, pa.list_(pa.string()))}
-            yield pa.RecordBatch.from_arrays([new.get(f.name, batch.column(f.name)) for f in kept], [f.name for f in kept])
+def mark(docs: DataFrame, benchmark: DataFrame, k: int = 10, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", max_item_bytes: int = 16 << 20, keep_text: bool = True) -> DataFrame:
+    """docs with the columns of ADDED: words, hit words, a bit for each word (null: none hit), ids of the items found."""
+    spark = docs.sparkSession
+    items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("text")).distinct()
+    total = items.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 32)).first()[0] or 0
+    n = -(-total // max_item_bytes)
+    # rows of a slice are bounded by its bytes
+    tests = lambda i: spark.sparkContext.broadcast(TestSet([(r.id, r.text) for r in items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == i).collect()], k))
+    if n < 2:
+        return arrowmap.with_text_columns(docs, text_col, _found(tests(0)) if n else _blank, ADDED, keep_text)
+    taken = {_ROW, "_decon_of", "_all_hit", "_all_bits", "_all_items"} & set(docs.columns)
+    if taken:
+        raise ValueError(f"columns {sorted(taken)} are there already")
+    numbered = scratch.keep(docs.withColumn(_ROW, F.monotonically_increasing_id()), "decon-documents")
+    passes = []
+    for i in range(n):
+        own = tests(i)
+        found = arrowmap.with_text_columns(numbered.select(_ROW, text_col), text_col, _found(own), ADDED, keep_text=False)
+        passes.append(scratch.keep(found.where("_decon_bits is not null").drop("_decon_words", "_decon_hit"), "decon-hits"))
+        own.destroy()
 
-    from pyspark.sql import types as T
+    def together(table: pa.Table) -> pa.Table:
+        bits = reduce(np.bitwise_or, (np.frombuffer(b, np.uint8) for b in table.column("_decon_bits").to_pylist()))
+        ids = sorted({i for found in table.column("_decon_items").to_pylist() for i in found})
+        return pa.table({_ROW: table.column(_ROW).slice(0, 1), "_all_hit": pa.array([int(np.bitwise_count(bits).sum())], pa.int64()), "_all_bits": pa.array([bits.tobytes()], pa.binary()), "_all_items": pa.array([ids], pa.list_(pa.string()))})
 
-    return df.mapInArrow(run, T.StructType(kept))
+    hits = reduce(DataFrame.unionByName, passes).groupBy(_ROW).applyInArrow(together, f"{_ROW} long, _all_hit long, _all_bits binary, _all_items array<string>")
+    out = arrowmap.with_text_columns(numbered, text_col, _blank, ADDED, keep_text).join(hits.withColumnRenamed(_ROW, "_decon_of"), F.col(_ROW) == F.col("_decon_of"), "left")
+    made = {"_decon_words": F.col("_decon_words"), "_decon_hit": F.coalesce("_all_hit", "_decon_hit"), "_decon_bits": F.col("_all_bits"), "_decon_items": F.coalesce("_all_items", "_decon_items")}
+    names = [c for c in docs.columns if keep_text or c != text_col]
+    return out.select(*[F.col(f"`{c}`") for c in names], *[e.alias(c) for c, e in made.items()])
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", k: int = 10, text_col: str = "text", **options) -> DataFrame:
@@ -169,8 +160,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", k: i
         return marked.where("_decon_hit = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
 
     def cut(batches):
-        import pyarrow as pa
-
         for batch in batches:
             texts = []
             for text, bits in zip(batch.column(text_col).to_pylist(), batch.column("_decon_bits").to_pylist(), strict=True):
