@@ -1,7 +1,7 @@
 """Packing of token sequences by best fit decreasing.
 
-Documents are tokenised where they lie; an overlong document is cut into full windows and a rest. Rests
-are dealt over groups by a hash, and each group is packed by itself: pieces in decreasing length, each
+Documents are tokenised where they lie; an overlong document is cut into full windows and a rest. Pieces
+are dealt over groups by a hash of their numbers, and each group is packed by itself: pieces in decreasing length, each
 into the tightest open window it fits, which a segment tree indexed by remaining capacity finds in
 log2(window) steps. A group holds many thousand pieces, so the windows that stay partly empty are a
 small share of its windows, and no group grows with the corpus: there are more groups.
@@ -110,19 +110,21 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int, end_id: int, id_col:
 
 def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 1, group_pieces: int = GROUP_PIECES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The pieces of docs with sequence_id and offset there; sequence ids are unique, not consecutive."""
-    cut = scratch.keep(pieces(docs, tokenizer_path, size, end_id, id_col, text_col), "pieces")
+    cut = pieces(docs, tokenizer_path, size, end_id, id_col, text_col)
+    names, types = cut.columns, [f.dataType.simpleString() for f in cut.schema]
+    # pieces are numbered, so that equal ones are dealt over groups as others are
+    cut = scratch.keep(cut.withColumn("piece", F.monotonically_increasing_id()), "pieces")
     groups = scratch.parts_for(cut.count(), group_pieces)
-    names = cut.columns
 
     def place(table: pa.Table) -> pa.Table:
         # the order of rows that a shuffle brings is not fixed; the packing is
-        table = table.sort_by([(c, "ascending") for c in ("doc_id", "start", "ids_crc32", "length")])
+        table = table.sort_by([(c, "ascending") for c in ("doc_id", "start", "ids_crc32", "length", "piece")])
         window, offset = best_fit_decreasing(table.column("length").to_numpy(), size)
         base = int(table.column("packing_group")[0].as_py()) * GROUP_IDS
         return table.select(names).append_column("sequence_id", pa.array(window + base)).append_column("offset", pa.array(offset))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id long, offset long"
-    return cut.withColumn("packing_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups))).groupBy("packing_group").applyInArrow(place, schema)
+    schema = ", ".join(f"`{n}` {t}" for n, t in zip(names, types, strict=True)) + ", sequence_id long, offset long"
+    return cut.withColumn("packing_group", F.pmod(F.xxhash64("piece"), F.lit(groups))).groupBy("packing_group").applyInArrow(place, schema)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
