@@ -1,7 +1,7 @@
 """Quality rules: gradient-boosted trees over document statistics.
 
 Statistics of each whole text come from one pass over its bytes. The trees are grown on histograms of at most
-`max_labelled` labelled rows (the ones with the smallest hashes of their ids), with monotonic constraints on chosen statistics,
+`max_labelled` labelled rows (the ones with the smallest hashes of their ids, labels and documents both), with monotonic constraints on chosen statistics,
 and flattened into node arrays, with which tasks score whole batches at once.
 
 Null text has no words. Null and repeated ids: each row is judged for itself; labels with a null id or a null label
@@ -158,7 +158,9 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, id_col
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_labelled)
     texts = arrowmap.id_and_text(docs, id_col, text_col).join(F.broadcast(rows), "doc_id")
     added = {f"_{f}": "double" for f in FEATURES}
-    got = arrowmap.with_text_columns(texts, "text", lambda b, o: tuple(statistics(b, o)[1].T.copy()), added, keep_text=False).orderBy("doc_id").toPandas()
+    read = arrowmap.with_text_columns(texts, "text", lambda b, o: tuple(statistics(b, o)[1].T.copy()), added, keep_text=False)
+    # an id may be that of many rows: the bound holds for rows too
+    got = read.orderBy(F.xxhash64("doc_id", "y", *added), "doc_id", "y", *added).limit(max_labelled).toPandas()
     y = got["y"].to_numpy()
     if not (y > 0.5).any() or not (y <= 0.5).any():
         return None
