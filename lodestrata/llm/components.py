@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm import scratch
+from lodestrata.llm import scratch, skew
 
 
-def _star(edges: DataFrame, small: bool) -> DataFrame:
-    """Hangs a node's neighbours on the least of them: those above it, or (small) those below it and itself."""
+def _star(edges: DataFrame, small: bool, rows: int) -> DataFrame:
+    """Hangs a node's neighbours on the least of them: those above it, or (small) those below it and itself. A hub's rows aren't gathered."""
     both = edges.select("u", "v") if small else edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    hung = both.join(least, "u")
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("neighbours"))
+    hung = skew.look_up(both, least, ["u"], "neighbours", "inner", total=rows * (1 if small else 2))
     out = hung.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     if small:
         out = hung.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.where("u <> m").select("u", F.col("m").alias("v")))
@@ -28,4 +28,5 @@ def components(links: DataFrame) -> DataFrame:
         if tuple(state) == seen or not state[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = tuple(state)
-        edges = scratch.keep(_star(_star(edges, small=False), small=True), "stars")
+        large = scratch.keep(_star(edges, False, state[0]), "stars")
+        edges = scratch.keep(_star(large, True, state[0]), "stars")

@@ -194,6 +194,6 @@ def grouped_table(docs: DataFrame, name: str, group_bytes: int, text_col: str =
     # Spark's limit of buckets of a table; a bucket holds any number of groups
     buckets = min(max(parts, scratch.parts_for(total, 2 * group_bytes)), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
     path = scratch.new_path(spark, name)
-    table = path.rsplit("/", 1)[1].replace("-", "_")
+    table = scratch.table_of(path)
     docs.mapInArrow(deal, schema).write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, "grp").saveAsTable(table)
     return spark.table(table)
