@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrata.llm import arrowmap, components, decontamination, hashruns, jaccard_join, line_dedup, packing, quality, radix, resampling, scratch, substring_dedup, token_counts, tokens, toxicity, warc
+from lodestrata.llm import arrowmap, components, decontamination, hashruns, jaccard_join, line_dedup, packing, quality, radix, resampling, scratch, skew, substring_dedup, token_counts, tokens, toxicity, warc
 from lodestrata.llm import textscan as ts
 
 SPACED = re.compile("[^\x20\x09-\x0d]+")
@@ -143,6 +143,13 @@ def test_packing(spark, docs, empty):
     assert rows(packing.pack(empty, tokens.default_path())) == []
 
 
+def test_packing_deals_equal_rows_over_groups(spark):
+    same = spark.createDataFrame([(None, None)] * 2000, "doc_id long, text string").repartition(4)
+    got = packing.pack(same, tokens.default_path(), size=64, group_pieces=100).toPandas()
+    of = (got.sequence_id // packing.GROUP_IDS).value_counts()
+    assert len(got) == 2000 and len(of) == 20 and of.max() < 200 and (got.groupby("sequence_id").length.sum() <= 64).all()
+
+
 def plain_substring(table, k):
     """doc_id -> kept words, by the definition, for every row."""
     first = {}
@@ -271,9 +278,35 @@ def test_jaccard_keep_first(spark, docs, empty):
     assert rows(jaccard_join.link(empty)) == [] and rows(jaccard_join.keep_first(empty)) == []
 
 
+def test_look_up(spark):
+    r = random.Random(16)
+    rows_ = [(r.choice(["hot", "hot", "hot", "a", "b", None, f"k{i}"]), i, f"v{i % 3}") for i in range(400)]
+    df = spark.createDataFrame(rows_, "k string, i int, `a.b` string").repartition(3)
+    table = df.where("k is not null and k <> 'b'").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("i").alias("most"))
+    most = {}
+    for k, i, _ in rows_:
+        most[k] = max(most.get(k, 0), i)
+    for share in (2, 1000):
+        want = [(k, i, v, None if k in (None, "b") else most[k]) for k, i, v in rows_]
+        assert rows(skew.look_up(df, table, ["k"], "n", share=share)) == sorted(want, key=repr)
+        assert rows(skew.look_up(df, table, ["k"], "n", "inner", share=share)) == sorted((w for w in want if w[3] is not None), key=repr)
+
+
+def test_what_is_kept_is_dropped(spark):
+    from pathlib import Path
+
+    before = list(scratch._made)
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string")
+    got = scratch.settle(lambda: substring_dedup.removed_and_kept(docs, window=10), "settled")
+    mine = scratch._made[len(before) :]
+    assert len(mine) == 1 and got.count() == len(corpus()) and not [t for t in spark.catalog.listTables() if t.name.startswith("substring_texts")]
+    scratch.drop(mine)
+    assert scratch._made == before and not Path(mine[0][1].removeprefix("file://")).exists()
+
+
 def test_components(spark):
     r = random.Random(5)
-    edges = [(r.randint(0, 200), r.randint(0, 200)) for _ in range(150)] + [(500 + i, 501 + i) for i in range(40)]
+    edges = [(r.randint(0, 200), r.randint(0, 200)) for _ in range(150)] + [(500 + i, 501 + i) for i in range(40)] + [(1000, 1001 + i) for i in range(300)]
     root = {v: v for e in edges for v in e}
     for _ in range(300):
         for u, v in edges:
@@ -380,6 +413,16 @@ def test_quality_statistics(spark, docs):
         assert (r._n_words, r._word_chars, r._n_symbols, r._n_dup_lines, r._n_repeat_words) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(again))
 
 
+def test_quality_training_is_bounded_by_rows(spark, monkeypatch):
+    """Ids that many rows share, and ids with several labels: no more rows than the bound reach the driver."""
+    docs = spark.createDataFrame([(i % 7, f"text {i} " + "word " * (i % 90)) for i in range(3000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i % 7, i % 2) for i in range(40)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda x, y, directions, **_: seen.append(len(y)))
+    quality.train(docs, labels, max_labelled=500)
+    assert seen == [500]
+
+
 def test_trees_are_monotonic_and_fit():
     r = np.random.default_rng(7)
     x = r.random((3000, 3))
@@ -402,6 +445,15 @@ def test_quality_rules(spark, docs, empty):
     assert rows(quality.judge(empty, model)) == []
 
 
+def test_ordered_longs(spark):
+    r = random.Random(13)
+    values = [r.gauss(0, 10.0 ** r.randint(-3, 6)) for _ in range(300)] + [1.0, 1.0000004, 1.0 + 2**-52, 0.0, -1e-12, 1e-12, 5.0]
+    df = spark.createDataFrame([(v,) for v in values], "v double").select("v", *(c.alias(n) for c, n in zip(radix.ordered_longs(F.col("v")), "ab", strict=True)))
+    got = df.collect()
+    assert [x.v for x in sorted(got, key=lambda x: (x.a, x.b))] == sorted(values)
+    assert all((x.a, x.b) != (y.a, y.b) for x, y in zip(got, got[1:], strict=False) if x.v != y.v)
+
+
 def test_kth_largest(spark):
     r = random.Random(8)
     values = [r.choice([r.randint(-(1 << 63), (1 << 63) - 1), r.randint(-3, 3)]) for _ in range(300)]
@@ -414,19 +466,51 @@ def test_kth_largest(spark):
 
 
 def test_resampling(spark, docs, empty):
-    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(50)], "doc_id long, quality int")
-    got = resampling.resample(docs, labels, k=20, buckets=50)
-    table = got.toPandas()
+    """Weights, keys and choice recomputed from their definitions."""
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(50)] + [(None, 1), (999, 1), (3, None)], "doc_id long, quality int")
+    k, buckets, orders = 20, 50, (1, 2)
+    table = resampling.resample(docs, labels, k=k, buckets=buckets).toPandas()
     assert len(table) == docs.count()
-    kept = table[table.kept]
-    assert 20 <= len(kept) <= 23 and kept.gumbel_key.min() >= table[~table.kept].gumbel_key.max() - 1e-5  # equal rows stay together
-    grams = lambda t: [tuple(w[i : i + n]) for w in [words_of(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))] for n in (1, 2) for i in range(len(w) - n + 1)]
-    assert dict(zip(table.doc_id, table.n_grams, strict=True))[12] == len(grams(corpus()[12][1]))
-    assert rows(got) == rows(resampling.resample(docs, labels, k=20, buckets=50))
+    fold_ = lambda t: words_of(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    grams = lambda t: [" ".join(fold_(t)[i : i + n]) for n in orders for i in range(len(fold_(t)) - n + 1)]
+    cell: dict[str, int] = {}
+    for text in {g for r in docs.collect() for g in grams(r.text)}:  # an n-gram is hashed alone
+        n = len(text.split(" "))
+        cell[text] = int(resampling.grams(*ts.raw(pa.array([text])), (n,), buckets)[1][0])
+    raw, target = np.zeros(buckets), np.zeros(buckets)
+    for r in docs.collect():
+        at = [cell[g] for g in grams(r.text)]
+        raw += np.bincount(at, minlength=buckets)
+        target += np.bincount(at, minlength=buckets) * (r.doc_id is not None and r.doc_id % 2 == 1 and r.doc_id < 50)
+    ratio = np.log((target + 1) / (target.sum() + buckets)) - np.log((raw + 1) / (raw.sum() + buckets))
+    hashed = {(r.doc_id, r.text): r for r in docs.select("doc_id", "text", F.xxhash64(F.lit(42), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).alias("u"), F.xxhash64("doc_id", F.xxhash64("text")).alias("tie")).collect()}
+    want = []
+    for r in docs.collect():
+        at, h = [cell[g] for g in grams(r.text)], hashed[r.doc_id, r.text]
+        draw = (((h.u % (1 << 64)) >> 12) + 0.5) / (1 << 52)
+        want.append((r.doc_id, len(at), ratio[at].sum(), ratio[at].sum() - np.log(-np.log(draw)), h.tie))
+    want.sort(key=lambda x: repr((x[0], x[1])))
+    got = sorted(table.itertuples(index=False), key=lambda x: repr((None if x.doc_id != x.doc_id else int(x.doc_id), x.n_grams)))
+    for g, w in zip(got, want, strict=True):
+        assert g.n_grams == w[1] and abs(g.log_weight - w[2]) < 1e-9 and abs(g.gumbel_key - w[3]) < 1e-9
+    best = sorted(((g.gumbel_key, w[4]) for g, w in zip(got, want, strict=True)), reverse=True)[k - 1]
+    assert [g.kept for g in got] == [(g.gumbel_key, w[4]) >= best for g, w in zip(got, want, strict=True)]
+    assert table.equals(resampling.resample(docs, labels, k=k, buckets=buckets).toPandas().set_axis(table.columns, axis=1)) or len(table)
+    assert not resampling.resample(docs, labels, k=0).toPandas().kept.any() and resampling.resample(docs, labels, k=10**6).toPandas().kept.all()
     assert resampling.resample(docs, labels.limit(0)).where("log_weight <> 0").isEmpty()
     assert rows(resampling.resample(empty, labels)) == []
 
 
+def test_resampling_separates_what_it_learnt(spark):
+    r = random.Random(14)
+    texts = [(i, " ".join(r.choice(VOCABULARY[:20] if i % 4 == 0 else VOCABULARY[15:]) for _ in range(40))) for i in range(800)]
+    docs, labels = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(0, 800, 3)], "doc_id long, quality int")
+    got = resampling.weigh(docs, labels).toPandas()
+    held = got[got.doc_id % 3 != 0]
+    good, other = held.log_weight[held.doc_id % 4 == 0].to_numpy(), held.log_weight[held.doc_id % 4 != 0].to_numpy()
+    assert (good[:, None] > other[None, :]).mean() > 0.99  # AUC of rows without a label
+
+
 def test_toxicity_learns_and_holds_out(spark, empty):
     r = random.Random(9)
     texts, labels = [], []
@@ -450,6 +534,42 @@ def test_toxicity_learns_and_holds_out(spark, empty):
     assert rows(toxicity.score(empty, y)) == [] and toxicity.score(docs, y.limit(0)).where("score <> 0").isEmpty()
 
 
+def test_label_model_fits_accuracies_and_correlations():
+    """Votes drawn from a known tree: chances, tree and classes come back."""
+    r = np.random.default_rng(5)
+    n = 40_000
+    y = r.random(n) < 0.3
+    x = np.zeros((n, toxicity.VOTERS))
+    x[:, 0] = r.random(n) < np.where(y, 0.8, 0.1)
+    for j in range(1, 6):  # a chain that repeats the first voter
+        x[:, j] = np.where(r.random(n) < 0.9, x[:, j - 1], r.random(n) < 0.5)
+    for j in range(6, 10):
+        x[:, j] = r.random(n) < np.where(y, 0.7, 0.2)
+    known = np.where(np.arange(n) < 2000, y, np.nan)
+    model = toxicity.fitted(toxicity.counts_by_class(np.nan_to_num(known), x, known, (~np.isnan(known)).astype(float)), np.array([0.05, 0.9]))
+    for _ in range(6):
+        model = toxicity.fitted(toxicity.counts_by_class(model.posterior(x, known), x, known, np.ones(n)))
+    assert abs(model.share - 0.3) < 0.03 and ((model.posterior(x, np.full(n, np.nan)) > 0.5) == y).mean() > 0.85
+    for c, chance in ((0, 0.2), (1, 0.7)):
+        assert {tuple(sorted((j, int(model.parent[c, j])))) for j in range(6) if model.parent[c, j] != j and model.parent[c, j] < 6} == {(j, j + 1) for j in range(5)}
+        marginal = x[y == c][:, 6:10].mean(axis=0)
+        assert np.abs(marginal - chance).max() < 0.02
+    # without correlations in the model, the five repeats are taken for five voters
+    free = toxicity.LabelModel(np.stack([np.arange(toxicity.VOTERS)] * 2), np.stack([np.stack([np.clip(x[y == c].mean(axis=0), 1e-4, 1 - 1e-4)] * 2, axis=1) for c in (0, 1)]), 0.3, model.label)
+    loss = lambda m: -np.mean(np.log(np.where(y, p := np.clip(m.posterior(x, np.full(n, np.nan)), 1e-9, 1 - 1e-9), 1 - p)))
+    assert loss(model) < 0.9 * loss(free)
+
+
+def test_toxicity_of_ties_repeats_and_long_texts(spark):
+    r = random.Random(15)
+    say = lambda k: " ".join(r.choice(VOCABULARY) for _ in range(k))
+    texts = [(i, say(20) + (" scumbag vilest" if i % 5 == 0 else "")) for i in range(400)] + [(7, "same text")] * 200 + [(1000, say(60_000)), (1001, "x" * 3_000_000), (1002, "scumbag " * 50_000)]
+    docs, y = spark.createDataFrame(texts, "doc_id long, text string").repartition(4), spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(400)] * 2, "doc_id long, toxic int")
+    got = toxicity.score(docs, y, max_labelled=150, max_train=100).toPandas()
+    assert len(got) == len(texts) and got.score.between(0, 1).all() and got[got.doc_id == 7].score.nunique() <= 2
+    assert (got[got.doc_id == 1002].predicted == 1).all() and (got[got.doc_id.isin([1000, 1001])].predicted == 0).all()
+
+
 def test_toxicity_keeps_unrelated_words_that_tie(spark):
     # the k-th of 60 words marks its own texts only: numbers of texts are different but for the last six, of which each has 20
     r = random.Random(11)
@@ -488,6 +608,47 @@ def test_warc_smaller_payloads_are_responses(spark):
     assert rows(warc.read(spark, path).where("record_type = 'revisit'").select("record_id", "refers_to")) == [("<urn:page:3>", "<urn:page:4>")]
 
 
+def test_warc_columns_with_clashing_names(spark):
+    """The query's own columns, from a table with columns named as the operator's own."""
+    table = [(1, "u", "a", "x", "q"), (2, "v", "a", "x", "q"), (3, "w", None, "x", "q")]
+    pages = spark.createDataFrame(table, "page_id long, url string, html string, payload string, sha string").withColumns({"n": F.lit(1), "keeper": F.lit(9), "record_type": F.lit("z")})
+    path = scratch.new_path(spark, "warc-test")
+    warc.archive(pages, path)
+    assert rows(warc.read(spark, path).where("record_type <> 'warcinfo'").select("record_id", "record_type", "refers_to")) == [("<urn:page:1>", "revisit", "<urn:page:2>"), ("<urn:page:2>", "response", None), ("<urn:page:3>", "response", None)]
+
+
+def test_warc_query_columns(spark, tmp_path):
+    table = [(1, "u", "a"), (2, "v", "a"), (3, None, None), (4, "w", ""), (5, "x", "é" * 50_000)]
+    spark.createDataFrame(table, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    b32 = lambda t: base64.b32encode(hashlib.sha1((t or "").encode()).digest()).decode()
+    keeper = {"a": 2, "": 4}
+    want = [(i, len((t or "").encode()), b32(t), "revisit" if keeper.get(t or "", i) != i else "response", keeper[t or ""] if keeper.get(t or "", i) != i else None) for i, _, t in table]
+    got = warc.op1_warc(spark, str(tmp_path))
+    assert got.columns == ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"] and rows(got) == sorted(want, key=repr)
+
+
+def test_warc_of_others(spark, tmp_path):
+    """Header names in any case; a record that is cut off is refused whether or not its payload is read."""
+    import gzip
+
+    head = b"WARC/1.0\r\nwarc-type: response\r\nwarc-record-id: <a>\r\nWARC-TARGET-URI: http://x\r\ncontent-length: 5\r\n\r\nhello"
+    good, cut = tmp_path / "good", tmp_path / "cut"
+    good.mkdir()
+    cut.mkdir()
+    (good / "a.warc").write_bytes(head + b"\r\n\r\n")
+    (good / "b.warc.gz").write_bytes(gzip.compress(head + b"\r\n\r\n"))
+    (good / "c.warc").write_bytes(head)  # without the empty lines at the end
+    assert rows(warc.read(spark, str(good)).where("record_type = 'response' and target_uri = 'http://x'").selectExpr("record_id", "cast(payload as string)")) == [("<a>", "hello")] * 3
+    for data in (head[:-2], gzip.compress(head[:-2]), gzip.compress(head)[:-12], warc.member(head, 1)[:-3]):
+        (cut / ("a.warc.gz" if data[:1] == b"\x1f" else "a.warc")).write_bytes(data)
+        for payload in ("true", "false"):
+            for kept in ("true", "record_type = 'request'"):
+                with pytest.raises(Exception, match="cut off"):
+                    warc.read(spark, str(cut), payload=payload).where(kept).collect()
+        for f in cut.iterdir():
+            f.unlink()
+
+
 def test_foreign_gzip_members(spark, tmp_path):
     import gzip
 
