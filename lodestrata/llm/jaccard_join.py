@@ -42,6 +42,8 @@ TILE = 1000
 TILE_HASHES = 2_000_000
 #: So many columns at most, the most frequent, are broadcast with their frequencies to go last: it bounds the broadcast, not what is compared.
 MOST_COMMON = 1 << 20
+#: Columns in under one of so many documents, or in under CROWD of them, needn't go last: few meet on them.
+RARE = 4000
 #: Step 3 takes classes that share this part of their prefix columns at least; step 4 takes all.
 LIKELY = 0.4
 #: A column that more likely classes share makes a cluster of them.
@@ -154,15 +156,22 @@ def prefixes(table: pa.Table, common: Common, rows: np.ndarray, n: int, num: int
         yield doc[ok] + lo, h[ok], count[doc[ok]]
 
 
-def across(unit: np.ndarray, n: np.ndarray, num: int, den: int, most: int = 1_000_000):
-    """Pairs (i, j) of one column's entries of different units whose sizes may link, in parts of about `most` pairs."""
-    order = np.argsort(unit, kind="stable")
-    r = unit[order]
-    after = np.searchsorted(r, r, "right")  # where the next unit begins
-    many = len(r) - after
-    bounds = np.searchsorted(np.cumsum(many), np.arange(most, int(many.sum()) + most, most), "left") + 1 if len(r) else np.zeros(0, np.int64)
+def across(group: np.ndarray, unit: np.ndarray, n: np.ndarray, num: int, den: int, most: int = 1_000_000):
+    """Pairs (i, j) of entries of one group and different units whose sizes may link, in parts of about `most` pairs."""
+    if not len(group):
+        return
+    order = np.lexsort((unit, group))
+    g, u = group[order], unit[order]
+    last = np.append((g[1:] != g[:-1]), True)
+    ends = np.flatnonzero(last) + 1
+    group_end = np.repeat(ends, np.diff(np.append(0, ends)))
+    stops = np.flatnonzero(last | np.append(u[1:] != u[:-1], True)) + 1
+    after = np.repeat(stops, np.diff(np.append(0, stops)))  # where the next unit begins, or the group ends
+    many = group_end - after
+    total = np.cumsum(many)
     lo = 0
-    for hi in np.unique(np.minimum(bounds, len(r))).tolist():
+    while lo < len(g):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + most, "right")))
         i = np.repeat(np.arange(lo, hi), many[lo:hi])
         j = ts.spread(after[lo:hi], many[lo:hi])
         i, j = order[i], order[j]
@@ -220,12 +229,12 @@ class Join:
         both = scratch.keep(self.store.groupBy("grp").applyInArrow(run, f"doc_id {id_type}, rid long, n long, sig binary, column long, docs long"), "jaccard-info")
         return both.where("rid is not null").select("doc_id", "rid", "n", "sig"), both.where("rid is null").select("column", "docs")
 
-    def common(self, columns: DataFrame) -> Common:
-        """Columns that go last: those from a power of two of documents on, the least that at most MOST_COMMON columns reach."""
+    def common(self, columns: DataFrame, documents: int) -> Common:
+        """Columns that go last: those from a power of two of documents on, the least that isn't rare and that at most MOST_COMMON columns reach."""
         columns = scratch.keep(columns.groupBy("column").agg(F.sum("docs").alias("docs")), "jaccard-columns")
         tiers = {r["tier"]: r["n"] for r in columns.groupBy(F.floor(F.log2("docs")).alias("tier")).agg(F.count(F.lit(1)).alias("n")).collect()}  # 64 rows at most
-        left, least = MOST_COMMON, 63
-        while least > 1 and left >= tiers.get(least - 1, 0):
+        left, least, rare = MOST_COMMON, 63, int(np.ceil(np.log2(max(COMMON_HERE, min(documents / RARE, CROWD)))))
+        while least > rare and left >= tiers.get(least - 1, 0):
             least -= 1
             left -= tiers.get(least, 0)
         got = columns.where(F.col("docs") >= 1 << least).toArrow()
@@ -370,10 +379,10 @@ class Join:
         entries = light.unionByName(placed.withColumn("task", F.xxhash64("column", "p", "q")))
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = pa.Table.from_batches(list(batches)).sort_by([(c, "ascending") for c in ("column", "p", "q", "rid")])
+            table = pa.Table.from_batches(list(batches)).sort_by([(c, "ascending") for c in ("column", "p", "q", "rid")])  # columns in parts are groups
             rid, n, shared, root, unit, column, own, p, q = (table.column(c).to_numpy() for c in ("rid", "n", "shared", "root", "unit", "column", "own", "p", "q"))
             beyond = n - prefix_length(n, num, den)
-            starts = np.flatnonzero((np.diff(column, prepend=column[:1] - 1) != 0) | (np.diff(p, prepend=-1) != 0) | (np.diff(q, prepend=-1) != 0))
+            group = np.cumsum((np.diff(column, prepend=column[:1]) != 0) | (np.diff(p, prepend=p[:1]) != 0) | (np.diff(q, prepend=q[:1]) != 0))
             ids, first, row = np.unique(rid, return_index=True, return_inverse=True)
             size = n[first]
 
@@ -384,17 +393,15 @@ class Join:
                 return pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[a], ids[b], size[a], size[b], c)], ["u", "v", "nu", "nv", "c"])
 
             parts, pending = [], 0
-            for x, y in zip(starts.tolist(), [*starts[1:].tolist(), len(column)], strict=True):
-                for i, j in across(unit[x:y], n[x:y], num, den):
-                    i, j = i + x, j + x
-                    may = np.minimum(shared[i], shared[j]) + np.maximum(beyond[i], beyond[j]) >= overlap_needed(n[i] + n[j], num, den)
-                    may &= root[i] != root[j]
-                    may &= (own[i] != own[j]) | (p[i] == q[i])  # two of one part meet in its part with itself
-                    parts.append(np.stack([row[i[may]], row[j[may]]]))
-                    pending += parts[-1].shape[1]
-                    if pending > 4_000_000:
-                        yield combined(parts)
-                        parts, pending = [], 0
+            for i, j in across(group, unit, n, num, den):
+                may = np.minimum(shared[i], shared[j]) + np.maximum(beyond[i], beyond[j]) >= overlap_needed(n[i] + n[j], num, den)
+                may &= root[i] != root[j]
+                may &= (own[i] != own[j]) | (p[i] == q[i])  # two of one part meet in its part with itself
+                parts.append(np.stack([row[i[may]], row[j[may]]]))
+                pending += parts[-1].shape[1]
+                if pending > 4_000_000:
+                    yield combined(parts)
+                    parts, pending = [], 0
             yield combined(parts)
 
         pairs = entries.groupBy("task").applyInArrow(count, "u long, v long, nu long, nv long, c long").groupBy("u", "v", "nu", "nv").agg(F.sum("c").alias("c"))
@@ -405,7 +412,7 @@ class Join:
     def run(self) -> DataFrame:
         info, columns = self.describe()
         classes = scratch.keep(info.where("n > 0").groupBy("sig", "n").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("least")), "jaccard-classes")
-        found = self.candidates(classes, self.common(columns))
+        found = self.candidates(classes, self.common(columns, info.count()))
         links = self.links(found.where(self.likely()).select(F.array_min(F.transform("columns", lambda c: F.xxhash64(c))).alias("block"), "rid", "n"))
         members, pairs = self.left_over(found, components.components(links))
         links = links.unionByName(self.links(members, whole=True))

@@ -263,9 +263,10 @@ def test_jaccard_join_of_a_column_of_many(spark, monkeypatch, most):
 def test_pairs_across_units():
     r = np.random.default_rng(2)
     for _ in range(30):
-        unit, n = r.integers(0, 5, m := int(r.integers(0, 40))), r.integers(1, 30, m)
-        got = [(min(i, j), max(i, j)) for a, b in jaccard_join.across(unit, n, 80, 100, most=7) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
-        assert sorted(got) == [(i, j) for i in range(m) for j in range(i + 1, m) if unit[i] != unit[j] and 100 * min(n[i], n[j]) >= 80 * max(n[i], n[j])]
+        m = int(r.integers(0, 60))
+        group, unit, n = r.integers(0, 4, m), r.integers(0, 5, m), r.integers(1, 30, m)
+        got = [(min(i, j), max(i, j)) for a, b in jaccard_join.across(group, unit, n, 80, 100, most=7) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+        assert sorted(got) == [(i, j) for i in range(m) for j in range(i + 1, m) if group[i] == group[j] and unit[i] != unit[j] and 100 * min(n[i], n[j]) >= 80 * max(n[i], n[j])]
 
 
 def test_jaccard_keep_first(spark, docs, empty):
