@@ -17,6 +17,16 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def short_name(n: int) -> str:
+    """A place as letters in base 26: a, b, ..., z, ba, bb."""
+    out = ""
+    while True:
+        n, digit = divmod(n, 26)
+        out = chr(97 + digit) + out
+        if not n:
+            return out
+
+
 def finite(c: Column) -> Column:
     """NaN and infinities become null."""
     return F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c)
@@ -100,28 +110,48 @@ def round_half_even(c: Column) -> Column:
     return F.bround(c, 0)
 
 
+#: Decimals of a label at most, with a suffix and without (fixed values).
+MOST_DECIMALS = (2, 6)
+
+
 def number_label(value: Column, step: Column | float, ref: Column | float | None = None) -> Column:
-    """A number with the suffix that its reference size asks for (K, M, B, T), and as many decimals as tell steps apart."""
+    """A number with the suffix that its reference size asks for (K, M, B, T), and as many decimals as tell steps apart, two behind a suffix at most. What is next to nothing beside a step is 0."""
     lit = lambda x: x if isinstance(x, Column) else F.lit(float(x))
     step, size = lit(step), F.abs(lit(ref) if ref is not None else value)
     scale = reduce(lambda a, b: a.when(size >= b, F.lit(float(b))), (1e9, 1e6, 1e3), F.when(size >= 1e12, F.lit(1e12))).otherwise(F.lit(1.0))
-    suffix = F.when(scale == 1e12, "T").when(scale == 1e9, "B").when(scale == 1e6, "M").when(scale == 1e3, "K").otherwise("")
-    fine = F.abs(step) / scale
-    places = F.when(fine <= 0, 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(6), (1 - F.floor(F.log10(fine))).cast("int"))))
-    shown = reduce(lambda a, n: a.when(places == n, F.format_string(f"%.{n}f", value / scale)), range(1, 7), F.when(places == 0, F.format_string("%.0f", value / scale)))
+    snapped = F.when((step > 0) & (F.abs(value) < step * 1e-9), 0.0).otherwise(value)
+    # each part is named once and used often: written out, the expression would be too large to compile
+    return _named({"value": snapped / scale, "step": step / scale, "scale": scale}, _label)
+
+
+def _named(parts: dict[str, Column], make) -> Column:
+    return F.transform(F.array(F.struct(*[v.alias(k) for k, v in parts.items()])), make)[0]
+
+
+def _label(of: Column) -> Column:
+    plain = of["scale"] == 1
+    apart = F.when(of["step"] > 0, (1 - F.floor(F.log10(of["step"]))).cast("int")).otherwise(F.when(plain, 0).otherwise(1))
+    places = F.greatest(F.lit(0), F.least(F.when(plain, MOST_DECIMALS[1]).otherwise(MOST_DECIMALS[0]), apart))
+    shown = reduce(lambda a, n: a.when(places == n, F.format_string(f"%.{n}f", of["value"])), range(1, 7), F.when(places == 0, F.format_string("%.0f", of["value"])))
     trimmed = F.when(shown.contains("."), F.regexp_replace(F.regexp_replace(shown, "0+$", ""), r"\.$", "")).otherwise(shown)
+    suffix = F.when(of["scale"] == 1e12, "T").when(of["scale"] == 1e9, "B").when(of["scale"] == 1e6, "M").when(of["scale"] == 1e3, "K").otherwise("")
     return F.concat(F.when(trimmed == "-0", "0").otherwise(trimmed), suffix)
 
 
-def bucket_label(lo: Column, hi: Column) -> Column:
-    """lo–hi, with <> where a bound is negative; both bounds share the larger one's suffix."""
-    ref = F.greatest(F.abs(lo), F.abs(hi))
-    return F.concat(number_label(lo, hi - lo, ref), F.when((lo < 0) | (hi < 0), "<>").otherwise("–"), number_label(hi, hi - lo, ref))
+def _bounds_label(lo: Column, hi: Column) -> Column:
+    """Two labels with a dash, or <> where one is negative and its sign would look like the dash."""
+    return F.concat(lo, F.when(lo.startswith("-") | hi.startswith("-"), "<>").otherwise("–"), hi)
+
+
+def bucket_label(lo: Column, hi: Column, step: Column | None = None, ref: Column | None = None) -> Column:
+    """lo–hi; both bounds share the suffix of `ref`, by default the larger one's size, as all buckets of a histogram do."""
+    step, ref = hi - lo if step is None else step, F.greatest(F.abs(lo), F.abs(hi)) if ref is None else ref
+    return _bounds_label(number_label(lo, step, ref), number_label(hi, step, ref))
 
 
 def tail_label(lo: Column, hi: Column, step: Column) -> Column:
     """As bucket_label, but each bound has its own suffix: a tail can span several orders of size."""
-    return F.concat(number_label(lo, step), F.when((lo < 0) | (hi < 0), "<>").otherwise("–"), number_label(hi, F.greatest(step, F.abs(hi) / 10)))
+    return _bounds_label(number_label(lo, step), number_label(hi, step))
 
 
 #: The narrowest integer types with their strict upper bounds, signed and unsigned (fixed values).

@@ -45,29 +45,20 @@ def range_filter(df: DataFrame, column: str, lower=None, upper=None) -> DataFram
     return df
 
 
-def _with_bounds(df: DataFrame, columns: list[Column], low: float, high: float) -> DataFrame:
-    """df beside one row of quantiles: q0, q1, ... are arrays of two."""
-    return df.crossJoin(F.broadcast(quantiles.bounds(df, columns, low, high)))  # one row, whatever the size of df
-
-
-def _own(out: DataFrame, df: DataFrame) -> DataFrame:
-    return out.select(*[col(c) for c in df.columns])
-
-
 def remove_outliers(df: DataFrame, column: str, percent: float) -> DataFrame:
-    """Rows strictly between the quantiles percent/100 and 1 - percent/100."""
-    out = _with_bounds(df, [col(column)], percent / 100, 1 - percent / 100)
-    return _own(out.where((col(column) > F.col("__q0")[0]) & (col(column) < F.col("__q0")[1])), df)
+    """Rows strictly between the quantiles percent/100 and 1 - percent/100. The quantiles are found at once; the filter holds numbers, which a scan can use."""
+    (low, high), = quantiles.column_quantiles(df, [col(column)], [percent / 100, 1 - percent / 100])
+    return df.where((col(column) > F.lit(low)) & (col(column) < F.lit(high)))
 
 
 def only_outliers(df: DataFrame, column: str, tail: float) -> DataFrame:
     """Rows below the quantile tail or above 1 - tail, null first filled with the mean (truncated for integers)."""
     kind = df.schema[column].dataType
-    mean = df.agg(F.avg(col(column)).alias("__mean"))
-    fill = F.col("__mean").cast(kind) if types.is_integer(kind) else F.col("__mean")
-    filled = _own(df.crossJoin(F.broadcast(mean)).withColumn(column, F.coalesce(col(column), fill)), df)
-    out = _with_bounds(filled, [col(column)], tail, 1 - tail)
-    return _own(out.where((col(column) < F.col("__q0")[0]) | (col(column) > F.col("__q0")[1])), df)
+    mean = df.agg(F.avg(col(column))).first()[0]
+    fill = F.lit(mean).cast(kind)
+    filled = df.select(*[F.coalesce(col(c), fill).alias(c) if c == column else col(c) for c in df.columns])
+    (low, high), = quantiles.column_quantiles(filled, [col(column)], [tail, 1 - tail])
+    return filled.where((col(column) < F.lit(low)) | (col(column) > F.lit(high)))
 
 
 def any_outliers(df: DataFrame, low: float = 0.01, high: float = 0.99, columns: list[str] | None = None) -> DataFrame:
@@ -75,8 +66,8 @@ def any_outliers(df: DataFrame, low: float = 0.01, high: float = 0.99, columns:
     names = columns or types.columns_of(df, types.is_numeric_not_bool)
     if not names:
         return df.where(F.lit(False))
-    out = _with_bounds(df, [col(c) for c in names], low, high)
-    return _own(out.where(_any([(col(c) <= F.col(f"__q{i}")[0]) | (col(c) >= F.col(f"__q{i}")[1]) for i, c in enumerate(names)])), df)
+    bounds = quantiles.column_quantiles(df, [col(c) for c in names], [low, high])
+    return df.where(_any([(col(c) <= F.lit(a)) | (col(c) >= F.lit(b)) for c, (a, b) in zip(names, bounds, strict=True)]))
 
 
 def rare_rows(df: DataFrame, share: float = 0.01) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import aggregates
 from lodestrata.functions.scalars import col
+from lodestrata.operators import quantiles
 
 
 def _wanted(spec: dict[str, str | list[str]]) -> list[tuple[str, str]]:
@@ -14,17 +15,34 @@ def _wanted(spec: dict[str, str | list[str]]) -> list[tuple[str, str]]:
     return [(c, a) for c, names in spec.items() for a in ([names] if isinstance(names, str) else names) if a != "null"]
 
 
+def _medians(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """__of and __median{i}: medians of groups, from values counted and ranked along their order, so that no task holds a group's values."""
+    tall = rows.select(F.explode(F.array(*[F.struct(F.struct(col(key).alias("k"), F.lit(i).alias("i")).alias("column"), col(c).cast("double").alias("v")) for i, c in enumerate(columns)])).alias("c")).select("c.*")
+    found = quantiles.grouped_quantiles(tall, [0.5])
+    return found.groupBy(F.col("column.k").alias("__of")).agg(*[F.max(F.when(F.col("column.i") == i, F.col("q"))).alias(f"__median{i}") for i in range(len(columns))])
+
+
+def _aggregated(rows: DataFrame, key: str, wanted: list[tuple[str, str]], order_by: list[str] | None, name: str) -> DataFrame:
+    medians = list(dict.fromkeys(c for c, a in wanted if a == "median"))
+    plain = [(c, a) for c, a in wanted if a != "median"]
+    rows = aggregates.prepare(rows, plain, [key], order_by)
+    # an aggregate at least, so that every group has its row
+    grouped = rows.groupBy(col(key)).agg(F.count(F.lit(1)).alias("__n"), *[aggregates.expression(rows, c, a, order_by).alias(name.format(column=c, aggregate=a)) for c, a in plain])
+    if medians:
+        grouped = grouped.join(_medians(rows, key, medians), col(key).eqNullSafe(F.col("__of")), "left")
+    at = {c: f"__median{i}" for i, c in enumerate(medians)}
+    label = lambda c, a: name.format(column=c, aggregate=a)
+    return grouped.select(col(key), *[(F.col(at[c]) if a == "median" else col(label(c, a))).alias(label(c, a)) for c, a in wanted])
+
+
 def group_by(df: DataFrame, key: str, spec: dict[str, str | list[str]], order_by: list[str] | None = None, name: str = "{column}_{aggregate}") -> DataFrame:
     """One row for each non-null key. name: how results are called, of {column} and {aggregate}."""
-    wanted = _wanted(spec)
-    rows = aggregates.prepare(df.where(col(key).isNotNull()), wanted, [key], order_by)
-    return rows.groupBy(col(key)).agg(*[aggregates.expression(df, c, a, order_by).alias(name.format(column=c, aggregate=a)) for c, a in wanted])
+    return _aggregated(df.where(col(key).isNotNull()), key, _wanted(spec), order_by, name)
 
 
 def group_by_sorted(df: DataFrame, key: str, spec: dict[str, str | list[str]]) -> DataFrame:
     """As group_by, with names like c(sum) and keys descending; a null key is a group."""
-    wanted = _wanted(spec)
-    return df.groupBy(col(key)).agg(*[aggregates.expression(df, c, a).alias(f"{c}({a})") for c, a in wanted]).orderBy(col(key).desc_nulls_last())
+    return _aggregated(df, key, _wanted(spec), None, "{column}({aggregate})").orderBy(col(key).desc_nulls_last())
 
 
 def group_by_transform(df: DataFrame, key: str, spec: dict[str, str | list[str]], order_by: list[str] | None = None) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import scalars as S
@@ -15,41 +16,48 @@ from lodestrata.plans import profile
 BINS = 10
 
 
-def _tall(df: DataFrame, columns: list[str]) -> DataFrame:
-    """column, v of every numeric value."""
-    clean = nullify_nonfinite(df)
-    return clean.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), col(c).cast("double").alias("v")) for c in columns])).alias("c")).select("c.column", "c.v").where("v is not null")
+def _ranges(df: DataFrame, within: list[tuple[Column, float | None, float | None]]) -> list[tuple[float | None, float | None]]:
+    """Least and largest of each column's values strictly between two bounds, where there are bounds."""
+    inside = lambda c, lo, hi: F.when((c > F.lit(lo)) & (c < F.lit(hi)), c) if lo is not None else c
+    cells = [F.struct(F.min(inside(*w)).cast("double"), F.max(inside(*w)).cast("double")).alias(f"r{i}") for i, w in enumerate(within)]
+    return [tuple(r) for r in df.agg(*cells).first()] if cells else []
 
 
-def _bins(rows: DataFrame, lo: str = "lo", hi: str = "hi") -> DataFrame:
-    """column, bin (0..9), lo, hi, n: every bin of each column, those without values too; the last is closed. Ranges that can't be split have none."""
-    width = (F.col(hi) - F.col(lo)) / BINS
-    able = (F.col(hi) > F.col(lo)) & (F.col(lo) + width > F.col(lo)) & (F.col(hi) - width < F.col(hi))
-    placed = rows.where(able).select("column", F.col(lo).alias("lo"), F.col(hi).alias("hi"), F.least(F.lit(BINS - 1), F.greatest(F.lit(0), F.floor((F.col("v") - F.col(lo)) / width))).cast("int").alias("bin"))
-    counted = placed.groupBy("column", "bin").agg(F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.count(F.lit(1)).alias("n"))
-    every = counted.groupBy("column").agg(F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("have"), F.sum("n").alias("total"))
-    return every.select("column", "lo", "hi", "have", "total", F.explode(F.sequence(F.lit(0), F.lit(BINS - 1))).alias("bin")).select(
-        "column", "bin", (F.col("lo") + (F.col("hi") - F.col("lo")) / BINS * F.col("bin")).alias("bin_lo"), (F.col("lo") + (F.col("hi") - F.col("lo")) / BINS * (F.col("bin") + 1)).alias("bin_hi"), F.coalesce(F.try_element_at("have", F.col("bin")), F.lit(0)).cast("long").alias("n"), "total")
+def _bins(df: DataFrame, names: list[str], ranges: list[tuple[float | None, float | None]]) -> DataFrame:
+    """column, bin (0..9), bin_lo, bin_hi, n, total: every bin of each column, those without values too; the last is closed. Ranges that can't be split have none."""
+    able = [(i, lo, (hi - lo) / BINS, hi) for i, (lo, hi) in enumerate(ranges) if lo is not None and hi > lo and lo + (hi - lo) / BINS > lo and hi - (hi - lo) / BINS < hi]
+    schema = "column string, bin int, bin_lo double, bin_hi double, n long, total long"
+    if not able:
+        return df.sparkSession.createDataFrame([], schema)
+    cells = []
+    for i, lo, width, hi in able:
+        v = col(names[i]).cast("double")
+        at = F.least(F.lit(BINS - 1), F.greatest(F.lit(0), F.floor((v - lo) / width))).cast("int")
+        cells.append(F.struct(F.lit(i).alias("i"), F.when((v >= lo) & (v <= hi), at).alias("bin")))
+    counted = df.select(F.explode(F.array(*cells)).alias("c")).select("c.*").where("bin is not null").groupBy("i", "bin").agg(F.count(F.lit(1)).alias("n"))
+    every = df.sparkSession.createDataFrame([(i, k, names[i], lo + width * k, lo + width * (k + 1)) for i, lo, width, _ in able for k in range(BINS)], "i int, bin int, column string, bin_lo double, bin_hi double")
+    # ten rows a column
+    filled = every.join(F.broadcast(counted), ["i", "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return filled.withColumn("total", F.sum("n").over(Window.partitionBy("i"))).select(*[c.split(" ")[0] for c in schema.split(", ")])
 
 
 def trimmed(df: DataFrame, columns: list[str] | None = None, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """column, low_tail, high_tail, bin, bin_lo, bin_hi, population: equal bins over the values strictly between two quantiles."""
     names = columns or types.columns_of(df, types.is_numeric_not_bool)
-    tall = _tall(df, names)
-    both = quantiles.quantiles(tall, [low, high])
-    tails = both.groupBy(F.col("column").alias("of")).agg(F.min("q").alias("low_tail"), F.max("q").alias("high_tail"))
-    meat = tall.join(F.broadcast(tails), F.col("column") == F.col("of")).where("v > low_tail and v < high_tail").drop("of")  # one row a column
-    range_ = meat.groupBy("column").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).withColumnRenamed("column", "of")
-    binned = _bins(meat.join(F.broadcast(range_), F.col("column") == F.col("of")).drop("of"))
-    return binned.join(F.broadcast(tails), F.col("column") == F.col("of")).select("column", "low_tail", "high_tail", "bin", "bin_lo", "bin_hi", (F.col("n") / F.col("total")).alias("population"))
+    clean = nullify_nonfinite(df).select(*[col(c) for c in names])
+    tails = quantiles.column_quantiles(clean, [col(c) for c in names], [low, high])
+    some = [i for i, (a, _) in enumerate(tails) if a is not None]
+    names, tails = [names[i] for i in some], [tails[i] for i in some]
+    bins = _bins(clean, names, _ranges(clean, [(col(c), a, b) for c, (a, b) in zip(names, tails, strict=True)]))
+    of = df.sparkSession.createDataFrame([(c, a, b) for c, (a, b) in zip(names, tails, strict=True)], "of string, low_tail double, high_tail double")
+    return bins.join(F.broadcast(of), F.col("column") == F.col("of")).select("column", "low_tail", "high_tail", "bin", "bin_lo", "bin_hi", (F.col("n") / F.col("total")).alias("population"))
 
 
 def full_range(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """column, bin, bin_lo, bin_hi, n, percent (one decimal): equal bins over all values; a constant column has none."""
     names = columns or types.columns_of(df, types.is_numeric_not_bool)
-    tall = _tall(df, names)
-    range_ = tall.groupBy("column").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).withColumnRenamed("column", "of")
-    binned = _bins(tall.join(F.broadcast(range_), F.col("column") == F.col("of")).drop("of"))
+    clean = nullify_nonfinite(df)
+    binned = _bins(clean, names, _ranges(clean, [(col(c), None, None) for c in names]))
     return binned.select("column", "bin", "bin_lo", "bin_hi", "n", F.round(100 * F.col("n") / F.col("total"), 1).alias("percent"))
 
 
@@ -86,25 +94,49 @@ def top_ten(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def bars(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """column, place, name, percent of labelled bars of each column: numeric bins with their tails for numbers of over five values, else categories."""
     names = columns or df.columns
-    distinct = {r["column"]: r["n"] for r in profile.value_counts(df, names).groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a column
-    wide = [c for c in names if types.is_numeric_not_bool(df.schema[c].dataType) and distinct.get(c, 0) > 5]
+    numbers = [c for c in names if types.is_numeric_not_bool(df.schema[c].dataType)]
+    wide = [c for c, many in zip(numbers, profile.more_distinct_than(df, numbers, 5), strict=True) if many]
     out = None
     if wide:
         bins = trimmed(df, wide)
-        able = {r[0] for r in bins.where("population > 0").groupBy("column").count().where("count > 5").select("column").collect()}
-        wide = [c for c in wide if c in able]
+        # ten rows a column
+        found = bins.collect()
+        full = {c: sum(r["population"] > 0 for r in found if r["column"] == c) for c in wide}
+        wide = [c for c in wide if full[c] > 5]
     if wide:
-        nulls = df.agg(*[F.try_divide(F.count_if(col(c).isNull()), F.count(F.lit(1))).alias(c) for c in wide])
-        extremes = nullify_nonfinite(df).agg(*[F.struct(F.min(col(c)).cast("double").alias("lo"), F.max(col(c)).cast("double").alias("hi")).alias(c) for c in wide])
-        rows = bins.where(F.col("column").isin(wide)).select("column", (F.col("bin") + 2).alias("place"), S.bucket_label(F.col("bin_lo"), F.col("bin_hi")).alias("name"), F.bround(100 * F.col("population"), 0).alias("percent"))
-        ends = extremes.select(F.explode(F.array(*[F.struct(F.lit(c).alias("of"), col(c)["lo"].alias("lo"), col(c)["hi"].alias("hi")) for c in wide])).alias("x")).select("x.*")
-        tails = bins.where(F.col("column").isin(wide)).groupBy("column").agg(F.first("low_tail").alias("low"), F.first("high_tail").alias("high"), F.first(F.col("bin_hi") - F.col("bin_lo")).alias("step")).join(F.broadcast(ends), F.col("column") == F.col("of"))
-        for place, lo, hi in ((1, "lo", "low"), (12, "high", "hi")):
-            rows = rows.unionByName(tails.select("column", F.lit(place).alias("place"), S.tail_label(F.col(lo), F.col(hi), F.col("step")).alias("name"), F.lit(1.0).alias("percent")))
-        missing = nulls.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(13).alias("place"), F.lit("NA").alias("name"), F.bround(100 * col(c), 0).alias("percent")) for c in wide])).alias("x")).select("x.*")
-        out = rows.unionByName(missing.where("percent > 0"))
+        nulls = df.agg(*[F.try_divide(F.count_if(col(c).isNull()), F.count(F.lit(1))).alias(f"n{i}") for i, c in enumerate(wide)]).first()
+        rows = []
+        for c, missing, (least, most) in zip(wide, nulls, _ranges(nullify_nonfinite(df), [(col(c), None, None) for c in wide]), strict=True):
+            own = sorted((r for r in found if r["column"] == c), key=lambda r: r["bin"])
+            lo, hi = own[0]["bin_lo"], own[-1]["bin_hi"]
+            step, ref = (hi - lo) / BINS, max(abs(lo), abs(hi))
+            rows += [(c, r["bin"] + 2, "bin", r["bin_lo"], r["bin_hi"], step, ref, 100 * r["population"]) for r in own]
+            rows += [(c, 1, "tail", least, own[0]["low_tail"], step, ref, 1.0), (c, 12, "tail", own[0]["high_tail"], most, step, ref, 1.0)]
+            rows += [(c, 13, "NA", None, None, None, None, 100 * missing)] if missing else []
+        said = df.sparkSession.createDataFrame(rows, "column string, place int, kind string, lo double, hi double, step double, ref double, share double")
+        bounds = [F.col(k) for k in ("lo", "hi", "step", "ref")]
+        label = F.when(F.col("kind") == "bin", S.bucket_label(*bounds)).when(F.col("kind") == "tail", S.tail_label(*bounds[:3])).otherwise(F.lit("NA"))
+        out = said.select("column", "place", label.alias("name"), F.bround("share", 0).alias("percent")).where("place < 13 or percent > 0")
     rest = [c for c in names if c not in wide and not types.is_nested(df.schema[c].dataType)]
     if rest:
         other = categorical(df, rest)
         out = other if out is None else out.unionByName(other)
     return out
+
+
+def pushed_down(df: DataFrame, column: str) -> list[dict]:
+    """One column's bars as rows to draw, from aggregates that a source can compute: full-range bins of numbers of over five values, else the ten most frequent values. [] where either fails or there is nothing to show."""
+    try:
+        number = types.is_numeric_not_bool(df.schema[column].dataType)
+        one = df.select(col(column))
+        if number and profile.more_distinct_than(one, [column], 5)[0]:
+            found = sorted(full_range(one, [column]).collect(), key=lambda r: r["bin"])
+            if found:
+                span = (found[-1]["bin_hi"] - found[0]["bin_lo"]) / BINS
+                ref = max(abs(found[0]["bin_lo"]), abs(found[-1]["bin_hi"]))
+                said = df.sparkSession.createDataFrame([(r["bin_lo"], r["bin_hi"], float(r["percent"])) for r in found], "lo double, hi double, percent double")
+                label = S.bucket_label(F.col("lo"), F.col("hi"), F.lit(span), F.lit(ref))
+                return [r.asDict() for r in said.select(label.alias("name"), F.col("percent").alias("population")).collect()]
+        return [{"name": r["value"], "population": r["percent"]} for r in top_ten(one, [column]).orderBy("place").collect()]
+    except (PySparkException, KeyError, TypeError, ValueError):
+        return []

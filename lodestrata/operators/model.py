@@ -51,12 +51,12 @@ def _codes(df: DataFrame, names: list[str]) -> DataFrame:
 
 def correlated_columns(df: DataFrame, least: float = 0.6, max_share: float = 0.3, max_values: int = 50) -> DataFrame:
     """left, right, correlation of pairs of columns with few values whose codes correlate above `least`."""
-    from lodestrata.plans.profile import value_counts
+    from lodestrata.plans.profile import more_distinct_than
 
     able = [f.name for f in df.schema if not types.is_nested(f.dataType)]
-    n = df.count()
-    distinct = {r["column"]: r["d"] for r in value_counts(df, able).groupBy("column").agg(F.count(F.lit(1)).alias("d")).collect()}
-    names = [c for c in able if distinct.get(c, 0) > 1 and (distinct[c] < max_share * n or distinct[c] < max_values)]
+    # as many values as a column may have: the more of a share of the rows and a fixed number
+    most = max(int(max_share * df.count()), max_values)
+    names = [c for c, several, many in zip(able, more_distinct_than(df, able, 1), more_distinct_than(df, able, most - 1), strict=True) if several and not many]
     pairs = list(combinations(names, 2))
     schema = "left string, right string, correlation double"
     if not pairs:
@@ -77,12 +77,13 @@ def correlation_groups(pairs: list[tuple[str, str]]) -> list[list[str]]:
 
 def order_columns(df: DataFrame) -> DataFrame:
     """The columns by usefulness: times first, constants last, of correlated groups the first ahead of the others."""
-    from lodestrata.plans.profile import value_counts
+    from lodestrata.plans.profile import more_distinct_than
 
-    distinct = {r["column"]: r["d"] for r in value_counts(df).groupBy("column").agg(F.count(F.lit(1)).alias("d")).collect()}
+    plain = [f.name for f in df.schema if not types.is_nested(f.dataType)]
+    several = dict(zip(plain, more_distinct_than(df, plain, 1), strict=True))
     score = dict.fromkeys(df.columns, 0)
     for f in df.schema:
-        score[f.name] += 11 * types.is_temporal(f.dataType) - 20 * (not types.is_nested(f.dataType) and distinct.get(f.name, 0) <= 1)
+        score[f.name] += 11 * types.is_temporal(f.dataType) - 20 * (not several.get(f.name, True))
     for group in correlation_groups([(r["left"], r["right"]) for r in correlated_columns(df).orderBy("left", "right").collect()]):
         first, *others = sorted(group, key=lambda c: (-score[c], df.columns.index(c)))
         score[first] += 5

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from weakref import WeakKeyDictionary
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,16 @@ from lodestrata.operators.filters import search
 from lodestrata.operators.running import running_sum
 
 MOST_PAGE_ROWS = 10_000
+#: Rows before the end of a page that each task may hold to sort it out; a deeper page is found by numbers.
+MOST_HELD_ROWS = 100_000
+_counts: WeakKeyDictionary = WeakKeyDictionary()
+
+
+def row_count(df: DataFrame) -> int:
+    """Rows of a table, counted once as long as the caller holds it."""
+    if df not in _counts:
+        _counts[df] = df.count()
+    return _counts[df]
 
 
 def rank(df: DataFrame, column: str, method: str = "min", new_name: str | None = None) -> DataFrame:
@@ -55,9 +67,15 @@ def clamp_window(start, end, total: int, most: int = MOST_PAGE_ROWS) -> tuple[in
 
 
 def page(df: DataFrame, start: int, end: int, sort: str | None = None, ascending: bool = True, order_by: list[str] | None = None) -> DataFrame:
-    """Rows start to end (exclusive) of the sorted table, with their absolute places in `index`. Nulls come last either way; order_by settles ties, and is the order if the sort column is unknown."""
+    """Rows start to end (exclusive) of the sorted table, with their absolute places in `index`. Nulls come last either way; order_by settles ties, and is the order if the sort column is unknown.
+
+    A page near the start is kept by each task in its heap; for a deep one rows are numbered within ranges of the order, so no task holds more than its range.
+    """
     ties = [col(c).asc_nulls_last() for c in order_by or df.columns]
     keys = ([col(sort).asc_nulls_last() if ascending else col(sort).desc_nulls_last()] if sort in df.columns else []) + ties
+    if end > MOST_HELD_ROWS:
+        numbered = running_sum(df, keys, {"__number": F.lit(1)}).where((F.col("__number") > start) & (F.col("__number") <= end))
+        return numbered.select((F.col("__number") - 1).alias("index"), *[col(c) for c in df.columns])
     window = df.orderBy(*keys).offset(start).limit(max(end - start, 0))
     # a page has at most MOST_PAGE_ROWS rows, so one task can number it
     return window.select((F.row_number().over(Window.orderBy(*keys)) - 1 + start).alias("index"), *[col(c) for c in df.columns])
@@ -92,13 +110,13 @@ def first_row(df: DataFrame, order_by: list[str] | None = None) -> DataFrame:
 
 def sample_rows(df: DataFrame, most: int, seed: int = 1, total: int | None = None) -> DataFrame:
     """About `most` rows of a larger table, drawn evenly; a table that is no larger stays whole."""
-    total = df.count() if total is None else total
+    total = row_count(df) if total is None else total
     return df if total <= most else df.sample(fraction=most / total, seed=seed)
 
 
 def sample_cells(df: DataFrame, most_cells: int = 1_000_000, rows: int = 50_000, seed: int = 1) -> DataFrame:
     """A sample of `rows` rows if the table has over most_cells cells."""
-    total = df.count()
+    total = row_count(df)
     return sample_rows(df, rows, seed, total) if total * len(df.columns) > most_cells else df
 
 

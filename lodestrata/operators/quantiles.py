@@ -1,15 +1,114 @@
-"""Exact quantiles of many columns at once, without gathering a column's values in one task."""
+"""Exact quantiles, without gathering a column's values in one task.
+
+Of whole columns: a sketch brackets the wanted ranks, one pass counts what lies below and inside, and only what lies inside is sorted. Of
+groups: values are counted and the counts summed along their order.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.operators.running import running_sum
 
+#: Ranks of the sketch are off by a row in so many at most.
+ACCURACY = 10_000
+#: Values of a bracket that are sorted; a bracket of more is narrowed first.
+INSIDE = 200_000
+GRID = 128
+
+
+@dataclass
+class Bracket:
+    """Where a column's order statistics first and last (ranks from 0) lie: from lo to hi."""
+
+    column: int
+    first: int
+    last: int
+    part: float
+    lo: float
+    hi: float
+    below: int = 0
+    inside: int = 0
+
+
+def column_quantiles(df: DataFrame, columns: list[Column], probabilities: list[float], accuracy: int = ACCURACY, most: int = INSIDE) -> list[list[float | None]]:
+    """For each column its quantiles, interpolated linearly between two ranks; null values don't count, and a column without any has None.
+
+    Each step is one aggregate over all columns; their number grows with the logarithm of the rows, in powers of GRID beyond the sketch.
+    """
+    named = df.select(*[c.cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
+    margin = 2 / accuracy
+    while True:
+        found = _brackets(named, len(columns), probabilities, accuracy, margin)
+        brackets = [b for row in found for b in row if b is not None]
+        if not brackets:
+            return [[None] * len(probabilities) for _ in columns]
+        if _narrow(named, brackets, most):
+            picked = _pick(named, brackets)
+            values = iter(a + (b - a) * k.part for k, (a, b) in zip(brackets, picked, strict=True))
+            return [[None if b is None else next(values) for b in row] for row in found]
+        margin *= 8  # the sketch missed a rank
+
 
-def quantiles(tall: DataFrame, probabilities: list[float]) -> DataFrame:
-    """column, p, q of a table of (column, v): values between two ranks are interpolated linearly; null values don't count.
+def _brackets(named: DataFrame, n: int, probabilities: list[float], accuracy: int, margin: float) -> list[list[Bracket | None]]:
+    asked = sorted({min(max(p + s * margin, 0.0), 1.0) for p in probabilities for s in (-1, 1)})
+    cells = [F.struct(F.count(f"v{i}"), F.min(f"v{i}"), F.max(f"v{i}"), F.percentile_approx(f"v{i}", asked, accuracy)).alias(f"s{i}") for i in range(n)]
+    out = []
+    for i, (count, least, most, sketch) in enumerate(named.agg(*cells).first()):
+        row = []
+        for p in probabilities:
+            at = p * (count - 1)
+            lo, hi = p - margin, p + margin
+            row.append(None if not count else Bracket(i, int(at), int(at) + (at > int(at)), at - int(at), least if lo <= 0 else sketch[asked.index(lo)], most if hi >= 1 else sketch[asked.index(hi)]))
+        out.append(row)
+    return out
+
+
+def _inside(b: Bracket) -> Column:
+    return (F.col(f"v{b.column}") >= b.lo) & (F.col(f"v{b.column}") <= b.hi)
+
+
+def _narrow(named: DataFrame, brackets: list[Bracket], most: int) -> bool:
+    """Counts values below and inside each bracket and narrows those that hold too many; whether all hold their ranks."""
+    steps = F.expr(f"array({', '.join(f'{k / GRID}D' for k in range(GRID + 1))})")
+    while True:
+        wide = [b.inside > most and b.lo < b.hi for b in brackets]
+        cells = [F.struct(F.count_if(F.col(f"v{b.column}") < b.lo), F.count_if(_inside(b)), (F.percentile_approx(F.when(_inside(b), F.col(f"v{b.column}")), steps, F.lit(8 * GRID)) if w else F.lit(None))).alias(f"s{k}") for k, (b, w) in enumerate(zip(brackets, wide, strict=True))]
+        narrower = False
+        for b, w, (below, inside, grid) in zip(brackets, wide, named.agg(*cells).first(), strict=True):
+            b.below, b.inside = below, inside
+            if not below <= b.first or not b.last < below + inside:
+                return False
+            if w:
+                lo = int((b.first - below) / inside * GRID) - 1
+                hi = -int(-(b.last - below + 1) / inside * GRID) + 2
+                new = (b.lo if lo <= 0 else grid[lo], b.hi if hi >= GRID else grid[hi])
+                narrower |= new != (b.lo, b.hi)
+                b.lo, b.hi = new
+        # a bracket that doesn't get narrower is full of equal values, which are counted as one
+        if not narrower and not any(b.inside > most and b.lo < b.hi and not w for b, w in zip(brackets, wide, strict=True)):
+            return True
+
+
+def _pick(named: DataFrame, brackets: list[Bracket]) -> list[tuple[float, float]]:
+    """The values of both ranks of each bracket: only values inside are taken, counted and put in order."""
+    cells = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(b.first - b.below).alias("first"), F.lit(b.last - b.below).alias("last"), F.when(_inside(b), F.col(f"v{b.column}")).alias("v")) for k, b in enumerate(brackets)])
+    tall = named.where(reduce(or_, [_inside(b) for b in brackets])).select(F.explode(cells).alias("c")).select("c.*").where("v is not null")
+    counted = tall.groupBy("k", "first", "last", "v").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("k").orderBy("v"))  # INSIDE values or so
+    found: dict[int, tuple] = {}
+    for r in counted.withColumn("upto", upto).where("upto > first and upto - n <= last").groupBy("k").agg(F.min("v").alias("a"), F.max("v").alias("b")).collect():  # a row a bracket
+        found[r["k"]] = (r["a"], r["b"])
+    return [found[k] for k in range(len(brackets))]
+
+
+def grouped_quantiles(tall: DataFrame, probabilities: list[float]) -> DataFrame:
+    """column, p, q of a table of (column, v): the same for each `column`, which may be any key; null values don't count.
 
     Values are counted (combined before the shuffle), the counts are summed along the order of (column, value) in ranges, and the rows that hold a wanted rank are picked.
     """
@@ -19,14 +118,6 @@ def quantiles(tall: DataFrame, probabilities: list[float]) -> DataFrame:
     ranks = ends.select(F.col("column").alias("of"), "start", (F.col("end") - F.col("start") - 1).alias("last"), F.explode(F.array(*[F.lit(float(p)) for p in probabilities])).alias("p"))
     ranks = ranks.withColumn("at", F.col("p") * F.col("last")).select("of", "p", (F.col("at") - F.floor("at")).alias("part"), (F.col("start") + F.floor("at")).alias("lo"), (F.col("start") + F.ceil("at")).alias("hi"))
     holds = lambda rank: (F.col(rank) < F.col("upto")) & (F.col(rank) >= F.col("upto") - F.col("n"))
-    found = placed.join(F.broadcast(ranks), F.col("column") == F.col("of")).where(holds("lo") | holds("hi"))  # a row a column and probability
+    found = placed.join(ranks, F.col("column").eqNullSafe(F.col("of"))).where(holds("lo") | holds("hi"))
     ends = found.groupBy("column", "p").agg(F.max(F.when(holds("lo"), F.col("v"))).alias("a"), F.max(F.when(holds("hi"), F.col("v"))).alias("b"), F.first("part").alias("part"))
     return ends.select("column", "p", (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias("q"))
-
-
-def bounds(df: DataFrame, columns: list[Column], low: float, high: float) -> DataFrame:
-    """One row: q0, q1, ... are arrays of both quantiles of each column (null for a column without values)."""
-    cells = F.array(*[F.struct(F.lit(i).alias("column"), c.cast("double").alias("v")) for i, c in enumerate(columns)])
-    found = quantiles(df.select(F.explode(cells).alias("c")).select("c.*"), [low, high])
-    pick = lambda i, p: F.max(F.when((F.col("column") == i) & (F.col("p") == p), F.col("q")))
-    return found.agg(*[F.array(pick(i, low), pick(i, high)).alias(f"__q{i}") for i in range(len(columns))])

@@ -96,9 +96,14 @@ def split(ops: list[Op]) -> tuple[list[Op], list[Op]]:
     return [o for o in ops if not o.meta.get("quick")], quick
 
 
-def process(df: DataFrame, fn: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """A user's table function applied; its failures are the caller's to see."""
-    out = fn(df)
-    if not isinstance(out, DataFrame):
-        raise TypeError(f"a table function returns a DataFrame, not {type(out).__name__}")
-    return out
+def process(df: DataFrame, fn: Callable[[DataFrame], DataFrame], strict: bool = False) -> DataFrame:
+    """A user's table function applied. If it fails, or returns no table, the result is one row with the message in `err`; strict: the failure is raised."""
+    try:
+        out = fn(df)
+        if not isinstance(out, DataFrame):
+            raise TypeError(f"a table function returns a DataFrame, not {type(out).__name__}")
+        return out
+    except Exception as error:  # noqa: BLE001  a user's function may fail in any way
+        if strict:
+            raise
+        return df.sparkSession.createDataFrame([(str(error),)], "err string")

@@ -10,17 +10,20 @@ import importlib.util
 from pathlib import Path
 
 from pyspark.errors import AnalysisException, PySparkException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestrata.functions import types
-from lodestrata.functions.scalars import col
+from lodestrata.functions.aggregates import about_distinct
+from lodestrata.functions.scalars import col, short_name
 from lodestrata.operators import quantiles
 from lodestrata.operators.filters import nullify_nonfinite
 from lodestrata.plans import stats as S
 
 SEPARATOR = "__"
+#: Statistics whose whole or decimal numbers a double may not hold.
+EXACT = ("min", "max", "sum")
 
 
 def _aggregates(df: DataFrame, ordered: list[S.Stat], columns: list[str]) -> tuple[dict[str, Column], list[tuple[str, S.Stat]], list[tuple[str, str, str]]]:
@@ -29,7 +32,7 @@ def _aggregates(df: DataFrame, ordered: list[S.Stat], columns: list[str]) -> tup
     for c in columns:
         kind = df.schema[c].dataType
         for s in S.for_column(ordered, kind):
-            if s.needs:
+            if s.needs or s.query:
                 later.append((c, s))
                 continue
             name = f"{c}{SEPARATOR}{s.name}"
@@ -54,6 +57,16 @@ def profile_wide(df: DataFrame, stats: list[S.Stat] | None = None, skip: tuple[s
     made, later, errors = _aggregates(clean, ordered, columns)
     row = clean.agg(*([e.alias(n) for n, e in made.items()] or [F.count(F.lit(1)).alias("length")]))
     failed = {(c, s) for c, s, _ in errors}
+    # statistics that run their own query: one for all columns
+    for s in [s for s in ordered if s.query]:
+        of = [c for c, x in later if x is s]
+        later = [x for x in later if x[1] is not s]
+        try:
+            values = s.query(clean, of) if of else {}
+            row = row.select("*", *[F.lit(values.get(c)).cast(s.returns).alias(f"{c}{SEPARATOR}{s.name}") for c in of])
+        except Exception as error:  # noqa: BLE001  a user's query may fail in any way, and stops no other statistic
+            errors += [(c, s.name, str(error)[:500]) for c in of]
+            failed |= {(c, s.name) for c in of}
     while later:
         depth, rest = [], []
         have = set(row.columns)
@@ -73,14 +86,15 @@ def profile_wide(df: DataFrame, stats: list[S.Stat] | None = None, skip: tuple[s
 
 
 def to_long(wide: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """column, stat, number, text of each cell of a wide profile; nested values are JSON text."""
+    """column, stat, number, text of each cell of a wide profile; nested values are JSON text. Least, largest and summed whole and decimal numbers are exact in text."""
     cells = []
     for f in wide.schema:
         c, _, s = f.name.rpartition(SEPARATOR)
         if keep is not None and s not in keep:
             continue
         number = col(f.name).cast("double") if types.is_numeric(f.dataType) else F.lit(None).cast("double")
-        text = F.lit(None).cast("string") if types.is_numeric(f.dataType) else F.to_json(col(f.name)) if types.is_nested(f.dataType) else col(f.name).cast("string")
+        coarse = s in EXACT and (types.is_integer(f.dataType) or isinstance(f.dataType, T.DecimalType))
+        text = (col(f.name).cast("string") if coarse else F.lit(None).cast("string")) if types.is_numeric(f.dataType) else F.to_json(col(f.name)) if types.is_nested(f.dataType) else col(f.name).cast("string")
         cells.append(F.struct(F.lit(c).alias("column"), F.lit(s).alias("stat"), number.alias("number"), text.alias("text")))
     return wide.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*")
 
@@ -91,42 +105,70 @@ def stat_rows(long: DataFrame, columns: list[str], value: str = "number") -> Dat
 
 
 def value_counts(df: DataFrame, columns: list[str] | None = None, numeric: bool | None = None) -> DataFrame:
-    """column, value, n of every value of the columns, nulls dropped, in one grouping. numeric: value is a double and columns are those of numbers; else text of the others, or of all."""
+    """column, value, n of every value of the columns, nulls dropped, in one grouping. numeric: value is a double and columns are those of numbers; else text of the others, or of all.
+
+    Values are counted in their own type: whole numbers as such and decimals as text, which with `numeric` are in the column exact.
+    """
     clean = nullify_nonfinite(df)
     test = (lambda t: types.is_numeric_not_bool(t)) if numeric else (lambda t: not types.is_nested(t)) if numeric is None else (lambda t: not types.is_numeric_not_bool(t) and not types.is_nested(t))
     names = [c for c in (columns or df.columns) if test(df.schema[c].dataType)]
-    kind = "double" if numeric else "string"
     if not names:
-        return df.sparkSession.createDataFrame([], f"column string, value {kind}, n long")
-    cells = [F.struct(F.lit(c).alias("column"), col(c).cast(kind).alias("value")) for c in names]
-    return clean.select(F.explode(F.array(*cells)).alias("c")).select("c.column", "c.value").where("value is not null").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+        return df.sparkSession.createDataFrame([], "column string, value double, n long, exact string" if numeric else "column string, value string, n long")
+    # places instead of names: shorter keys to hash and shuffle
+    cells = []
+    for i, c in enumerate(names):
+        t = df.schema[c].dataType
+        whole = col(c).cast("long") if types.is_integer(t) else None
+        number = col(c).cast("double") + 0.0 if types.is_float(t) else None  # -0 is 0
+        text = col(c).cast("string") if whole is None and number is None else None
+        cells.append(F.struct(F.lit(i).alias("i"), *[(F.lit(None).cast(k) if v is None else v).alias(n) for n, v, k in (("whole", whole, "long"), ("number", number, "double"), ("text", text, "string"))]))
+    counted = clean.select(F.explode(F.array(*cells)).alias("c")).select("c.*").where("whole is not null or number is not null or text is not null").groupBy("i", "whole", "number", "text").agg(F.count(F.lit(1)).alias("n"))
+    name = F.get(F.array(*[F.lit(c) for c in names]), F.col("i")).alias("column")
+    exact = F.coalesce(F.col("whole").cast("string"), F.col("text"))
+    if numeric:
+        return counted.select(name, F.coalesce("number", F.col("whole").cast("double"), F.col("text").cast("double")).alias("value"), "n", exact.alias("exact"))
+    return counted.select(name, F.coalesce(exact, F.col("number").cast("string")).alias("value"), "n")
+
+
+def more_distinct_than(df: DataFrame, columns: list[str], most: int) -> list[bool]:
+    """Whether each column has over `most` different values. Sketches answer for columns of many; those near the bound are counted."""
+    if not columns:
+        return []
+    about = nullify_nonfinite(df).agg(*[about_distinct(col(c)).alias(f"d{i}") for i, c in enumerate(columns)]).first()
+    close = [c for c, d in zip(columns, about, strict=True) if d <= 2 * most + 10 and d >= most / 2]
+    exact = {r["column"]: r["d"] for r in value_counts(df, close).groupBy("column").agg(F.count(F.lit(1)).alias("d")).collect()} if close else {}  # a row a column
+    return [(exact.get(c, 0) if c in close else d) > most for c, d in zip(columns, about, strict=True)]
+
+
+def _ordered_value(counts: DataFrame) -> list[Column]:
+    """Keys of a value's order: the value, and where doubles are too coarse the exact number."""
+    return [F.col("value"), F.col("exact").try_cast("decimal(38,10)")] if "exact" in counts.columns else [F.col("value")]
 
 
 def top_values(counts: DataFrame, most: int = 10) -> DataFrame:
-    """column, place (from 1), value, n of each column's most frequent values; equal counts in order of the value.
+    """column, place (from 1), value, n (and exact) of each column's most frequent values; equal counts in order of the value.
 
     Values are dealt over 64 parts of which each keeps its best, so a column of many values isn't sorted in one place.
     """
-    key = F.struct((-F.col("n")).alias("less"), F.col("value"))
-    parts = counts.withColumn("part", F.pmod(F.xxhash64("value"), F.lit(64))).withColumn("r", F.row_number().over(_rank_window("column", "part"))).where(F.col("r") <= most)
+    more = [c for c in ("exact",) if c in counts.columns]
+    key = F.struct((-F.col("n")).alias("less"), *[c.alias(f"k{i}") for i, c in enumerate(_ordered_value(counts))], "value", *more)
+    window = Window.partitionBy("column", "part").orderBy(F.desc("n"), *_ordered_value(counts))
+    parts = counts.withColumn("part", F.pmod(F.xxhash64("value", *more), F.lit(64))).withColumn("r", F.row_number().over(window)).where(F.col("r") <= most)
     best = parts.groupBy("column").agg(F.slice(F.array_sort(F.collect_list(key)), 1, most).alias("best"))  # lists of 64 * most at most
     out = best.select("column", F.posexplode("best").alias("at", "b"))
-    return out.select("column", (F.col("at") + 1).alias("place"), F.col("b.value").alias("value"), (-F.col("b.less")).alias("n"))
-
-
-def _rank_window(*part: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*part).orderBy(F.desc("n"), F.asc("value"))
+    return out.select("column", (F.col("at") + 1).alias("place"), F.col("b.value").alias("value"), (-F.col("b.less")).alias("n"), *[F.col(f"b.{c}").alias(c) for c in more])
 
 
 def value_stats(counts: DataFrame) -> DataFrame:
-    """column, distinct_count, unique_count, mode (smallest of the most frequent) from value counts."""
-    return counts.groupBy("column").agg(F.count(F.lit(1)).alias("distinct_count"), F.count_if(F.col("n") == 1).alias("unique_count"), F.min(F.struct((-F.col("n")).alias("less"), F.col("value")))["value"].alias("mode"))
+    """column, distinct_count, unique_count, mode (smallest of the most frequent; with exact counts also mode_exact) from value counts."""
+    more = [c for c in ("exact",) if c in counts.columns]
+    best = F.min(F.struct((-F.col("n")).alias("less"), *[c.alias(f"k{i}") for i, c in enumerate(_ordered_value(counts))], "value", *more))
+    out = counts.groupBy("column").agg(F.count(F.lit(1)).alias("distinct_count"), F.count_if(F.col("n") == 1).alias("unique_count"), best.alias("best"))
+    return out.select("column", "distinct_count", "unique_count", F.col("best.value").alias("mode"), *[F.col("best.exact").alias("mode_exact") for _ in more])
 
 
 def profile_values(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """column, stat, number, text: distinct and unique counts and their shares, mode and the five most frequent values of every column."""
+    """column, stat, number, text: distinct and unique counts and their shares, mode and the five most frequent values of every column. The text of whole and decimal numbers is exact."""
     total = df.agg(F.count(F.lit(1)).alias("length"))
     out = None
     for numeric in (True, False):
@@ -135,28 +177,23 @@ def profile_values(df: DataFrame, columns: list[str] | None = None) -> DataFrame
         share = lambda c: F.coalesce(F.try_divide(F.col(c), F.col("length")), F.lit(0.0))
         none_n, none_t = F.lit(None).cast("double"), F.lit(None).cast("string")
         cell = lambda s, n, t: F.struct(F.lit(s).alias("stat"), n.alias("number"), t.alias("text"))
-        value = lambda c: (F.col(c).cast("double"), none_t) if numeric else (none_n, F.col(c).cast("string"))  # noqa: E731, B023
-        cells = [cell("distinct_count", F.col("distinct_count").cast("double"), none_t), cell("unique_count", F.col("unique_count").cast("double"), none_t), cell("distinct_per", share("distinct_count"), none_t), cell("unique_per", share("unique_count"), none_t), cell("mode", *value("mode"))]
+        value = lambda c, exact: (F.col(c), F.col(exact)) if numeric else (none_n, F.col(c))  # noqa: E731, B023
+        cells = [cell("distinct_count", F.col("distinct_count").cast("double"), none_t), cell("unique_count", F.col("unique_count").cast("double"), none_t), cell("distinct_per", share("distinct_count"), none_t), cell("unique_per", share("unique_count"), none_t), cell("mode", *value("mode", "mode_exact"))]
         stats = summary.select("column", F.explode(F.array(*cells)).alias("c")).select("column", "c.*")
         names = F.array(*[F.lit(n) for n in ("most_freq", "2nd_freq", "3rd_freq", "4th_freq", "5th_freq")])
-        top = top_values(counts, 5).select("column", F.get(names, F.col("place") - 1).alias("stat"), value("value")[0].alias("number"), value("value")[1].alias("text"))
+        number, text = value("value", "exact")
+        top = top_values(counts, 5).select("column", F.get(names, F.col("place") - 1).alias("stat"), number.alias("number"), text.alias("text"))
         both = stats.unionByName(top)
         out = both if out is None else out.unionByName(both)
     return out
 
 
 def profile_quantiles(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """column, stat, number, text: q1, median, q3 and iqr of every numeric column, exact, from ranks of counted values."""
+    """column, stat, number, text: q1, median, q3 and iqr of every numeric column, exact."""
     names = [c for c in (columns or df.columns) if types.is_numeric_not_bool(df.schema[c].dataType)]
-    schema = "column string, stat string, number double, text string"
-    if not names:
-        return df.sparkSession.createDataFrame([], schema)
-    clean = nullify_nonfinite(df)
-    # places instead of names: shorter keys to hash and sort
-    tall = clean.select(F.explode(F.array(*[F.struct(F.lit(i).alias("column"), col(c).cast("double").alias("v")) for i, c in enumerate(names)])).alias("c")).select("c.*")
-    found = quantiles.quantiles(tall, [0.25, 0.5, 0.75]).groupBy("column").agg(*[F.max(F.when(F.col("p") == p, F.col("q"))).alias(n) for n, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))])
-    cells = F.array(*[F.struct(F.lit(n).alias("stat"), e.alias("number")) for n, e in (("q1", F.col("q1")), ("median", F.col("median")), ("q3", F.col("q3")), ("iqr", F.col("q3") - F.col("q1")))])
-    return found.select(F.get(F.array(*[F.lit(c) for c in names]), F.col("column")).alias("column"), F.explode(cells).alias("c")).select("column", "c.stat", "c.number", F.lit(None).cast("string").alias("text"))
+    found = quantiles.column_quantiles(nullify_nonfinite(df), [col(c) for c in names], [0.25, 0.5, 0.75]) if names else []
+    rows = [(c, s, v, None) for c, (a, m, b) in zip(names, found, strict=True) if m is not None for s, v in (("q1", a), ("median", m), ("q3", b), ("iqr", b - a))]
+    return df.sparkSession.createDataFrame(rows, "column string, stat string, number double, text string")
 
 
 def profile(df: DataFrame, stats: list[S.Stat] | None = None, skip: tuple[str, ...] = (), values: bool = True, sample_rows: int | None = None) -> DataFrame:
@@ -170,7 +207,7 @@ def profile(df: DataFrame, stats: list[S.Stat] | None = None, skip: tuple[str, .
     out = to_long(wide).where("stat <> 'quartiles'")
     if stats is None:
         out = out.unionByName(profile_quantiles(df, [c for c in df.columns if c not in skip]))
-    rows = [(f.name, "_type", None, types.semantic_type(f)) for f in df.schema] + [(f.name, "dtype", None, f.dataType.simpleString()) for f in df.schema] + [(f.name, "orig_col_name", None, f.name) for f in df.schema]
+    rows = [(f.name, "_type", None, types.semantic_type(f)) for f in df.schema] + [(f.name, "dtype", None, f.dataType.simpleString()) for f in df.schema] + [(f.name, "orig_col_name", None, f.name) for f in df.schema] + [(f.name, "rewritten_col_name", None, short_name(i)) for i, f in enumerate(df.schema)]
     rows += [(c, s, None, f"error: {m}") for c, s, m in errors]
     out = out.unionByName(df.sparkSession.createDataFrame(rows, schema))
     if values:
@@ -201,6 +238,59 @@ def explain(stats: list[S.Stat], name: str) -> dict:
     return {"name": s.name, "needs": list(s.needs), "needed_by": [o.name for o in stats if name in o.needs], "default": None if s.default is S.MISSING else s.default}
 
 
+class Profiler:
+    """A profile whose statistics can be changed while it is in use."""
+
+    def __init__(self, df: DataFrame, stats: list[S.Stat] | None = None):
+        self.df, self.stats = df, list(stats if stats is not None else S.BASE)
+        S.in_order(self.stats)
+
+    def add(self, s: S.Stat) -> bool:
+        """Adds a statistic, or replaces the one of its name; whether it replaced one. One that would leave a need open or close a circle changes nothing and is an error."""
+        changed = [s if o.name == s.name else o for o in self.stats]
+        again = any(o.name == s.name for o in self.stats)
+        changed = changed if again else [*changed, s]
+        S.in_order(changed)
+        self.stats = changed
+        return again
+
+    def remove(self, name: str) -> None:
+        left = [o for o in self.stats if o.name != name]
+        S.in_order(left)
+        self.stats = left
+
+    def explain(self, name: str) -> dict:
+        return explain(self.stats, name)
+
+    def try_on(self, column: str, s: S.Stat):
+        return try_stat(self.df, column, s)
+
+    def wide(self) -> tuple[DataFrame, list[tuple[str, str, str]]]:
+        return profile_wide(self.df, self.stats)
+
+    def long(self) -> DataFrame:
+        return to_long(self.wide()[0])
+
+
+def awkward(spark: SparkSession) -> DataFrame:
+    """A table of columns that statistics often fail on: all NaN, all null, all false, all true, nulls among truths, infinities, negatives, numbers near the ends of their types, nested values."""
+    rows = [(i, float("nan"), None, False, True, None if i % 3 == 0 else i % 2 == 0, [float("inf"), float("-inf"), float("nan"), 1.5, None][i % 5], -i, (1 << 63) - 1 - i, -(1 << 63) + i, None if i % 4 == 0 else "", [1, None] if i % 2 else None) for i in range(10)]
+    return spark.createDataFrame(rows, "id int, all_nan double, all_null string, all_false boolean, all_true boolean, mixed_bool boolean, mixed_float double, negative int, largest long, least long, texts string, nested array<int>").withColumn("all_null_decimal", F.lit(None).cast("decimal(20,0)"))
+
+
+def self_check(spark: SparkSession, stats: list[S.Stat] | None = None) -> list[tuple[str, str, str]]:
+    """What of the statistics fails on the awkward table, all rows, one row and none of it: (column, statistic, message). Empty is good."""
+    failed = []
+    for rows in (awkward(spark), awkward(spark).limit(1), awkward(spark).limit(0)):
+        try:
+            wide, errors = profile_wide(rows, stats)
+            failed += errors
+            wide.collect()
+        except Exception as e:  # noqa: BLE001  whatever it is, it is what is asked for
+            failed.append(("*", "*", str(e)[:500]))
+    return failed
+
+
 def load_folder(folder: str, function: str) -> dict[str, object]:
     """Functions by file stem from a folder's Python files; names with a leading underscore, and files that fail or lack the function, are left out."""
     found = {}

@@ -1,15 +1,17 @@
 """Profiles kept as Parquet, keyed by what was profiled: by column contents, or by table, operations and statistics.
 
-The store is a folder that all executors share; tables in it are written whole and never changed in place.
+The store is a folder that all executors share; tables in it are written whole beside their place and renamed, or added to.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from lodestrata.functions import types
 from lodestrata.functions.scalars import col
 from lodestrata.plans import profile
 from lodestrata.plans.chain import Op
+from lodestrata.sources import shared
 
 SCHEMA = "fingerprint string, stat string, number double, text string, stored_at timestamp"
 
@@ -34,8 +37,13 @@ def fingerprints(df: DataFrame) -> DataFrame:
 
 @dataclass
 class Runs:
+    """What a store has done: results found and made, those found but unreadable, bytes read and written, writes that failed, and a line for each."""
+
     hits: int = 0
     misses: int = 0
+    unreadable: int = 0
+    bytes_read: int = 0
+    bytes_written: int = 0
     write_errors: int = 0
     status: list[str] = field(default_factory=list)
 
@@ -53,6 +61,9 @@ class ProfileStore:
             return self.spark.createDataFrame([], schema)
 
     def columns(self) -> DataFrame:
+        if not shared.bytes_of(self.spark, f"{self.path}/columns") and shared.bytes_of(self.spark, f"{self.path}/columns-before"):
+            shared.delete(self.spark, f"{self.path}/columns")
+            shared.move(self.spark, f"{self.path}/columns-before", f"{self.path}/columns")
         return self._read("columns", SCHEMA)
 
     def put(self, rows: DataFrame) -> None:
@@ -103,33 +114,64 @@ class ProfileStore:
         return hashlib.blake2b(said.encode(), digest_size=16).hexdigest()
 
     def cached(self, key: str, make) -> DataFrame:
-        """The result stored under a key, or make()'s, which is stored. One that can't be read is made again."""
+        """The result stored under a key, or make()'s, which is stored. One that can't be read, which all of it is tried for, is made again.
+
+        A result is written beside its place and renamed when it is whole, so a reader finds a whole one or none. If it can't be written the result comes unstored.
+        """
         path = f"{self.path}/results/{key}"
-        try:
-            found = self.spark.read.parquet(path)
-            self.runs.hits += 1
-            self.runs.status.append(f"hit {key}")
-            return found
-        except AnalysisException:
-            self.runs.misses += 1
-            self.runs.status.append(f"miss {key}")
+        size = shared.bytes_of(self.spark, path)
+        if size:
+            try:
+                found = self.spark.read.parquet(path)
+                found.write.format("noop").mode("overwrite").save()
+                self._note("hits", f"hit {key}", bytes_read=size)
+                return found
+            except (PySparkException, Py4JJavaError):
+                self._note("unreadable", f"unreadable {key}")
+        self._note("misses", f"miss {key}")
         made = make()
-        made.write.mode("overwrite").parquet(path)  # a reader sees it once the writer's commit is done
+        aside = f"{self.path}/aside/{key}-{uuid.uuid4().hex}"
+        try:
+            made.write.parquet(aside)
+            self.spark.createDataFrame([], "x int").write.mode("ignore").parquet(f"{self.path}/results/_made")  # the folder to rename into
+            shared.delete(self.spark, path)
+            if not shared.move(self.spark, aside, path):
+                raise OSError(f"{aside} can't be renamed to {path}")
+        except (PySparkException, Py4JJavaError, OSError) as error:
+            self._note("write_errors", f"write error {key}: {str(error)[:200]}")
+            return made
+        self.runs.bytes_written += shared.bytes_of(self.spark, path)
         return self.spark.read.parquet(path)
 
+    def _note(self, what: str, said: str, bytes_read: int = 0) -> None:
+        setattr(self.runs, what, getattr(self.runs, what) + 1)
+        self.runs.bytes_read += bytes_read
+        self.runs.status.append(said)
+
     # upkeep
 
     def size(self) -> int:
         """Rows of stored statistics."""
         return self.columns().count()
 
+    def bytes(self) -> int:
+        """Bytes of everything stored."""
+        return shared.bytes_of(self.spark, self.path)
+
     def clear(self) -> None:
-        self.spark.createDataFrame([], SCHEMA).write.mode("overwrite").parquet(f"{self.path}/columns")
+        self._replace(self.spark.createDataFrame([], SCHEMA))
 
     def drop_older(self, days: float = 30) -> int:
         """Drops statistics stored more than some days ago; returns how many rows are left."""
-        kept = self.columns().where(F.col("stored_at") >= F.current_timestamp() - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(days * 86400.0)))
-        aside = f"{self.path}/columns-kept"
-        kept.write.mode("overwrite").parquet(aside)
-        self.spark.read.parquet(aside).write.mode("overwrite").parquet(f"{self.path}/columns")
+        self._replace(self.columns().where(F.col("stored_at") >= F.current_timestamp() - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(days * 86400.0))))
         return self.size()
+
+    def _replace(self, rows: DataFrame) -> None:
+        """Statistics written beside the stored ones, which then take their place. If that ends between the two renames, the old ones are still there, under the name `columns-before`, and are put back on the next reading."""
+        aside, before, place = (f"{self.path}/{x}" for x in ("columns-aside", "columns-before", "columns"))
+        rows.write.mode("overwrite").parquet(aside)
+        shared.delete(self.spark, before)
+        if shared.bytes_of(self.spark, place):
+            shared.move(self.spark, place, before)
+        shared.move(self.spark, aside, place)
+        shared.delete(self.spark, before)

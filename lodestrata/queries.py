@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions import scalars as S
 from lodestrata.functions import types
 from lodestrata.operators import compare, duplicates, filters, group, histogram, model, paging, shape, validate
-from lodestrata.plans import autoclean, chain, profile
+from lodestrata.plans import autoclean, chain, profile, store
 from lodestrata.plans import stats as st
 from lodestrata.plans.chain import Op
 from lodestrata.sources import tables
@@ -129,13 +129,69 @@ def table_metadata(spark, d):
     return tables.metadata(read(spark, d, "orders"), "orders").select("column", F.regexp_replace("dtype", "timestamp_ntz", "timestamp").alias("dtype"), "type", "rows")
 
 
-@query("SELECT CAST(count(DISTINCT user_id) AS DOUBLE) * 0 + 1 AS close FROM events")
+@query(_union([f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS distinct_count, quantile_disc({c}, 0.5)::DOUBLE AS median FROM lineitem" for c in ("l_linenumber", "l_quantity")]))
 def approximate_distinct(spark, d):
-    """Whether the approximate distinct count lies within 5 % of the exact one."""
-    df = read(spark, d, "events").select("user_id")
-    wide, _ = profile.profile_wide(df, st.BASE + st.APPROXIMATE)
-    exact = profile.value_stats(profile.value_counts(df, numeric=True))
-    return wide.crossJoin(F.broadcast(exact)).select((F.abs(F.col("user_id__distinct_count") - F.col("distinct_count")) <= 0.05 * F.col("distinct_count")).cast("double").alias("close"))
+    """Sketches of columns of few values, where they are exact."""
+    wide, _ = profile.profile_wide(read(spark, d, "lineitem").select("l_linenumber", "l_quantity"), st.BASE + st.APPROXIMATE_ALL)
+    rows = profile.stat_rows(profile.to_long(wide, ["distinct_count", "median"]), ["l_linenumber", "l_quantity"])
+    return rows.unpivot("stat", ["l_linenumber", "l_quantity"], "column", "v").groupBy("column").pivot("stat", ["distinct_count", "median"]).agg(F.first("v")).select("column", F.col("distinct_count").cast("long").alias("distinct_count"), "median")
+
+
+BIG = 1 << 60
+
+
+@query(f"WITH k AS (SELECT o_orderkey + {BIG} AS k FROM orders UNION ALL SELECT o_orderkey + {BIG} FROM orders WHERE o_orderkey % 3 = 0), c AS (SELECT k, count(*) AS n FROM k GROUP BY k) SELECT * FROM (SELECT 'min' AS stat, CAST(min(k) AS VARCHAR) AS text FROM k UNION ALL SELECT 'max', CAST(max(k) AS VARCHAR) FROM k UNION ALL SELECT 'sum', CAST(sum(k) AS VARCHAR) FROM k UNION ALL SELECT 'mode', CAST((SELECT k FROM c ORDER BY n DESC, k LIMIT 1) AS VARCHAR) UNION ALL SELECT 'distinct_count', CAST(count(*) AS VARCHAR) FROM c UNION ALL SELECT 'unique_count', CAST(count(*) FILTER (WHERE n = 1) AS VARCHAR) FROM c)")
+def profile_big_keys(spark, d):
+    """Keys that a double can't tell apart: every count and every bound is exact."""
+    df = read(spark, d, "orders").select("o_orderkey")
+    df = df.unionByName(df.where("o_orderkey % 3 = 0")).select((F.col("o_orderkey") + BIG).alias("k"))
+    wide, _ = profile.profile_wide(df, st.BASE + st.EXTRA[:1])
+    long = profile.to_long(wide, ["min", "max", "sum"]).unionByName(profile.profile_values(df).where("stat in ('mode', 'distinct_count', 'unique_count')"))
+    return long.select("stat", F.coalesce("text", F.col("number").cast("long").cast("string")).alias("text"))
+
+
+@query(f"WITH v AS (SELECT o_orderkey // 4 + {BIG} AS k, count(*) AS n FROM orders GROUP BY 1) SELECT CAST(k AS VARCHAR) AS exact, n, CAST(row_number() OVER (ORDER BY n DESC, k) AS INTEGER) AS place FROM v ORDER BY n DESC, k LIMIT 10")
+def value_counts_big_keys(spark, d):
+    df = read(spark, d, "orders").select((F.floor(F.col("o_orderkey") / 4).cast("long") + BIG).alias("k"))
+    return profile.top_values(profile.value_counts(df, numeric=True), 10).select("exact", "n", "place")
+
+
+@query("WITH e AS (SELECT nullif(CASE WHEN event_id % 3 = 0 THEN '' WHEN event_id % 3 = 1 THEN event_type ELSE CAST(user_id AS VARCHAR) END, 'click') AS s FROM events), c AS (SELECT s, count(*) AS n FROM e WHERE s IS NOT NULL GROUP BY s), l AS (SELECT count(*) AS n, count(*) FILTER (WHERE s = '') AS z FROM e) SELECT stat, round(number, 9) AS number FROM (SELECT 'empty_count' AS stat, CAST(z AS DOUBLE) AS number FROM l UNION ALL SELECT 'empty_per', z / n FROM l UNION ALL SELECT 'distinct_per', (SELECT count(*) FROM c) / n FROM l UNION ALL SELECT 'unique_per', (SELECT count(*) FILTER (WHERE n = 1) FROM c) / n FROM l)")
+def profile_text_shares(spark, d):
+    k = F.col("event_id") % 3
+    df = read(spark, d, "events").select(F.nullif(F.when(k == 0, "").when(k == 1, F.col("event_type")).otherwise(F.col("user_id").cast("string")), F.lit("click")).alias("s"))
+    found = profile.profile(df).where("stat in ('empty_count', 'empty_per', 'distinct_per', 'unique_per')")
+    return found.select("stat", F.round("number", 9).alias("number"))
+
+
+@query("SELECT 'd' AS \"column\", max(o_orderdate) >= TIMESTAMP '1973-01-01' AS probable FROM orders UNION ALL SELECT 'old', max(o_orderdate - INTERVAL 40 YEAR) >= TIMESTAMP '1973-01-01' FROM orders UNION ALL SELECT 'p', FALSE")
+def probable_datetime(spark, d):
+    """Whether text columns hold times: dates, dates of 40 years before, and words."""
+    when = F.col("o_orderdate").cast("timestamp_ntz")
+    df = read(spark, d, "orders").select(F.date_format(when, "yyyy-MM-dd").alias("d"), F.date_format(when - F.expr("INTERVAL 40 YEARS"), "yyyy-MM-dd").alias("old"), F.col("o_orderpriority").alias("p"))
+    wide, _ = profile.profile_wide(df, [s for s in st.EXTRA if s.name == "probable_datetime"])
+    return profile.to_long(wide).select("column", (F.col("number") == 1).alias("probable"))
+
+
+@query("WITH l AS (SELECT l_shipmode AS k, v FROM (SELECT l_returnflag AS l_shipmode, l_extendedprice AS v FROM lineitem)) SELECT 'l_extendedprice' AS \"column\", round(quantile_cont(v, 0.9) - quantile_cont(v, 0.1), 4) AS spread, round((quantile_cont(v, 0.9) - quantile_cont(v, 0.1)) / avg(v), 6) AS relative FROM l")
+def user_query_stats(spark, d):
+    """A user's statistic that runs its own query, and one made of it; a broken one stops neither."""
+    from lodestrata.operators.quantiles import column_quantiles
+
+    spread = st.query_stat("spread", types.is_numeric_not_bool)(lambda df, columns: {c: b - a for c, (a, b) in zip(columns, column_quantiles(df, [F.col(c) for c in columns], [0.1, 0.9]), strict=True)})
+    relative = st.stat("relative", types.is_numeric_not_bool)(lambda spread, mean: F.try_divide(spread, mean))
+    broken = st.query_stat("broken")(lambda df, columns: 1 / 0)
+    live = profile.Profiler(read(spark, d, "lineitem").select("l_extendedprice"))
+    for s in (st.stat("relative")(lambda mean: mean), spread, broken, relative):
+        live.add(s)
+    wide, errors = live.wide()
+    assert [e[1] for e in errors] == ["broken"]
+    return wide.select(F.lit("l_extendedprice").alias("column"), F.round("l_extendedprice__spread", 4).alias("spread"), F.round("l_extendedprice__relative", 6).alias("relative"))
+
+
+@query("SELECT column_name AS \"column\", column_type IN ('BIGINT', 'INTEGER', 'DOUBLE') AS is_numeric, column_type IN ('BIGINT', 'INTEGER') AS is_integer, column_type = 'DOUBLE' AS is_float, column_type = 'VARCHAR' AS is_string, column_type LIKE 'TIMESTAMP%' AS is_datetime FROM (DESCRIBE SELECT * FROM lineitem)")
+def type_flags(spark, d):
+    return types.type_table(read(spark, d, "lineitem")).select("column", "is_numeric", "is_integer", "is_float", "is_string", "is_datetime")
 
 
 # histograms
@@ -185,10 +241,48 @@ def histogram_frequent_only(spark, d):
     return histogram.categorical(read(spark, d, "customer").select(x.alias("x")), least_share=0.05).select("name", "place", "percent")
 
 
-@query()
+def _label_sql(value: str, step: str, ref: str) -> str:
+    """SQL of a number's label."""
+    scale = f"CASE WHEN {ref} >= 1e12 THEN 1e12 WHEN {ref} >= 1e9 THEN 1e9 WHEN {ref} >= 1e6 THEN 1e6 WHEN {ref} >= 1e3 THEN 1e3 ELSE 1.0 END"
+    places = f"CAST(greatest(0, least(CASE WHEN {ref} >= 1e3 THEN 2 ELSE 6 END, 1 - floor(log10({step} / ({scale}))))) AS INTEGER)"
+    said = f"format('{{{{:.' || {places} || 'f}}}}', {value} / ({scale}))".replace("{{", "{").replace("}}", "}")
+    return f"regexp_replace(CASE WHEN contains({said}, '.') THEN rtrim(rtrim({said}, '0'), '.') ELSE {said} END, '^-0$', '0') || CASE WHEN {ref} >= 1e12 THEN 'T' WHEN {ref} >= 1e9 THEN 'B' WHEN {ref} >= 1e6 THEN 'M' WHEN {ref} >= 1e3 THEN 'K' ELSE '' END"
+
+
+def _bounds_sql(lo: str, hi: str) -> str:
+    return f"{lo} || CASE WHEN {lo} LIKE '-%' OR {hi} LIKE '-%' THEN '<>' ELSE '–' END || {hi}"
+
+
+def _bars_sql(table: str, c: str) -> str:
+    bins = _TRIMMED.format(c=c, t=table)
+    return f"""
+SELECT '{c}' AS "column", place, {_bounds_sql('a', 'b')} AS name, percent FROM (
+  WITH x AS ({bins}), e AS (SELECT min(v) AS lo, max(v) AS hi FROM (SELECT CAST({c} AS DOUBLE) AS v FROM {table}) WHERE v > (SELECT max(low_tail) FROM x) AND v < (SELECT max(high_tail) FROM x)),
+  g AS (SELECT lo, hi, (hi - lo) / 10 AS step, greatest(abs(lo), abs(hi)) AS ref, (SELECT min({c}) FROM {table}) AS least, (SELECT max({c}) FROM {table}) AS most, (SELECT max(low_tail) FROM x) AS lt, (SELECT max(high_tail) FROM x) AS ht FROM e)
+  SELECT CAST(bin + 2 AS INTEGER) AS place, {_label_sql('(lo + step * bin)', 'step', 'ref')} AS a, {_label_sql('(lo + step * (bin + 1))', 'step', 'ref')} AS b, round_even(100 * population, 0) AS percent FROM x, g
+  UNION ALL SELECT 1, {_label_sql('least', 'step', 'abs(least)')}, {_label_sql('lt', 'step', 'abs(lt)')}, 1.0 FROM g
+  UNION ALL SELECT 12, {_label_sql('ht', 'step', 'abs(ht)')}, {_label_sql('most', 'step', 'abs(most)')}, 1.0 FROM g)"""
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM ({_bars_sql(t, c)})" for t, c in (("orders", "o_totalprice"), ("customer", "c_acctbal"))) + " UNION ALL SELECT 'o_orderstatus', place, name, percent FROM (" + _CATEGORICAL.format(e="o_orderstatus", t="orders", share=0) + ")")
 def histogram_bars(spark, d):
-    """Labelled bars of every column: numeric bins with tails, or categories."""
-    return histogram.bars(read(spark, d, "orders"))
+    """Labelled bars: numeric bins with tails, of either sign, and categories."""
+    return histogram.bars(read(spark, d, "orders"), ["o_totalprice", "o_orderstatus"]).unionByName(histogram.bars(read(spark, d, "customer"), ["c_acctbal"]))
+
+
+@query("SELECT 'p_size' AS \"column\", unnest([lo + (hi - lo) / 10 * i for i in range(11)]) AS edge FROM (SELECT min(p_size) AS lo, max(p_size) AS hi FROM part)")
+def histogram_edges(spark, d):
+    edges = read(spark, d, "part").agg(histogram.bin_edges(F.min("p_size").cast("double"), F.max("p_size").cast("double")).alias("e"))
+    return edges.select(F.lit("p_size").alias("column"), F.explode("e").alias("edge"))
+
+
+@query(f"WITH r AS (SELECT min(value) AS lo, max(value) AS hi, count(*) AS n FROM events), g AS (SELECT lo, hi, (hi - lo) / 10 AS step, greatest(abs(lo), abs(hi)) AS ref, n FROM r), b AS (SELECT least(9, CAST(floor((value - lo) / step) AS INTEGER)) AS bin, count(*) AS k FROM events, g GROUP BY 1), x AS (SELECT {_label_sql('(lo + step * i)', 'step', 'ref')} AS a, {_label_sql('(lo + step * (i + 1))', 'step', 'ref')} AS b, round(100 * coalesce(k, 0) / n, 1) AS population FROM g, range(10) AS q(i) LEFT JOIN b ON b.bin = i) SELECT 'value' AS \"column\", {_bounds_sql('a', 'b')} AS name, population FROM x UNION ALL SELECT 'event_type', event_type, round(100 * count(*) / (SELECT count(*) FROM events), 1) FROM events GROUP BY event_type")
+def histogram_pushed_down(spark, d):
+    """Bars from plain aggregates; a column that isn't there has none."""
+    df = read(spark, d, "events")
+    assert histogram.pushed_down(df, "no_such_column") == []
+    rows = [(c, r["name"], float(r["population"])) for c in ("value", "event_type") for r in histogram.pushed_down(df, c)]
+    return spark.createDataFrame(rows, "column string, name string, population double")
 
 
 # grouping
@@ -214,6 +308,12 @@ def groupby_ordered_aggs(spark, d):
     return out.select("event_type", *[(F.round(f"value_{n}", 6) if n in ("autocorr", "mad") else F.col(f"value_{n}")).alias(f"value_{n}") for n in names])
 
 
+@query("SELECT o_orderpriority, arg_min(o_orderkey, o_orderkey) FILTER (WHERE o_orderstatus = m) AS o_orderstatus_idxmax, arg_min(o_orderkey, o_orderkey) FILTER (WHERE o_orderdate = e) AS o_orderdate_idxmax, arg_min(o_orderkey, (o_orderstatus, o_orderkey)) AS o_orderstatus_idxmin FROM (SELECT *, max(o_orderstatus) OVER w AS m, max(o_orderdate) OVER w AS e FROM orders WINDOW w AS (PARTITION BY o_orderpriority)) GROUP BY 1")
+def groupby_idxmax(spark, d):
+    """The first row with a group's largest text or date."""
+    return group.group_by(read(spark, d, "orders"), "o_orderpriority", {"o_orderstatus": ["idxmax", "idxmin"], "o_orderdate": ["idxmax"]}, order_by=["o_orderkey"])
+
+
 @query("SELECT c_mktsegment, round(sum(c_acctbal), 2) AS \"c_acctbal(sum)\", count(c_acctbal) AS \"c_acctbal(count)\", median(c_acctbal) AS \"c_acctbal(median)\" FROM customer GROUP BY 1")
 def groupby_sorted(spark, d):
     out = group.group_by_sorted(read(spark, d, "customer"), "c_mktsegment", {"c_acctbal": ["sum", "count", "median"], "c_name": "null"})
@@ -238,14 +338,14 @@ def search_literal(spark, d):
     return filters.search(read(spark, d, "documents"), "License").select("doc_id")
 
 
-@query(r"SELECT doc_id FROM documents WHERE regexp_matches(text, '[0-9]{4}-[0-9]{2}') OR regexp_matches(lang, '[0-9]{4}-[0-9]{2}') OR regexp_matches(source, '[0-9]{4}-[0-9]{2}')")
+@query(r"SELECT doc_id FROM documents WHERE regexp_matches(text, '[0-9]{2}-[0-9]{2}') OR regexp_matches(lang, '[0-9]{2}-[0-9]{2}') OR regexp_matches(source, '[0-9]{2}-[0-9]{2}')")
 def search_regex(spark, d):
-    return filters.search(read(spark, d, "documents"), "[0-9]{4}-[0-9]{2}", regex=True).select("doc_id")
+    return filters.search(read(spark, d, "documents"), "[0-9]{2}-[0-9]{2}", regex=True).select("doc_id")
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE contains(p_name, '1')")
+@query("SELECT p_partkey, p_name FROM part WHERE contains(p_name, 'bolt')")
 def search_column(spark, d):
-    return filters.search_column(read(spark, d, "part"), "p_name", "1").select("p_partkey", "p_name")
+    return filters.search_column(read(spark, d, "part"), "p_name", "bolt").select("p_partkey", "p_name")
 
 
 @query("SELECT o_orderkey, concat_ws(',', CASE WHEN contains(o_orderstatus, 'F') THEN 'o_orderstatus' END, CASE WHEN contains(o_orderpriority, 'F') THEN 'o_orderpriority' END) AS matched FROM orders")
@@ -295,12 +395,12 @@ def reindex(spark, d):
     return shape.promote_to_index(shape.first_columns(chosen, 3), "o_orderkey")
 
 
-@query("SELECT r_regionkey AS v, r_name FROM region ORDER BY 1")
+@query("SELECT l_suppkey AS v, count(*) AS n, max(l_quantity) AS most FROM lineitem WHERE l_suppkey <= 100 GROUP BY 1")
 def transpose_twice(spark, d):
-    """Turned over and back, a small table is itself."""
-    df = read(spark, d, "region").select(F.col("r_regionkey").cast("string").alias("k"), "r_name")
+    """Turned over and back, a small table made of a large one is itself."""
+    df = read(spark, d, "lineitem").where("l_suppkey <= 100").groupBy(F.col("l_suppkey").cast("string").alias("k")).agg(F.count(F.lit(1)).cast("double").alias("n"), F.max("l_quantity").alias("most"))
     back = shape.transpose(shape.transpose(df, "k"), "key")
-    return back.select(F.col("key").cast("int").alias("v"), "r_name")
+    return back.select(F.col("key").cast("long").alias("v"), F.col("n").cast("long").alias("n"), "most")
 
 
 @query("SELECT o_orderkey, CASE WHEN o_totalprice < 1000 THEN 'low' END AS error FROM orders")
@@ -390,10 +490,48 @@ def number_text(spark, d):
     return df.select("o_orderkey", S.int_digits(F.col("o_totalprice")).alias("digits"), S.round_half_even(F.col("o_totalprice")).alias("even"))
 
 
-@query("SELECT event_id, props FROM events")
+@query("SELECT event_id, '{\"k\":' || regexp_extract(props, '[0-9]+') || '}' AS m, '[' || user_id || ',null]' AS l, '{\"t\":\"' || event_type || '\",\"u\":' || user_id || '}' AS s, upper(hex(encode(event_type))) AS b, event_type AS plain FROM events")
 def nested_text(spark, d):
-    df = read(spark, d, "events").select("event_id", F.from_json("props", "map<string,string>").alias("m"), "props")
-    return shape.nested_to_text(df).select("event_id", "props")
+    """Maps, arrays and structs as JSON, bytes as hexadecimal digits; plain columns stay."""
+    df = read(spark, d, "events").select("event_id", F.from_json("props", "map<string,int>").alias("m"), F.array("user_id", F.lit(None).cast("long")).alias("l"), F.struct(F.col("event_type").alias("t"), F.col("user_id").alias("u")).alias("s"), F.col("event_type").cast("binary").alias("b"), F.col("event_type").alias("plain"))
+    return shape.nested_to_text(df)
+
+
+@query(f"WITH {DIRTY} SELECT event_id, CAST(try_cast(n AS DOUBLE) AS BIGINT) AS n, CAST(trunc(try_cast(n AS DOUBLE)) AS BIGINT) AS per_value, nullif(s, '') AS s, try_cast(regexp_replace(n, '[^0-9.]', '', 'g') AS DOUBLE) AS stripped, try_cast(n AS DOUBLE) AS regular FROM d")
+def safe_ints(spark, d):
+    """Dirty text as whole numbers, whole table and value by value, as numbers without anything but digits, and as text without empty values."""
+    df = dirty(spark, d).select("event_id", "n", F.col("n").alias("per_value"), "s", F.col("n").alias("stripped"), F.col("n").alias("regular"))
+    out = chain.run(df, [Op("safe_int", ("n",)), Op("coerce", ("per_value", "int")), Op("coerce", ("s", "string")), Op("strip_int_and_period", ("stripped",)), Op("regular_int_parse", ("regular",))])[0]
+    return out.withColumn("n", F.col("n").cast("long"))
+
+
+@query(f"WITH {DIRTY} SELECT event_id, CAST(try_cast(n AS DOUBLE) AS BIGINT) AS n, n AS n_orig, t, s FROM d")
+def auto_clean_default(spark, d):
+    return autoclean.auto_clean(dirty(spark, d), "default")
+
+
+@query(f"WITH {DIRTY}, c AS (SELECT *, 'word' AS w FROM d WHERE event_id % 5 IN (1, 4)) SELECT event_id, try_cast(n AS DOUBLE) AS n, n AS n_orig, strftime(try_strptime(s, '%m/%d/%Y'), '%Y-%m-%d') AS s, s AS s_orig, w FROM c")
+def auto_clean_conservative(spark, d):
+    df = dirty(spark, d).where("event_id % 5 in (1, 4)").select("event_id", "n", "s", F.lit("word").alias("w"))
+    out = autoclean.auto_clean(df, "conservative")
+    return out.withColumn("s", F.date_format("s", "yyyy-MM-dd"))
+
+
+@query(f"WITH {DIRTY} SELECT event_id, CAST(try_strptime(s, '%m/%d/%Y') AS TIMESTAMP) AS s FROM d")
+def parse_datetimes(spark, d):
+    return chain.run(dirty(spark, d).select("event_id", "s"), [Op("coerce", ("s", "datetime"))])[0].withColumn("s", F.col("s").cast("timestamp_ntz"))
+
+
+@query("SELECT o_orderkey, o_orderdate FROM orders")
+def strict_datetimes(spark, d):
+    df = read(spark, d, "orders").select("o_orderkey", F.date_format(F.col("o_orderdate").cast("timestamp_ntz"), "yyyy-MM-dd HH:mm:ss").alias("o_orderdate"))
+    return chain.run(df, [Op("to_datetime", ("o_orderdate",))])[0].withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz"))
+
+
+@query("SELECT o_orderkey, o_orderdate + INTERVAL 5 HOUR AS o_orderdate FROM orders")
+def local_times_to_utc(spark, d):
+    df = read(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp_ntz").alias("o_orderdate"))
+    return tables.local_to_utc(df, "Etc/GMT+5").withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz"))
 
 
 # ranks, pages, duplicates
@@ -430,6 +568,39 @@ def filter_ids(spark, d):
     return tagged.join(ids, "rowid").select((F.col("o_orderkey") - 1).alias("first_id"), "o_orderkey")
 
 
+@query("WITH t AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS rowid, o_totalprice FROM orders) SELECT rowid, row_number() OVER (ORDER BY o_totalprice DESC, rowid) AS place FROM t ORDER BY o_totalprice DESC, rowid LIMIT 100")
+def sort_permutation(spark, d):
+    """The first hundred row numbers in the order of the price, with their places."""
+    tagged = paging.tag_rows(read(spark, d, "orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"])
+    ids = [r["rowid"] for r in paging.sort_permutation(tagged, "o_totalprice", False).limit(100).collect()]
+    return spark.createDataFrame([(r, i + 1) for i, r in enumerate(ids)], "rowid long, place long")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders ORDER BY o_custkey, o_orderkey LIMIT 1")
+def first_row(spark, d):
+    return paging.first_row(read(spark, d, "orders"), ["o_custkey", "o_orderkey"]).select("o_orderkey", "o_custkey")
+
+
+@query("SELECT 'rows' AS kind, o_orderkey FROM orders UNION ALL SELECT 'cells', o_orderkey FROM orders UNION ALL SELECT 'display', o_orderkey FROM orders")
+def samples_of_small_tables(spark, d):
+    """Samples of tables within their bounds are whole."""
+    df = read(spark, d, "orders").select("o_orderkey")
+    made = {"rows": paging.sample_rows(df, 1 << 40), "cells": paging.sample_cells(df, most_cells=1 << 40), "display": paging.display_sample(df, (1 << 31) - 1)}
+    return _unioned([m.select(F.lit(k).alias("kind"), "o_orderkey") for k, m in made.items()])
+
+
+def _unioned(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("SELECT count(*) AS n FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)")
+def distinct_tuples(spark, d):
+    return spark.createDataFrame([(duplicates.distinct_tuples(read(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"]),)], "n long")
+
+
 @query("SELECT rowid FROM (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS rowid FROM orders) WHERE rowid >= 40 AND rowid < 70")
 def rows_by_id(spark, d):
     tagged = paging.tag_rows(read(spark, d, "orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"])
@@ -549,11 +720,37 @@ def diff_preview(spark, d):
     return compare.key_preview(*versions(spark, d), KEYS).select("o_orderkey", "o_totalprice_before", "o_totalprice_after")
 
 
-@query("SELECT 'orders' AS t, 'o_orderkey' AS keys, count(*) AS n FROM orders UNION ALL SELECT 'conversations', 'conv_id,turn', count(*) FROM conversations")
+@query(f"WITH {BOTH} SELECT ak AS o_orderkey, 3 AS membership, ap AS o_totalprice, bp AS \"o_totalprice|df2\", 'inner' AS how FROM j WHERE ak = bk UNION ALL SELECT ak, CASE WHEN bk IS NULL THEN 1 ELSE 3 END, ap, bp, 'left' FROM j WHERE ak IS NOT NULL UNION ALL SELECT bk, CASE WHEN ak IS NULL THEN 2 ELSE 3 END, ap, bp, 'right' FROM j WHERE bk IS NOT NULL")
+def compare_join_how(spark, d):
+    parts = [compare.join_versions(*versions(spark, d), KEYS, how).select("o_orderkey", "membership", "o_totalprice", "o_totalprice|df2", F.lit(how).alias("how")) for how in ("inner", "left", "right")]
+    return _unioned(parts)
+
+
+@query("SELECT 'versions' AS tables, count(DISTINCT o_orderkey) >= 0.98 * count(*) AS can_diff, CASE WHEN count(DISTINCT o_orderkey) >= 0.98 * count(*) THEN 'o_orderkey' END AS keys, CAST(NULL AS VARCHAR) AS reason FROM orders UNION ALL SELECT 'nothing shared', FALSE, NULL, 'no shared columns' UNION ALL SELECT 'no key', FALSE, NULL, 'no key in the first table' UNION ALL SELECT 'repeats', FALSE, 'o_orderkey', 'the key''s groups are too large in the second table'")
+def diff_preflight(spark, d):
+    a, b = versions(spark, d)
+    cases = {"versions": (a, b), "nothing shared": (a.select("o_orderkey"), b.select("extra")), "no key": (a.select("o_orderstatus"), b.select("o_orderstatus")), "repeats": (a.select("o_orderkey"), b.select(F.lit(1).cast("long").alias("o_orderkey")))}
+    found = {k: compare.probe(*v, max_group=10) for k, v in cases.items()}
+    return spark.createDataFrame([(k, f["can_diff"], ",".join(f["keys"]) if f["keys"] else None, f["reason"]) for k, f in found.items()], "tables string, can_diff boolean, keys string, reason string")
+
+
+@query(f"WITH {VERSIONS}, x AS (SELECT column_name AS c FROM (DESCRIBE SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders)), y AS (SELECT c FROM x UNION ALL SELECT 'extra') SELECT count(*) FILTER (WHERE x.c = y.c) AS in_common, count(*) FILTER (WHERE y.c IS NULL) AS only_df_1, count(*) FILTER (WHERE x.c IS NULL) AS only_df_2 FROM x FULL JOIN y ON x.c = y.c")
+def column_summary(spark, d):
+    return compare.column_summary(*versions(spark, d))
+
+
+@query("WITH d AS (SELECT count(DISTINCT l_orderkey) AS o, count(DISTINCT (l_orderkey, l_linenumber)) AS ol, count(DISTINCT l_partkey) AS p FROM lineitem) SELECT 'l_orderkey' AS keys, o AS distinct_tuples, (SELECT max(n) FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey)) AS largest FROM d UNION ALL SELECT 'l_orderkey,l_linenumber', ol, (SELECT max(n) FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber)) FROM d UNION ALL SELECT 'l_partkey', p, (SELECT max(n) FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_partkey)) FROM d")
+def measured_keys(spark, d):
+    """Several candidate keys in one grouping."""
+    found = compare.measure_keys(read(spark, d, "lineitem"), [("l_orderkey",), ("l_orderkey", "l_linenumber"), ("l_partkey",)])
+    return found.select(F.array_join("keys", ",").alias("keys"), F.col("distinct").alias("distinct_tuples"), "largest")
+
+
+@query("SELECT 'orders' AS t, 'o_orderkey' AS keys, count(*) AS n FROM orders UNION ALL SELECT 'conversations', CASE WHEN count(DISTINCT text) = count(*) THEN 'text' ELSE 'conv_id,turn' END, count(*) FROM conversations")
 def primary_keys(spark, d):
     rows = []
     for t in ("orders", "conversations"):
-        found = compare.rank_keys(read(spark, d, t).drop("text"), max_width=2)
+        found = compare.rank_keys(read(spark, d, t), max_width=2)
         rows.append((t, ",".join(found["keys"]) if found else None, found["n"] if found else None))
     return spark.createDataFrame(rows, "t string, keys string, n long")
 
@@ -584,15 +781,20 @@ def regression_one_x(spark, d):
     return out.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.round("l_extendedprice_predicted", 3).alias("predicted"))
 
 
-@query("WITH c AS (SELECT dense_rank() OVER (ORDER BY n_regionkey) AS a, dense_rank() OVER (ORDER BY n_regionkey * 2) AS b FROM nation) SELECT 'n_regionkey' AS \"left\", 'twice' AS \"right\", round(corr(a, b), 6) AS correlation FROM c")
+@query("WITH c AS (SELECT dense_rank() OVER (ORDER BY p_size) AS a, dense_rank() OVER (ORDER BY p_size // 2) AS b FROM part), e AS (SELECT dense_rank() OVER (ORDER BY c_nationkey) AS a, dense_rank() OVER (ORDER BY CASE WHEN c_nationkey < 20 THEN c_nationkey ELSE 0 END) AS b FROM customer) SELECT 'p_size' AS \"left\", 'half' AS \"right\", round(corr(a, b), 6) AS correlation FROM c UNION ALL SELECT * FROM (SELECT 'c_nationkey', 'part', round(corr(a, b), 6) AS r FROM e) WHERE r > 0.6")
 def correlated_columns(spark, d):
-    df = read(spark, d, "nation").select("n_regionkey", (F.col("n_regionkey") * 2).alias("twice"))
-    return model.correlated_columns(df).withColumn("correlation", F.round("correlation", 6))
+    part = read(spark, d, "part").select("p_size", F.floor(F.col("p_size") / 2).alias("half"), "p_brand", "p_retailprice")
+    customer = read(spark, d, "customer").select("c_nationkey", F.when(F.col("c_nationkey") < 20, F.col("c_nationkey")).otherwise(0).alias("part"), "c_custkey")
+    found = model.correlated_columns(part).where("left = 'p_size'").unionByName(model.correlated_columns(customer))
+    return found.withColumn("correlation", F.round("correlation", 6))
 
 
-@query("SELECT c_mktsegment, c_acctbal, c_custkey FROM customer")
+@query("WITH s AS (SELECT count(DISTINCT o_orderstatus) > 1 AS several, count(*) AS n FROM orders) SELECT unnest(['o_orderdate', 'a_level', 'o_orderkey', 'o_totalprice', 'b_level', 'same']) AS name, unnest(range(6)) AS place FROM s WHERE several")
 def columns_by_use(spark, d):
-    return model.order_columns(read(spark, d, "customer").select("c_custkey", "c_acctbal", "c_mktsegment"))
+    """A time first, a constant last, of two correlated columns one ahead of the others and one behind."""
+    k = F.col("o_orderkey") % 7
+    df = read(spark, d, "orders").select(F.lit(1).alias("same"), "o_orderkey", k.alias("a_level"), (k * 3).alias("b_level"), "o_totalprice", "o_orderdate")
+    return spark.createDataFrame([(c, i) for i, c in enumerate(model.order_columns(df).columns)], "name string, place long")
 
 
 @query("SELECT round(max(o_totalprice) / min(o_totalprice), 4) AS spread, count(*) AS n FROM orders")
@@ -612,8 +814,26 @@ def op_chain(spark, d):
     return chain.run(read(spark, d, "customer"), ops)[0].select("c_mktsegment", F.col("c_custkey_count").alias("n"))
 
 
-@query()
+_CHANGED = "b AS (SELECT l_orderkey, l_partkey, l_quantity + CASE WHEN l_orderkey = (SELECT max(l_orderkey) FROM lineitem) THEN 1 ELSE 0 END AS l_quantity, nullif(l_returnflag, 'R') AS l_returnflag, l_shipdate FROM lineitem)"
+
+
+@query(f"WITH {_CHANGED} " + _union([f"SELECT '{c}' AS \"column\", NOT EXISTS (SELECT {c} FROM lineitem EXCEPT ALL SELECT {c} FROM b) AS same FROM (SELECT 1)" for c in ("l_orderkey", "l_partkey", "l_quantity", "l_returnflag", "l_shipdate")]))
 def column_fingerprints(spark, d):
-    from lodestrata.plans.store import fingerprints
+    """Which columns of another version, whose rows are in another order, have the same content."""
+    df = read(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_returnflag", "l_shipdate")
+    last = df.agg(F.max("l_orderkey")).first()[0]
+    changed = df.repartition(7, "l_partkey").withColumns({"l_quantity": F.col("l_quantity") + F.when(F.col("l_orderkey") == last, 1.0).otherwise(0.0), "l_returnflag": F.nullif(F.col("l_returnflag"), F.lit("R"))})
+    other = store.fingerprints(changed).withColumnRenamed("fingerprint", "other")
+    return store.fingerprints(df).join(other, "column").select("column", (F.col("fingerprint") == F.col("other")).alias("same"))
 
-    return fingerprints(read(spark, d, "lineitem"))
+
+@query("SELECT 'ok' AS kind, CAST(count(*) AS VARCHAR) AS said FROM orders UNION ALL SELECT 'err', 'no such thing'")
+def post_processing(spark, d):
+    """A user's table function, and one that fails: its message is the result."""
+
+    def bad(df):
+        raise ValueError("no such thing")
+
+    df = read(spark, d, "orders")
+    good = chain.process(df, lambda t: t.agg(F.count(F.lit(1)).cast("string").alias("said")))
+    return good.select(F.lit("ok").alias("kind"), "said").unionByName(chain.process(df, bad).select(F.lit("err").alias("kind"), F.col("err").alias("said")))

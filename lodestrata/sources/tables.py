@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions import types
-from lodestrata.functions.scalars import col
+from lodestrata.functions.scalars import col, short_name
 from lodestrata.operators import paging
 
 READERS = {
@@ -67,16 +67,6 @@ def metadata(df: DataFrame, path: str) -> DataFrame:
     return counted.select(F.lit(path).alias("path"), "rows", F.explode(F.array(*cells)).alias("x")).select("path", "rows", "x.*")
 
 
-def short_name(n: int) -> str:
-    """A place as letters in base 26: a, b, ..., z, ba, bb."""
-    out = ""
-    while True:
-        n, digit = divmod(n, 26)
-        out = chr(97 + digit) + out
-        if not n:
-            return out
-
-
 def short_names(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """df with short column names, which need no quoting, and what they stand for."""
     names = [short_name(i) for i in range(len(df.columns))]

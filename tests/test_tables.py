@@ -1,5 +1,6 @@
 """Table operators on small literal tables."""
 
+import decimal
 import math
 import random
 import re
@@ -10,11 +11,11 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import scalars as S
 from lodestrata.functions import types
-from lodestrata.operators import compare, duplicates, filters, group, histogram, model, paging, shape, validate
+from lodestrata.operators import compare, duplicates, filters, group, histogram, model, paging, quantiles, shape, validate
 from lodestrata.plans import autoclean, chain, profile, store
 from lodestrata.plans import stats as st
 from lodestrata.plans.chain import Op
-from lodestrata.sources import tables
+from lodestrata.sources import shared, tables
 
 
 def one(spark, expression, *values):
@@ -142,6 +143,44 @@ def test_ranks_and_pages(spark):
         paging.tag_rows(tagged, ["id"])
 
 
+def test_deep_pages_and_samples(spark, monkeypatch):
+    df = spark.range(1000).select(((F.col("id") * 7) % 1000).alias("v"), F.when(F.col("id") % 10 != 0, F.col("id") % 5).alias("k")).repartition(6)
+    for options in ({"sort": "v"}, {"sort": "k", "ascending": False}, {"order_by": ["v"]}):
+        plain = [tuple(r) for r in paging.page(df, 300, 340, **options).collect()]
+        monkeypatch.setattr(paging, "MOST_HELD_ROWS", 10)
+        deep = paging.page(df, 300, 340, **options)
+        assert sorted(tuple(r) for r in deep.collect()) == sorted(plain, key=lambda x: x[0]) and len(plain) == 40
+        assert "TakeOrdered" not in deep._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.undo()
+    assert column(paging.first_row(df, ["v"]), "v") == [0] and paging.display_sample(df, 7).count() == 7
+    assert paging.sample_rows(df, 2000).count() == 1000 and 50 < (few := paging.sample_rows(df, 100).count()) < 160 and paging.sample_rows(df, 100).count() == few
+    assert paging.sample_cells(df, most_cells=1999, rows=100).count() < 160 and paging.sample_cells(df, most_cells=2000, rows=100).count() == 1000
+    spark.sparkContext.setJobGroup("counted", "")
+    assert paging.row_count(df) == 1000 == paging.row_count(df) and not spark.sparkContext.statusTracker().getJobIdsForGroup("counted")
+    spark.sparkContext.setJobGroup("", "")
+    tagged = paging.tag_rows(df, ["v"])
+    assert column(paging.sort_permutation(tagged, "v", False).limit(3), "rowid") == [999, 998, 997]
+    assert duplicates.distinct_tuples(df, ["k"]) == 6
+
+
+def test_kept_tables_are_released(spark):
+    from pathlib import Path
+
+    at = shared.mark()
+    tagged = paging.tag_rows(spark.range(100), ["id"])
+    assert tagged.count() == 100 and not [x for x in spark.sparkContext._jsc.getPersistentRDDs()]
+    paths = [Path(p.removeprefix("file://")) for _, p in shared._kept[at:]]
+    shared.release(at)
+    assert paths and not any(p.exists() for p in paths)
+
+
+def test_first_places_of_the_largest_value(spark):
+    df = spark.createDataFrame([("a", 1, "x", 5, None), ("a", 2, "z", -(1 << 63), True), ("a", 3, "z", 5, False), ("b", 4, None, None, None)], "k string, at int, s string, n long, b boolean").withColumn("d", F.date_add(F.lit("2020-01-01"), F.col("at") % 2))
+    got = {r["k"]: r for r in group.group_by(df, "k", {c: ["idxmax", "idxmin"] for c in "snbd"} | {"n": ["idxmax", "idxmin", "median"]}, order_by=["at"]).collect()}
+    assert [got["a"][f"{c}_idxmax"] for c in "snbd"] == [2, 1, 2, 1] and [got["a"][f"{c}_idxmin"] for c in "snbd"] == [1, 2, 3, 2] and got["a"]["n_median"] == 5 and got["b"]["n_median"] is None
+    assert got["b"]["s_idxmax"] is None and group.whole_table(df, {"s": "idxmax"}, ["at"]).first()[0] == 2
+
+
 def test_duplicates(spark):
     df = spark.createDataFrame([(1, "x", 1), (1, "y", 2), (2, "z", 3)], "k int, v string, at int")
     assert sorted(column(duplicates.distinct_on(df, "k", ["at"]), "v")) == ["x", "z"]
@@ -206,8 +245,115 @@ def test_histograms(spark):
     assert bars == {"a": 60.0, "unique": 20.0, "NA": 20.0}
 
 
+def test_labels_of_histograms(spark):
+    def number(value, step, ref):
+        return spark.range(1).select(S.number_label(F.lit(float(value)), F.lit(float(step)), F.lit(float(ref)))).first()[0]
+
+    assert number(1234567, 100, 1234567) == "1.23M" and number(1e-15, 1, 5) == "0" and number(-0.25, 0.5, 1) == "-0.25" and number(1200, 0, 1200) == "1.2K" and number(7.4, 0, 7) == "7"
+    tail = lambda lo, hi, step: spark.range(1).select(S.tail_label(F.lit(float(lo)), F.lit(float(hi)), F.lit(float(step)))).first()[0]
+    assert tail(1.2, 1.4, 0.2) == "1.2–1.4" and tail(1.8, 50_000, 0.2) == "1.8–50K" and tail(-3, 2, 1) == "-3<>2"
+
+
+def test_column_quantiles(spark):
+    """Against sorted values, with brackets that must be narrowed, misses of the sketch, ties, nulls and columns without values."""
+    r = random.Random(3)
+    kinds = {"even": lambda i: float(i), "ties": lambda i: float(r.choice([1, 2, 2, 2, 3])), "wide": lambda i: r.gauss(0, 10 ** r.randint(0, 9)), "some": lambda i: None if i % 3 else r.random(), "none": lambda i: None}
+    table = [tuple(f(i) for f in kinds.values()) for i in range(3001)]
+    df = spark.createDataFrame(table, ", ".join(f"{k} double" for k in kinds)).repartition(5)
+    asked = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
+    for accuracy, most, asked in ((quantiles.ACCURACY, quantiles.INSIDE, asked), (30, 100, asked[2:4]), (30, 5, asked[1:3])):
+        found = quantiles.column_quantiles(df, [F.col(k) for k in kinds], asked, accuracy, most)
+        for i, got in enumerate(found):
+            values = sorted(t[i] for t in table if t[i] is not None)
+            for p, q in zip(asked, got, strict=True):
+                at = p * (len(values) - 1)
+                assert q is None if not values else math.isclose(q, values[int(at)] + (values[min(int(at) + 1, len(values) - 1)] - values[int(at)]) * (at - int(at)), rel_tol=1e-12, abs_tol=1e-12)
+    assert quantiles.column_quantiles(df.limit(0), [F.col("even")], [0.5]) == [[None]]
+
+
+def test_profile_keeps_large_numbers_apart(spark):
+    big = 1 << 53
+    df = spark.createDataFrame([(big + i,) for i in range(4)] + [(big + 1,)], "k long").withColumn("d", (F.col("k").cast("decimal(30,2)") * 1000 + F.lit(decimal.Decimal("0.25"))).cast("decimal(30,2)"))
+    got = {(r["column"], r["stat"]): r for r in profile.profile(df).collect()}
+    for c in ("k", "d"):
+        assert got[c, "distinct_count"]["number"] == 4 and got[c, "unique_count"]["number"] == 3
+    assert (got["k", "min"]["text"], got["k", "max"]["text"], got["k", "mode"]["text"]) == (str(big), str(big + 3), str(big + 1)) and got["d", "max"]["text"] == f"{(big + 3) * 1000}.25"
+    assert sorted(r["exact"] for r in profile.value_counts(df, ["k"], numeric=True).collect()) == [str(big + i) for i in range(4)]
+
+
+def test_live_profile(spark):
+    live = profile.Profiler(spark.range(10).select(F.col("id").cast("double").alias("v")))
+    assert not live.add(st.stat("span", types.is_numeric_not_bool)(lambda max, min: max - min)) and live.wide()[0].first()["v__span"] == 9  # noqa: A006
+    assert live.add(st.stat("span", types.is_numeric_not_bool)(lambda max: max * 2)) and live.wide()[0].first()["v__span"] == 18  # noqa: A006
+    before = list(live.stats)
+    with pytest.raises(ValueError):
+        live.add(st.stat("open")(lambda no_such_stat: no_such_stat))
+    with pytest.raises(ValueError):
+        live.remove("max")
+    assert live.stats == before and live.explain("span")["needs"] == ["max"] and live.try_on("v", st.stat("twice")(lambda mean: mean * 2)) == 9
+    live.remove("span")
+    assert "v__span" not in live.wide()[0].columns
+
+
+def test_query_stats(spark):
+    df = spark.createDataFrame([(1, None), (5, None)], "a int, b int")
+    seen = []
+    second = st.query_stat("second", types.is_numeric_not_bool)(lambda t, columns: seen.append(columns) or {"a": 2.5})
+    wide, errors = profile.profile_wide(df, [*st.BASE, second, st.stat("more", types.is_numeric_not_bool)(lambda second: second + 1), st.query_stat("bad")(lambda t, c: 1 / 0), st.stat("worse")(lambda bad: bad)])
+    row = wide.first()
+    assert seen == [["a", "b"]] and row["a__more"] == 3.5 and row["b__second"] is None and {e[1] for e in errors} == {"bad", "worse"}
+
+
+def test_self_check(spark):
+    assert profile.self_check(spark) == [] and profile.self_check(spark, st.BASE + st.QUANTILES + st.EXTRA) == []
+    assert profile.profile(profile.awkward(spark)).where("text like 'error:%'").isEmpty()
+    assert {f[1] for f in profile.self_check(spark, [*st.BASE, st.stat("fragile")(lambda column: F.sum(F.col("nope")))])} == {"fragile"}
+
+
+def test_user_table_functions(spark, tmp_path):
+    (tmp_path / "few.py").write_text("def process(df):\n    return df.limit(2)\n")
+    (tmp_path / "fails.py").write_text("def process(df):\n    raise RuntimeError('broken on purpose')\n")
+    (tmp_path / "other.py").write_text("def compute(column):\n    return column\n")
+    found = profile.user_tables(str(tmp_path))
+    assert sorted(found) == ["fails", "few"] and chain.process(spark.range(5), found["few"]).count() == 2
+    assert [tuple(r) for r in chain.process(spark.range(5), found["fails"]).collect()] == [("broken on purpose",)] and chain.process(spark.range(5), lambda df: 3).columns == ["err"]
+    with pytest.raises(RuntimeError):
+        chain.process(spark.range(5), found["fails"], strict=True)
+
+
+def test_pushed_down_histograms(spark):
+    df = spark.range(100).select(F.col("id").cast("double").alias("v"), (F.col("id") % 3).alias("few"), F.concat(F.lit("t"), F.col("id") % 2).alias("s"), F.lit(None).cast("double").alias("none"))
+    assert [b["population"] for b in histogram.pushed_down(df, "v")] == [10.0] * 10 and histogram.pushed_down(df, "v")[0]["name"] == "0–9.9"
+    assert {b["name"] for b in histogram.pushed_down(df, "few")} == {"0", "1", "2"} and len(histogram.pushed_down(df, "s")) == 2
+    assert histogram.pushed_down(df, "none") == [] and histogram.pushed_down(df, "no_such_column") == []
+
+
 # comparison
 
+def test_keys_with_nulls_and_probes(spark):
+    df = spark.createDataFrame([(1, None, "a"), (2, 1, "a"), (None, 1, "b"), (None, 2, "b")], "x int, y int, z string")
+    found = {tuple(r["keys"]): (r["distinct"], r["largest"]) for r in compare.measure_keys(df, [("x",), ("z",), ("x", "y"), ("x", "y", "z")]).collect()}
+    assert found == {("x",): (2, 2), ("z",): (2, 2), ("x", "y"): (4, 1), ("x", "y", "z"): (4, 1)}
+    assert compare.rank_keys(df) == {"keys": ["x", "y"], "uniqueness": 1.0, "max_group": 1, "n": 4} and compare.rank_keys(df, max_width=1) is None
+    assert compare.sketch_keys(df, [("x",), ("y", "z")]) == {("x",): 2, ("y", "z"): 4}
+    same = spark.range(50).select(F.col("id").alias("k"), F.col("id").alias("j"))
+    assert compare.detect_key(same) == ["k"]
+    assert compare.probe(same, same.select(F.lit("x").alias("other")))["reason"] == "no shared columns" and compare.probe(same, same)["keys"] == ["k"]
+    assert tuple(compare.column_summary(same, same.select("k", F.lit(1).alias("new"))).first()) == (1, 1, 1)
+
+
+def test_key_search_jobs_do_not_grow_with_keys(spark):
+    def jobs(n):
+        df = spark.range(200).select(*[(F.col("id") % (3 + i)).alias(f"c{i}") for i in range(n)])
+        spark.sparkContext.setJobGroup(f"keys{n}", "")
+        assert compare.rank_keys(df, max_width=2) is None
+        done = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"keys{n}"))
+        spark.sparkContext.setJobGroup("", "")
+        return done
+
+    assert jobs(4) == jobs(9)
+
+
 def test_keys(spark):
     unique = spark.range(2000).select(F.concat(F.lit("r"), "id").alias("ride"), (F.col("id") % 2).alias("kind"))
     assert compare.detect_key(unique) == ["ride"]
@@ -283,12 +429,26 @@ def test_store(spark, tmp_path):
     key = store.ProfileStore.key("t", [Op("search", ("x",))])
     assert key != store.ProfileStore.key("t", [Op("search", ("y",))])
     assert kept.cached(key, lambda: df).count() == 2 and kept.cached(key, lambda: 1 / 0).count() == 2
+    assert kept.runs.bytes_written > 0 and kept.runs.bytes_read > 0 and kept.runs.unreadable == 0
+    # a data file that can't be read is found when the result is asked for, and the result is made again
+    for f in (tmp_path / "store" / "results" / key).glob("*.parquet"):
+        f.write_bytes(b"no parquet at all")
+    for f in (tmp_path / "store" / "results" / key).glob(".*.crc"):
+        f.unlink()
+    assert kept.cached(key, lambda: df).count() == 2 and kept.runs.unreadable == 1 and kept.cached(key, lambda: 1 / 0).count() == 2
+    assert not list((tmp_path / "store" / "aside").iterdir())
+    (tmp_path / "blocked").write_text("a file where a folder should be")
+    blocked = store.ProfileStore(spark, str(tmp_path / "blocked"))
+    assert blocked.cached(key, lambda: df).count() == 2 and blocked.runs.write_errors == 1
     df.write.parquet(str(tmp_path / "t.parquet"))
     t = spark.read.parquet(str(tmp_path / "t.parquet"))
     assert not kept.files_unchanged(t)
     kept.remember_files(t)
     assert kept.files_unchanged(t)
-    assert kept.drop_older(1) == kept.size() > 0
+    rows_ = kept.size()
+    # a replacement that ended between its two renames
+    (tmp_path / "store" / "columns").rename(tmp_path / "store" / "columns-before")
+    assert kept.size() == rows_ and kept.drop_older(1) == rows_ > 0 and kept.bytes() > 0
     kept.clear()
     assert kept.size() == 0
 
