@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from lodestrata.operators.running import running_sum
 
 #: Ranks of the sketch are off by a row in so many at most.
-ACCURACY = 10_000
+ACCURACY = 2_000
 #: Values of a bracket that are sorted; a bracket of more is narrowed first.
 INSIDE = 200_000
 GRID = 128
@@ -49,9 +49,11 @@ def column_quantiles(df: DataFrame, columns: list[Column], probabilities: list[f
         if not brackets:
             return [[None] * len(probabilities) for _ in columns]
         if _narrow(named, brackets, most):
-            picked = _pick(named, brackets)
-            values = iter(a + (b - a) * k.part for k, (a, b) in zip(brackets, picked, strict=True))
-            return [[None if b is None else next(values) for b in row] for row in found]
+            # a bracket of one value is done
+            wide = [b for b in brackets if b.lo < b.hi]
+            picked = dict(zip(map(id, wide), _pick(named, wide), strict=True)) if wide else {}
+            between = lambda b: (lambda lo, hi: lo + (hi - lo) * b.part)(*picked.get(id(b), (b.lo, b.hi)))
+            return [[None if b is None else between(b) for b in row] for row in found]
         margin *= 8  # the sketch missed a rank
 
 
