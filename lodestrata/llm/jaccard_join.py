@@ -42,8 +42,8 @@ TILE = 1000
 TILE_HASHES = 2_000_000
 #: So many columns at most, the most frequent, are broadcast with their frequencies to go last: it bounds the broadcast, not what is compared.
 MOST_COMMON = 1 << 20
-#: Columns in under one of so many documents, or in under CROWD of them, needn't go last: few meet on them.
-RARE = 4000
+#: Columns in under one of so many documents, of no more than one part of classes, needn't go last.
+RARE = 1000
 #: Step 3 takes classes that share this part of their prefix columns at least; step 4 takes all.
 LIKELY = 0.4
 #: A column that more likely classes share makes a cluster of them.
@@ -233,7 +233,7 @@ class Join:
         """Columns that go last: those from a power of two of documents on, the least that isn't rare and that at most MOST_COMMON columns reach."""
         columns = scratch.keep(columns.groupBy("column").agg(F.sum("docs").alias("docs")), "jaccard-columns")
         tiers = {r["tier"]: r["n"] for r in columns.groupBy(F.floor(F.log2("docs")).alias("tier")).agg(F.count(F.lit(1)).alias("n")).collect()}  # 64 rows at most
-        left, least, rare = MOST_COMMON, 63, int(np.ceil(np.log2(max(COMMON_HERE, min(documents / RARE, CROWD)))))
+        left, least, rare = MOST_COMMON, 63, int(np.ceil(np.log2(max(COMMON_HERE, min(documents / RARE, COLUMN_PART)))))
         while least > rare and left >= tiers.get(least - 1, 0):
             least -= 1
             left -= tiers.get(least, 0)
