@@ -12,8 +12,8 @@ its transpose. The product is made in blocks that can hold linked pairs only, an
    tiles. Other pairs' overlap counts in the prefixes are accumulated over all columns, only across classes that aren't connected; a column of many classes is dealt over
    tasks in pairs of bounded parts. A pair stays if its count with all that may follow reaches the overlap its sizes need. Those left are multiplied as in 3.
 
-Columns are hashes of n-grams of one family, and are used to find pairs; the overlaps of pairs that are multiplied count hashes of another family, which
-shares nothing with the first but the text. Tiles are bounded by rows and by the sizes of their sets.
+Columns are hashes of n-grams of one family, and are used to find pairs; the overlaps of pairs that are multiplied count hashes of another family, whose
+keys are its own. Tiles are bounded by rows and by the sizes of their sets.
 
 So every linked pair has been multiplied, or was connected by links already.
 
@@ -463,7 +463,8 @@ def keep_first(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=4, num=85, den=100)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return scratch.settle(lambda: link(docs, n=4, num=85, den=100), "jaccard-result")
 
 
 SQL = r"""

@@ -9,8 +9,8 @@ position only are dropped, and the others are grouped by their own hash: nothing
 that occurs earlier, in order of (id, line), marks its lines, and adjoining windows make up a repeated run. Marked lines are deleted.
 
 What is joined is one row a distinct fingerprint or window, never pairs of positions, so a line that a third of all documents
-share is one row there, and rows of frequent ones aren't gathered: those of a thousandth of all windows or more are broadcast. A line is
-compared by two 64-bit hashes of different seeds, and so is a window. Null text stays null and counts no lines. A null id comes after all others. Rows that share an id and
+share is one row there, and rows of frequent ones aren't gathered: those of a thousandth of all windows or more are broadcast. A line's fast hash chooses fingerprints; lines
+are compared by SHA-256, and windows by two 64-bit hashes of their lines' digests. Null text stays null and counts no lines. A null id comes after all others. Rows that share an id and
 text are at equal positions and don't delete each other's lines. An empty table gives an empty result.
 """
 
@@ -30,7 +30,7 @@ def windows(rows: DataFrame, run: int, words: int | None) -> DataFrame:
     """A row for each window: id, row_key, n_lines, its lines, its fingerprint's hash and position, its own hash."""
     sizes = range(1 if words else run, run + 1)
     counted = "regexp_count(x, r'[^\\x20\\x09-\\x0D]+')" if words else "0"
-    content = f"filter(transform(lines, (x, i) -> named_struct('line', i, 'n', {counted}, 'h', if(x rlike r'[^\\x20\\x09-\\x0D]', xxhash64(x), null), 'g', xxhash64('g', x))), x -> x.h is not null)"
+    content = f"filter(transform(lines, (x, i) -> named_struct('line', i, 'n', {counted}, 'h', if(x rlike r'[^\\x20\\x09-\\x0D]', xxhash64(x), null), 'g', sha2(x, 256))), x -> x.h is not null)"
     own = rows.select("id", "row_key", F.size("lines").alias("n_lines"), F.expr(content).alias("c"))
     shifted = own.where(F.size("c") >= sizes[0]).select("id", "row_key", "n_lines", F.explode(F.arrays_zip(*[F.slice("c", j + 1, F.size("c")).alias(f"w{j}") for j in range(run)])).alias("w"))
     flat = shifted.select("id", "row_key", "n_lines", *[F.col(f"w.w{j}.{of}").alias(f"{to}{j}") for j in range(run) for of, to in (("line", "l"), ("h", "h"), ("g", "g"), ("n", "n"))])
@@ -38,7 +38,8 @@ def windows(rows: DataFrame, run: int, words: int | None) -> DataFrame:
     def window(k: int):
         least = F.least(*[F.col(f"h{j}") for j in range(k)]) if k > 1 else F.col("h0")
         place = reduce(lambda later, j: later.when(F.col(f"h{j}") == least, F.col(f"l{j}")), range(k - 2, -1, -1), F.when(F.col(f"h{k - 1}") == least, F.col(f"l{k - 1}")))
-        made = F.struct(F.array(*[F.col(f"l{j}") for j in range(k)]).alias("its_lines"), least.alias("mark"), place.alias("mark_line"), *[F.xxhash64(F.lit(of), *[F.col(f"{of}{j}") for j in range(k)]).alias(name) for of, name in (("h", "window"), ("g", "window2"))])
+        digests = [F.col(f"g{j}") for j in range(k)]
+        made = F.struct(F.array(*[F.col(f"l{j}") for j in range(k)]).alias("its_lines"), least.alias("mark"), place.alias("mark_line"), F.xxhash64(*digests).alias("window"), F.xxhash64(F.lit("g"), *digests).alias("window2"))
         enough = F.col(f"h{k - 1}").isNotNull() if k == run else F.col(f"h{k - 1}").isNotNull() & (sum(F.col(f"n{j}") for j in range(k)) >= words)
         return F.when(enough, made)
 

@@ -41,7 +41,7 @@ _CLASSES = np.array([_class(b) for b in range(256)], np.int64)
 def statistics(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(base statistics, features): a row for each document."""
     docs = len(off) - 1
-    w = ts.words(buf, off)
+    w = ts.words(buf, off, hashed=False)
     n = w.counts()
     kind = np.zeros(docs * 10, np.int64)
     for a in range(0, len(buf), 1 << 22):  # a very long document goes a part at a time
@@ -62,14 +62,15 @@ def statistics(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     has = np.searchsorted(w.starts, ends) > np.searchsorted(w.starts, starts)
     starts, ends = starts[has], ends[has]
     line_doc = np.searchsorted(off, starts, "right") - 1
-    _, later = ts.twice(*(ts.in_document(ts.hash_pieces(buf, starts, ends, which), line_doc) for which in (0, 1)))
+    _, later = ts.again(ts.classes(buf, starts, ends), line_doc)
     lines = np.bincount(line_doc, minlength=docs)
     dup = np.bincount(line_doc[later], minlength=docs)
 
-    at, h = ts.windows(w.hash, w.first, 3)
+    said = ts.classes(buf, w.starts, w.ends)
+    at = ts.spread(w.first[:-1], np.maximum(n - 2, 0))
     at_doc = np.searchsorted(w.first, at, "right") - 1
-    again, repeated = ts.twice(*(ts.in_document(x, at_doc) for x in (h, ts.windows(w.second(), w.first, 3, which=1)[1])))
-    repeat = ts.per_document(ts.covered(at[again], 3, len(w.hash)), w.first)
+    again, repeated = ts.again(ts.runs_of(said, at, 3), at_doc)
+    repeat = ts.per_document(ts.covered(at[again], 3, len(w.starts)), w.first)
     windows = np.bincount(at_doc, minlength=docs)
     distinct = windows - np.bincount(at_doc[repeated], minlength=docs)
 

@@ -8,7 +8,7 @@ make up a maximal repeat, whose words are removed.
 Both comparisons are meetings of sorted hashes: a group of documents sends each of its distinct hashes once, in compressed packets
 dealt by the hashes' top bits, and gets back those that matter to it. A passage in a third of all documents is thus one
 hash of each group, and no pairs are made. Texts are written once in groups and never shuffled. Half windows meet by 64 bits, which only
-choose candidates; full windows are compared by two hashes that share nothing but the text, 128 bits.
+choose candidates; full windows are compared by the hashes of two families, 128 bits.
 
 Words are runs of characters other than ASCII white space. Null text has no words. Ids are of any type that has an order; a row with a null id neither
 loses words nor makes others lose them; rows that share an id don't make each other lose words. Texts shorter than a window stay
@@ -204,7 +204,8 @@ def kept_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return removed_and_kept(spark.read.parquet(f"{sf_dir}/documents.parquet"), window=50)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return scratch.settle(lambda: removed_and_kept(docs, window=50), "substring-result")
 
 
 SQL = r"""

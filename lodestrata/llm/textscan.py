@@ -2,8 +2,9 @@
 
 A task hands over one Arrow batch; the functions here work on its UTF-8 bytes directly, in groups
 of whole documents of about a megabyte, so that temporaries stay small. A word is hashed eight bytes
-at a time, each step a multiplication and a shift, and a long one by BLAKE2; a window's hash joins those of its halves in the
-same way. `which` chooses one of two families of hashes that share nothing but the bytes, so equal pairs of hashes are 128 bits.
+at a time: each eight are diffused under a key of the family before they meet the state, which is diffused again, so that a change
+in one place can't be undone in the next but by chance. Long words go through BLAKE2. A window's hash joins those of its halves. `which` chooses one of two families, whose
+keys and so whose states differ. Where bytes are at hand, `classes` numbers pieces exactly, whatever their hashes.
 """
 
 from __future__ import annotations
@@ -16,13 +17,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-#: (multiplier of the length, of a step, of a window's first half, of a window) of each family.
-_FAMILIES = ((U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x9FB21C651E98DF25), U(0xD6E8FEB86659FD93)), (U(0xA0761D6478BD642F), U(0x94D049BB133111EB), U(0xC2B2AE3D27D4EB4F), U(0xE7037ED1A0B428DB)))
-_DOCUMENT = U(0x8EBC6AF09C88C6E3)
+#: (multiplier of the length, key of eight bytes, key of the state, multiplier of a window's first half, of a window) of each family.
+_FAMILIES = (
+    (U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x2545F4914F6CDD1D), U(0x9FB21C651E98DF25), U(0xD6E8FEB86659FD93)),
+    (U(0xA0761D6478BD642F), U(0x589965CC75374CC3), U(0x1D8E4E27C47D124F), U(0xC2B2AE3D27D4EB4F), U(0xE7037ED1A0B428DB)),
+)
 #: The first 0..8 bytes of a little-endian word.
 _FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=U)
 #: Pieces of more bytes than this are hashed one by one.
-LONG_PIECE = 512
+LONG_PIECE = 256
 GROUP_BYTES = 1 << 20
 
 
@@ -81,24 +84,17 @@ def folded(buf: np.ndarray) -> np.ndarray:
 
 def hash_pieces(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
     """Hashes of pieces of buf."""
-    by_length, step, _, _ = _FAMILIES[which]
+    by_length, key, step, _, _ = _FAMILIES[which]
     lane, n = lanes(buf), ends - starts
-    h = n.astype(U) * by_length
-    h ^= lane[starts] & _FIRST[np.minimum(n, 8)]
-    h *= step
-    h ^= h >> U(29)
+    h = mix(n.astype(U) * by_length ^ mix((lane[starts] & _FIRST[np.minimum(n, 8)]) + key))
     at, more = 8, np.flatnonzero((n > 8) & (n <= LONG_PIECE))
     while len(more):
         left = n[more] - at
-        x = h[more]
-        x ^= lane[starts[more] + at] & _FIRST[np.minimum(left, 8)]
-        x *= step
-        x ^= x >> U(29)
-        h[more] = x
+        h[more] = mix((h[more] ^ mix((lane[starts[more] + at] & _FIRST[np.minimum(left, 8)]) + key)) + step)
         more, at = more[left > 8], at + 8
     for i in np.flatnonzero(n > LONG_PIECE).tolist():
         h[i] = int.from_bytes(hashlib.blake2b(buf[starts[i] : ends[i]], digest_size=8, person=bytes([which])).digest(), "little")
-    return mix(h)
+    return h
 
 
 def same_pieces(a: np.ndarray, a_starts: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_starts: np.ndarray, b_ends: np.ndarray, spare: bool = False) -> np.ndarray:
@@ -117,6 +113,29 @@ def same_pieces(a: np.ndarray, a_starts: np.ndarray, a_ends: np.ndarray, b: np.n
     return same
 
 
+def classes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, within: np.ndarray | None = None) -> np.ndarray:
+    """A number for each piece, equal only for equal bytes (and equal `within`): hashes put equal pieces together, and each is compared with the one before it."""
+    h = hash_pieces(buf, starts, ends)
+    order = np.argsort(h, kind="stable") if within is None else np.lexsort((h, within))
+    s, e = starts[order], ends[order]
+    near = h[order][1:] == h[order][:-1]
+    if within is not None:
+        near &= within[order][1:] == within[order][:-1]
+    at = np.flatnonzero(near)
+    same = np.zeros(len(near), bool)
+    same[at] = same_pieces(buf, s[at], e[at], buf, s[at + 1], e[at + 1])
+    out = np.empty(len(h), np.int64)
+    out[order] = np.concatenate([[0], np.cumsum(~same)]) if len(h) else 0
+    if not same[at].all():  # one hash of different pieces: those of its run are told apart by their bytes
+        run = np.concatenate([[0], np.cumsum(~near)])
+        for r in np.unique(run[1:][near & ~same]).tolist():
+            mine = order[np.flatnonzero(run == r)]
+            known: dict[bytes, int] = {}
+            for i in mine.tolist():
+                out[i] = known.setdefault(buf[starts[i] : ends[i]].tobytes(), int(out[i]))
+    return out
+
+
 class Words:
     """starts, ends: byte places in buf; hash: of each word; first: the first word of each document, then the number of words."""
 
@@ -160,7 +179,7 @@ def windows(h: np.ndarray, first: np.ndarray, k: int, which: int = 0) -> tuple[n
     at = spread(first[:-1], np.maximum(np.diff(first) - k + 1, 0))
     if not len(at):
         return at, np.zeros(0, U)
-    _, _, half, whole = _FAMILIES[which]
+    *_, half, whole = _FAMILIES[which]
 
     def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         x = a[: len(b)] * half
@@ -213,16 +232,24 @@ def order_of(key: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return order, same & ~other
 
 
-def twice(key: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(which pairs of hashes occur twice or more, which of those come after an equal one)."""
-    order, again = order_of(key, second)
-    same = np.concatenate([[False], again, [False]]) if len(key) else np.zeros(1, bool)
-    any_, later = np.zeros(len(key), bool), np.zeros(len(key), bool)
-    any_[order] = same[:-1] | same[1:]
-    later[order] = same[:-1]
-    return any_, later
+def runs_of(said: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """A number for each run of k places from those of `at` on, equal only for equal numbers in them; said: under 2**31."""
+    bits = int(said.max()).bit_length() if len(said) else 1
+    out, used = said[at], bits
+    for j in range(1, k):
+        if used + bits > 62:
+            out = np.unique(out, return_inverse=True)[1]
+            used = len(out).bit_length()
+        out, used = (out << bits) | said[at + j], used + bits
+    return out
 
 
-def in_document(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Hashes that are equal only for equal hashes of the same document."""
-    return mix(h + (doc.astype(U) + U(1)) * _DOCUMENT)
+def again(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which keys occur twice or more in their document, which of those come after an equal one); doc ascends."""
+    order = np.argsort(key, kind="stable")
+    same = (key[order[1:]] == key[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]])
+    edges = np.concatenate([[False], same, [False]]) if len(order) else np.zeros(1, bool)
+    any_, later = np.zeros(len(order), bool), np.zeros(len(order), bool)
+    any_[order] = edges[:-1] | edges[1:]
+    later[order] = edges[:-1]
+    return any_, later

@@ -57,6 +57,79 @@ def swapped(k):
 CRAFTED = [w for k in (5, 8, 9, 10, 12, 17) for w in swapped(k)]
 
 
+def changed_in_three_bits(seed, n):
+    """Pairs of different ASCII words of 16 characters that differ in three bits, two of them that a hash which undoes a change in the next eight bytes takes for one."""
+    r = random.Random(seed)
+    out = [("6zc4pz0xx9xfl6gv", "6zc4pz08x9xfn6g6")]
+    while len(out) < n:
+        a = bytearray(r.choice(b"abcdefghijklmnopqrstuvwxyz0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(16))
+        b = bytearray(a)
+        for i, bit in ((7, 6), (r.randrange(8, 16), r.randrange(6)), (r.randrange(16), r.randrange(6))):
+            b[i] ^= 1 << bit
+        if a != b and all(33 <= c < 127 for c in b):
+            out.append((a.decode(), b.decode()))
+    return out
+
+
+ALIKE = changed_in_three_bits(4, 400)
+#: Lines of 64 bytes that one fast hash takes for one under two seeds.
+ALIKE_LINES = ("XkktmSCl the quick brown fox jumbAfvFFyh the quick brown fox jum", "XkktmSCZ the quick brown fox jumbAf5of18 the quick brown fox jum")
+
+
+def test_words_that_differ_little():
+    words = [w for pair in changed_in_three_bits(9, 4000) for w in pair]
+    buf = np.frombuffer("".join(words).encode(), np.uint8)
+    at = np.arange(0, len(buf), 16)
+    for which in (0, 1):
+        assert len(set(ts.hash_pieces(buf, at, at + 16, which).tolist())) == len(set(words))
+
+
+def test_pieces_are_numbered_by_their_bytes(monkeypatch):
+    r = random.Random(3)
+    said = [r.choice(["a", "b", "ab", "abc", "x" * 300, "x" * 299 + "y", ""]) for _ in range(400)]
+    buf, ends = np.frombuffer("".join(said).encode(), np.uint8), np.cumsum([len(x) for x in said])
+    starts = ends - [len(x) for x in said]
+    within = np.repeat(np.arange(4), 100)
+    for hashed in (ts.hash_pieces, lambda buf, starts, ends, which=0: (ends - starts).astype(np.uint64) % np.uint64(2)):
+        monkeypatch.setattr(ts, "hash_pieces", hashed)
+        got = ts.classes(buf, starts, ends).tolist()
+        assert len(set(zip(got, said, strict=True))) == len(set(got)) == len(set(said))
+        got = ts.classes(buf, starts, ends, within).tolist()
+        assert len(set(zip(got, said, within.tolist(), strict=True))) == len(set(got)) == len(set(zip(said, within.tolist(), strict=True)))
+    many = np.array([r.randrange(1 << 30) for _ in range(50)] * 2)
+    runs = ts.runs_of(many, np.arange(96), 5).tolist()
+    assert len(set(runs)) == len({tuple(many[i : i + 5].tolist()) for i in range(96)}) == 50
+
+
+@pytest.fixture(scope="module")
+def alike(spark):
+    say = " ".join(VOCABULARY[:11])
+    texts = [x for a, b in ALIKE[:60] for x in (a, b, f"{a} {say}", f"{b} {say}", f"{a}\n{b}\n{a} x {say} {b} x\n{b}")]
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+
+
+def test_operators_tell_words_apart_that_differ_little(alike):
+    table = [tuple(x) for x in alike.collect()]
+    assert rows(substring_dedup.removed_and_kept(alike, window=10)) == plain_substring(table, 10)
+    assert rows(jaccard_join.link(alike, n=4, num=85, den=100)) == plain_components(table, 4, 85, 100)
+    judged = quality.judge(alike, None).select("doc_id", "_quality_n_dup_lines", "_quality_n_repeat_words").collect()
+    want = []
+    for i, t in table:
+        lines, w = [x for x in t.split("\n") if words_of(x)], words_of(t)
+        at = collections.defaultdict(list)
+        for k in range(len(w) - 2):
+            at[tuple(w[k : k + 3])].append(k)
+        want.append((i, len(lines) - len(set(lines)), len({k + j for x in at.values() if len(x) > 1 for k in x for j in range(3)})))
+    assert rows(alike.sparkSession.createDataFrame(judged)) == sorted(want, key=repr)
+
+
+def test_line_dedup_tells_lines_apart_that_one_hash_does_not(spark):
+    a, b = ALIKE_LINES
+    table = [(1, f"{a}\nx\ny"), (2, f"{b}\nx\ny"), (3, f"{b}\nx\ny\nz"), (4, "\n".join(w for w, _ in ALIKE)), (5, "\n".join(w for _, w in ALIKE))]
+    df = spark.createDataFrame(table, "doc_id long, text string")
+    assert rows(line_dedup.dedup(df, words=None).select("doc_id", "_line_kept_text", "_line_lines", "_line_removed")) == plain_lines(table, 3)
+
+
 def crafted(say=VOCABULARY):
     texts = [x for w in CRAFTED for x in (w, f"{w} {w}\nx y\n{w}", " ".join(say + [w] + say + say))]
     return [(2000 + i, t) for i, t in enumerate(texts)]
@@ -296,11 +369,11 @@ def test_look_up(spark):
 def test_what_is_kept_is_dropped(spark):
     from pathlib import Path
 
-    before = list(scratch._made)
+    before, tables = list(scratch._made), {t.name for t in spark.catalog.listTables()}
     docs = spark.createDataFrame(corpus(), "doc_id long, text string")
     got = scratch.settle(lambda: substring_dedup.removed_and_kept(docs, window=10), "settled")
-    mine = scratch._made[len(before) :]
-    assert len(mine) == 1 and got.count() == len(corpus()) and not [t for t in spark.catalog.listTables() if t.name.startswith("substring_texts")]
+    mine, left = scratch._made[len(before) :], {t.name for t in spark.catalog.listTables()}
+    assert len(mine) == 1 and got.count() == len(corpus()) and {t for t in left - tables if t.startswith("substring_texts")} == set()
     scratch.drop(mine)
     assert scratch._made == before and not Path(mine[0][1].removeprefix("file://")).exists()
 
