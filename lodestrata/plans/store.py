@@ -14,6 +14,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestrata.functions import types
 from lodestrata.functions.scalars import col
@@ -25,10 +26,15 @@ SCHEMA = "fingerprint string, stat string, number double, text string, stored_at
 
 
 def fingerprints(df: DataFrame) -> DataFrame:
-    """column, fingerprint of each column's values, whatever their order: sums of two hashes, and counts of rows and nulls, in one job."""
+    """column, fingerprint of each column's values, whatever their order: sums of two hashes, and counts of rows and nulls, in one job.
+
+    Texts and bytes are hashed by SHA-256 first: what two seeds of a fast hash both take for one would pass for the same column.
+    """
     cells = []
     for f in df.schema:
         c = F.to_json(F.struct(col(f.name))) if types.is_nested(f.dataType) else col(f.name)
+        if types.is_nested(f.dataType) or isinstance(f.dataType, (T.StringType, T.CharType, T.VarcharType, T.BinaryType, T.DecimalType)):
+            c = F.sha2(c.cast("string") if isinstance(f.dataType, T.DecimalType) else c, 256)
         total = lambda seed, c=c: F.coalesce(F.sum(F.xxhash64(F.lit(seed), c).cast("decimal(38,0)")), F.lit(0))
         mark = F.concat_ws("|", total(1).cast("string"), total(2).cast("string"), F.count(F.lit(1)).cast("string"), F.count(col(f.name)).cast("string"), F.first(F.lit(f.dataType.simpleString())))
         cells.append(F.struct(F.lit(f.name).alias("column"), F.sha2(mark, 256).alias("fingerprint")))
