@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("warc", "token_counts", "resampling", "substring_dedup", "toxicity", "jaccard_join", "decontamination", "packing", "line_dedup", "quality")
+MODULES = ("warc", "token_counts", "resampling", "substring_dedup", "toxicity", "jaccard_join", "decontamination", "packing", "line_dedup", "quality", "target_resampling", "simhash", "filter_audit")
 
 
 def queries() -> dict:

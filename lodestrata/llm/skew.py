@@ -9,17 +9,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rows of one key that a task may gather, and how many keys may be broadcast.
+MOST_ROWS, MOST_KEYS = 1_000_000, 100_000
+
+
 def look_up(rows: DataFrame, table: DataFrame, keys: list[str], count: str, how: str = "left", total: int | None = None, share: int = 1000) -> DataFrame:
     """rows with the columns of table, which has one row a key and, in `count`, how many of the rows have it. how: left or inner.
 
-    Rows of keys that a thousandth of all rows or more have stay where they are: these keys, a thousand at most, are broadcast. Other keys are joined
+    Rows of frequent keys stay where they are: keys of a thousandth of all rows or more, or of MOST_ROWS, beyond 1e11 rows of a MOST_KEYS-th of them. These keys, MOST_KEYS at most, are broadcast. Other keys are joined
     by a shuffle. rows is read twice; it should be a table or a cheap map of one.
     """
     if total is None:
         total = table.agg(F.sum(count)).first()[0] or 0
     made = [c for c in table.columns if c not in (*keys, count)]
     named = table.select(*[F.col(k).alias(f"__{k}") for k in keys], *made, count)
-    hot = F.col(count) * share >= total
+    hot = (F.col(count) * share >= total) | (F.col(count) >= max(MOST_ROWS, total // MOST_KEYS))
     met = reduce(and_, [F.col(k) == F.col(f"__{k}") for k in keys])
     frequent, others = F.broadcast(named.where(hot)), named.where(~hot)
     out = [F.col(f"`{c}`") for c in [*rows.columns, *made]]
