@@ -71,9 +71,9 @@ STEPS = """
 WITH RECURSIVE steps (prefix, step, applied, bit, mask, kept, removed, redundant) AS (
   SELECT CAST('' AS STRING), 0, 0, 0, mask, 1, 0, 0 FROM {cells}
   UNION ALL
-  SELECT concat(s.prefix, f.letter), s.step + 1, s.applied | f.bit, f.bit, s.mask,
-    IF(s.mask & (s.applied | f.bit) = 0, 1, 0), IF(s.mask & f.bit <> 0 AND s.mask & s.applied = 0, 1, 0), IF(s.mask & f.bit <> 0 AND s.mask & s.applied <> 0, 1, 0)
-  FROM steps s JOIN {filters} f ON s.applied & f.bit = 0
+  SELECT concat(prefix, f.letter), step + 1, applied | f.bit, f.bit, mask,
+    IF(mask & (applied | f.bit) = 0, 1, 0), IF(mask & f.bit <> 0 AND mask & applied = 0, 1, 0), IF(mask & f.bit <> 0 AND mask & applied <> 0, 1, 0)
+  FROM (SELECT *, explode(filter(sequence(0, length('{letters}') - 1), i -> applied & shiftleft(1, i) = 0)) AS i FROM steps) LATERAL VIEW inline(array(struct(substring('{letters}', i + 1, 1), shiftleft(1, i)))) f AS letter, bit
 )
 SELECT prefix, step, bit, mask, kept, removed, redundant FROM steps WHERE step > 0
 """
@@ -82,9 +82,8 @@ SELECT prefix, step, bit, mask, kept, removed, redundant FROM steps WHERE step >
 def audit(cells: DataFrame, letters: str = LETTERS) -> DataFrame:
     """part, filter_order, step and its counts, for every part, order and step; cells: part, mask, good, toxic, n."""
     spark, k = cells.sparkSession, len(letters)
-    filters = spark.createDataFrame([(c, 1 << i) for i, c in enumerate(letters)], "letter string, bit int")
-    every = spark.range(1 << k).select(F.col("id").cast("int").alias("mask"))
-    steps = spark.sql(STEPS, cells=every, filters=filters)
+    every = spark.range(0, 1 << k, 1, 1).select(F.col("id").cast("int").alias("mask"))
+    steps = scratch.keep(spark.sql(STEPS.replace("{letters}", letters), cells=every), "audit-steps")  # the levels run once
     # of prefixes and masks there are as many as letters allow, whatever the table
     met = cells.join(F.broadcast(steps), "mask")
     total = lambda flag, of="n": F.sum(F.col(flag) * F.col(of))
@@ -93,7 +92,7 @@ def audit(cells: DataFrame, letters: str = LETTERS) -> DataFrame:
         total("removed", "good").alias("good_lost"), total("removed", "toxic").alias("toxic_lost"))
     # orders that begin with a prefix: those of the letters left
     ways = F.factorial(F.lit(k) - F.col("step"))
-    by_prefix = by_prefix.withColumn("letter", F.substring("prefix", -1, 1))
+    by_prefix = scratch.keep(by_prefix.withColumn("letter", F.substring("prefix", -1, 1)), "audit-prefixes")
     shapley = by_prefix.groupBy("part", "letter").agg(F.sum(F.col("removed") * ways).alias("shapley"))
     orders = steps.where(F.col("step") == k).select(F.col("prefix").alias("filter_order")).distinct().select("filter_order", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("step"))
     orders = orders.select("filter_order", F.expr("substring(filter_order, 1, step)").alias("prefix"))
