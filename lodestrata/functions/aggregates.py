@@ -19,11 +19,11 @@ from lodestrata.sources import shared
 WIDTHS = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "bigint": 8, "float": 4, "double": 8, "date": 4, "timestamp": 8, "timestamp_ntz": 8}
 
 
-def about_distinct(*columns: Column) -> Column:
-    """About how many different values a column has, nulls left out, or how many different tuples several have: a sketch of 16 kB with a standard error of 0.8 %."""
+def about_distinct(*columns: Column, log_size: int = 14) -> Column:
+    """About how many different values a column has, nulls left out, or how many different tuples several have: a sketch of 16 kB with a standard error of 0.8 %; log_size is that of its bytes."""
     # a hash passes nulls over: where they stand is hashed too
     key = F.when(columns[0].isNotNull(), F.xxhash64(columns[0])) if len(columns) == 1 else F.xxhash64(*columns, *[c.isNull() for c in columns])
-    return F.coalesce(F.hll_sketch_estimate(F.hll_sketch_agg(key, F.lit(14))), F.lit(0))
+    return F.coalesce(F.hll_sketch_estimate(F.hll_sketch_agg(key, F.lit(log_size))), F.lit(0))
 
 
 def skew(c: Column) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 import importlib.util
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -49,24 +50,72 @@ def _aggregates(df: DataFrame, ordered: list[S.Stat], columns: list[str]) -> tup
     return made, later, errors
 
 
+def _measured(df: DataFrame, made: dict[str, Column]) -> tuple[dict[str, object], dict[str, Exception]]:
+    """(values by name, errors by name) of aggregates: those that fail while they run are found by halves, so f of m failures cost about 2 f log m jobs more."""
+    try:
+        row = df.agg(*[e.alias(f"x{i}") for i, e in enumerate(made.values())]).first()
+        return dict(zip(made, row, strict=True)), {}
+    except (PySparkException, Py4JJavaError) as error:
+        if len(made) == 1:
+            return {}, {next(iter(made)): error}
+    names = list(made)
+    values, errors = {}, {}
+    for part in (names[: len(names) // 2], names[len(names) // 2 :]):
+        v, e = _measured(df, {n: made[n] for n in part})
+        values, errors = values | v, errors | e
+    return values, errors
+
+
+def _said(error: Exception) -> str:
+    return str(error).split("\n\tat ")[0][:500]
+
+
+def _row(df: DataFrame, made: dict[str, Column], own: dict[str, S.Stat]) -> tuple[DataFrame, dict[str, str]]:
+    """(one row of aggregates, messages of those that failed). Built-in ones are left to the plan; where any is a user's (own), all are run at once.
+
+    If not even the number of rows can be had, it is not the statistics that fail, and the error is raised.
+    """
+    lazy = df.agg(*([e.alias(n) for n, e in made.items()] or [F.count(F.lit(1)).alias("length")]))
+    if not own:
+        return lazy, {}
+    values, errors = _measured(df, made)
+    if errors and not values:
+        df.agg(F.count(F.lit(1))).first()
+    failed = {}
+    for n, error in errors.items():
+        if n in own and own[n].default is not S.MISSING:
+            values[n] = own[n].default
+        else:
+            failed[n] = _said(error)
+    kinds = T.StructType([f for f in lazy.schema if f.name in values])
+    kinds = T.StructType([T.StructField(f.name, f.dataType, True) for f in kinds])
+    return df.sparkSession.createDataFrame([tuple(values[f.name] for f in kinds)], kinds), failed
+
+
 def profile_wide(df: DataFrame, stats: list[S.Stat] | None = None, skip: tuple[str, ...] = ()) -> tuple[DataFrame, list[tuple[str, str, str]]]:
-    """(one row of {column}__{stat}, errors as (column, stat, message)). Skipped columns keep their length only; what depends on a failed statistic is null."""
+    """(one row of {column}__{stat}, errors as (column, stat, message)). Skipped columns keep their length only; what depends on a failed statistic is null.
+
+    Statistics fail alone, when they are made or while they run: an aggregate of all that fails is taken apart until the failing ones stand by themselves.
+    """
     ordered = S.in_order(stats if stats is not None else S.BASE)
     clean = nullify_nonfinite(df)
     columns = [c for c in df.columns if c not in skip]
     made, later, errors = _aggregates(clean, ordered, columns)
-    row = clean.agg(*([e.alias(n) for n, e in made.items()] or [F.count(F.lit(1)).alias("length")]))
+    built_in = {*map(id, S.BASE), *map(id, S.QUANTILES), *map(id, S.APPROXIMATE), *map(id, S.EXTRA), *map(id, S.APPROXIMATE_ALL)}
+    of = {f"{c}{SEPARATOR}{s.name}": s for c in columns for s in ordered if id(s) not in built_in}
+    row, messages = _row(clean, made, {n: s for n, s in of.items() if n in made})
+    errors += [(*n.rsplit(SEPARATOR, 1), m) for n, m in messages.items()]
     failed = {(c, s) for c, s, _ in errors}
     # statistics that run their own query: one for all columns
     for s in [s for s in ordered if s.query]:
-        of = [c for c, x in later if x is s]
+        of_query = [c for c, x in later if x is s]
         later = [x for x in later if x[1] is not s]
         try:
-            values = s.query(clean, of) if of else {}
-            row = row.select("*", *[F.lit(values.get(c)).cast(s.returns).alias(f"{c}{SEPARATOR}{s.name}") for c in of])
+            values = s.query(clean, of_query) if of_query else {}
+            row = row.select("*", *[F.lit(values.get(c)).cast(s.returns).alias(f"{c}{SEPARATOR}{s.name}") for c in of_query])
         except Exception as error:  # noqa: BLE001  a user's query may fail in any way, and stops no other statistic
-            errors += [(c, s.name, str(error)[:500]) for c in of]
-            failed |= {(c, s.name) for c in of}
+            errors += [(c, s.name, _said(error)) for c in of_query]
+            failed |= {(c, s.name) for c in of_query}
     while later:
         depth, rest = [], []
         have = set(row.columns)
@@ -78,7 +127,19 @@ def profile_wide(df: DataFrame, stats: list[S.Stat] | None = None, skip: tuple[s
                 depth.append((c, s))
             else:
                 rest.append((c, s))
-        row = row.select("*", *[s.make(**{n: col(f"{c}{SEPARATOR}{n}") for n in s.needs}).alias(f"{c}{SEPARATOR}{s.name}") for c, s in depth])
+        for c, s in depth:
+            name = f"{c}{SEPARATOR}{s.name}"
+            try:
+                value = s.make(**{n: col(f"{c}{SEPARATOR}{n}") for n in s.needs})
+                if id(s) not in built_in:  # the row is at hand: trying it reads no table again
+                    row.select(value).first()
+            except Exception as error:  # noqa: BLE001  as above
+                if s.default is S.MISSING:
+                    errors.append((c, s.name, _said(error)))
+                    failed.add((c, s.name))
+                    continue
+                value = F.lit(s.default)
+            row = row.select("*", value.alias(name))
         if len(rest) == len(later):
             break
         later = rest

@@ -726,10 +726,10 @@ def compare_join_how(spark, d):
     return _unioned(parts)
 
 
-@query("SELECT 'versions' AS tables, count(DISTINCT o_orderkey) >= 0.98 * count(*) AS can_diff, CASE WHEN count(DISTINCT o_orderkey) >= 0.98 * count(*) THEN 'o_orderkey' END AS keys, CAST(NULL AS VARCHAR) AS reason FROM orders UNION ALL SELECT 'nothing shared', FALSE, NULL, 'no shared columns' UNION ALL SELECT 'no key', FALSE, NULL, 'no key in the first table' UNION ALL SELECT 'repeats', FALSE, 'o_orderkey', 'the key''s groups are too large in the second table'")
+@query("SELECT 'versions' AS tables, count(DISTINCT o_orderkey) >= 0.98 * count(*) AS can_diff, CASE WHEN count(DISTINCT o_orderkey) >= 0.98 * count(*) THEN 'o_orderkey' END AS keys, CAST(NULL AS VARCHAR) AS reason FROM orders UNION ALL SELECT 'nothing shared', FALSE, NULL, 'no shared columns' UNION ALL SELECT 'no key', FALSE, NULL, 'no key in either table' UNION ALL SELECT 'key of the second', TRUE, 'o_orderkey', NULL UNION ALL SELECT 'repeats', FALSE, 'o_orderkey', 'the key''s groups are too large in the second table'")
 def diff_preflight(spark, d):
     a, b = versions(spark, d)
-    cases = {"versions": (a, b), "nothing shared": (a.select("o_orderkey"), b.select("extra")), "no key": (a.select("o_orderstatus"), b.select("o_orderstatus")), "repeats": (a.select("o_orderkey"), b.select(F.lit(1).cast("long").alias("o_orderkey")))}
+    cases = {"versions": (a, b), "nothing shared": (a.select("o_orderkey"), b.select("extra")), "no key": (a.select("o_orderstatus"), b.select("o_orderstatus")), "key of the second": (a.select(F.floor(F.col("o_orderkey") / 4).alias("o_orderkey")), b.select("o_orderkey")), "repeats": (a.select("o_orderkey"), b.select(F.lit(1).cast("long").alias("o_orderkey")))}
     found = {k: compare.probe(*v, max_group=10) for k, v in cases.items()}
     return spark.createDataFrame([(k, f["can_diff"], ",".join(f["keys"]) if f["keys"] else None, f["reason"]) for k, f in found.items()], "tables string, can_diff boolean, keys string, reason string")
 
@@ -746,6 +746,14 @@ def measured_keys(spark, d):
     return found.select(F.array_join("keys", ",").alias("keys"), F.col("distinct").alias("distinct_tuples"), "largest")
 
 
+@query("SELECT CASE WHEN count(DISTINCT l_orderkey) = count(*) THEN 'l_orderkey' WHEN count(DISTINCT (l_orderkey, l_partkey)) = count(*) THEN 'l_orderkey,l_partkey' WHEN count(DISTINCT (l_orderkey, l_suppkey)) = count(*) THEN 'l_orderkey,l_suppkey' WHEN count(DISTINCT (l_orderkey, l_extendedprice)) = count(*) THEN 'l_orderkey,l_extendedprice' END AS keys, count(*) AS n FROM lineitem")
+def primary_key_of_many(spark, d):
+    """The key of a table of 60 columns, most of them made of the first: hundreds of pairs are ruled out before any is counted."""
+    df = read(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", *[(F.col("l_orderkey") % (1000 + i)).alias(f"rest_{i}") for i in range(56)])
+    found = compare.rank_keys(df, max_width=2)
+    return spark.createDataFrame([(",".join(found["keys"]) if found else None, df.count())], "keys string, n long")
+
+
 @query("SELECT 'orders' AS t, 'o_orderkey' AS keys, count(*) AS n FROM orders UNION ALL SELECT 'conversations', CASE WHEN count(DISTINCT text) = count(*) THEN 'text' ELSE 'conv_id,turn' END, count(*) FROM conversations")
 def primary_keys(spark, d):
     rows = []
@@ -807,6 +815,16 @@ def user_stats(spark, d):
     return wide.select(F.round("o_totalprice__spread", 4).alias("spread"), F.col("o_totalprice__length").alias("n"))
 
 
+@query("SELECT 'o_orderkey' AS \"column\", 'least_number' AS stat, CAST(min(o_orderkey) AS DOUBLE) AS number FROM orders UNION ALL SELECT 'o_orderkey', 'doubled', 2.0 * min(o_orderkey) FROM orders UNION ALL SELECT 'o_orderpriority', 'failed', 2.0 UNION ALL SELECT 'o_orderpriority', 'length', count(*) FROM orders UNION ALL SELECT 'o_orderkey', 'length', count(*) FROM orders UNION ALL SELECT 'o_orderkey', 'failed', 0.0")
+def failing_stats(spark, d):
+    """Statistics that fail while they run, on text that is no number: each stands alone as an error, as does what needs it, and all others are there."""
+    least = st.stat("least_number")(lambda column: F.min(column.cast("int")).cast("double"))
+    doubled = st.stat("doubled")(lambda least_number: 2 * least_number)
+    wide, errors = profile.profile_wide(read(spark, d, "orders").select("o_orderkey", "o_orderpriority"), [st.BASE[0], least, doubled])
+    rows = [(c, "failed", float(sum(e[0] == c for e in errors))) for c in ("o_orderkey", "o_orderpriority")]
+    return profile.to_long(wide, ["length", "least_number", "doubled"]).where("number is not null").select("column", "stat", "number").unionByName(spark.createDataFrame(rows, "column string, stat string, number double"))
+
+
 @query("SELECT c_mktsegment, count(*) AS n FROM customer WHERE contains(c_name, '1') OR contains(c_mktsegment, '1') GROUP BY 1")
 def op_chain(spark, d):
     """A chain of operations is one lazy plan."""

@@ -1,6 +1,7 @@
 """Table operators on small literal tables."""
 
 import decimal
+import itertools
 import math
 import random
 import re
@@ -354,6 +355,68 @@ def test_key_search_jobs_do_not_grow_with_keys(spark):
     assert jobs(4) == jobs(9)
 
 
+def jobs_of(spark, run):
+    """(what run() returns, how many jobs it took)."""
+    group = f"count-{id(run)}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        out = run()
+        return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+
+
+def test_keys_of_a_hundred_columns(spark):
+    # 2,000 rows and middling columns, none of which is a key or half of one
+    r = random.Random(8)
+    rest = [f"(id % 40) * {1 + i % 7} % {31 + i} as c{i}" for i in range(97)]
+    df = spark.range(2000).selectExpr("id % 10 as k1", "int(id / 10) % 20 as k2", "int(id / 200) as k3", *rest)
+    found, jobs = jobs_of(spark, lambda: compare.rank_keys(df, max_width=3))
+    assert found == {"keys": ["k1", "k2", "k3"], "uniqueness": 1.0, "max_group": 1, "n": 2000}
+    assert jobs < 20
+    again = spark.createDataFrame([(i % 20, r.random()) for i in range(40)] * 2, "a int, b double")
+    assert compare.rank_keys(again) is None  # rows repeat: no set of columns is a key
+    assert compare.rank_keys(again, threshold=0.5)["keys"] == ["b"]
+
+
+def test_candidate_sets_leave_out_what_is_ruled_out():
+    masks = [0b00111, 0b01010, 0b11000]
+    for width in (1, 2, 3, 4):
+        want = [k for k in itertools.combinations(range(5), width) if not any(sum(1 << i for i in k) & ~m == 0 for m in masks)]
+        assert list(compare.candidate_sets(5, width, masks, lambda k: True)) == want
+    assert list(compare.candidate_sets(3, 2, [], lambda k: 1 in k)) == [(0, 1), (1, 2)]
+
+
+def test_key_of_the_second_table(spark):
+    a, b = spark.range(40).selectExpr("int(id / 2) as k"), spark.range(40).selectExpr("int(id) as k")
+    assert compare.probe(a, b) == {"can_diff": True, "keys": ["k"], "reason": None}
+    assert compare.probe(b, a)["can_diff"] and compare.probe(a, a)["reason"] == "no key in either table"
+    assert compare.probe(spark.range(40).selectExpr("1 as k"), b, max_group=10)["reason"] == "the key's groups are too large in the first table"
+
+
+def test_statistics_that_fail_while_running(spark):
+    df = spark.createDataFrame([("x", 1), ("7", 0), (None, 2)], "t string, n int").repartition(2)
+    number = st.stat("number")(lambda column: F.max(column.cast("int")))
+    twice = st.stat("twice")(lambda number: 2 * number)
+    safe = st.stat("safe", default=-1)(lambda column: F.max(column.cast("int")))
+    inverse = st.stat("inverse")(lambda length: F.lit(1) / (length - 3))
+    wide, errors = profile.profile_wide(df, [*st.BASE, number, twice, safe, inverse])
+    assert sorted((c, s) for c, s, _ in errors) == [("n", "inverse"), ("t", "inverse"), ("t", "number"), ("t", "twice")]
+    assert "CAST_INVALID_INPUT" in dict(((c, s), m) for c, s, m in errors)["t", "number"] and dict(((c, s), m) for c, s, m in errors)["t", "twice"] == "what it needs failed"
+    row = wide.first()
+    assert (row["t__length"], row["t__null_count"], row["n__number"], row["n__twice"], row["t__safe"], row["n__safe"], row["n__mean"]) == (3, 1, 2, 4, -1, 2, 1.0) and "t__number" not in row
+    long = profile.profile(df, [*st.BASE, number])
+    assert [r.text[:7] for r in long.where("stat = 'number' and column = 't'").collect()] == ["error: "]
+    # failures are found by halves
+    many = [st.stat(f"s{i}")(lambda column, i=i: F.max(F.when(F.lit(i != 5), F.length(column)).otherwise(column.cast("int")))) for i in range(32)]
+    (_, errors), jobs = jobs_of(spark, lambda: profile.profile_wide(df.select("t"), [st.BASE[0], *many]))
+    assert [e[:2] for e in errors] == [("t", "s5")] and jobs <= 2 * 2 * 7
+    # what fails for the whole table is no statistic's error
+    broken = df.select(F.raise_error(F.lit("unreadable")).cast("string").alias("t"))
+    with pytest.raises(Exception, match="unreadable"):
+        profile.profile_wide(broken.where("t is not null"), [st.BASE[0], number])
+
+
 def test_keys(spark):
     unique = spark.range(2000).select(F.concat(F.lit("r"), "id").alias("ride"), (F.col("id") % 2).alias("kind"))
     assert compare.detect_key(unique) == ["ride"]
