@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions.scalars import col
+from lodestrata.operators import selection
 from lodestrata.operators.filters import search
 from lodestrata.operators.running import running_sum
 
@@ -109,9 +110,9 @@ def first_row(df: DataFrame, order_by: list[str] | None = None) -> DataFrame:
 
 
 def sample_rows(df: DataFrame, most: int, seed: int = 1, total: int | None = None) -> DataFrame:
-    """About `most` rows of a larger table, drawn evenly; a table that is no larger stays whole."""
+    """Exactly `most` rows of a larger table, drawn evenly by a hash of seed and row, so the same however rows are dealt over tasks; a table that is no larger stays whole."""
     total = row_count(df) if total is None else total
-    return df if total <= most else df.sample(fraction=most / total, seed=seed)
+    return df if total <= most else selection.least_rows(df, most, seed)
 
 
 def sample_cells(df: DataFrame, most_cells: int = 1_000_000, rows: int = 50_000, seed: int = 1) -> DataFrame:

@@ -14,7 +14,7 @@ from lodestrata.operators import compare, duplicates, filters, group, histogram,
 from lodestrata.plans import autoclean, chain, profile, store
 from lodestrata.plans import stats as st
 from lodestrata.plans.chain import Op
-from lodestrata.sources import tables
+from lodestrata.sources import avro, shared, tables
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -589,6 +589,61 @@ def samples_of_small_tables(spark, d):
     return _unioned([m.select(F.lit(k).alias("kind"), "o_orderkey") for k, m in made.items()])
 
 
+@query("SELECT 'rows' AS kind, least(2000, count(*)) AS n, least(2000, count(*)) AS in_table, 0::BIGINT AS otherwise_dealt FROM lineitem UNION ALL SELECT 'cells', least(700, count(*)), least(700, count(*)), 0 FROM orders")
+def samples_of_exact_size(spark, d):
+    """Samples have exactly as many rows as asked for, all of them the table's, and the same rows when the table is dealt otherwise."""
+    cases = {"rows": (read(spark, d, "lineitem"), lambda df: paging.sample_rows(df, 2000, seed=3)), "cells": (read(spark, d, "orders"), lambda df: paging.sample_cells(df, most_cells=1000, rows=700))}
+    parts = []
+    for kind, (df, draw) in cases.items():
+        one, other = draw(df), draw(df.repartition(13, df.columns[1]))
+        counted = [one.agg(F.count(F.lit(1)).alias("n")), one.exceptAll(df).agg((F.count(F.lit(1))).alias("strange")), one.exceptAll(other).agg(F.count(F.lit(1)).alias("otherwise_dealt"))]
+        row = [c.first()[0] for c in counted]
+        parts.append((kind, row[0], row[0] - row[1], row[2]))
+    return spark.createDataFrame(parts, "kind string, n long, in_table long, otherwise_dealt long")
+
+
+# sources: whole tables written in each format and opened by extension
+
+def _reopened(df: DataFrame, suffix: str, write) -> DataFrame:
+    path = shared.new_path(df.sparkSession, suffix)
+    write(df, path)
+    return tables.read_table(df.sparkSession, path)
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate FROM orders")
+def csv_reopened(spark, d):
+    """A header and inferred types: numbers, text and dates come back as such."""
+    df = read(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", F.col("o_orderdate").cast("date").alias("o_orderdate"))
+    back = _reopened(df, ".csv", tables.write_csv)
+    return back.select(F.col("o_orderkey").cast("long"), F.col("o_custkey").cast("long"), "o_orderstatus", "o_totalprice", F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderdate"))
+
+
+@query("SELECT c_custkey, c_name || chr(9) || 'x' AS c_name, c_acctbal, c_mktsegment FROM customer")
+def tsv_reopened(spark, d):
+    df = read(spark, d, "customer").select("c_custkey", F.concat("c_name", F.lit("\tx")).alias("c_name"), "c_acctbal", "c_mktsegment")
+    back = _reopened(df, ".tsv", lambda df, path: df.write.csv(path, sep="\t", header=True))
+    return back.select(F.col("c_custkey").cast("long"), "c_name", "c_acctbal", "c_mktsegment")
+
+
+@query("SELECT l_orderkey, l_quantity, l_returnflag, CASE WHEN l_linenumber > 2 THEN l_linenumber END AS l_linenumber FROM lineitem")
+def ndjson_reopened(spark, d):
+    """Nulls are left out of the lines and come back."""
+    df = read(spark, d, "lineitem").select("l_orderkey", "l_quantity", "l_returnflag", F.when(F.col("l_linenumber") > 2, F.col("l_linenumber")).alias("l_linenumber"))
+    back = _reopened(df, ".ndjson", lambda df, path: df.write.json(path))
+    return back.select("l_orderkey", "l_quantity", "l_returnflag", F.col("l_linenumber").cast(df.schema["l_linenumber"].dataType).alias("l_linenumber"))
+
+
+@query("SELECT o_orderkey, o_totalprice, CASE WHEN o_custkey % 3 > 0 THEN o_orderpriority END AS priority, strftime(o_orderdate, '%Y-%m-%d') AS day, len(o_orderstatus) AS parts, (SELECT count(*) FROM orders) AS n FROM orders")
+def avro_reopened(spark, d):
+    """Files of blocks, read by many tasks each; nulls, dates and nested values come back."""
+    df = read(spark, d, "orders").select("o_orderkey", "o_totalprice", F.when(F.col("o_custkey") % 3 > 0, F.col("o_orderpriority")).alias("priority"), F.col("o_orderdate").cast("date").alias("day"), F.split("o_orderstatus", "").alias("letters"))
+    path = shared.new_path(spark, ".avro")
+    avro.write_avro(df, path, codec="zstandard", block_rows=1000)
+    back = avro.read_avro(spark, path, partition_bytes=1 << 20)
+    total = back.agg(F.count(F.lit(1)).alias("n")).first()[0]
+    return tables.read_table(spark, path).select("o_orderkey", "o_totalprice", "priority", F.date_format("day", "yyyy-MM-dd").alias("day"), F.length(F.array_join("letters", "")).cast("long").alias("parts"), F.lit(total).cast("long").alias("n"))
+
+
 def _unioned(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:

@@ -25,11 +25,17 @@ def folder(spark: SparkSession) -> str:
     return _own[app]
 
 
+def new_path(spark: SparkSession, suffix: str = "") -> str:
+    """A place for what stays until release(), or until the process ends."""
+    path = f"{folder(spark)}/table-{uuid.uuid4().hex}{suffix}"
+    _kept.append((spark, path))
+    return path
+
+
 def keep(df: DataFrame) -> DataFrame:
     """df as written and read back. It stays until release(), or until the process ends."""
     spark = df.sparkSession
-    path = f"{folder(spark)}/table-{uuid.uuid4().hex}"
-    _kept.append((spark, path))
+    path = new_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

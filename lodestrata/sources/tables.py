@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions import types
 from lodestrata.functions.scalars import col, short_name
 from lodestrata.operators import paging
+from lodestrata.sources import avro
 
 READERS = {
     "parquet": lambda spark, path: spark.read.parquet(path),
@@ -18,7 +19,7 @@ READERS = {
     "json": lambda spark, path: spark.read.json(path, multiLine=True),
     "ndjson": lambda spark, path: spark.read.json(path),
     "orc": lambda spark, path: spark.read.orc(path),
-    "avro": lambda spark, path: spark.read.format("avro").load(path),
+    "avro": avro.read_avro,
 }
 EXTENSIONS = {"parquet": "parquet", "parq": "parquet", "csv": "csv", "tsv": "tsv", "json": "json", "ndjson": "ndjson", "jsonl": "ndjson", "orc": "orc", "avro": "avro"}
 #: Tried in turn where the extension says nothing.
@@ -39,10 +40,8 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
                 raise ValueError(f"no columns as {k}")
             return check_columns(df)
         except (PySparkException, Py4JJavaError, ValueError) as e:
-            if isinstance(e, AnalysisException) and e.getCondition() == "PATH_NOT_FOUND":
+            if (isinstance(e, AnalysisException) and e.getCondition() == "PATH_NOT_FOUND") or "FileNotFoundError" in str(e):
                 raise FileNotFoundError(path) from e
-            if k == "avro" and "avro" in str(e).lower():
-                raise ValueError("reading Avro needs the spark-avro package on the classpath") from e
             last = e
     raise ValueError(f"no reader takes {path}: {last}") from last
 

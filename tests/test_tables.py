@@ -1,5 +1,6 @@
 """Table operators on small literal tables."""
 
+import datetime
 import decimal
 import itertools
 import math
@@ -12,11 +13,11 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import scalars as S
 from lodestrata.functions import types
-from lodestrata.operators import compare, duplicates, filters, group, histogram, model, paging, quantiles, shape, validate
+from lodestrata.operators import compare, duplicates, filters, group, histogram, model, paging, quantiles, selection, shape, validate
 from lodestrata.plans import autoclean, chain, profile, store
 from lodestrata.plans import stats as st
 from lodestrata.plans.chain import Op
-from lodestrata.sources import shared, tables
+from lodestrata.sources import avro, shared, tables
 
 
 def one(spark, expression, *values):
@@ -574,3 +575,71 @@ def test_ordered_aggregates_of_a_hot_group_are_not_one_task(spark):
             assert g["v_is_monotonic_increasing"] == (len(there) == len(v) and all(a <= b for a, b in both))
         plan = out._jdf.queryExecution().optimizedPlan().toString()
         assert not re.search(r"windowspecdefinition\((k#\d+, )?(at#|specified)", plan)  # no window over all rows of a key, or of the table
+
+
+# samples and files
+
+def test_samples_have_their_size(spark):
+    df = spark.range(5000).selectExpr("id % 900 as k", "array(id % 3) as a", "if(id % 2 = 0, null, 'x') as t", "1 as __hash").repartition(3)
+    one = paging.sample_rows(df, 321, seed=5)
+    assert one.count() == 321 and one.columns == df.columns
+    key = lambda rows: sorted(map(str, rows))
+    assert key(one.collect()) == key(paging.sample_rows(df.repartition(7, "k"), 321, seed=5).collect()) != key(paging.sample_rows(df, 321, seed=6).collect())
+    assert paging.sample_rows(df, 5000).count() == 5000 and paging.sample_rows(df, 0).count() == 0
+    same = spark.range(1000).selectExpr("1 as x")
+    assert paging.sample_rows(same, 17).count() == 17
+    values = [-(1 << 63), -5, -5, 0, 3, (1 << 63) - 1]
+    longs = spark.createDataFrame([(v,) for v in values], "v long")
+    for k in range(1, 7):
+        at, m = selection.kth_least(longs, "v", k)
+        assert at == sorted(values)[k - 1] and m == k - sum(v < at for v in values)
+    assert selection.kth_least(longs, "v", 7) is None
+
+
+@pytest.mark.parametrize("codec", ["null", "deflate", "zstandard"])
+def test_avro_round_trip(spark, tmp_path, codec):
+    df = spark.sql("""SELECT id, cast(id % 100 AS tinyint) AS tiny, cast(id AS smallint) AS small, cast(id AS int) AS i, cast(id / 3 AS float) AS f, id / 7 AS d, id % 2 = 0 AS b,
+      if(id % 5 = 0, NULL, concat('ünï', id)) AS t, encode(cast(id AS string), 'utf-8') AS bin, cast(id * -1.25 AS decimal(20, 3)) AS dec, date_add(date'1969-12-20', cast(id AS int)) AS day,
+      timestamp_micros(id * 1000003 - 5000000) AS at, cast(timestamp_micros(id * 77) AS timestamp_ntz) AS here, if(id % 4 = 0, NULL, array(id, NULL, -id)) AS arr, map('a', id, concat('k', id), NULL) AS m,
+      named_struct('x', id, 'y', named_struct('z', if(id % 3 = 0, NULL, 'deep'))) AS s FROM range(3000)""").repartition(2)
+    path = str(tmp_path / "t.avro")
+    avro.write_avro(df, path, codec=codec, block_rows=100)
+    names = [f.name for f in df.schema if f.name != "m"]
+    whole = tables.read_table(spark, path)
+    parts = avro.read_avro(spark, path, partition_bytes=3000)
+    assert [f.name for f in whole.schema] == df.columns and parts.rdd.getNumPartitions() > 20
+    for back in (whole, parts):
+        assert back.select(*names).exceptAll(df.select(*names)).count() == 0 and back.count() == 3000
+        assert back.selectExpr("sum(m['a'])", "count(m[concat('k', id)])", "sum(size(m))").first() == df.selectExpr("sum(m['a'])", "count(m[concat('k', id)])", "sum(size(m))").first()
+    avro.write_avro(df.limit(5), path, mode="overwrite")
+    assert avro.read_avro(spark, path).count() == 5
+    avro.write_avro(df.where("id < 0"), str(tmp_path / "none.avro"))
+    assert tables.read_table(spark, str(tmp_path / "none.avro")).count() == 0
+    with pytest.raises(FileNotFoundError):
+        tables.read_table(spark, str(tmp_path / "missing.avro"))
+
+
+def test_avro_files_that_are_cut_off(spark, tmp_path):
+    path = tmp_path / "t.avro"
+    avro.write_avro(spark.range(1000).repartition(1), str(path), block_rows=50)
+    file = next(path.glob("*.avro"))
+    data = file.read_bytes()
+    (tmp_path / "cut.avro").write_bytes(data[:-30])
+    (tmp_path / "other.avro").write_bytes(b"nothing of the kind")
+    with pytest.raises(Exception, match="cut off"):
+        avro.read_avro(spark, str(tmp_path / "cut.avro")).count()
+    with pytest.raises(Exception, match="no Avro container"):
+        avro.read_avro(spark, str(tmp_path / "other.avro"))
+
+
+def test_avro_schemas_of_others():
+    said = {"type": "record", "name": "r", "fields": [{"name": "e", "type": {"type": "enum", "name": "k", "symbols": ["A", "B"]}}, {"name": "again", "type": "k"}, {"name": "x", "type": {"type": "fixed", "name": "h", "size": 2}}, {"name": "u", "type": ["long", "null"]}, {"name": "at", "type": {"type": "long", "logicalType": "timestamp-millis"}}]}
+    schema = avro.Schema(said)
+    assert schema.type.simpleString() == "struct<e:string,again:string,x:binary,u:bigint,at:timestamp>"
+    out = bytearray()
+    row = {"e": "B", "again": "A", "x": b"zz", "u": None, "at": datetime.datetime(2020, 1, 1, tzinfo=datetime.timezone.utc)}
+    schema.write(row, out)
+    assert schema.read(avro.Input(bytes(out))) == row
+    assert [avro.Input(avro.zigzag(n)).long() for n in (0, -1, 1, 300, -(1 << 63), (1 << 63) - 1)] == [0, -1, 1, 300, -(1 << 63), (1 << 63) - 1]
+    with pytest.raises(ValueError, match="several types"):
+        avro.Schema(["int", "string"])
