@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,15 +32,25 @@ def fingerprints(df: DataFrame) -> DataFrame:
     """
     cells = []
     for f in df.schema:
-        c = F.to_json(F.struct(col(f.name))) if types.is_nested(f.dataType) else col(f.name)
-        if types.is_nested(f.dataType) or isinstance(f.dataType, (T.StringType, T.CharType, T.VarcharType, T.BinaryType, T.DecimalType)):
-            c = F.sha2(c.cast("string") if isinstance(f.dataType, T.DecimalType) else c, 256)
-        total = lambda seed, c=c: F.coalesce(F.sum(F.xxhash64(F.lit(seed), c).cast("decimal(38,0)")), F.lit(0))
-        mark = F.concat_ws("|", total(1).cast("string"), total(2).cast("string"), F.count(F.lit(1)).cast("string"), F.count(col(f.name)).cast("string"), F.first(F.lit(f.dataType.simpleString())))
-        cells.append(F.struct(F.lit(f.name).alias("column"), F.sha2(mark, 256).alias("fingerprint")))
+        total = lambda seed, f=f: F.sum(F.xxhash64(F.lit(seed), content(f)).cast("decimal(38,0)"))
+        mark = mark_of(total(1), total(2), F.count(F.lit(1)), F.count(col(f.name)), F.first(F.lit(f.dataType.simpleString())))
+        cells.append(F.struct(F.lit(f.name).alias("column"), mark.alias("fingerprint")))
     return df.agg(F.array(*cells).alias("x")).select(F.explode("x").alias("x")).select("x.*")
 
 
+def content(f: T.StructField) -> Column:
+    """What is hashed of a column's value: numbers as they are, of all else a digest."""
+    c = F.to_json(F.struct(col(f.name))) if types.is_nested(f.dataType) else col(f.name)
+    if types.is_nested(f.dataType) or isinstance(f.dataType, (T.StringType, T.CharType, T.VarcharType, T.BinaryType, T.DecimalType)):
+        c = F.sha2(c.cast("string") if isinstance(f.dataType, T.DecimalType) else c, 256)
+    return c
+
+
+def mark_of(sum_1: Column, sum_2: Column, rows: Column, non_null: Column, kind: Column) -> Column:
+    none = F.lit(0).cast("decimal(38,0)")
+    return F.sha2(F.concat_ws("|", F.coalesce(sum_1, none).cast("string"), F.coalesce(sum_2, none).cast("string"), rows.cast("string"), non_null.cast("string"), kind), 256)
+
+
 @dataclass
 class Runs:
     """What a store has done: results found and made, those found but unreadable, bytes read and written, writes that failed, and a line for each."""
@@ -80,11 +90,11 @@ class ProfileStore:
         best = F.max_by(F.struct("number", "text"), "stored_at").alias("v")
         return self.columns().groupBy("fingerprint", "stat").agg(best).select("fingerprint", "stat", "v.number", "v.text")
 
-    def profile(self, df: DataFrame, stats: list | None = None) -> DataFrame:
-        """The long profile of df, computing only columns that lack a statistic in the store."""
+    def profile(self, df: DataFrame, stats: list | None = None, marks: DataFrame | None = None) -> DataFrame:
+        """The long profile of df, computing only columns that lack a statistic in the store. marks: the columns' fingerprints, where they are known (as from FileProfiles), so that df needn't be read for them."""
         wanted = profile.S.in_order(stats if stats is not None else profile.S.BASE)
         names = {f.name: {s.name for s in profile.S.for_column(wanted, f.dataType)} - {"quartiles"} for f in df.schema}
-        marks = {r["column"]: r["fingerprint"] for r in fingerprints(df).collect()}  # a row a column
+        marks = {r["column"]: r["fingerprint"] for r in (fingerprints(df) if marks is None else marks).collect()}  # a row a column
         stored = self.latest().where(F.col("fingerprint").isin(list(marks.values())))
         have: dict[str, set[str]] = {}
         for r in stored.select("fingerprint", "stat").collect():  # a row a statistic of these columns

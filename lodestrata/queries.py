@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions import scalars as S
 from lodestrata.functions import types
 from lodestrata.operators import compare, duplicates, filters, group, histogram, model, paging, shape, validate
-from lodestrata.plans import autoclean, chain, profile, store
+from lodestrata.plans import autoclean, chain, files, profile, store
 from lodestrata.plans import stats as st
 from lodestrata.plans.chain import Op
 from lodestrata.sources import avro, shared, tables
@@ -602,6 +602,30 @@ def samples_of_exact_size(spark, d):
     return spark.createDataFrame(parts, "kind string, n long, in_table long, otherwise_dealt long")
 
 
+_BY_FILE = ["l_orderkey", "l_quantity", "l_extendedprice"]
+
+
+@query(_long_sql("lineitem", _BY_FILE, {k: ROUNDED[k] for k in ("length", "null_count", "non_null_count", "nan_per", "min", "max", "mean", "std")}) + " UNION ALL SELECT 'l_returnflag', 'length', count(*) FROM lineitem UNION ALL SELECT 'l_returnflag', 'empty_count', 0 UNION ALL SELECT 'files', 'read at first', 4 UNION ALL SELECT 'files', 'read again', 0 UNION ALL SELECT 'files', 'read after two more', 2 UNION ALL SELECT 'columns', 'same fingerprint', 4 UNION ALL SELECT 'columns', 'profiled anew', 0")
+def profile_by_files(spark, d):
+    """A table that grows by files: each is read once, and what all add up to is the whole table's profile and has its columns' fingerprints."""
+    df = read(spark, d, "lineitem").select(*_BY_FILE, "l_returnflag")
+    table, kept = shared.new_path(spark), files.FileProfiles(spark, shared.new_path(spark))
+    late = F.col("l_orderkey") % 3 == 0
+    df.where(~late).repartition(4, "l_orderkey").write.parquet(table)
+    reads = [("read at first", kept.update(table)), ("read again", kept.update(table))]
+    df.where(late).repartition(2, "l_orderkey").write.mode("append").parquet(table)
+    reads.append(("read after two more", kept.update(table)))
+    marks = kept.fingerprints(table)
+    same = marks.join(store.fingerprints(df), ["column", "fingerprint"]).count()
+    columns = store.ProfileStore(spark, shared.new_path(spark))
+    columns.profile(df)
+    columns.runs.misses = 0
+    columns.profile(spark.read.parquet(table), marks=marks)
+    said = [("files", k, float(v)) for k, v in reads] + [("columns", "same fingerprint", float(same)), ("columns", "profiled anew", float(columns.runs.misses))]
+    wanted = (F.col("column").isin(_BY_FILE) & F.col("stat").isin("length", "null_count", "non_null_count", "nan_per", "min", "max", "mean", "std")) | ((F.col("column") == "l_returnflag") & F.col("stat").isin("length", "empty_count"))
+    return _rounded(kept.profile(table).where(wanted)).unionByName(spark.createDataFrame(said, "column string, stat string, number double"))
+
+
 # sources: whole tables written in each format and opened by extension
 
 def _reopened(df: DataFrame, suffix: str, write) -> DataFrame:

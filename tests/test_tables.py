@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions import scalars as S
 from lodestrata.functions import types
 from lodestrata.operators import compare, duplicates, filters, group, histogram, model, paging, quantiles, selection, shape, validate
-from lodestrata.plans import autoclean, chain, profile, store
+from lodestrata.plans import autoclean, chain, files, profile, store
 from lodestrata.plans import stats as st
 from lodestrata.plans.chain import Op
 from lodestrata.sources import avro, shared, tables
@@ -643,3 +643,25 @@ def test_avro_schemas_of_others():
     assert [avro.Input(avro.zigzag(n)).long() for n in (0, -1, 1, 300, -(1 << 63), (1 << 63) - 1)] == [0, -1, 1, 300, -(1 << 63), (1 << 63) - 1]
     with pytest.raises(ValueError, match="several types"):
         avro.Schema(["int", "string"])
+
+
+def test_profiles_by_file(spark, tmp_path):
+    table, kept = str(tmp_path / "a table+x"), files.FileProfiles(spark, str(tmp_path / "states"))
+    df = spark.range(4000).selectExpr("id % 1000 as k", "if(id % 10 = 0, null, id / 4) as v", "if(id % 5 = 0, '', concat('t', id % 7)) as t", "array(id) as a", "cast(null as double) as none", "if(id % 9 = 0, double('nan'), id) as w", "id % 2 = 0 as b")
+    df.where("k < 300").repartition(3).write.parquet(table)
+    assert kept.update(table) == 3 and kept.update(table) == 0
+    df.where("k >= 300").repartition(2).write.mode("append").parquet(table)
+    df.where("k > 5000").coalesce(1).write.mode("append").parquet(table)  # a file without rows
+    got = {(r["column"], r["stat"]): r["number"] if r["text"] is None else r["text"] for r in kept.profile(table).collect()}
+    assert kept.files_read in (2, 3) and kept.update(table) == 0
+    want, _ = profile.profile_wide(df)
+    for r in profile.to_long(want).collect():
+        if (r["column"], r["stat"]) in got and r["number"] is not None:
+            assert got[r["column"], r["stat"]] == pytest.approx(r["number"], rel=1e-12), r
+    assert {("v", s) for s in ("length", "null_count", "non_null_count", "nan_per", "min", "max", "mean", "std", "distinct_about", "median_about", "fingerprint")} <= set(got) and ("none", "mean") not in got and got["w", "null_count"] == 445
+    assert got["k", "distinct_about"] == pytest.approx(1000, rel=0.05) and got["v", "median_about"] == pytest.approx(500, rel=0.05) and got["t", "empty_count"] == 800
+    assert {r["column"]: r["fingerprint"] for r in store.fingerprints(df.drop("w")).collect()}.items() <= {r["column"]: r["fingerprint"] for r in kept.fingerprints(table).collect()}.items()
+    # what a changed or missing file said isn't counted
+    spark.range(7).selectExpr("id as k").write.mode("overwrite").parquet(table)
+    again = {(r["column"], r["stat"]): r["number"] for r in kept.profile(table).collect()}
+    assert again["k", "length"] == 7 and again["k", "max"] == 6 and ("v", "length") not in again
