@@ -1,22 +1,25 @@
-"""Line dedup by hashes of windows of lines, thinned by winnowing fingerprints, in DataFrame functions only.
+"""Line dedup by winnowing over line hashes, in DataFrame functions only.
 
 Lines are parts of a text between line feeds; lines without a word are kept and don't count. Windows are `run` consecutive
 lines, and fewer lines (one at least) that hold `words` words or more together, so that a long passage is found in
-however few lines it stands; words=None leaves the shorter windows out. Of every window
-the least line hash (the rightmost of equal ones) is selected: equal windows select the same place,
-so any repeated window has a fingerprint that repeats. Every window is stored; those whose fingerprint stands at one
-position only are dropped, and the others are grouped by their own hash: nothing is extended from a fingerprint. A window
-that occurs earlier, in order of (id, line), marks its lines, and adjoining windows make up a repeated run. Marked lines are deleted.
+however few lines it stands; words=None leaves the shorter windows out.
+
+1. Select: the least line hash of each window (the rightmost of equal ones) is its fingerprint. Equal windows select the same place, so a window that repeats has a fingerprint that repeats. Only
+   selected lines are stored, with their position, the windows that selected them, and the digests of the lines around.
+2. Join: positions of fingerprints that stand at one position only are dropped.
+3. Extend: from each position that is left the windows that selected it are read off its surroundings, before and after it, and meet by their lines' digests. One that occurs earlier, in order of (id, line), marks its
+   lines; adjoining windows make up a repeated run of any length. Marked lines are deleted.
 
 What is joined is one row a distinct fingerprint or window, never pairs of positions, so a line that a third of all documents
-share is one row there, and rows of frequent ones aren't gathered: those of a thousandth of all windows or more are broadcast. A line's fast hash chooses fingerprints; lines
-are compared by SHA-256, and windows by two 64-bit hashes of their lines' digests. Null text stays null and counts no lines. A null id comes after all others. Rows that share an id and
+share is one row there, and rows of frequent ones aren't gathered (skew.look_up). A fast hash chooses fingerprints; lines
+and windows are compared by 128 bits of SHA-256. Null text stays null and counts no lines. A null id comes after all others. Rows that share an id and
 text are at equal positions and don't delete each other's lines. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from operator import add, and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,36 +29,43 @@ from lodestrata.llm import scratch, skew
 _WORD = r"[^\x20\x09-\x0D]"
 
 
-def windows(rows: DataFrame, run: int, words: int | None) -> DataFrame:
-    """A row for each window: id, row_key, n_lines, its lines, its fingerprint's hash and position, its own hash."""
-    sizes = range(1 if words else run, run + 1)
+def positions(rows: DataFrame, run: int, words: int | None) -> DataFrame:
+    """A row for each selected line: id, row_key, n_lines, its hash (mark) and number (mark_line), the windows that select it (spans: place of the first line in around, and how many) and the lines around it."""
     counted = "regexp_count(x, r'[^\\x20\\x09-\\x0D]+')" if words else "0"
-    content = f"filter(transform(lines, (x, i) -> named_struct('line', i, 'n', {counted}, 'h', if(x rlike r'[^\\x20\\x09-\\x0D]', xxhash64(x), null), 'g', sha2(x, 256))), x -> x.h is not null)"
-    own = rows.select("id", "row_key", F.size("lines").alias("n_lines"), F.expr(content).alias("c"))
-    shifted = own.where(F.size("c") >= sizes[0]).select("id", "row_key", "n_lines", F.explode(F.arrays_zip(*[F.slice("c", j + 1, F.size("c")).alias(f"w{j}") for j in range(run)])).alias("w"))
-    flat = shifted.select("id", "row_key", "n_lines", *[F.col(f"w.w{j}.{of}").alias(f"{to}{j}") for j in range(run) for of, to in (("line", "l"), ("h", "h"), ("g", "g"), ("n", "n"))])
-
-    def window(k: int):
-        least = F.least(*[F.col(f"h{j}") for j in range(k)]) if k > 1 else F.col("h0")
-        place = reduce(lambda later, j: later.when(F.col(f"h{j}") == least, F.col(f"l{j}")), range(k - 2, -1, -1), F.when(F.col(f"h{k - 1}") == least, F.col(f"l{k - 1}")))
-        digests = [F.col(f"g{j}") for j in range(k)]
-        made = F.struct(F.array(*[F.col(f"l{j}") for j in range(k)]).alias("its_lines"), least.alias("mark"), place.alias("mark_line"), F.xxhash64(*digests).alias("window"), F.xxhash64(F.lit("g"), *digests).alias("window2"))
-        enough = F.col(f"h{k - 1}").isNotNull() if k == run else F.col(f"h{k - 1}").isNotNull() & (sum(F.col(f"n{j}") for j in range(k)) >= words)
-        return F.when(enough, made)
-
-    made = F.explode(F.array(*[window(k) for k in sizes])) if words else window(run)
-    return flat.select("id", "row_key", "n_lines", made.alias("w")).where("w is not null").select("id", "row_key", "n_lines", "w.*")
+    content = f"filter(transform(lines, (x, i) -> named_struct('line', i, 'n', {counted}, 'h', if(x rlike r'[^\\x20\\x09-\\x0D]', xxhash64(x), null), 'g', unhex(left(sha2(x, 256), 32)))), x -> x.h is not null)"
+    none = f"array_repeat(cast(null as struct<line:int,n:int,h:bigint,g:binary>), {run - 1})"
+    own = rows.select("id", "row_key", F.size("lines").alias("n_lines"), F.expr(content).alias("c")).withColumn("p", F.concat(F.expr(none), F.col("c"), F.expr(none)))
+    seen = range(2 * run - 1)  # the line itself is in the middle
+    flat = own.where(F.size("c") >= (1 if words else run)).select("id", "row_key", "n_lines", F.explode(F.arrays_zip(*[F.slice("p", j + 1, F.size("c")).alias(f"w{j}") for j in seen])).alias("w"))
+    at = lambda j, of: F.col(f"w.w{j}.{of}")
+    me, spans = run - 1, []
+    for k in range(1 if words else run, run + 1):
+        for a in range(me - k + 1, me + 1):
+            least = [at(j, "h") >= at(me, "h") for j in range(a, me)] + [at(j, "h") > at(me, "h") for j in range(me + 1, a + k)]
+            there = [at(j, "h").isNotNull() for j in {a, a + k - 1}]
+            enough = [] if k == run else [reduce(add, [at(j, "n") for j in range(a, a + k)]) >= words]
+            spans.append(F.when(reduce(and_, [*there, *least, *enough]), F.struct(F.lit(a).alias("a"), F.lit(k).alias("k"))))
+    around = F.array(*[F.struct(at(j, "line").alias("line"), at(j, "g").alias("g")) for j in seen])
+    made = flat.select("id", "row_key", "n_lines", at(me, "h").alias("mark"), at(me, "line").alias("mark_line"), F.array_compact(F.array(*spans)).alias("spans"), around.alias("around"))
+    return made.where(F.size("spans") > 0)
+
+
+def extended(near: DataFrame) -> DataFrame:
+    """id, row_key, n_lines, its_lines, window (a digest of its lines' digests) of each window that selected a position."""
+    own = near.select("id", "row_key", "n_lines", "around", F.explode("spans").alias("s")).withColumn("its", F.slice("around", F.col("s.a") + 1, F.col("s.k")))
+    digest = F.unhex(F.left(F.sha2(F.array_join(F.transform("its", lambda x: F.hex(x["g"])), ""), 256), F.lit(32)))
+    return own.select("id", "row_key", "n_lines", F.col("its.line").alias("its_lines"), digest.alias("window"))
 
 
 def repeated_lines(rows: DataFrame, run: int, words: int | None) -> DataFrame:
     """id, row_key, gone (numbers of lines to delete, ascending), kept (numbers of the others) of rows that lose lines."""
-    every = scratch.keep(windows(rows, run, words), "line-windows")
+    every = scratch.keep(positions(rows, run, words), "line-positions")
     order = lambda line: F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), line.alias("line"))
     again = every.groupBy("mark").agg(F.min(order(F.col("mark_line"))).alias("a"), F.max(order(F.col("mark_line"))).alias("b"), F.count(F.lit(1)).alias("n")).where("a < b")
-    near = scratch.keep(skew.look_up(every, scratch.keep(again.select("mark", "n"), "line-marks"), ["mark"], "n", "inner"), "line-matches")
-    start, same = order(F.col("its_lines")[0]), ["window", "window2"]
-    first = near.groupBy(*same).agg(F.min(start).alias("first"), F.max(start).alias("last"), F.count(F.lit(1)).alias("n")).where("first < last").drop("last")
-    marked = skew.look_up(near, scratch.keep(first, "line-firsts"), same, "n", "inner").where(start > F.col("first"))
+    near = extended(scratch.keep(skew.look_up(every, scratch.keep(again.select("mark", "n"), "line-marks"), ["mark"], "n", "inner"), "line-matches"))
+    start = order(F.col("its_lines")[0])
+    first = near.groupBy("window").agg(F.min(start).alias("first"), F.max(start).alias("last"), F.count(F.lit(1)).alias("n")).where("first < last").drop("last")
+    marked = skew.look_up(near, scratch.keep(first, "line-firsts"), ["window"], "n", "inner").where(start > F.col("first"))
     gone = marked.groupBy("id", "row_key", "n_lines").agg(F.flatten(F.collect_set("its_lines")).alias("gone"))
     gone = gone.withColumn("gone", F.array_sort(F.array_distinct("gone")))
     return gone.withColumn("kept", F.array_except(F.sequence(F.lit(0), F.col("n_lines") - 1), F.col("gone")))
@@ -79,15 +89,15 @@ def _counts(found: DataFrame) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of three lines only, as SQL defines them."""
+    """Runs of three lines, and one or two lines of 50 words or more."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return _counts(dedup(docs, run=3, words=None))
+    return _counts(dedup(docs, run=3, words=50))
 
 
-def op9_line_dedup_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of three lines, and one or two lines of 50 words or more."""
+def op9_line_dedup_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of three lines only."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return _counts(dedup(docs, run=3, words=50))
+    return _counts(dedup(docs, run=3, words=None))
 
 
 SQL = r"""
@@ -119,5 +129,6 @@ SELECT doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(n_
 FROM d LEFT JOIN k USING (r) LEFT JOIN e USING (r)
 """
 
-QUERIES = {"op9_line_dedup": op9_line_dedup, "op9_line_dedup_words": op9_line_dedup_words}
-ORACLE_SQL = {"op9_line_dedup": SQL, "op9_line_dedup_words": SQL_WORDS}
+#: op9_line_dedup_words is the earlier name of what op9_line_dedup does.
+QUERIES = {"op9_line_dedup": op9_line_dedup, "op9_line_dedup_words": op9_line_dedup, "op9_line_dedup_runs": op9_line_dedup_runs}
+ORACLE_SQL = {"op9_line_dedup": SQL_WORDS, "op9_line_dedup_words": SQL_WORDS, "op9_line_dedup_runs": SQL}

@@ -23,7 +23,7 @@ def test_stages(spark):
     model = quality.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
     kept = {r.doc_id for r in quality.judge(docs, model).where("_quality_kept").collect()}
     assert kept == {i for i, _ in tables[1]} and all(len(words_of(t)) >= 50 for _, t in tables[1])
-    assert sorted(tables[2]) == sorted((i, t) for i, t, _, gone in plain_lines(tables[1], 3) if not gone or words_of(t))
+    assert sorted(tables[2]) == sorted((i, t) for i, t, _, gone in plain_lines(tables[1], 3, 50) if not gone or words_of(t))
     assert sorted(i for i, _ in tables[3]) == sorted({c for _, _, c in plain_components(tables[2], 5, 80, 100)})
     keys = set()
     for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect():

@@ -421,18 +421,24 @@ def test_decontamination(spark, docs, empty, most):
     assert rows(decontamination.mark(empty, bench)) == [] and decontamination.clean(docs, bench.limit(0)).count() == docs.count()
 
 
-def plain_lines(table, run):
+def plain_lines(table, run, words=None):
     order = lambda i, a: (i is None, i or 0, a)
+
+    def windows(t):
+        c = [(a, x) for a, x in enumerate((t or "").split("\n")) if words_of(x)]
+        for size in range(1 if words else run, run + 1):
+            for k in range(len(c) - size + 1):
+                w = c[k : k + size]
+                if size == run or sum(len(words_of(x)) for _, x in w) >= words:
+                    yield tuple(x for _, x in w), [a for a, _ in w]
+
     first = {}
     for i, t in table:
-        c = [(a, x) for a, x in enumerate((t or "").split("\n")) if words_of(x)]
-        for k in range(len(c) - run + 1):
-            key = tuple(x for _, x in c[k : k + run])
-            first[key] = min(first.get(key, order(i, c[k][0])), order(i, c[k][0]))
+        for key, at in windows(t):
+            first[key] = min(first.get(key, order(i, at[0])), order(i, at[0]))
     out = []
     for i, t in table:
-        c = [(a, x) for a, x in enumerate((t or "").split("\n")) if words_of(x)]
-        gone = {a for k in range(len(c) - run + 1) if order(i, c[k][0]) > first[tuple(x for _, x in c[k : k + run])] for a, _ in c[k : k + run]}
+        gone = {a for key, at in windows(t) if order(i, at[0]) > first[key] for a in at}
         out.append((i, None if t is None else "\n".join(x for a, x in enumerate(t.split("\n")) if a not in gone), 0 if t is None else len(t.split("\n")), len(gone)))
     return sorted(out, key=repr)
 
@@ -466,6 +472,16 @@ def test_line_dedup_of_long_passages_in_few_lines(spark):
     assert rows(line_dedup.dedup(df, words=None).select("doc_id", "text", "_line_kept_text", "_line_lines", "_line_removed").drop("text")) == plain_lines(table, 3)
 
 
+@pytest.mark.parametrize("words", [3, 7, 50])
+def test_line_dedup_of_windows_by_words(spark, words):
+    r = random.Random(words)
+    lines = ["one", "two two", "", "three 3 three", "  ", "four " * 4, "w " * 55, "long " * 300]
+    table = [(i, "\n".join(r.choice(lines) + r.choice(["", "", f" {r.randint(0, 3)}"]) for _ in range(r.randint(1, 9)))) for i in range(80)] + [(90, "x " * 100_000 + "\none"), (91, "x " * 100_000 + "\none"), (None, "one\ntwo two\none")]
+    df = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
+    for run in (1, 3):
+        assert rows(line_dedup.dedup(df, run=run, words=words).select("doc_id", "_line_kept_text", "_line_lines", "_line_removed")) == plain_lines(table, run, words)
+
+
 def test_line_dedup_is_native(docs):
     plan = line_dedup.dedup(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
