@@ -22,8 +22,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later copies of runs of three lines; those of which no word is left go. n_chars follows the text."""
-    found = line_dedup.dedup(docs, run=3, words=None)
+    """Documents without later copies of runs of three lines, or of fewer that hold 50 words; those of which no word is left go. n_chars follows the text."""
+    found = line_dedup.dedup(docs, run=3, words=50)
     emptied = (F.col("_line_removed") > 0) & ~F.col("_line_kept_text").rlike(_HAS_WORD)
     text = F.when(F.col("_line_removed") > 0, F.col("_line_kept_text")).otherwise(F.col("text"))
     kept = found.where(~emptied).withColumn("text", text)
