@@ -30,7 +30,7 @@ _WORD = r"[^\x20\x09-\x0D]"
 
 
 def positions(rows: DataFrame, run: int, words: int | None) -> DataFrame:
-    """A row for each selected line: id, row_key, n_lines, its hash (mark) and number (mark_line), the windows that select it (spans: place of the first line in around, and how many) and the lines around it."""
+    """A row for each selected line: id, row_key, n_lines, its hash (mark) and number (mark_line), the windows that select it (spans: 2 * run times the place of the first line, and how many they are), and numbers and digests of the lines around it, 16 bytes each: short rows to shuffle."""
     counted = "regexp_count(x, r'[^\\x20\\x09-\\x0D]+')" if words else "0"
     content = f"filter(transform(lines, (x, i) -> named_struct('line', i, 'n', {counted}, 'h', if(x rlike r'[^\\x20\\x09-\\x0D]', xxhash64(x), null), 'g', unhex(left(sha2(x, 256), 32)))), x -> x.h is not null)"
     none = f"array_repeat(cast(null as struct<line:int,n:int,h:bigint,g:binary>), {run - 1})"
@@ -44,17 +44,17 @@ def positions(rows: DataFrame, run: int, words: int | None) -> DataFrame:
             least = [at(j, "h") >= at(me, "h") for j in range(a, me)] + [at(j, "h") > at(me, "h") for j in range(me + 1, a + k)]
             there = [at(j, "h").isNotNull() for j in {a, a + k - 1}]
             enough = [] if k == run else [reduce(add, [at(j, "n") for j in range(a, a + k)]) >= words]
-            spans.append(F.when(reduce(and_, [*there, *least, *enough]), F.struct(F.lit(a).alias("a"), F.lit(k).alias("k"))))
-    around = F.array(*[F.struct(at(j, "line").alias("line"), at(j, "g").alias("g")) for j in seen])
-    made = flat.select("id", "row_key", "n_lines", at(me, "h").alias("mark"), at(me, "line").alias("mark_line"), F.array_compact(F.array(*spans)).alias("spans"), around.alias("around"))
+            spans.append(F.when(reduce(and_, [*there, *least, *enough]), F.lit(a * 2 * run + k)))
+    around = [F.array(*[at(j, "line") for j in seen]).alias("around"), F.concat(*[F.coalesce(at(j, "g"), F.lit(bytearray(16))) for j in seen]).alias("digests")]
+    made = flat.select("id", "row_key", "n_lines", at(me, "h").alias("mark"), at(me, "line").alias("mark_line"), F.array_compact(F.array(*spans)).alias("spans"), *around)
     return made.where(F.size("spans") > 0)
 
 
-def extended(near: DataFrame) -> DataFrame:
+def extended(near: DataFrame, run: int) -> DataFrame:
     """id, row_key, n_lines, its_lines, window (a digest of its lines' digests) of each window that selected a position."""
-    own = near.select("id", "row_key", "n_lines", "around", F.explode("spans").alias("s")).withColumn("its", F.slice("around", F.col("s.a") + 1, F.col("s.k")))
-    digest = F.unhex(F.left(F.sha2(F.array_join(F.transform("its", lambda x: F.hex(x["g"])), ""), 256), F.lit(32)))
-    return own.select("id", "row_key", "n_lines", F.col("its.line").alias("its_lines"), digest.alias("window"))
+    own = near.select("id", "row_key", "n_lines", "around", "digests", F.explode("spans").alias("s")).withColumns({"a": F.expr(f"s div {2 * run}").cast("int"), "k": F.col("s") % (2 * run)})
+    digest = F.unhex(F.left(F.sha2(F.expr("substring(digests, a * 16 + 1, k * 16)"), 256), F.lit(32)))
+    return own.select("id", "row_key", "n_lines", F.slice("around", F.col("a") + 1, F.col("k")).alias("its_lines"), digest.alias("window"))
 
 
 def repeated_lines(rows: DataFrame, run: int, words: int | None) -> DataFrame:
@@ -62,7 +62,7 @@ def repeated_lines(rows: DataFrame, run: int, words: int | None) -> DataFrame:
     every = scratch.keep(positions(rows, run, words), "line-positions")
     order = lambda line: F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), line.alias("line"))
     again = every.groupBy("mark").agg(F.min(order(F.col("mark_line"))).alias("a"), F.max(order(F.col("mark_line"))).alias("b"), F.count(F.lit(1)).alias("n")).where("a < b")
-    near = extended(scratch.keep(skew.look_up(every, scratch.keep(again.select("mark", "n"), "line-marks"), ["mark"], "n", "inner"), "line-matches"))
+    near = extended(scratch.keep(skew.look_up(every, scratch.keep(again.select("mark", "n"), "line-marks"), ["mark"], "n", "inner"), "line-matches"), run)
     start = order(F.col("its_lines")[0])
     first = near.groupBy("window").agg(F.min(start).alias("first"), F.max(start).alias("last"), F.count(F.lit(1)).alias("n")).where("first < last").drop("last")
     marked = skew.look_up(near, scratch.keep(first, "line-firsts"), ["window"], "n", "inner").where(start > F.col("first"))
