@@ -70,17 +70,23 @@ def bool_from_number(c: Column) -> Column:
     return parse_number(c) != 0
 
 
+def _slashed(text: Column) -> Column:
+    """Text that can be a date with slashes. A failed parse costs an exception, which what has another shape is spared."""
+    return F.when(text.rlike(r"^[-+0-9]+/[-+0-9]+/[-+0-9]+$"), text)
+
+
 def parse_us_date(c: Column) -> Column:
-    return F.try_to_timestamp(F.trim(c.cast("string")), F.lit("M/d/yyyy"))
+    return F.try_to_timestamp(_slashed(F.trim(c.cast("string"))), F.lit("M/d/yyyy"))
 
 
 def parse_euro_date(c: Column) -> Column:
-    return F.try_to_timestamp(F.trim(c.cast("string")), F.lit("d/M/yyyy"))
+    return F.try_to_timestamp(_slashed(F.trim(c.cast("string"))), F.lit("d/M/yyyy"))
 
 
 def parse_datetime(c: Column) -> Column:
     text = F.trim(c.cast("string"))
-    return F.coalesce(F.try_to_timestamp(text), F.try_to_timestamp(text, F.lit("M/d/yyyy")), F.try_to_timestamp(text, F.lit("M/d/yyyy H:m:s")))
+    timed = F.when(text.rlike(r"^[-+0-9]+/[-+0-9]+/[-+0-9]+ [-+0-9]+:[-+0-9]+:[-+0-9]+$"), text)
+    return F.coalesce(F.try_to_timestamp(text), F.try_to_timestamp(_slashed(text), F.lit("M/d/yyyy")), F.try_to_timestamp(timed, F.lit("M/d/yyyy H:m:s")))
 
 
 def strict_datetime(c: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import scalars as S
 from lodestrata.functions import types
+from lodestrata.functions.aggregates import about_distinct
 from lodestrata.functions.scalars import col
 from lodestrata.operators import shape
 from lodestrata.plans.chain import Op
@@ -23,16 +24,45 @@ FRACTIONS: dict[str, Callable[[Column], Column]] = {
 }
 
 
+#: Columns whose values occur this often on average are parsed value by value.
+REPEATS = 4
+
+
+def parse_counts(df: DataFrame, parsers: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """column, length (rows), filled (rows with a value) and, for each of the parsers, how many rows hold a value that it is true of, of every text column.
+
+    Values of columns in which they repeat (by a sketch) are counted first, combined before the shuffle, and each is parsed once; columns of values that hardly repeat are parsed row by row.
+    """
+    names = types.columns_of(df, types.is_string)
+    kinds = "column string, length long, filled long, " + ", ".join(f"`{k}` long" for k in parsers)
+    if not names:
+        return df.sparkSession.createDataFrame([], kinds)
+    length, *sizes = df.agg(F.count(F.lit(1)), *[F.struct(F.count(col(c)), about_distinct(col(c), log_size=12)) for c in names]).first()
+    repeated = [c for c, (filled, distinct) in zip(names, sizes, strict=True) if distinct * REPEATS <= filled]
+    filled = {c: n for c, (n, _) in zip(names, sizes, strict=True)}
+    rows = []
+    if repeated:
+        cells = F.array(*[F.struct(F.lit(c).alias("column"), col(c).alias("v")) for c in repeated])
+        values = df.select(F.explode(cells).alias("c")).select("c.*").where("v is not null").groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
+        holds = [F.coalesce(F.sum(F.when(t(F.col("v")), F.col("n"))), F.lit(0)) for t in parsers.values()]
+        rows += [(r[0], length, filled[r[0]], *r[1:]) for r in values.groupBy("column").agg(*holds).collect()]  # a row a column
+    direct = [c for c in names if c not in repeated]
+    if direct:
+        found = df.agg(*[F.struct(*[F.count_if(t(col(c))) for t in parsers.values()]) for c in direct]).first()
+        rows += [(c, length, filled[c], *r) for c, r in zip(direct, found, strict=True)]
+    return df.sparkSession.createDataFrame([r for c in names for r in rows if r[0] == c], kinds)
+
+
 def parse_fractions(df: DataFrame) -> DataFrame:
-    """column and the shares of FRACTIONS, int_parse and int_parse_fail for every column in one job; 0 for columns that aren't text."""
-    cells = []
-    for f in df.schema:
-        c, text = col(f.name), types.is_string(f.dataType)
-        share = lambda t, text=text: F.coalesce(F.try_divide(F.count_if(t), F.count(F.lit(1))), F.lit(0.0)) if text else F.first(F.lit(0.0))
-        made = [share(t(c)).alias(k) for k, t in FRACTIONS.items()]
-        whole = c.try_cast("bigint").isNotNull() if text else F.lit(False)
-        cells.append(F.struct(F.lit(f.name).alias("column"), *made, share(whole).alias("int_parse"), share(~whole).alias("int_parse_fail")))
-    return df.agg(F.array(*cells).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+    """column and the shares of FRACTIONS, int_parse and int_parse_fail for every column; 0 for columns that aren't text."""
+    counts = {r["column"]: r for r in parse_counts(df, FRACTIONS | {"int_parse": lambda c: c.try_cast("bigint").isNotNull()}).collect()}  # a row a column
+    rows = []
+    for c in df.columns:
+        r = counts.get(c)
+        share = lambda n, r=r: n / r["length"] if r and r["length"] else 0.0
+        whole = r["int_parse"] if r else 0
+        rows.append((c, *[share(r[k] if r else 0) for k in FRACTIONS], share(whole), share(r["length"] - whole if r else 0)))
+    return df.sparkSession.createDataFrame(rows, "column string, " + ", ".join(f"{k} double" for k in (*FRACTIONS, "int_parse", "int_parse_fail")))
 
 
 Rule = Callable[[dict[str, float]], float]
@@ -96,13 +126,13 @@ def recommend_types(df: DataFrame, most_errors: float = 0.5) -> dict[str, str]:
     names = types.columns_of(df, types.is_string)
     if not names:
         return {}
-    cells = []
-    for c in names:
-        d, t = S.parse_number(col(c)), S.parse_datetime(col(c))
-        filled = F.count(col(c))
-        failed = lambda e, filled=filled: F.coalesce(1 - F.try_divide(F.count_if(e), filled), F.lit(1.0))
-        cells.append(F.struct(failed((t >= F.lit("1971-01-01").cast("timestamp"))).alias("datetime"), failed(S.parse_bool_word(col(c)).isNotNull()).alias("bool"), failed(d.isNotNull()).alias("float"), F.count_if(d != F.floor(d)).alias("fractions")).alias(c))
-    row = df.agg(*cells).first()
+    tests = {
+        "datetime": lambda c: S.parse_datetime(c) >= F.lit("1971-01-01").cast("timestamp"), "bool": lambda c: S.parse_bool_word(c).isNotNull(),
+        "float": lambda c: S.parse_number(c).isNotNull(), "fractions": lambda c: S.parse_number(c) != F.floor(S.parse_number(c)),
+    }
+    row = {}
+    for r in parse_counts(df, tests).collect():  # a row a column
+        row[r["column"]] = {k: 1 - r[k] / r["filled"] if r["filled"] else 1.0 for k in ("datetime", "bool", "float")} | {"fractions": r["fractions"]}
     out = {}
     for c in names:
         m = row[c]

@@ -148,16 +148,20 @@ def profile_wide(df: DataFrame, stats: list[S.Stat] | None = None, skip: tuple[s
 
 def to_long(wide: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """column, stat, number, text of each cell of a wide profile; nested values are JSON text. Least, largest and summed whole and decimal numbers are exact in text."""
+    # one text of SQL: a profile of many columns has thousands of cells
+    quoted = lambda name: "'" + name.replace("\\", "\\\\").replace("'", "\\'") + "'"
     cells = []
     for f in wide.schema:
         c, _, s = f.name.rpartition(SEPARATOR)
         if keep is not None and s not in keep:
             continue
-        number = col(f.name).cast("double") if types.is_numeric(f.dataType) else F.lit(None).cast("double")
+        own = "`" + f.name.replace("`", "``") + "`"
+        numeric = types.is_numeric(f.dataType)
         coarse = s in EXACT and (types.is_integer(f.dataType) or isinstance(f.dataType, T.DecimalType))
-        text = (col(f.name).cast("string") if coarse else F.lit(None).cast("string")) if types.is_numeric(f.dataType) else F.to_json(col(f.name)) if types.is_nested(f.dataType) else col(f.name).cast("string")
-        cells.append(F.struct(F.lit(c).alias("column"), F.lit(s).alias("stat"), number.alias("number"), text.alias("text")))
-    return wide.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*")
+        text = "null" if numeric and not coarse else f"to_json({own})" if types.is_nested(f.dataType) else own
+        number = own if numeric else "null"
+        cells.append(f"struct({quoted(c)} as column, {quoted(s)} as stat, cast({number} as double) as number, cast({text} as string) as text)")
+    return wide.select(F.expr(f"inline(array({', '.join(cells)}))"))
 
 
 def stat_rows(long: DataFrame, columns: list[str], value: str = "number") -> DataFrame:
