@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from lodestrata.functions.scalars import col
 from lodestrata.functions.types import is_string
+from lodestrata.operators import spread
 from lodestrata.sources import shared
 
 #: Bytes of a value of fixed width.
@@ -91,21 +92,15 @@ def _with_before(df: DataFrame, columns: list[str], keys: list[str], order_by: l
 
 def _with_apart(df: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
     """df with each column's distance from its group's mean; groups are aggregated first and joined to the rows."""
-    means = df.groupBy(*[col(k).alias(f"__key{i}") for i, k in enumerate(keys)]).agg(*[F.avg(col(c)).alias(f"__mean{i}") for i, c in enumerate(columns)])
-    met = F.lit(True)
-    for i, k in enumerate(keys):
-        met = met & col(k).eqNullSafe(F.col(f"__key{i}"))
-    out = df.join(means, met, "left") if keys else df.crossJoin(means)
+    means = df.groupBy(*[col(k).alias(f"__key{i}") for i, k in enumerate(keys)]).agg(F.count(F.lit(1)).alias("__n"), *[F.avg(col(c)).alias(f"__mean{i}") for i, c in enumerate(columns)])
+    out = spread.look_up(df, means, {k: f"__key{i}" for i, k in enumerate(keys)}, "__n", nulls=True) if keys else df.crossJoin(means)
     return out.select(*[col(c) for c in df.columns], *[F.abs(col(c) - F.col(f"__mean{i}")).alias(helper(c, "apart")) for i, c in enumerate(columns)])
 
 
 def _with_most(df: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
     """df with whether each column's value is its group's largest."""
-    most = df.groupBy(*[col(k).alias(f"__key{i}") for i, k in enumerate(keys)]).agg(*[F.max(col(c)).alias(f"__most{i}") for i, c in enumerate(columns)])
-    met = F.lit(True)
-    for i, k in enumerate(keys):
-        met = met & col(k).eqNullSafe(F.col(f"__key{i}"))
-    out = df.join(most, met, "left") if keys else df.crossJoin(most)
+    most = df.groupBy(*[col(k).alias(f"__key{i}") for i, k in enumerate(keys)]).agg(F.count(F.lit(1)).alias("__n"), *[F.max(col(c)).alias(f"__most{i}") for i, c in enumerate(columns)])
+    out = spread.look_up(df, most, {k: f"__key{i}" for i, k in enumerate(keys)}, "__n", nulls=True) if keys else df.crossJoin(most)
     return out.select(*[col(c) for c in df.columns], *[(col(c) == F.col(f"__most{i}")).alias(helper(c, "most")) for i, c in enumerate(columns)])
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.functions.scalars import col
+from lodestrata.operators import spread
 
 
 def distinct_on(df: DataFrame, column: str, order_by: list[str], keep: str = "first") -> DataFrame:
@@ -38,6 +39,6 @@ def distinct_tuples(df: DataFrame, columns: list[str]) -> int:
 
 def mark_duplicates(df: DataFrame, column: str, name: str = "is_duplicated") -> DataFrame:
     """df with whether each row's value occurs more than once; null is a value."""
-    counted = df.groupBy(col(column).alias("__v")).count().where("count > 1").select("__v", F.lit(True).alias("__dup"))
-    out = df.join(counted, col(column).eqNullSafe(F.col("__v")), "left")
+    counted = df.groupBy(col(column).alias("__v")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").withColumn("__dup", F.lit(True))
+    out = spread.look_up(df, counted, {column: "__v"}, "__n", nulls=True)
     return out.select(*[col(c) for c in df.columns], F.coalesce("__dup", F.lit(False)).alias(name))

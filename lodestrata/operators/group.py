@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import aggregates
 from lodestrata.functions.scalars import col
-from lodestrata.operators import quantiles
+from lodestrata.operators import quantiles, spread
 
 
 def _wanted(spec: dict[str, str | list[str]]) -> list[tuple[str, str]]:
@@ -22,7 +22,7 @@ def _medians(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return found.groupBy(F.col("column.k").alias("__of")).agg(*[F.max(F.when(F.col("column.i") == i, F.col("q"))).alias(f"__median{i}") for i in range(len(columns))])
 
 
-def _aggregated(rows: DataFrame, key: str, wanted: list[tuple[str, str]], order_by: list[str] | None, name: str) -> DataFrame:
+def _aggregated(rows: DataFrame, key: str, wanted: list[tuple[str, str]], order_by: list[str] | None, name: str, counted: bool = False) -> DataFrame:
     medians = list(dict.fromkeys(c for c, a in wanted if a == "median"))
     plain = [(c, a) for c, a in wanted if a != "median"]
     rows = aggregates.prepare(rows, plain, [key], order_by)
@@ -32,7 +32,7 @@ def _aggregated(rows: DataFrame, key: str, wanted: list[tuple[str, str]], order_
         grouped = grouped.join(_medians(rows, key, medians), col(key).eqNullSafe(F.col("__of")), "left")
     at = {c: f"__median{i}" for i, c in enumerate(medians)}
     label = lambda c, a: name.format(column=c, aggregate=a)
-    return grouped.select(col(key), *[(F.col(at[c]) if a == "median" else col(label(c, a))).alias(label(c, a)) for c, a in wanted])
+    return grouped.select(col(key), *(["__n"] if counted else []), *[(F.col(at[c]) if a == "median" else col(label(c, a))).alias(label(c, a)) for c, a in wanted])
 
 
 def group_by(df: DataFrame, key: str, spec: dict[str, str | list[str]], order_by: list[str] | None = None, name: str = "{column}_{aggregate}") -> DataFrame:
@@ -48,12 +48,12 @@ def group_by_sorted(df: DataFrame, key: str, spec: dict[str, str | list[str]]) -
 def group_by_transform(df: DataFrame, key: str, spec: dict[str, str | list[str]], order_by: list[str] | None = None) -> DataFrame:
     """df with {column}_{aggregate} of each row's group; null for a null key.
 
-    Groups are aggregated first and joined to the rows, so that the rows of a hot key aren't gathered in one task.
+    Groups are aggregated first and joined to the rows; the rows of a frequent key aren't gathered in one task.
     """
     wanted = _wanted(spec)
     own = "__group_key"
-    groups = group_by(df, key, spec, order_by).withColumnRenamed(key, own)
-    out = df.join(groups, col(key) == F.col(own), "left").drop(own)
+    groups = _aggregated(df.where(col(key).isNotNull()), key, wanted, order_by, "{column}_{aggregate}", counted=True).withColumnRenamed(key, own)
+    out = spread.look_up(df, groups, {key: own}, "__n")
     return out.select(*[col(c) for c in df.columns], *[col(f"{c}_{a}") for c, a in wanted])
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions.scalars import col
-from lodestrata.operators import selection
+from lodestrata.operators import selection, spread
 from lodestrata.operators.filters import search
 from lodestrata.operators.running import running_sum
 
@@ -38,8 +38,8 @@ def rank(df: DataFrame, column: str, method: str = "min", new_name: str | None =
     numbered = running_sum(counted, "__v", {"__upto": F.col("__n"), "__dense": F.lit(1)})
     least = F.col("__upto") - F.col("__n") + 1
     made = {"min": least, "dense": F.col("__dense"), "average": least + (F.col("__n") - 1) / 2}[method].cast("double")
-    ranks = numbered.select("__v", made.alias("__rank"))
-    out = df.join(ranks, col(column) == F.col("__v"), "left")
+    ranks = numbered.select("__v", "__n", made.alias("__rank"))
+    out = spread.look_up(df, ranks, {column: "__v"}, "__n")
     if new_name:
         return out.select(*[col(c) for c in df.columns], F.col("__rank").alias(new_name))
     return out.select(*[F.col("__rank").alias(c) if c == column else col(c) for c in df.columns])

@@ -56,7 +56,7 @@ def column_quantiles(df: DataFrame, columns: list[Column], probabilities: list[f
             wide = [b for b in brackets if id(b) not in ends]
             picked = dict(zip(map(id, wide), _pick(named, wide), strict=True)) if wide else {}
             at = ends | picked
-            between = lambda b: (lambda lo, hi: lo + (hi - lo) * b.part)(*at[id(b)])  # noqa: E731, B023
+            between = lambda b: (lambda lo, hi: lo if lo == hi or not b.part else lo + (hi - lo) * b.part)(*at[id(b)])  # noqa: E731, B023
             return [[None if b is None else between(b) for b in row] for row in found]
         margin *= 8  # the sketch missed a rank
 

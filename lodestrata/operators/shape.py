@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions import scalars as S
 from lodestrata.functions import types
 from lodestrata.functions.scalars import col
+from lodestrata.operators import spread
 from lodestrata.operators.running import running_sum
 
 
@@ -108,9 +109,9 @@ def to_datetime_strict(df: DataFrame, column: str) -> DataFrame:
 
 def make_category(df: DataFrame, column: str) -> DataFrame:
     """The column marked as categorical, and its values' places in sorted order as {column}_code (null: -1). Distinct values are ranked, not rows."""
-    values = df.select(col(column).alias("__v")).where("__v is not null").distinct()
-    codes = running_sum(values, "__v", {"__place": F.lit(1)}).select("__v", (F.col("__place") - 1).alias("__code"))
-    out = df.join(codes, col(column) == F.col("__v"), "left")
+    values = df.where(col(column).isNotNull()).groupBy(col(column).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    codes = running_sum(values, "__v", {"__place": F.lit(1)}).select("__v", "__n", (F.col("__place") - 1).alias("__code"))
+    out = spread.look_up(df, codes, {column: "__v"}, "__n")
     own = [col(c).alias(c, metadata={"categorical": True}) if c == column else col(c) for c in df.columns]
     return out.select(*own, F.coalesce("__code", F.lit(-1)).alias(f"{column}_code"))
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import scalars as S
 from lodestrata.functions import types
-from lodestrata.operators import compare, duplicates, filters, group, histogram, model, paging, quantiles, selection, shape, validate
+from lodestrata.operators import compare, duplicates, filters, group, histogram, model, paging, quantiles, selection, shape, spread, validate
 from lodestrata.plans import autoclean, chain, files, profile, store
 from lodestrata.plans import stats as st
 from lodestrata.plans.chain import Op
@@ -665,3 +665,77 @@ def test_profiles_by_file(spark, tmp_path):
     spark.range(7).selectExpr("id as k").write.mode("overwrite").parquet(table)
     again = {(r["column"], r["stat"]): r["number"] for r in kept.profile(table).collect()}
     assert again["k", "length"] == 7 and again["k", "max"] == 6 and ("v", "length") not in again
+
+
+@pytest.fixture
+def shuffled_joins(spark):
+    """No adaptive plans, no broadcast that isn't asked for."""
+    own = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("nulls", [False, True])
+def test_rows_of_frequent_keys_stay_where_they_are(spark, monkeypatch, shuffled_joins, nulls):
+    """Half of all rows have one key, a quarter none: no task meets more rows than its own and those of the other keys."""
+    monkeypatch.setattr(spread, "MOST_ROWS", 500)
+    key = F.when(F.col("id") % 4 < 2, 7).when(F.col("id") % 4 == 2, F.col("id") % 101)
+    rows = spark.range(8000, numPartitions=8).select("id", key.cast("int").alias("k"))
+    groups = rows.groupBy(F.col("k").alias("__g")).agg(F.count(F.lit(1)).alias("__n"), F.min("id").alias("least"))
+    out = spread.look_up(rows, groups, {"k": "__g"}, "__n", nulls=nulls).withColumn("part", F.spark_partition_id())
+    assert max(r["count"] for r in out.groupBy("part").count().collect()) <= 1500
+    got = {r["id"]: (r["k"], r["least"]) for r in out.collect()}
+    least = {}
+    for i, (k, _) in sorted(got.items()):
+        least.setdefault(k, i)
+    assert len(got) == 8000 and all(v == (least[k] if nulls or k is not None else None) for k, v in got.values())
+
+
+def test_operators_with_a_frequent_key(spark, monkeypatch, shuffled_joins):
+    """Ranks, transforms, marks of duplicates, codes and deviations are those of a table without frequent keys, broadcast or not."""
+    rows = spark.createDataFrame([(i, "a" if i % 2 else ["b", "c", None][i % 3], float(i % 5)) for i in range(300)], "id long, k string, v double")
+    made = {
+        "rank": lambda: paging.rank(rows, "k", "min", "r"), "transform": lambda: group.group_by_transform(rows, "k", {"v": ["max", "count", "median"]}), "marks": lambda: duplicates.mark_duplicates(rows, "k"),
+        "codes": lambda: shape.make_category(rows, "k"), "mad": lambda: group.group_by(rows, "k", {"v": ["mad"]}), "idxmax": lambda: group.group_by(rows, "v", {"k": ["idxmax"]}, order_by=["id"]),
+    }
+    plain = {n: sorted(map(tuple, f().collect()), key=repr) for n, f in made.items()}
+    monkeypatch.setattr(spread, "MOST_ROWS", 60)
+    for n, f in made.items():
+        assert sorted(map(tuple, f().collect()), key=repr) == plain[n], n
+    ids = [i for i in range(300) if i % 2]
+    assert {r["id"]: r["r"] for r in made["rank"]().collect()}[ids[3]] == 1.0 and dict(map(tuple, made["mad"]().collect()))["a"] == pytest.approx(1.2, abs=0.01)
+    assert not any(r["is_duplicated"] is False for r in made["marks"]().collect())
+    empty = rows.limit(0)
+    assert paging.rank(empty, "k").count() == duplicates.mark_duplicates(empty, "k").count() == 0
+
+
+def test_quantiles_at_the_ends_of_brackets(spark):
+    """Values that repeat, not-a-number as the largest, infinities, negative zero and columns of not-a-number only."""
+    nan, inf = float("nan"), float("inf")
+    columns = {"few": [float(i % 4) for i in range(400)], "nans": [nan if i % 2 else float(i) for i in range(400)], "ends": [-inf if i < 150 else inf if i > 250 else 1.0 for i in range(400)], "zeros": [-0.0 if i % 2 else 0.0 for i in range(400)], "only": [nan] * 400}
+    df = spark.createDataFrame(list(zip(*columns.values(), strict=True)), ", ".join(f"{c} double" for c in columns)).repartition(3)
+    for most in (quantiles.INSIDE, 50, 1):
+        found = quantiles.column_quantiles(df, [F.col(c) for c in columns], [0.0, 0.25, 1.0], most=most)
+        for c, got in zip(columns, found, strict=True):
+            values = sorted(columns[c], key=lambda v: (math.isnan(v), v))
+            wanted = [values[0], values[99] if values[99] == values[100] else values[99] + (values[100] - values[99]) * 0.75, values[-1]]
+            assert all(a == b or (math.isnan(a) and math.isnan(b)) for a, b in zip(got, wanted, strict=True)), (c, most, got, wanted)
+
+
+def test_texts_that_repeat_are_parsed_once_a_value(spark, monkeypatch):
+    """The same shares whether values are counted first or parsed row by row; nulls count as unparsed, other types as nothing."""
+    texts = ["7/4/1776", "17/10/1982", "1/2/03", "12", "-3", " yes ", "No", "", None, "$5", "1/2/2003 4:05:06", "2020-01-01", "/", "x" * 10_000]
+    df = spark.createDataFrame([(i, texts[i % len(texts)], str(i)) for i in range(1400)], "id long, t string, n string")
+    repeated = {r["column"]: r.asDict() for r in autoclean.parse_fractions(df).collect()}
+    kinds = autoclean.recommend_types(df)
+    monkeypatch.setattr(autoclean, "REPEATS", 1_000_000)
+    assert {r["column"]: r.asDict() for r in autoclean.parse_fractions(df).collect()} == repeated and autoclean.recommend_types(df) == kinds
+    t = repeated["t"]
+    share = lambda n: pytest.approx(n / len(texts))
+    assert t["regular_int_parse"] == t["int_parse"] == share(2) and t["str_bool"] == share(2) and t["us_dates"] == share(1) and t["euro_dates"] == share(2) and t["int_parse_fail"] == share(12)
+    assert repeated["n"]["int_parse"] == 1 and set(list(repeated["id"].values())[1:]) == {0.0} and kinds["n"] == "int"
+    assert {r["column"]: r["us_dates"] for r in autoclean.parse_fractions(df.limit(0)).collect()} == {"id": 0.0, "t": 0.0, "n": 0.0}
