@@ -15,24 +15,30 @@ def _wanted(spec: dict[str, str | list[str]]) -> list[tuple[str, str]]:
     return [(c, a) for c, names in spec.items() for a in ([names] if isinstance(names, str) else names) if a != "null"]
 
 
+#: Types whose values doubles hold exactly, so that those counted for a median tell how many are different.
+_EXACT_AS_DOUBLE = ("tinyint", "smallint", "int", "float", "double")
+
+
 def _medians(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """__of and __median{i}: medians of groups, from values counted and ranked along their order, so that no task holds a group's values."""
+    """__of, __median{i} and __distinct{i}: medians of groups and their numbers of different values, from values counted once and ranked along their order, so that no task holds a group's values."""
     tall = rows.select(F.explode(F.array(*[F.struct(F.struct(col(key).alias("k"), F.lit(i).alias("i")).alias("column"), col(c).cast("double").alias("v")) for i, c in enumerate(columns)])).alias("c")).select("c.*")
     found = quantiles.grouped_quantiles(tall, [0.5])
-    return found.groupBy(F.col("column.k").alias("__of")).agg(*[F.max(F.when(F.col("column.i") == i, F.col("q"))).alias(f"__median{i}") for i in range(len(columns))])
+    made = [F.max(F.when(F.col("column.i") == i, F.col(what))).alias(f"{name}{i}") for i in range(len(columns)) for what, name in (("q", "__median"), ("distinct", "__distinct"))]
+    return found.groupBy(F.col("column.k").alias("__of")).agg(*made)
 
 
 def _aggregated(rows: DataFrame, key: str, wanted: list[tuple[str, str]], order_by: list[str] | None, name: str, counted: bool = False) -> DataFrame:
     medians = list(dict.fromkeys(c for c, a in wanted if a == "median"))
-    plain = [(c, a) for c, a in wanted if a != "median"]
-    rows = aggregates.prepare(rows, plain, [key], order_by)
+    ranked = lambda c, a: a == "median" or (a == "nunique" and c in medians and rows.schema[c].dataType.simpleString() in _EXACT_AS_DOUBLE)
+    plain = [(c, a) for c, a in wanted if not ranked(c, a)]
+    at = {(c, a): F.coalesce(F.col(f"__distinct{medians.index(c)}"), F.lit(0)) if a == "nunique" else F.col(f"__median{medians.index(c)}") for c, a in wanted if ranked(c, a)}
+    found = aggregates.prepare(rows, plain, [key], order_by)
     # an aggregate at least, so that every group has its row
-    grouped = rows.groupBy(col(key)).agg(F.count(F.lit(1)).alias("__n"), *[aggregates.expression(rows, c, a, order_by).alias(name.format(column=c, aggregate=a)) for c, a in plain])
+    grouped = found.groupBy(col(key)).agg(F.count(F.lit(1)).alias("__n"), *[aggregates.expression(found, c, a, order_by).alias(name.format(column=c, aggregate=a)) for c, a in plain])
     if medians:
         grouped = grouped.join(_medians(rows, key, medians), col(key).eqNullSafe(F.col("__of")), "left")
-    at = {c: f"__median{i}" for i, c in enumerate(medians)}
     label = lambda c, a: name.format(column=c, aggregate=a)
-    return grouped.select(col(key), *(["__n"] if counted else []), *[(F.col(at[c]) if a == "median" else col(label(c, a))).alias(label(c, a)) for c, a in wanted])
+    return grouped.select(col(key), *(["__n"] if counted else []), *[at.get((c, a), col(label(c, a))).alias(label(c, a)) for c, a in wanted])
 
 
 def group_by(df: DataFrame, key: str, spec: dict[str, str | list[str]], order_by: list[str] | None = None, name: str = "{column}_{aggregate}") -> DataFrame:

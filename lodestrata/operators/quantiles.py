@@ -141,16 +141,17 @@ def _pick(named: DataFrame, brackets: list[Bracket]) -> list[tuple[float, float]
 
 
 def grouped_quantiles(tall: DataFrame, probabilities: list[float]) -> DataFrame:
-    """column, p, q of a table of (column, v): the same for each `column`, which may be any key; null values don't count.
+    """column, p, q, distinct of a table of (column, v): the same for each `column`, which may be any key, with how many different values it has; null values don't count.
 
     Values are counted (combined before the shuffle), the counts are summed along the order of (column, value) in ranges, and the rows that hold a wanted rank are picked.
     """
     counts = tall.where("v is not null").groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
     placed = running_sum(counts, ["column", "v"], {"upto": F.col("n")})
-    ends = placed.groupBy("column").agg(F.min(F.col("upto") - F.col("n")).alias("start"), F.max("upto").alias("end"))
-    ranks = ends.select(F.col("column").alias("of"), "start", (F.col("end") - F.col("start") - 1).alias("last"), F.explode(F.array(*[F.lit(float(p)) for p in probabilities])).alias("p"))
-    ranks = ranks.withColumn("at", F.col("p") * F.col("last")).select("of", "p", (F.col("at") - F.floor("at")).alias("part"), (F.col("start") + F.floor("at")).alias("lo"), (F.col("start") + F.ceil("at")).alias("hi"))
+    ends = placed.groupBy("column").agg(F.min(F.col("upto") - F.col("n")).alias("start"), F.max("upto").alias("end"), F.count(F.lit(1)).alias("distinct"))
+    ranks = ends.select(F.col("column").alias("of"), "start", "distinct", (F.col("end") - F.col("start") - 1).alias("last"), F.explode(F.array(*[F.lit(float(p)) for p in probabilities])).alias("p"))
+    ranks = ranks.withColumn("at", F.col("p") * F.col("last")).select("of", "p", "distinct", (F.col("at") - F.floor("at")).alias("part"), (F.col("start") + F.floor("at")).alias("lo"), (F.col("start") + F.ceil("at")).alias("hi"))
     holds = lambda rank: (F.col(rank) < F.col("upto")) & (F.col(rank) >= F.col("upto") - F.col("n"))
     found = placed.join(ranks, F.col("column").eqNullSafe(F.col("of"))).where(holds("lo") | holds("hi"))
-    ends = found.groupBy("column", "p").agg(F.max(F.when(holds("lo"), F.col("v"))).alias("a"), F.max(F.when(holds("hi"), F.col("v"))).alias("b"), F.first("part").alias("part"))
-    return ends.select("column", "p", (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias("q"))
+    ends = found.groupBy("column", "p").agg(F.max(F.when(holds("lo"), F.col("v"))).alias("a"), F.max(F.when(holds("hi"), F.col("v"))).alias("b"), F.first("part").alias("part"), F.first("distinct").alias("distinct"))
+    between = F.when((F.col("a") == F.col("b")) | (F.col("part") == 0), F.col("a")).otherwise(F.col("a") + (F.col("b") - F.col("a")) * F.col("part"))
+    return ends.select("column", "p", between.alias("q"), "distinct")
