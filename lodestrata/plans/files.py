@@ -30,20 +30,21 @@ def _path(said: Column) -> Column:
 
 def states_of(rows: DataFrame, by: str) -> DataFrame:
     """A row of states for each value of `by` and other column of rows, in one aggregate."""
-    clean, cells = nullify_nonfinite(rows), []
-    for f in rows.schema:
-        if f.name == by:
-            continue
+    clean, cells, made = nullify_nonfinite(rows), [], []
+    for i, f in enumerate(f for f in rows.schema if f.name != by):
         c, number = col(f.name), types.is_numeric_not_bool(f.dataType)
-        v, none = c.cast("double"), F.first(F.lit(None).cast("double"))
-        sums = [F.sum(F.xxhash64(F.lit(seed), store.content(f)).cast("decimal(38,0)")) for seed in (1, 2)]
         said = F.to_json(F.struct(c)) if types.is_nested(f.dataType) else c
+        # what sketches and sums take is made in the projection below, compiled and once a row; sketches would interpret it
+        made += [*[F.xxhash64(F.lit(seed), store.content(f)).alias(f"__h{seed}_{i}") for seed in (1, 2)], F.when(c.isNotNull(), F.xxhash64(said)).alias(f"__d{i}")]
+        made += [c.cast("double").alias(f"__v{i}")] if number else []
+        v, none = F.col(f"__v{i}"), F.first(F.lit(None).cast("double"))
+        sums = [store.hash_sum(F.col(f"__h{seed}_{i}")) for seed in (1, 2)]
         cells.append(F.struct(
             F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("kind"), F.count(F.lit(1)).alias("rows"), F.count_if(c.isNull()).alias("nulls"), (F.count_if(c == "") if types.is_string(f.dataType) else F.first(F.lit(None).cast("long"))).alias("empties"),
             (F.avg(v) if number else none).alias("mean"), (F.var_pop(v) * F.count(v) if number else none).alias("m2"), (F.min(v) if number else none).alias("least"), (F.max(v) if number else none).alias("most"),
-            sums[0].alias("sum_1"), sums[1].alias("sum_2"), F.hll_sketch_agg(F.when(c.isNotNull(), F.xxhash64(said)), F.lit(12)).alias("distinct"), (F.kll_sketch_agg_double(v) if number else F.first(F.lit(None).cast("binary"))).alias("ranks"),
+            sums[0].alias("sum_1"), sums[1].alias("sum_2"), F.hll_sketch_agg(f"__d{i}", F.lit(12)).alias("distinct"), (F.kll_sketch_agg_double(v) if number else F.first(F.lit(None).cast("binary"))).alias("ranks"),
         ))
-    return clean.groupBy(col(by)).agg(F.array(*cells).alias("x")).select(col(by), F.explode("x").alias("x")).select(by, "x.*")
+    return clean.select("*", *made).groupBy(col(by)).agg(F.array(*cells).alias("x")).select(col(by), F.explode("x").alias("x")).select(by, "x.*")
 
 
 def merged(states: DataFrame) -> DataFrame:
@@ -86,18 +87,22 @@ class FileProfiles:
     def update(self, table: str) -> int:
         """Reads the files that have no state yet; how many they are."""
         listed, known = self.files(table), self.states().select("file_path", "modified", "bytes").distinct()
-        new = listed.join(known, ["file_path", "modified", "bytes"], "left_anti")
+        key = ["file_path", "modified", "bytes"]
+        new = listed.join(known, key, "left_anti")
         paths = [r["as_listed"] for r in new.select("as_listed").collect()]  # the names of what is to be read
         self.files_read = len(paths)
         if paths:
             rows = self.read(self.spark, paths)
-            made = states_of(rows.select("*", _path(F.col("_metadata.file_path")).alias(_FILE)), _FILE).withColumnRenamed(_FILE, "file_path")
-            stamped = made.join(F.broadcast(new.select("file_path", "modified", "bytes")), "file_path").withColumn("stored_at", F.current_timestamp())
+            made = states_of(rows.select("*", F.col("_metadata.file_path").alias(_FILE)), _FILE).withColumn("file_path", _path(F.col(_FILE)))  # a path a file is unescaped, not one a row
+            self._store(made.join(F.broadcast(new.select(*key)), "file_path"))
             # a file without rows has no group: its state is nothing, so it is listed as read
-            empty = new.join(made.select("file_path").distinct(), "file_path", "left_anti").select("file_path", "modified", "bytes", F.current_timestamp().alias("stored_at"))
-            stamped.unionByName(empty, allowMissingColumns=True).select(*[F.col(f.name).cast(f.dataType) for f in T.StructType.fromDDL(STATES)]).write.mode("append").parquet(f"{self.path}/states")
+            self._store(new.select(*key).join(self.states().select(*key).distinct(), key, "left_anti"))
         return self.files_read
 
+    def _store(self, states: DataFrame) -> None:
+        said = {f.name: F.col(f.name) if f.name in states.columns else F.lit(None) for f in T.StructType.fromDDL(STATES)} | {"stored_at": F.current_timestamp()}
+        states.select(*[said[f.name].cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(STATES)]).write.mode("append").parquet(f"{self.path}/states")
+
     def current(self, table: str) -> DataFrame:
         """The states of the table's files as they are now."""
         self.update(table)

@@ -32,7 +32,7 @@ def fingerprints(df: DataFrame) -> DataFrame:
     """
     cells = []
     for f in df.schema:
-        total = lambda seed, f=f: F.sum(F.xxhash64(F.lit(seed), content(f)).cast("decimal(38,0)"))
+        total = lambda seed, f=f: hash_sum(F.xxhash64(F.lit(seed), content(f)))
         mark = mark_of(total(1), total(2), F.count(F.lit(1)), F.count(col(f.name)), F.first(F.lit(f.dataType.simpleString())))
         cells.append(F.struct(F.lit(f.name).alias("column"), mark.alias("fingerprint")))
     return df.agg(F.array(*cells).alias("x")).select(F.explode("x").alias("x")).select("x.*")
@@ -46,6 +46,14 @@ def content(f: T.StructField) -> Column:
     return c
 
 
+def hash_sum(h: Column) -> Column:
+    """The exact sum of hashes, as a decimal: three parts of each hash are added as longs, which hold for 2**42 rows, instead of a decimal a row."""
+    most = (1 << 21) - 1
+    parts = [F.sum(F.shiftright(h, 42)), F.sum(F.shiftright(h, 21).bitwiseAND(most)), F.sum(h.bitwiseAND(most))]
+    high, middle, low = (p.cast("decimal(38,0)") for p in parts)
+    return (high * F.lit(1 << 42) + middle * F.lit(1 << 21) + low).cast("decimal(38,0)")
+
+
 def mark_of(sum_1: Column, sum_2: Column, rows: Column, non_null: Column, kind: Column) -> Column:
     none = F.lit(0).cast("decimal(38,0)")
     return F.sha2(F.concat_ws("|", F.coalesce(sum_1, none).cast("string"), F.coalesce(sum_2, none).cast("string"), rows.cast("string"), non_null.cast("string"), kind), 256)

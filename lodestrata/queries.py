@@ -611,14 +611,15 @@ def profile_by_files(spark, d):
     df = read(spark, d, "lineitem").select(*_BY_FILE, "l_returnflag")
     table, kept = shared.new_path(spark), files.FileProfiles(spark, shared.new_path(spark))
     late = F.col("l_orderkey") % 3 == 0
-    df.where(~late).repartition(4, "l_orderkey").write.parquet(table)
+    groups = {"parquet.block.size": 8 << 20}  # bytes of a row group: few large files are read by as many tasks as a core needs
+    df.where(~late).repartition(4, "l_orderkey").write.options(**groups).parquet(table)
     reads = [("read at first", kept.update(table)), ("read again", kept.update(table))]
-    df.where(late).repartition(2, "l_orderkey").write.mode("append").parquet(table)
+    df.where(late).repartition(2, "l_orderkey").write.options(**groups).mode("append").parquet(table)
     reads.append(("read after two more", kept.update(table)))
-    marks = kept.fingerprints(table)
-    same = marks.join(store.fingerprints(df), ["column", "fingerprint"]).count()
+    marks, whole = kept.fingerprints(table), shared.keep(store.fingerprints(df))
+    same = marks.join(whole, ["column", "fingerprint"]).count()
     columns = store.ProfileStore(spark, shared.new_path(spark))
-    columns.profile(df)
+    columns.profile(df, marks=whole)
     columns.runs.misses = 0
     columns.profile(spark.read.parquet(table), marks=marks)
     said = [("files", k, float(v)) for k, v in reads] + [("columns", "same fingerprint", float(same)), ("columns", "profiled anew", float(columns.runs.misses))]

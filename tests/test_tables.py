@@ -667,6 +667,18 @@ def test_profiles_by_file(spark, tmp_path):
     assert again["k", "length"] == 7 and again["k", "max"] == 6 and ("v", "length") not in again
 
 
+def test_hashes_are_added_as_longs(spark):
+    """Exactly, and by no decimal and no text function a row."""
+    values = [-(1 << 63), (1 << 63) - 1, -1, 0, 1, (1 << 42) - 1, -(1 << 42), 1 << 21, None] * 50
+    df = spark.createDataFrame([(i % 2, v) for i, v in enumerate(values)], "k int, h long")
+    want = {k: sum(v for i, v in enumerate(values) if i % 2 == k and v is not None) for k in (0, 1)}
+    assert {r["k"]: int(r["s"]) for r in df.groupBy("k").agg(store.hash_sum(F.col("h")).alias("s")).collect()} == want
+    assert df.where("k > 5").agg(store.hash_sum(F.col("h")).alias("s")).first()["s"] is None
+    for made in (store.fingerprints(df), files.states_of(df, "k")):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert not re.search(r"sum\(cast\(xxhash64|hll_sketch_agg\((CASE|if|xxhash64)", plan), plan
+
+
 @pytest.fixture
 def shuffled_joins(spark):
     """No adaptive plans, no broadcast that isn't asked for."""
