@@ -6,13 +6,13 @@ however few lines it stands; words=None leaves the shorter windows out.
 
 1. Select: the least line hash of each window (the rightmost of equal ones) is its fingerprint. Equal windows select the same place, so a window that repeats has a fingerprint that repeats. Only
    selected lines are stored, with their position, the windows that selected them, and the digests of the lines around.
-2. Join: positions of fingerprints that stand at one position only are dropped.
+2. Join: positions of fingerprints that stand at one position only are dropped, most of them by a bitmap of those that repeat (skew.maybe_in), the others by a join.
 3. Extend: from each position that is left the windows that selected it are read off its surroundings, before and after it, and meet by their lines' digests. One that occurs earlier, in order of (id, line), marks its
-   lines; adjoining windows make up a repeated run of any length. Marked lines are deleted.
+   lines; adjoining windows make up a repeated run of any length. Marked lines are deleted. Texts that a bitmap shows to lose nothing stay where they are; only the others are shuffled to meet their lines.
 
 What is joined is one row a distinct fingerprint or window, never pairs of positions, so a line that a third of all documents
 share is one row there, and rows of frequent ones aren't gathered (skew.look_up). A fast hash chooses fingerprints; lines
-and windows are compared by 128 bits of SHA-256. Null text stays null and counts no lines. A null id comes after all others. Rows that share an id and
+and windows are compared by 128 bits of SHA-256. Joins are shuffled on small tables too, so that what is measured there grows in proportion. The table is read three times. Null text stays null and counts no lines. A null id comes after all others. Rows that share an id and
 text are at equal positions and don't delete each other's lines. An empty table gives an empty result.
 """
 
@@ -62,10 +62,12 @@ def repeated_lines(rows: DataFrame, run: int, words: int | None) -> DataFrame:
     every = scratch.keep(positions(rows, run, words), "line-positions")
     order = lambda line: F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), line.alias("line"))
     again = every.groupBy("mark").agg(F.min(order(F.col("mark_line"))).alias("a"), F.max(order(F.col("mark_line"))).alias("b"), F.count(F.lit(1)).alias("n")).where("a < b")
-    near = extended(scratch.keep(skew.look_up(every, scratch.keep(again.select("mark", "n"), "line-marks"), ["mark"], "n", "inner"), "line-matches"), run)
+    marks = scratch.keep(again.select("mark", "n"), "line-marks")
+    likely = skew.maybe_in(every, marks, F.col("mark"), F.col("mark"), "likely").where("likely").drop("likely")
+    near = extended(scratch.keep(skew.look_up(likely, marks, ["mark"], "n", "inner", hint="merge"), "line-matches"), run)
     start = order(F.col("its_lines")[0])
     first = near.groupBy("window").agg(F.min(start).alias("first"), F.max(start).alias("last"), F.count(F.lit(1)).alias("n")).where("first < last").drop("last")
-    marked = skew.look_up(near, scratch.keep(first, "line-firsts"), ["window"], "n", "inner").where(start > F.col("first"))
+    marked = skew.look_up(near, scratch.keep(first, "line-firsts"), ["window"], "n", "inner", hint="merge").where(start > F.col("first"))
     gone = marked.groupBy("id", "row_key", "n_lines").agg(F.flatten(F.collect_set("its_lines")).alias("gone"))
     gone = gone.withColumn("gone", F.array_sort(F.array_distinct("gone")))
     return gone.withColumn("kept", F.array_except(F.sequence(F.lit(0), F.col("n_lines") - 1), F.col("gone")))
@@ -75,13 +77,16 @@ def dedup(docs: DataFrame, run: int = 3, id_col: str = "doc_id", text_col: str =
     """docs with _line_kept_text, _line_lines (number of lines) and _line_removed; words=None: runs of `run` lines only."""
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row_key"), F.split(text_col, "\n", -1).alias("lines")).where("lines is not null")
     found = repeated_lines(rows, run, words).select(F.col("id").alias("_line_id"), F.col("row_key").alias("_line_key"), "gone", F.col("kept").alias("_line_kept"))
-    found = found.select("_line_id", "_line_key", "_line_kept", F.size("gone").cast("long").alias("_line_gone"))
+    found = scratch.keep(found.select("_line_id", "_line_key", "_line_kept", F.size("gone").cast("long").alias("_line_gone")), "line-losses")
+    told = skew.maybe_in(docs.withColumn("_line_hash", F.xxhash64(text_col)), found, F.xxhash64(F.col(id_col), F.col("_line_hash")), F.xxhash64("_line_id", "_line_key"), "_line_likely")
+    count = lambda parts: F.when(parts.isNull(), F.lit(0)).otherwise(F.size(parts)).cast("long").alias("_line_lines")
+    own, none = [F.col(f"`{c}`") for c in docs.columns], F.lit(0).cast("long")
+    whole = told.where(~F.col("_line_likely")).select(*own, F.col(text_col).alias("_line_kept_text"), count(F.split(text_col, "\n", -1)), none.alias("_line_removed"))
     # the lines are made below the join, so that each is looked up in an array that exists
-    own = docs.withColumns({"_line_parts": F.split(text_col, "\n", -1), "_line_hash": F.xxhash64(text_col)})
-    out = own.join(found, F.col(id_col).eqNullSafe(F.col("_line_id")) & (F.col("_line_hash") == F.col("_line_key")), "left")
+    likely = told.where("_line_likely").withColumn("_line_parts", F.split(text_col, "\n", -1))
+    met = likely.join(found.hint("merge"), F.col(id_col).eqNullSafe(F.col("_line_id")) & (F.col("_line_hash") == F.col("_line_key")), "left")
     text = F.when(F.col("_line_kept").isNull(), F.array_join("_line_parts", "\n")).otherwise(F.array_join(F.transform("_line_kept", lambda k: F.get("_line_parts", k)), "\n"))
-    columns = {"_line_kept_text": text, "_line_lines": F.when(F.col("_line_parts").isNull(), F.lit(0)).otherwise(F.size("_line_parts")).cast("long"), "_line_removed": F.coalesce("_line_gone", F.lit(0).cast("long"))}
-    return out.withColumns(columns).select(*[F.col(f"`{c}`") for c in docs.columns], *columns)
+    return whole.unionByName(met.select(*own, text.alias("_line_kept_text"), count(F.col("_line_parts")), F.coalesce("_line_gone", none).alias("_line_removed")))
 
 
 def _counts(found: DataFrame) -> DataFrame:

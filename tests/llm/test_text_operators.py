@@ -366,6 +366,34 @@ def test_look_up(spark):
         assert rows(skew.look_up(df, table, ["k"], "n", "inner", share=share)) == sorted((w for w in want if w[3] is not None), key=repr)
 
 
+def test_maybe_in_never_denies(spark):
+    df = spark.range(3000).withColumn("h", F.when(F.col("id") % 11 > 0, F.xxhash64("id"))).withColumn("a.b", F.col("id"))
+    keys = df.where("id % 7 = 0").select(F.col("h").alias("g"))
+    for bits in (skew.FILTER_BITS, 1 << 10, 1):
+        got = skew.maybe_in(df, keys, F.col("h"), F.col("g"), "said", bits)
+        assert got.columns == ["id", "h", "a.b", "said"] and got.count() == 3000
+        assert got.where("not said and id % 7 = 0 and h is not null").isEmpty() and got.where("said and h is null").isEmpty()
+        assert (got.where("said and id % 7 > 0").count() < 10) == (bits == skew.FILTER_BITS)
+    assert skew.maybe_in(df, keys.limit(0), F.col("h"), F.col("g"), "said").where("said").isEmpty()
+
+
+def test_line_dedup_shuffles_only_texts_that_lose_lines(spark, monkeypatch):
+    """With a filter of one bit all texts meet their lines, with the usual one those that lose some; results are the same."""
+    table = [(i, f"a{i}\nb{i}\nc{i}\nd{i}" if i % 5 else "x\ny\nz\nown" + str(i)) for i in range(100)] + [(None, "x\ny\nz"), (200, None)]
+    df, sent, make = spark.createDataFrame(table, "doc_id long, text string").repartition(3), [], skew.maybe_in
+
+    def counted(bits, rows, keys, of, its, flag):
+        out = make(rows, keys, of, its, flag, bits)
+        sent.append(out.where(flag).count())
+        return out
+
+    for bits in (skew.FILTER_BITS, 1):
+        monkeypatch.setattr(skew, "maybe_in", lambda *a, bits=bits: counted(bits, *a))
+        assert rows(line_dedup.dedup(df).select("doc_id", "_line_kept_text", "_line_lines", "_line_removed")) == plain_lines(table, 3)
+    # each run filters positions first, then texts
+    assert sent[1] == 20 and sent[3] == len(table) and sent[0] < sent[2]
+
+
 def test_what_is_kept_is_dropped(spark):
     from pathlib import Path
 
