@@ -8,7 +8,7 @@ its transpose. The product is made in blocks that can hold linked pairs only, an
    of each (their prefixes). Prefix columns that one class only has are dropped.
 3. Blocks of classes that agree in the least hash of their prefix columns, in tiles that share a leading document,
    are multiplied whole, and a spanning forest of the links found is kept. No pairs of a block leave its task.
-4. What is left are pairs that share a prefix column and aren't connected yet. Classes that crowd on a column make clusters, which are multiplied whole, in pairs of
+4. What is left are pairs that share a prefix column and aren't connected yet. Classes that crowd on columns and share several of these with their least class make clusters, which are multiplied whole, in pairs of
    tiles. Other pairs' overlap counts in the prefixes are accumulated over all columns, only across classes that aren't connected; a column of many classes is dealt over
    tasks in pairs of bounded parts. A pair stays if its count with all that may follow reaches the overlap its sizes need. Those left are multiplied as in 3.
 
@@ -46,12 +46,18 @@ MOST_COMMON = 1 << 20
 RARE = 1000
 #: Step 3 takes classes that share this part of their prefix columns at least; step 4 takes all.
 LIKELY = 0.4
-#: A column that more likely classes share makes a cluster of them.
+#: A column that more likely classes share is crowded.
 CROWD = 64
+#: So many crowded columns in common with the least class of each make a class one of its cluster. To count a pair on fewer costs less than to multiply it, and chance would chain all classes.
+CROWD_SHARES = 8
 #: Classes of a column that one task pairs; a column of more is dealt in parts.
 COLUMN_PART = 2048
 #: Documents of a group that must have a column for it to be counted.
 COMMON_HERE = 3
+#: Pairs that a task holds before it counts them, and rows that it hands over at once.
+PENDING, AT_ONCE = 2_000_000, 1 << 16
+#: Blocks and tiles that one set goes to.
+PLACES = pa.list_(pa.struct([("block", pa.int64()), ("tile", pa.int64())]))
 
 
 def shingles(buf: np.ndarray, off: np.ndarray, n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -106,17 +112,19 @@ def product(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
     """For each set the first set of its component under the links of these sets. Counts of rare columns are added pair by pair, others as dense blocks."""
     m = len(sets)
     size = np.array([len(s) for s in sets], np.int64)
-    doc = np.repeat(np.arange(m), size)
-    _, column, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.concatenate(sets)
     order = np.argsort(column, kind="stable")
-    doc, column = doc[order], column[order]
-    start = np.concatenate([[0], np.cumsum(df)])[:-1]
+    doc, column = np.repeat(np.arange(m, dtype=np.int32), size)[order], column[order]
+    del order
+    start = np.flatnonzero(np.concatenate([np.ones(1, bool), column[1:] != column[:-1]])[: len(column)])
+    df = np.diff(start, append=len(column))
+    del column
     overlap = np.zeros((m, m), np.float32)
     for k in range(2, min(8, m) + 1):
-        rows = doc[start[df == k][:, None] + np.arange(k)]
-        for i in range(k):
+        rows = doc[start[df == k][:, None] + np.arange(k)].astype(np.int64)
+        for i in range(k if len(rows) else 0):
             for j in range(i + 1, k):
-                overlap += np.bincount(rows[:, i] * m + rows[:, j], minlength=m * m).reshape(m, m).astype(np.float32)
+                overlap += np.bincount(rows[:, i] * m + rows[:, j], minlength=m * m).reshape(m, m)
     overlap += overlap.T
     dense = np.flatnonzero(df > 8)
     for lo in range(0, len(dense), 2048):
@@ -124,12 +132,14 @@ def product(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
         block = np.zeros((m, len(part)), np.float32)
         block[doc[ts.spread(start[part], df[part])], np.repeat(np.arange(len(part)), df[part])] = 1
         overlap += block @ block.T
-    total = size[:, None] + size[None, :]
-    link = (num + den) * overlap.astype(np.int64) >= num * total
+    link = np.empty((m, m), bool)
+    for lo in range(0, m, 256):
+        link[lo : lo + 256] = (num + den) * overlap[lo : lo + 256].astype(np.int64) >= num * (size[lo : lo + 256, None] + size[None, :])
+    del overlap
     np.fill_diagonal(link, True)
     label = np.arange(m)
     while True:
-        new = np.where(link, label[None, :], m).min(axis=1)
+        new = np.concatenate([np.where(link[lo : lo + 256], label[None, :], m).min(axis=1) for lo in range(0, m, 256)])
         new = np.minimum(new, new[new])
         if (new == label).all():
             return label
@@ -306,36 +316,33 @@ class Join:
         wanted = wanted.select(F.shiftright("rid", 20).alias("grp"), "block", "tile", "rid")
 
         def fetch(left: pa.Table, right: pa.Table) -> pa.Table:
-            out = {"block": [], "tile": [], "rid": [], "columns": []}
+            """Each wanted row's set once, with the places that it goes to: however many these are, texts and sets are those of the group."""
+            rids, sets, places = [], [], pa.array([], PLACES)
             if left.num_rows and right.num_rows:
-                side = right.to_pylist()
-                rows = np.unique(np.array([r["rid"] & 0xFFFFF for r in side], np.int64))
+                right = right.sort_by("rid")
+                rid = right.column("rid").to_numpy()
+                new = np.flatnonzero(np.diff(rid, prepend=rid[0] - 1))
+                rids, rows = rid[new], rid[new] & 0xFFFFF
+                place = pa.StructArray.from_arrays([right.column(c).combine_chunks() for c in ("block", "tile")], ["block", "tile"])
+                places = pa.ListArray.from_arrays(pa.array([*new, len(rid)], pa.int32()), place)
                 texts = hr.in_order(left).column("text").take(pa.array(rows))
                 buf, off = ts.raw(texts)
-                sets = {}
                 for lo, hi in ts.groups(off):
                     doc, h = shingles(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], n, which=1)
                     at = np.searchsorted(doc, np.arange(hi - lo + 1))
-                    for i in range(lo, hi):
-                        sets[int(rows[i])] = h[at[i - lo] : at[i - lo + 1]]
-                blob = {k: hr.dump(v) for k, v in sets.items()}
-                for r in side:
-                    k = r["rid"] & 0xFFFFF
-                    out["block"].append(r["block"])
-                    out["tile"].append(r["tile"])
-                    out["rid"].append(r["rid"])
-                    out["columns"].append(np.int64(len(sets[k])).tobytes() + blob[k])
-            return pa.table({"block": pa.array(out["block"], pa.int64()), "tile": pa.array(out["tile"], pa.int64()), "rid": pa.array(out["rid"], pa.int64()), "columns": pa.array(out["columns"], pa.binary())})
+                    sets += [np.int64(y - x).tobytes() + hr.dump(h[x:y]) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            return pa.table({"rid": pa.array(rids, pa.int64()), "columns": pa.array(sets, pa.binary()), "places": places})
 
         def multiply(table: pa.Table) -> pa.Table:
             table = table.sort_by("rid")
             rid = table.column("rid").to_numpy()
-            sets = [hr.load(x[8:], int(np.frombuffer(x[:8], np.int64)[0])) for x in table.column("columns").to_pylist()]
+            sets = [hr.load(x[8:], int(np.frombuffer(x[:8], np.int64)[0])) for x in (x.as_py() for x in table.column("columns"))]
             label = product(sets, num, den)
             ok = label != np.arange(len(label))
             return pa.table({"u": pa.array(rid[ok]), "v": pa.array(rid[label[ok]])})
 
-        fetched = self.store.groupBy("grp").cogroup(wanted.groupBy("grp")).applyInArrow(fetch, "block long, tile long, rid long, columns binary")
+        fetched = self.store.groupBy("grp").cogroup(wanted.groupBy("grp")).applyInArrow(fetch, "rid long, columns binary, places array<struct<block: long, tile: long>>")
+        fetched = fetched.select("rid", "columns", F.explode("places").alias("place")).select("place.block", "place.tile", "rid", "columns")
         return scratch.keep(fetched.groupBy("block", "tile").applyInArrow(multiply, "u long, v long"), "jaccard-links")
 
     def likely(self):
@@ -345,7 +352,7 @@ class Join:
     def left_over(self, found: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
         """What may still link: (block, rid of clusters, u and v of pairs).
 
-        Columns that many likely classes share connect these to clusters, whose rows must all meet. Other pairs that share a column and aren't connected are pairs
+        Columns that many likely classes share connect to clusters those that share several of them with the least class there; rows of a cluster must all meet. Other pairs that share a column and aren't connected are pairs
         if the columns that they share and those beyond their prefixes may reach the overlap that their sizes need.
         """
         num, den = self.num, self.den
@@ -357,9 +364,10 @@ class Join:
         open_ = by_root.groupBy("column").agg(F.min("root").alias("a"), F.max("root").alias("b"), (F.sum("crowded") > CROWD).alias("crowd"), F.min("lead").alias("lead"), F.sum("rows").alias("rows")).where("a <> b")
         entries = scratch.keep(entries.join(open_.drop("a", "b"), "column"), "jaccard-open-entries")
         crowds = entries.where("crowd and likely")
-        clusters = components.components(crowds.where("rid <> lead").select(F.col("rid").alias("u"), F.col("lead").alias("v")))
-        members = crowds.groupBy("rid").agg(F.first("n").alias("n")).join(clusters.withColumnRenamed("node", "rid"), "rid", "left")
-        members = scratch.keep(members.select(F.coalesce("root", "rid").alias("block"), "rid", "n"), "jaccard-clusters")
+        alike = crowds.where("rid <> lead").groupBy("rid", "lead").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= CROWD_SHARES)
+        clusters = components.components(alike.select(F.col("rid").alias("u"), F.col("lead").alias("v")))
+        members = clusters.select(F.col("root").alias("block"), F.col("node").alias("rid")).unionByName(clusters.select(F.col("root").alias("block"), F.col("root").alias("rid")).distinct())
+        members = scratch.keep(members.join(found.select("rid", "n"), "rid").select("block", "rid", "n"), "jaccard-clusters")
         # rows of one cluster meet there, those of one root are connected: rows of one unit needn't meet
         unit = F.coalesce(2 * F.col("cluster") + 1, 2 * F.col("root"))
         tasks = scratch.parts_for(entries.count(), 100_000, 8)
@@ -386,23 +394,24 @@ class Join:
             ids, first, row = np.unique(rid, return_index=True, return_inverse=True)
             size = n[first]
 
-            def combined(parts: list[np.ndarray]) -> pa.RecordBatch:
-                a, b = np.concatenate(parts, axis=1) if parts else np.zeros((2, 0), np.int64)
-                pair, c = np.unique(np.minimum(a, b) * len(ids) + np.maximum(a, b), return_counts=True)
-                a, b = pair // max(len(ids), 1), pair % max(len(ids), 1)
-                return pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[a], ids[b], size[a], size[b], c)], ["u", "v", "nu", "nv", "c"])
+            def combined(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+                pair, c = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.int64), return_counts=True)
+                for lo in range(0, max(len(pair), 1), AT_ONCE):
+                    a, b = np.divmod(pair[lo : lo + AT_ONCE], max(len(ids), 1))
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[a], ids[b], size[a], size[b], c[lo : lo + AT_ONCE])], ["u", "v", "nu", "nv", "c"])
 
             parts, pending = [], 0
             for i, j in across(group, unit, n, num, den):
                 may = np.minimum(shared[i], shared[j]) + np.maximum(beyond[i], beyond[j]) >= overlap_needed(n[i] + n[j], num, den)
                 may &= root[i] != root[j]
                 may &= (own[i] != own[j]) | (p[i] == q[i])  # two of one part meet in its part with itself
-                parts.append(np.stack([row[i[may]], row[j[may]]]))
-                pending += parts[-1].shape[1]
-                if pending > 4_000_000:
-                    yield combined(parts)
+                a, b = row[i[may]], row[j[may]]
+                parts.append(np.minimum(a, b) * len(ids) + np.maximum(a, b))
+                pending += len(a)
+                if pending > PENDING:
+                    yield from combined(parts)
                     parts, pending = [], 0
-            yield combined(parts)
+            yield from combined(parts)
 
         pairs = entries.groupBy("task").applyInArrow(count, "u long, v long, nu long, nv long, c long").groupBy("u", "v", "nu", "nv").agg(F.sum("c").alias("c"))
         after = F.expr(f"greatest((nu * {num} + {den - 1}) div {den}, (nv * {num} + {den - 1}) div {den}) - 1")

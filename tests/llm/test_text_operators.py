@@ -5,6 +5,7 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -333,6 +334,47 @@ def test_jaccard_join_of_a_column_of_many(spark, monkeypatch, most):
         assert rows(jaccard_join.link(df, n=4, num=num, den=den)) == plain_components(table, 4, num, den)
 
 
+@pytest.mark.parametrize("shares", [1, 8])
+def test_jaccard_join_of_a_crowd(spark, monkeypatch, shares):
+    """Near copies that crowd on columns, and texts that only chance columns chain to them: sets leave their group once, pairs are handed over in small parts, and chains are no clusters."""
+    monkeypatch.setattr(jaccard_join, "CROWD", 5)
+    monkeypatch.setattr(jaccard_join, "CROWD_SHARES", shares)
+    monkeypatch.setattr(jaccard_join, "MOST_COMMON", 0)
+    monkeypatch.setattr(jaccard_join, "PENDING", 50)
+    monkeypatch.setattr(jaccard_join, "AT_ONCE", 7)
+    r = random.Random(21)
+    base = [f"b{i}" for i in range(400)]
+    texts = [" ".join(f"e{k}" if r.random() < 0.03 else w for w in base) for k in range(30)]
+    phrases = [" ".join(f"p{k}x{i}" for i in range(8)) for k in range(12)]
+    texts += [f"{phrases[k]} {k}a{i} {phrases[(k + 1) % 12]}" for k in range(12) for i in range(10)]
+    r.shuffle(texts)
+    table = list(enumerate(texts))
+    df = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
+    clusters, keep = [], scratch.keep
+
+    def kept(df, name):
+        out = keep(df, name)
+        clusters.extend([r["count"] for r in out.groupBy("block").count().collect()] if name == "jaccard-clusters" else [])
+        return out
+
+    monkeypatch.setattr(scratch, "keep", kept)
+    assert rows(jaccard_join.link(df, n=4, num=85, den=100, tile=10)) == plain_components(table, 4, 85, 100)
+    assert max(clusters) == 30 if shares == 8 else max(clusters) > 40
+
+
+def test_product_in_little_memory():
+    """Two tiles at once: no more than a few times their counts of 16 MB."""
+    r = np.random.default_rng(5)
+    base = r.integers(0, 1 << 62, 700).astype(np.uint64)
+    sets = [np.unique(np.concatenate([r.choice(base, 350), r.integers(0, 1 << 62, 700).astype(np.uint64)])) for _ in range(1999)]
+    sets.append(sets[7])
+    tracemalloc.start()
+    label = jaccard_join.product(sets, 85, 100)
+    assert tracemalloc.get_traced_memory()[1] < 120e6
+    tracemalloc.stop()
+    assert label[1999] == 7 and (label[:1999] == np.arange(1999)).all()
+
+
 def test_pairs_across_units():
     r = np.random.default_rng(2)
     for _ in range(30):
