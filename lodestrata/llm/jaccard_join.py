@@ -147,7 +147,7 @@ def product(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
 
 
 def prefixes(table: pa.Table, common: Common, rows: np.ndarray, n: int, num: int, den: int):
-    """(row, column hash, size of the set) of the prefixes of some rows of a group."""
+    """(row, column hash, place of the column in the order, size of the set) of the prefixes of some rows of a group. Places may tie, but never swap."""
     table = hr.in_order(table)
     buf, off = ts.raw(table.column("text"))
     wanted = np.zeros(table.num_rows, bool)
@@ -158,12 +158,13 @@ def prefixes(table: pa.Table, common: Common, rows: np.ndarray, n: int, num: int
         doc, h = shingles(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], n)
         ok = wanted[lo + doc]
         doc, h = doc[ok], h[ok]
-        order = np.argsort((doc << 8) | common.of(h), kind="stable")  # hashes ascend within a document and tier
-        doc, h = doc[order], h[order]
+        tier = common.of(h)
+        order = np.argsort((doc << 8) | tier, kind="stable")  # hashes ascend within a document and tier
+        doc, h, tier = doc[order], h[order], tier[order]
         count = np.bincount(doc, minlength=hi - lo)
         place = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
         ok = place < prefix_length(count[doc], num, den)
-        yield doc[ok] + lo, h[ok], count[doc[ok]]
+        yield doc[ok] + lo, h[ok], (tier[ok].astype(np.int64) << 56) | (h[ok] >> ts.U(8)).view(np.int64), count[doc[ok]]
 
 
 def across(group: np.ndarray, unit: np.ndarray, n: np.ndarray, num: int, den: int, most: int = 1_000_000):
@@ -251,7 +252,7 @@ class Join:
         return Common(got.column("column").to_numpy().view(ts.U), got.column("docs").to_numpy())
 
     def candidates(self, reps: DataFrame, common: Common) -> DataFrame:
-        """rid, n, columns (those of the prefix that another class has in its own) of each class's row with any."""
+        """rid, n, last (place of the prefix's last column), columns (those of the prefix that another class has in its own) of each class's row with any."""
         shared = self.store.sparkSession.sparkContext.broadcast(common)
         meeting, how = self.meeting, (self.n, self.num, self.den)
 
@@ -259,7 +260,7 @@ class Join:
             if not left.num_rows or not right.num_rows:
                 return meeting.none()
             rows = np.asarray(right.column("rid")) & 0xFFFFF
-            hashes = [h for _, h, _ in prefixes(left, shared.value, rows, *how)]
+            hashes = [h for _, h, _, _ in prefixes(left, shared.value, rows, *how)]
             u, times = np.unique(np.concatenate(hashes), return_counts=True)
             return meeting.send(right.column("grp")[0].as_py(), u, several=times > 1)
 
@@ -271,29 +272,31 @@ class Join:
             return mask | (others["several"] > 0), {}
 
         def take(left: pa.Table, right: pa.Table) -> pa.Table:
-            rid, size, columns = [], [], []
+            rid, size, last, columns = [], [], [], []
             if left.num_rows and right.num_rows:
                 rids = right.column("rid").drop_null()
                 live, _ = meeting.answers(right.filter(right.column("rid").is_null()))
                 if len(live) and len(rids):
                     rows = rids.to_numpy() & 0xFFFFF
                     grp = right.column("grp")[0].as_py()
-                    for doc, h, count in prefixes(left, shared.value, rows, *how):
+                    for doc, h, place, count in prefixes(left, shared.value, rows, *how):
                         ok = hr.member(h, live)
                         if not ok.any():
                             continue
+                        place = place[np.searchsorted(doc, doc[ok], "right") - 1]
                         doc, h, count = doc[ok], h[ok], count[ok]
                         new = np.flatnonzero(np.diff(doc, prepend=-1))
                         for a, b in zip(new.tolist(), [*new[1:].tolist(), len(doc)], strict=True):
                             rid.append((grp << 20) + int(doc[a]))
                             size.append(int(count[a]))
+                            last.append(int(place[a]))
                             columns.append(h[a:b].view(np.int64))
-            return pa.table({"rid": pa.array(rid, pa.int64()), "n": pa.array(size, pa.int64()), "columns": pa.array(columns, pa.list_(pa.int64()))})
+            return pa.table({"rid": pa.array(rid, pa.int64()), "n": pa.array(size, pa.int64()), "last": pa.array(last, pa.int64()), "columns": pa.array(columns, pa.list_(pa.int64()))})
 
         mine = reps.select(F.shiftright("rid", 20).alias("grp"), "rid")
         packets = self.store.groupBy("grp").cogroup(mine.groupBy("grp")).applyInArrow(probe, meeting.SCHEMA)
         side = meeting.met(packets, repeated).unionByName(mine, allowMissingColumns=True)
-        return scratch.keep(self.store.groupBy("grp").cogroup(side.groupBy("grp")).applyInArrow(take, "rid long, n long, columns array<long>"), "jaccard-candidates")
+        return scratch.keep(self.store.groupBy("grp").cogroup(side.groupBy("grp")).applyInArrow(take, "rid long, n long, last long, columns array<long>"), "jaccard-candidates")
 
     def links(self, members: DataFrame, whole: bool = False) -> DataFrame:
         """u, v: a spanning forest of the links within each block of members(block, rid, n).
@@ -353,10 +356,10 @@ class Join:
         """What may still link: (block, rid of clusters, u and v of pairs).
 
         Columns that many likely classes share connect to clusters those that share several of them with the least class there; rows of a cluster must all meet. Other pairs that share a column and aren't connected are pairs
-        if the columns that they share and those beyond their prefixes may reach the overlap that their sizes need.
+        if the columns that they share and those beyond the prefix that ends first may reach the overlap that their sizes need: a shared column is in both prefixes or beyond that one.
         """
         num, den = self.num, self.den
-        entries = found.join(roots.withColumnRenamed("node", "rid"), "rid", "left").select("rid", "n", F.size("columns").cast("long").alias("shared"), self.likely().alias("likely"), F.coalesce("root", "rid").alias("root"), F.explode("columns").alias("column"))
+        entries = found.join(roots.withColumnRenamed("node", "rid"), "rid", "left").select("rid", "n", "last", F.size("columns").cast("long").alias("shared"), self.likely().alias("likely"), F.coalesce("root", "rid").alias("root"), F.explode("columns").alias("column"))
         entries = scratch.keep(entries, "jaccard-entries")
         likely = F.col("likely")
         # counted by column and root first: a column that many share is combined before it meets
@@ -371,7 +374,7 @@ class Join:
         # rows of one cluster meet there, those of one root are connected: rows of one unit needn't meet
         unit = F.coalesce(2 * F.col("cluster") + 1, 2 * F.col("root"))
         tasks = scratch.parts_for(entries.count(), 100_000, 8)
-        entries = entries.join(members.select("rid", F.col("block").alias("cluster")), "rid", "left").select("rid", "n", "shared", "root", "column", unit.alias("unit"), "rows")
+        entries = entries.join(members.select("rid", F.col("block").alias("cluster")), "rid", "left").select("rid", "n", "last", "shared", "root", "column", unit.alias("unit"), "rows")
         none = F.lit(0)
         light = entries.where(F.col("rows") <= COLUMN_PART).drop("rows").select("*", none.alias("own"), none.alias("p"), none.alias("q"), F.pmod(F.xxhash64("column"), F.lit(tasks)).alias("task"))
         # a column of many: the unit that most have is one side, which doesn't meet itself, and is dealt in parts as others are; each pair of parts is a task's
@@ -383,26 +386,32 @@ class Join:
         own = F.when(F.col("unit") == F.col("main"), others + F.pmod(F.xxhash64("rid"), F.col("main_parts"))).otherwise(F.pmod(F.xxhash64("rid"), others)).cast("int")
         placed = heavy.join(sides, "column").withColumn("own", own)
         meets = F.when(F.col("own") >= others, F.sequence(none, others - 1)).otherwise(F.sequence(none, others + F.col("main_parts") - 1))
-        placed = placed.withColumn("with", F.explode(meets)).select("rid", "n", "shared", "root", "column", "unit", "own", F.least("own", "with").alias("p"), F.greatest("own", "with").alias("q"))
+        placed = placed.withColumn("with", F.explode(meets)).select("rid", "n", "last", "shared", "root", "column", "unit", "own", F.least("own", "with").alias("p"), F.greatest("own", "with").alias("q"))
         entries = light.unionByName(placed.withColumn("task", F.xxhash64("column", "p", "q")))
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table = pa.Table.from_batches(list(batches)).sort_by([(c, "ascending") for c in ("column", "p", "q", "rid")])  # columns in parts are groups
-            rid, n, shared, root, unit, column, own, p, q = (table.column(c).to_numpy() for c in ("rid", "n", "shared", "root", "unit", "column", "own", "p", "q"))
+            rid, n, last, shared, root, unit, column, own, p, q = (table.column(c).to_numpy() for c in ("rid", "n", "last", "shared", "root", "unit", "column", "own", "p", "q"))
             beyond = n - prefix_length(n, num, den)
+
+            def least(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+                """How many columns two prefixes must share."""
+                after = np.where(last[i] < last[j], beyond[i], np.where(last[j] < last[i], beyond[j], np.maximum(beyond[i], beyond[j])))
+                return overlap_needed(n[i] + n[j], num, den) - after
+
             group = np.cumsum((np.diff(column, prepend=column[:1]) != 0) | (np.diff(p, prepend=p[:1]) != 0) | (np.diff(q, prepend=q[:1]) != 0))
             ids, first, row = np.unique(rid, return_index=True, return_inverse=True)
-            size = n[first]
 
             def combined(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
                 pair, c = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.int64), return_counts=True)
                 for lo in range(0, max(len(pair), 1), AT_ONCE):
                     a, b = np.divmod(pair[lo : lo + AT_ONCE], max(len(ids), 1))
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[a], ids[b], size[a], size[b], c[lo : lo + AT_ONCE])], ["u", "v", "nu", "nv", "c"])
+                    i, j = first[a], first[b]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (rid[i], rid[j], n[i], n[j], least(i, j), c[lo : lo + AT_ONCE])], ["u", "v", "nu", "nv", "least", "c"])
 
             parts, pending = [], 0
             for i, j in across(group, unit, n, num, den):
-                may = np.minimum(shared[i], shared[j]) + np.maximum(beyond[i], beyond[j]) >= overlap_needed(n[i] + n[j], num, den)
+                may = np.minimum(shared[i], shared[j]) >= least(i, j)
                 may &= root[i] != root[j]
                 may &= (own[i] != own[j]) | (p[i] == q[i])  # two of one part meet in its part with itself
                 a, b = row[i[may]], row[j[may]]
@@ -413,10 +422,8 @@ class Join:
                     parts, pending = [], 0
             yield from combined(parts)
 
-        pairs = entries.groupBy("task").applyInArrow(count, "u long, v long, nu long, nv long, c long").groupBy("u", "v", "nu", "nv").agg(F.sum("c").alias("c"))
-        after = F.expr(f"greatest((nu * {num} + {den - 1}) div {den}, (nv * {num} + {den - 1}) div {den}) - 1")
-        need = F.expr(f"((nu + nv) * {num} + {num + den - 1}) div {num + den}")
-        return members, pairs.where(F.col("c") + after >= need)
+        pairs = entries.groupBy("task").applyInArrow(count, "u long, v long, nu long, nv long, least long, c long").groupBy("u", "v", "nu", "nv", "least").agg(F.sum("c").alias("c"))
+        return members, pairs.where(F.col("c") >= F.col("least"))
 
     def run(self) -> DataFrame:
         info, columns = self.describe()
